@@ -8,8 +8,10 @@ of our own is made and set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,12 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as a single text can be very long."""
+def python_ready(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python workers import this package, and bound the rows of an Arrow batch, as one text can be very long."""
+    env = spark.sparkContext.environment
+    here = str(Path(__file__).resolve().parent.parent)
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), here)))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
