@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.common import as_bytes, table
-from kinfold.shared import small_batches
+from kinfold.shared import python_ready
 
 #: Samples in a row of a text image: 64 pixels of three samples.
 ROW = 192
@@ -155,7 +155,7 @@ def image_to_text(data: bytes, n_bytes: int) -> bytes:
 def media_tiles(df: DataFrame, key: str, media: str, rows: int = 256) -> DataFrame:
     """(key, tile, npy): each image of a binary column as NPY tiles."""
     kind = df.schema[key].dataType
-    small_batches(df.sparkSession, 256)
+    python_ready(df.sparkSession, 256)
 
     def run(batches):
         for b in batches:
@@ -185,7 +185,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             texts = [t or b"" for t in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(map(text_to_image, texts), pa.binary())], ["key", "n_bytes", "media"])
 
-    small_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     return df.select(key, text).mapInArrow(run, "key long, n_bytes long, media binary")
 
 
@@ -198,7 +198,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             rows = [(k, *image_features(text_to_image(t), len(t))) for k, t in zip(b.column(0).to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FEATURES)] if rows else [pa.array([], f.type) for f in _FEATURES], schema=_FEATURES)
 
-    small_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     return df.select(key, text).mapInArrow(run, FEATURES)
 
 

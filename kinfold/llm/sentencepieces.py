@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.common import as_bytes, table
-from kinfold.shared import small_batches
+from kinfold.shared import python_ready
 
 MARK = "▁".encode()
 #: Chunks, and bytes of them, that a worker remembers before it starts anew.
@@ -207,7 +207,7 @@ def encoder(model: bytes) -> Encoder:
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """(key, ids, begins, ends, decoded): pieces with their original byte spans."""
     spark = df.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     with open(model or default_model(), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
@@ -230,7 +230,7 @@ def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     import zlib
 
     spark = df.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     with open(model or default_model(), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
