@@ -1,0 +1,45 @@
+"""Connected components of a link table, by alternating large-star and small-star steps.
+
+Each step is one grouped minimum (combined before the shuffle) and one join on a
+node, whose hot keys Spark can split; every round's edges are written to the
+shared folder.  Nothing but two sums is sent to the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinfold.shared import drop_shared, write_shared
+
+
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """pairs (u, v): large joins u's larger neighbours to the smallest of u and its neighbours; small its smaller ones and u."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = pairs.join(least, "u")
+    out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a != b").distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of a link between different nodes; component: the smallest node reachable.
+
+    Null ends and links from a node to itself are left out; no links give no rows.
+    """
+    spark = links.sparkSession
+    edges, path = write_shared(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b and a is not null and b is not null").distinct(), "links")
+    state = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        if now == state or now[0] == 0:
+            break
+        state = now
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = _star(both, True)
+        # After the large step a > b, so each node's smaller neighbours are its rows by a.
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
+        edges, later = write_shared(small, "links")
+        drop_shared(spark, path)
+        path = later
+    # All edges now go from a node to the smallest one of its component.
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

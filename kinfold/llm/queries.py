@@ -7,6 +7,7 @@ import importlib
 #: Query and the module that has it as a function of that name; ORACLE_SQL there maps names to SQL.
 WHERE = {
     "op1_langid": "langid",
+    "op2_ngram_jaccard": "ngram_join",
     "op9_sentencepiece": "sentencepieces",
     "op10_media": "media",
 }
