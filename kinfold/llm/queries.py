@@ -8,6 +8,7 @@ import importlib
 WHERE = {
     "op1_langid": "langid",
     "op2_ngram_jaccard": "ngram_join",
+    "op3_embedding_dedup": "embedding_dedup",
     "op9_sentencepiece": "sentencepieces",
     "op10_media": "media",
 }
