@@ -185,8 +185,8 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for each row."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, lang_pred and score for each row."""
     python_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: list[Scorer] = []
@@ -195,10 +195,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         s = kept[0] if kept else Scorer(shared.value)
         kept[:] = [s]
         for b in batches:
-            out = [s.score(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [key, "lang_pred", "score"])
+            out = [s.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(*keep, F.col(text).alias("the text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ WHERE = {
     "op1_langid": "langid",
     "op2_ngram_jaccard": "ngram_join",
     "op3_embedding_dedup": "embedding_dedup",
+    "op4_quality": "kneser_ney",
     "op5_chat": "chat_tree",
     "op6_licenses": "licenses",
     "op7_mixing": "mixing",
