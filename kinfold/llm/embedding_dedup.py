@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import table
-from kinfold.llm.links import components
+from kinfold.operators.components import components
 from kinfold.llm.ngram_join import _Forest, spanning
 from kinfold.shared import drop_shared, filter_by_ids, python_ready, write_shared
 

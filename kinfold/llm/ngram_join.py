@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import ASCII_LOWER, U64, as_bytes, mix64, table
-from kinfold.llm.links import components
+from kinfold.operators.components import components
 from kinfold.shared import drop_shared, filter_by_ids, python_ready, write_shared
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
