@@ -1,13 +1,17 @@
-"""Near-duplicate embeddings by product quantisation, complete by bounds instead of tuned by hope.
+"""Near-duplicate embeddings by product quantisation.
 
-A vector is scaled to length one, so cosine c is distance sqrt(2 - 2c).  Equal
+A vector is scaled to length one, so cosine c is distance r = sqrt(2 - 2c).  Equal
 vectors of a label are one node with a count.  A coarse quantiser puts each node
 in the inverted list of its nearest centroid; its residual is coded by 16
 subspaces of 16 codewords, with the distance between it and its code kept.
 
-**Probes.**  A neighbour y within r of x that lies in the list of centroid c must
-be on c's side of the bisector between c and x's own centroid o, so x probes c
-exactly if (|x - c|^2 - |x - o|^2) / (2 |c - o|) <= r.  No neighbour is lost.
+**Probes.**  A neighbour y of x that lies in the list of centroid c is on c's
+side of the bisector between c and x's own centroid o, which is (|x - c|^2 -
+|x - o|^2) / (2 |c - o|) away from x.  A difference of length r, in a direction
+that does not follow the lists, goes further than ``SIGMAS`` r / sqrt(d) towards
+a given bisector about once in 700 times, so x probes all lists whose bisector is
+within that.  The number of probes follows from the vector, not from a cap;
+``sigmas=None`` takes r itself, with which no neighbour can be lost.
 
 **Candidates.**  Table lookups give the distance from a query to a code (the query
 is not coded); y stays a candidate while that distance is at most r plus y's own
@@ -38,13 +42,15 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import table
 from kinfold.operators.components import components
-from kinfold.llm.ngram_join import _Forest, spanning
-from kinfold.shared import drop_shared, filter_by_ids, python_ready, write_shared
+from kinfold.llm.ngram_join import spanning
+from kinfold.shared import drop_shared, python_ready, write_shared
 
 #: Vectors the quantisers are fitted on, and most centroids.
-SAMPLE, CENTROIDS = 16_384, 512
+SAMPLE, CENTROIDS = 16_384, 128
 SUBSPACES, CODEWORDS = 16, 16
 BLOCK = 64
+#: Standard deviations of a neighbour's way towards a bisector that probes cover.
+SIGMAS = 3.0
 #: Slack of float arithmetic in bounds; exact cosines decide.
 EPS = 1e-6
 
@@ -68,7 +74,7 @@ class Quantiser:
     def __init__(self, sample: np.ndarray):
         sample = sample.astype(np.float64)
         self.dim = sample.shape[1]
-        self.centroids = _kmeans(sample, min(CENTROIDS, max(1, len(sample) // 32)))
+        self.centroids = _kmeans(sample, min(CENTROIDS, max(1, len(sample) // 64)))
         self.cuts = [(i * self.dim // SUBSPACES, (i + 1) * self.dim // SUBSPACES) for i in range(SUBSPACES)]
         self.cuts = [c for c in self.cuts if c[0] < c[1]]
         residual = sample - self.centroids[self.nearest(sample)[0]]
@@ -79,14 +85,14 @@ class Quantiser:
         d = np.maximum((x * x).sum(axis=1)[:, None] + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T, 0)
         return d.argmin(axis=1), d
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(own list, matrix of the lists that may hold neighbours within the radius)."""
+    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, matrix of the lists whose bisector is within reach)."""
         own, d = self.nearest(x)
         between = np.sqrt(np.maximum(((self.centroids[own][:, None] - self.centroids[None]) ** 2).sum(axis=2), 0)) if len(x) * self.centroids.size < 4_000_000 else None
         if between is None:
             g = (self.centroids**2).sum(axis=1)
             between = np.sqrt(np.maximum(g[own][:, None] + g - 2 * self.centroids[own] @ self.centroids.T, 0))
-        return own, d - d[np.arange(len(x)), own][:, None] <= 2 * between * (radius + EPS) + EPS
+        return own, d - d[np.arange(len(x)), own][:, None] <= 2 * between * (reach + EPS) + EPS
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the distance of each row to what its code stands for."""
@@ -120,8 +126,9 @@ def _clean(batches):
                 continue
             x = x + 0.0  # one zero
             raw = x.tobytes()
+            short = x.astype(np.float32)
             key = hashlib.blake2b(raw, digest_size=16).digest()
-            dims.append(len(x)), k1.append(int.from_bytes(key[:8], "little", signed=True)), k2.append(int.from_bytes(key[8:], "little", signed=True)), vectors.append(raw)
+            dims.append(len(x)), k1.append(int.from_bytes(key[:8], "little", signed=True)), k2.append(int.from_bytes(key[8:], "little", signed=True)), vectors.append(short.tobytes() if (short == x).all() else raw)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), labels, pa.array(dims, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vectors, pa.binary())], ["vec_id", "label", "dim", "k1", "k2", "vector"])
 
 
@@ -130,11 +137,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _stack(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _stack(raw: list[bytes], dim: int) -> np.ndarray:
+    """Rows as doubles; those that floats hold exactly come as floats."""
+    if all(len(r) == 4 * dim for r in raw):
+        return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), dim).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
 
 
-def _place(model, radius: float):
+def _place(model, reach_of):
     """A node's row in its own list (role 0) and one in each list that it probes (role 1)."""
 
     def run(batches):
@@ -144,7 +154,7 @@ def _place(model, radius: float):
                 at = np.flatnonzero(dims == dim)
                 for cut in np.array_split(at, max(1, len(at) // 512)):
                     q: Quantiser = model.value[int(dim)]
-                    own, probed = q.probes(_unit(_stack([b.column("vector")[int(i)].as_py() for i in cut])), radius)
+                    own, probed = q.probes(_unit(_stack([b.column("vector")[int(i)].as_py() for i in cut], int(dim))), reach_of(int(dim)))
                     r, c = np.nonzero(probed)
                     index = np.concatenate((cut, cut[r]))
                     rows = b.select(["label", "node", "copies", "dim", "vector"]).take(pa.array(index))
@@ -164,17 +174,17 @@ def _meet(model, cosine: float):
             kind, a, other, n = [], [], [], []
             for dim, centroid, base, queries in zip(*(b.column(i).to_pylist() for i in range(4))):
                 q: Quantiser = model.value[dim]
-                raw_y = _stack([m["vector"] for m in base])
+                raw_y = _stack([m["vector"] for m in base], dim)
                 y = _unit(raw_y)
                 own = np.full(len(y), centroid)
                 codes, error = q.encode(y, own)
                 copies, ids = np.array([m["copies"] for m in base]), np.array([m["node"] for m in base])
                 label = {int(i): k for k, i in enumerate(dict.fromkeys([*ids.tolist(), *(m["node"] for m in queries)]))}
-                forest = _Forest(len(label))
+                forest = np.arange(len(label))
                 right = np.array([label[int(i)] for i in ids])
                 for at in range(0, len(queries), 256):
                     part = queries[at : at + 256]
-                    raw_x = _stack([m["vector"] for m in part])
+                    raw_x = _stack([m["vector"] for m in part], dim)
                     x, own_ids = _unit(raw_x), np.array([m["node"] for m in part])
                     i, j = np.nonzero((q.distances(x, centroid, codes) <= radius + error + EPS) & (own_ids[:, None] != ids))
                     if not len(i):
@@ -194,7 +204,7 @@ def _meet(model, cosine: float):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, sigmas: float | None = SIGMAS) -> DataFrame:
     """(key, n_links, component_id, kept) for each vector; see the module's text."""
     spark = df.sparkSession
     python_ready(spark)
@@ -212,9 +222,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         share = min(1.0, SAMPLE / max(1, own.count()))
         picked = own.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(1_000_000)) < share * 1_000_000).select("vector", "k1", "k2").orderBy("k1", "k2").limit(2 * SAMPLE).toArrow()
         raw = picked.column("vector").to_pylist() or [own.select("vector").first()[0]]
-        quantisers[dim] = Quantiser(_unit(_stack(raw)))
+        quantisers[dim] = Quantiser(_unit(_stack(raw, dim)))
     model = spark.sparkContext.broadcast(quantisers)
-    placed = nodes.select("label", "node", "copies", "dim", "vector").mapInArrow(_place(model, math.sqrt(2 - 2 * cosine)), f"label {label_type}, node long, copies long, dim int, vector binary, list int, role int")
+    placed = nodes.select("label", "node", "copies", "dim", "vector").mapInArrow(_place(model, lambda dim: math.sqrt(2 - 2 * cosine) * (1 if sigmas is None else min(1, sigmas / math.sqrt(dim)))), f"label {label_type}, node long, copies long, dim int, vector binary, list int, role int")
     placed, placed_path = write_shared(placed, "placed")
     group = ["label", "dim", "list"]
     large = placed.groupBy(*group, "role").agg(F.count("*").alias("size")).where(F.col("size") > 4 * BLOCK)

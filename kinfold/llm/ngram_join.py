@@ -240,32 +240,22 @@ def _by_length(a: list[dict], b: list[dict], percent: int) -> np.ndarray:
     return out
 
 
-class _Forest:
-    """Union-find over small integers."""
+def spanning(linked: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a spanning forest of the links.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def spanning(linked: np.ndarray, forest: _Forest, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a spanning forest of the links, where ``left`` and ``right`` number the nodes for ``forest``."""
+    ``left`` and ``right`` number the nodes of rows and columns in ``labels``, which
+    holds each node's component and is brought up to date.
+    """
     out = []
     for i in np.flatnonzero(linked.any(axis=1)):
         js = np.flatnonzero(linked[i])
-        groups = np.array([forest.find(int(right[j])) for j in js])
-        _, first = np.unique(groups, return_index=True)
-        out += [(int(i), int(js[f])) for f in first if forest.join(int(left[i]), int(right[js[f]]))]
+        groups = labels[right[js]]
+        mine = labels[left[i]]
+        others, first = np.unique(groups, return_index=True)
+        for g, f in zip(others.tolist(), first.tolist()):
+            if g != mine:
+                out.append((int(i), int(js[f])))
+                labels[labels == g] = mine
     return out
 
 
@@ -281,7 +271,7 @@ def _blocks(percent: int, failed_pairs: set[tuple[int, int]] | None):
                 every = x if lo == hi else x + y
                 label: dict[int, int] = {}
                 at = np.array([label.setdefault(m["comp"], len(label)) for m in every])
-                forest, nx = _Forest(len(label)), len(x)
+                forest, nx = np.arange(len(label)), len(x)
 
                 def linked(p, q):
                     ok = _by_length(p, q, percent)
