@@ -11,10 +11,11 @@ MOST_BITS = 60
 
 def _lcs_bits(a: Column, b: Column) -> Column:
     """Longest common subsequence by bit vectors: a bit for each place of ``b``, a step for each symbol of ``a``."""
-    full = F.expr("1L") * F.shiftleft(F.lit(1).cast("long"), F.size(b)) - 1
+    one = F.lit(1).cast("long")
+    full = F.call_function("shiftleft", one, F.size(b)) - 1
 
     def step(v: Column, x: Column) -> Column:
-        here = F.aggregate(F.transform(b, lambda y, i: F.when(y == x, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, m: s.bitwiseOR(m))
+        here = F.aggregate(F.transform(b, lambda y, i: F.when(y == x, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, m: s.bitwiseOR(m))
         hit = v.bitwiseAND(here)
         return (v + hit).bitwiseOR(v.bitwiseAND(F.bitwise_not(here))).bitwiseAND(full)
 
@@ -72,5 +73,5 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def round_half_up(x: Column, digits: int) -> Column:
-    """Half away from zero, in FLOAT."""
-    return F.round(x.cast("float"), digits)
+    """Half away from zero for values that are not negative; a billionth makes up for the order of sums."""
+    return F.floor(x * 10**digits + 0.5 + 1e-9) / 10**digits

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def guarded_filter(rows: DataFrame, by: list[str], passes: Column) -> DataFrame:
     """The rows of a group that pass; all of them where none does."""
-    some = F.bool_or(passes).over(Window.partitionBy(*by))
-    return rows.where(passes | ~some)
+    marked = rows.withColumn("some pass", F.bool_or(passes).over(Window.partitionBy(*by)))
+    return marked.where(passes | ~F.col("some pass")).drop("some pass")
 
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import trees
+from kinfold.functions.sequences import round_half_up
 
 #: Matrix values between these are tried as thresholds; the chosen one is lowered by this much.
 BAND, LOWERED = (0.15, 0.7), 0.1
@@ -49,7 +50,7 @@ def band_values(matrix: DataFrame, family: str) -> DataFrame:
 def redundancy(members: DataFrame, family: str, cluster: str, species: str) -> DataFrame:
     """(family, redundancy): members over species, both added up over clusters, to two decimals."""
     each = members.groupBy(family, cluster).agg(F.count("*").alias("size"), F.count_distinct(species).alias("kinds"))
-    return each.groupBy(family).agg(F.round(F.sum("size") / F.sum("kinds"), 2).alias("redundancy"))
+    return each.groupBy(family).agg(round_half_up(F.sum("size") / F.sum("kinds"), 2).alias("redundancy"))
 
 
 def compactness(members: DataFrame, tree: DataFrame, closed: DataFrame, family: str, cluster: str, species: str) -> DataFrame:
@@ -59,7 +60,7 @@ def compactness(members: DataFrame, tree: DataFrame, closed: DataFrame, family:
     top = trees.mrcas(covered, closed)
     kinds = keyed.groupBy("family").agg(F.count_distinct("species").alias("kinds"))
     sized = top.join(trees.span_sizes(tree, closed).withColumnRenamed("node", "mrca"), "mrca").join(kinds, "family")
-    return sized.select(F.col(f"family.{family}").alias(family), (F.col("kinds") / F.col("span")).alias("share")).groupBy(family).agg(F.round(F.avg("share"), 2).alias("compactness"))
+    return sized.select(F.col(f"family.{family}").alias(family), (F.col("kinds") / F.col("span")).alias("share")).groupBy(family).agg(round_half_up(F.avg("share"), 2).alias("compactness"))
 
 
 def peaks(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

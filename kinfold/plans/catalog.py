@@ -1,6 +1,768 @@
-"""Every registered query, with SQL for those that SQL can express."""
+"""Every registered query, with SQL for those that SQL can express.
+
+Each runs over whole tables; ``kinfold.plans.proxies`` says what stands for genes,
+families and species.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinfold.functions import newick, sequences, trees
+from kinfold.operators import assembly, assignment, clusters, components, landscapes, matrices
+from kinfold.plans import family_trees, proxies
+from kinfold.plans.proxies import load
+from kinfold.shared import python_ready
+from kinfold.sources import files
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+# Parts of the SQL side, by name.
+SQL = {
+    "orders_": """
+lines AS (
+  SELECT l_orderkey, list(p_type ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+genes AS (SELECT o_custkey AS family, o_orderkey AS gene, s FROM lines JOIN orders ON o_orderkey = l_orderkey)""",
+    "tree_": """
+tree AS (
+  SELECT 1 AS node, NULL::INT AS parent UNION ALL SELECT r_regionkey + 2, 1 FROM region
+  UNION ALL SELECT n_nationkey + 100, n_regionkey + 2 FROM nation),
+up(anc, node, dist) AS (
+  SELECT node, node, 0 FROM tree
+  UNION ALL SELECT tree.parent, up.node, up.dist + 1 FROM up JOIN tree ON up.anc = tree.node WHERE tree.parent IS NOT NULL),
+inner_ AS (SELECT DISTINCT parent AS node FROM tree WHERE parent IS NOT NULL),
+leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT node FROM inner_)),
+depth AS (SELECT node, max(dist) AS depth FROM up GROUP BY node),
+span AS (SELECT up.anc AS node, leaf.node AS leaf FROM up JOIN leaf ON up.node = leaf.node),
+spans AS (SELECT node, count(*) AS span FROM span GROUP BY node)""",
+    "members_": """
+members AS (
+  SELECT o_custkey AS customer, o_orderkey AS family, s_nationkey + 100 AS species
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+kinds AS (SELECT DISTINCT customer, family, species FROM members),
+cover AS (SELECT family, anc, count(*) AS cover FROM kinds JOIN up ON up.node = species GROUP BY family, anc),
+mrca AS (
+  SELECT family, arg_max(anc, depth) AS mrca FROM (
+    SELECT family, anc, cover, max(cover) OVER (PARTITION BY family) AS most FROM cover) JOIN depth ON node = anc
+  WHERE cover = most GROUP BY family)""",
+    "vectors_": """
+vectors AS (
+  SELECT label AS family, vec_id AS gene, embedding::DOUBLE[] AS e,
+         row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM embeddings),
+lower_ AS (
+  SELECT a.family, a.idx AS i, b.idx AS j,
+         round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 5) AS value
+  FROM vectors a JOIN vectors b ON a.family = b.family AND a.idx > b.idx),
+matrix AS (
+  SELECT family, i, j, value FROM lower_ UNION ALL SELECT family, j, i, value FROM lower_
+  UNION ALL SELECT family, idx, idx, 0 FROM vectors)""",
+}
+
+
+def _sql(name: str, text: str, recursive: bool = False, *parts: str) -> None:
+    ORACLE_SQL[name] = ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(SQL[p] for p in parts) + text if parts else text
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# --- landscapes -----------------------------------------------------------
+
+
+@query
+def pair_lcs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subsequence score of all pairs of orders of a customer, the later order first."""
+    paired = landscapes.pairs(proxies.order_landscapes(spark, sf_dir), "family", "gene", "landscape")
+    scored = landscapes.lcs_pairs(paired, "i_landscape", "j_landscape")
+    return scored.select("family", "i_gene", "j_gene", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+_sql(
+    "pair_lcs_score",
+    """,
+masks AS (
+  SELECT a.family, a.gene AS i_gene, b.gene AS j_gene, len(b.s) AS m, greatest(len(a.s), len(b.s)) AS size,
+    list_transform(a.s, lambda x: list_sum(list_transform(range(len(b.s)), lambda k: CASE WHEN b.s[k + 1] = x THEN 1::BIGINT << k ELSE 0 END))::BIGINT) AS f,
+    list_transform(a.s, lambda x: list_sum(list_transform(range(len(b.s)), lambda k: CASE WHEN b.s[len(b.s) - k] = x THEN 1::BIGINT << k ELSE 0 END))::BIGINT) AS r
+  FROM genes a JOIN genes b ON a.family = b.family AND a.gene > b.gene),
+counted AS (
+  SELECT family, i_gene, j_gene, size, greatest(
+    m - bit_count(list_reduce(list_prepend((1::BIGINT << m) - 1, f), lambda v, h: ((v + (v & h)) | (v & ~h)) & ((1::BIGINT << m) - 1))),
+    m - bit_count(list_reduce(list_prepend((1::BIGINT << m) - 1, r), lambda v, h: ((v + (v & h)) | (v & ~h)) & ((1::BIGINT << m) - 1)))) AS lcs
+  FROM masks)
+SELECT family, i_gene, j_gene, round((CASE WHEN lcs >= 1 THEN lcs - 1 ELSE lcs END::FLOAT / size::FLOAT)::DOUBLE, 5) AS score FROM counted
+""",
+    False,
+    "orders_",
+)
+
+
+@query
+def threaded_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threaded score of all pairs of orders of a customer, in Arrow batches; no SQL form."""
+    paired = landscapes.pairs(proxies.order_landscapes(spark, sf_dir), "family", "gene", "landscape")
+    scored = landscapes.score_pairs(paired, "i_landscape", "j_landscape")
+    return scored.select("family", "i_gene", "j_gene", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query
+def landscape_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = proxies.event_windows(spark, sf_dir)
+    return rows.select("event_id", F.size("landscape").cast("long").alias("size"), F.array_join("landscape", ",").alias("landscape"))
+
+
+_sql(
+    "landscape_window",
+    """SELECT event_id, len(l) AS size, array_to_string(l, ',') AS landscape FROM (
+  SELECT event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS l FROM events)""",
+)
+
+
+@query
+def landscape_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size classes; a repeated event type right after the same is a tandem copy."""
+    rows = proxies.event_windows(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = rows.withColumn("copy", F.coalesce(F.lag("event_type").over(w) == F.col("event_type"), F.lit(False)))
+    return landscapes.classes(rows, "user_id", F.size("landscape"), F.col("copy")).select("event_id", "kind")
+
+
+_sql(
+    "landscape_class",
+    """WITH g AS (
+  SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS size,
+         coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type, false) AS copy FROM events),
+c AS (SELECT *, max(size) OVER (PARTITION BY user_id) > 20 AS large FROM g)
+SELECT event_id, CASE WHEN copy THEN NULL WHEN large AND size > 20 OR NOT large AND size > 1 THEN 'core'
+  WHEN size > 1 AND size <= 20 THEN 'extended' WHEN size = 1 THEN 'solo' END AS kind FROM c""",
+)
+
+
+@query
+def tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return landscapes.runs(events, ["user_id"], ["ts", "event_id"], "event_type", "event_id")
+
+
+_sql(
+    "tandem_runs",
+    """WITH m AS (SELECT *, coalesce((lag(event_type) OVER w <> event_type)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m)
+SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS weight, arg_min(event_id, (ts, event_id)) AS first FROM n GROUP BY user_id, run""",
+)
+
+
+@query
+def tandem_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tandem arrays: events of a user and type, one right after another."""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    left = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    genes = events.withColumn("before", left)
+    found = landscapes.tandems(genes, "event_type", ["user_id", "ts"], "event_id", F.col("before"))
+    return found.select("event_type", "first", F.array_join(F.transform("rest", lambda x: x.cast("string")), ",").alias("rest"))
+
+
+_sql(
+    "tandem_fan_out",
+    """WITH g AS (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+o AS (SELECT *, CASE WHEN coalesce(before = event_type, false) AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS opens FROM g WINDOW w AS (PARTITION BY event_type ORDER BY user_id, ts)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY user_id, ts ROWS UNBOUNDED PRECEDING) AS grp FROM o),
+l AS (SELECT event_type, list(event_id ORDER BY user_id, ts, event_id) AS m FROM n GROUP BY event_type, grp)
+SELECT event_type, m[1] AS first, array_to_string(m[2:], ',') AS rest FROM l WHERE len(m) > 1""",
+)
+
+
+# --- trees ----------------------------------------------------------------
+
+
+def _closed(spark, sf_dir):
+    tree = proxies.species_tree(spark, sf_dir)
+    return tree, trees.closure(tree)
+
+
+@query
+def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _closed(spark, sf_dir)[1]
+
+
+_sql("tree_closure", " SELECT anc, node, dist FROM up", True, "tree_")
+
+
+@query
+def node_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trees.spans(*_closed(spark, sf_dir)).groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("l"))
+    return found.select("node", F.size("l").cast("long").alias("span"), F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("leaves"))
+
+
+_sql("node_span", " SELECT node, count(*) AS span, string_agg(leaf::VARCHAR, ',' ORDER BY leaf) AS leaves FROM span GROUP BY node", True, "tree_")
+
+
+@query
+def topo_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.depths(_closed(spark, sf_dir)[1])
+
+
+_sql("topo_depth", " SELECT node, depth FROM depth", True, "tree_")
+
+
+def _covered(spark, sf_dir):
+    tree, closed = _closed(spark, sf_dir)
+    members = proxies.order_species(spark, sf_dir)
+    return tree, closed, members, trees.covers(members, closed)
+
+
+@query
+def family_mrca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, closed, _, covered = _covered(spark, sf_dir)
+    return trees.mrcas(covered, closed)
+
+
+_sql("family_mrca", " SELECT family, mrca FROM mrca", True, "tree_", "members_")
+
+
+def _lost(spark, sf_dir, large):
+    tree, closed, _, covered = _covered(spark, sf_dir)
+    return trees.losses(covered, trees.mrcas(covered, closed), tree, closed, large_only=large)
+
+
+@query
+def loss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lost(spark, sf_dir, False)
+
+
+@query
+def loss_count_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lost(spark, sf_dir, True)
+
+
+_LOSSES = """,
+cell AS (
+  SELECT m.family, t.parent, t.node, coalesce(c.cover, 0) AS cover FROM mrca m JOIN up u ON u.anc = m.mrca AND u.dist > 0
+  JOIN tree t ON t.node = u.node JOIN inner_ i ON i.node = t.node {extra} LEFT JOIN cover c ON c.family = m.family AND c.anc = t.node),
+lost AS (SELECT cell.family, count(*) AS losses FROM cell JOIN cover p ON p.family = cell.family AND p.anc = cell.parent WHERE cell.cover = 0 GROUP BY cell.family)
+SELECT mrca.family, coalesce(losses, 0) AS losses FROM mrca LEFT JOIN lost ON lost.family = mrca.family"""
+_sql("loss_count", _LOSSES.format(extra=""), True, "tree_", "members_")
+_sql("loss_count_large", _LOSSES.format(extra="JOIN spans s ON s.node = t.node AND s.span > 1"), True, "tree_", "members_")
+
+
+@query
+def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters are orders, families their customers."""
+    return clusters.redundancy(proxies.order_species(spark, sf_dir), "customer", "family", "species")
+
+
+_sql(
+    "redundancy",
+    """, c AS (SELECT customer, family, count(*) AS size, count(DISTINCT species) AS kinds FROM members GROUP BY customer, family)
+SELECT customer, floor(sum(size)::DOUBLE / sum(kinds) * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS redundancy FROM c GROUP BY customer""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+@query
+def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, closed = _closed(spark, sf_dir)
+    return clusters.compactness(proxies.order_species(spark, sf_dir), tree, closed, "customer", "family", "species")
+
+
+_sql(
+    "compactness",
+    """, c AS (SELECT k.customer, k.family, count(*) / any_value(span)::DOUBLE AS share FROM kinds k JOIN mrca m ON m.family = k.family JOIN spans s ON s.node = m.mrca GROUP BY k.customer, k.family)
+SELECT customer, floor(avg(share) * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS compactness FROM c GROUP BY customer""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+@query
+def filling_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species of an order over those of its customer below the order's common ancestor."""
+    tree, closed, members, covered = _covered(spark, sf_dir)
+    kinds = members.select("customer", "family", "species").distinct()
+    own = kinds.groupBy("customer", "family").agg(F.count("*").alias("own")).join(trees.mrcas(covered, closed), "family")
+    by_customer = trees.covers(kinds.select(F.col("customer").alias("family"), "species"), closed).withColumnRenamed("family", "customer")
+    joined = own.join(by_customer.withColumnRenamed("anc", "mrca"), ["customer", "mrca"])
+    return joined.select("family", F.round(F.col("own") / F.col("cover"), 5).alias("filling"))
+
+
+_sql(
+    "filling_ratio",
+    """, seen AS (SELECT customer, anc, count(DISTINCT species) AS cover FROM kinds JOIN up ON up.node = species GROUP BY customer, anc),
+own AS (SELECT customer, family, count(*) AS own FROM kinds GROUP BY customer, family)
+SELECT own.family, round(own.own / seen.cover::DOUBLE, 5) AS filling FROM own JOIN mrca USING (family) JOIN seen ON seen.customer = own.customer AND seen.anc = mrca.mrca""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+# --- matrices -------------------------------------------------------------
+
+
+def _matrix(spark, sf_dir, whole=True):
+    members = proxies.label_members(spark, sf_dir)
+    lower = matrices.triangle(members, "family", "idx", lambda a, b: F.round(matrices.cosine(F.col(f"{a}.embedding"), F.col(f"{b}.embedding")), 5))
+    return members, matrices.symmetric(lower, members, "family", "idx") if whole else lower
+
+
+@query
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir, False)[1]
+
+
+_sql("similarity_matrix", " SELECT family, i, j, value FROM lower_", False, "vectors_")
+
+
+@query
+def distance_matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, matrix = _matrix(spark, sf_dir)
+    distances = matrix.withColumn("value", F.when(F.col("i") == F.col("j"), 0.0).otherwise(1 - F.col("value")))
+    return matrices.to_text(distances, members.select("family", F.col("idx").alias("i"), F.concat(F.lit("v"), "gene").alias("name")), "family")
+
+
+_sql(
+    "distance_matrix_text",
+    """, cells AS (SELECT family, i, string_agg(printf('%.5f', CASE WHEN i = j THEN 0.0::DOUBLE ELSE 1 - value END), chr(9) ORDER BY j) AS row_ FROM matrix GROUP BY family, i)
+SELECT c.family, c.i::BIGINT AS line, 'v' || v.gene || chr(9) || row_ AS text FROM cells c JOIN vectors v ON v.family = c.family AND v.idx = c.i
+UNION ALL SELECT family, -1, count(*)::VARCHAR FROM vectors GROUP BY family""",
+    False,
+    "vectors_",
+)
+
+
+def _sides(spark, sf_dir):
+    """Rows: vectors with a positive first component; columns: the others."""
+    members, matrix = _matrix(spark, sf_dir)
+    rows = members.where(F.col("embedding")[0] > 0).select("family", "idx")
+    columns = members.where(~(F.col("embedding")[0] > 0)).select("family", "idx")
+    return members.select("family").distinct(), matrices.masked(matrix, rows, columns, "family")
+
+
+@query
+def masked_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families, cells = _sides(spark, sf_dir)
+    return families.join(cells, "family", "left").groupBy("family").agg(matrices.floor_max("value").alias("value"))
+
+
+@query
+def masked_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families, cells = _sides(spark, sf_dir)
+    return families.join(cells, "family", "left").groupBy("family").agg(matrices.open_min("value").alias("value"))
+
+
+@query
+def mean_row_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrices.mean_of_row_maxima(_sides(spark, sf_dir)[1], "family").select("family", F.round("value", 5).alias("value"))
+
+
+_SIDES = ", cells AS (SELECT m.* FROM matrix m JOIN vectors a ON a.family = m.family AND a.idx = m.i AND a.e[1] > 0 JOIN vectors b ON b.family = m.family AND b.idx = m.j AND NOT b.e[1] > 0), f AS (SELECT DISTINCT family FROM vectors)"
+_sql("masked_max", _SIDES + " SELECT f.family, greatest(0.0::DOUBLE, coalesce(max(value), 0)) AS value FROM f LEFT JOIN cells ON cells.family = f.family GROUP BY f.family", False, "vectors_")
+_sql("masked_min", _SIDES + " SELECT f.family, coalesce(min(value), 'inf'::DOUBLE) AS value FROM f LEFT JOIN cells ON cells.family = f.family GROUP BY f.family", False, "vectors_")
+_sql("mean_row_max", _SIDES + ", r AS (SELECT family, i, greatest(0.0::DOUBLE, max(value)) AS m FROM cells GROUP BY family, i) SELECT family, round(avg(m), 5) AS value FROM r GROUP BY family", False, "vectors_")
+
+
+def _sets(spark, sf_dir):
+    genes = proxies.order_landscapes(spark, sf_dir).withColumn("landscape", F.array_distinct("landscape"))
+    return landscapes.pairs(genes, "family", "gene", "landscape")
+
+
+@query
+def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets(spark, sf_dir).select("family", "i_gene", "j_gene", F.round(sequences.jaccard(F.col("i_landscape"), F.col("j_landscape")), 5).alias("value"))
+
+
+@query
+def set_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets(spark, sf_dir).select("family", "i_gene", "j_gene", F.round(sequences.containment(F.col("i_landscape"), F.col("j_landscape")), 5).alias("value"))
+
+
+_SETS = ", d AS (SELECT family, gene, list_distinct(s) AS s FROM genes), p AS (SELECT a.family, a.gene AS i_gene, b.gene AS j_gene, a.s AS x, b.s AS y FROM d a JOIN d b ON a.family = b.family AND a.gene > b.gene)"
+_sql("set_jaccard", _SETS + " SELECT family, i_gene, j_gene, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 5) AS value FROM p", False, "orders_")
+_sql("set_containment", _SETS + " SELECT family, i_gene, j_gene, round(len(x) / len(list_distinct(list_concat(x, y)))::DOUBLE, 5) AS value FROM p", False, "orders_")
+
+
+# --- clusters and thresholds ------------------------------------------------
+
+
+@query
+def threshold_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.band_values(_matrix(spark, sf_dir, False)[1], "family")
+
+
+_sql("threshold_values", " SELECT DISTINCT family, value FROM lower_ WHERE value > 0.15 AND value < 0.7", False, "vectors_")
+
+
+@query
+def peak_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local maxima of hourly event counts; hours are numbered, in one window of as many rows as there are hours."""
+    hourly = load(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+    return clusters.peaks(hourly, ["event_type"], ["hour"], "n").select("event_type", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n")
+
+
+_sql(
+    "peak_pick",
+    """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+w AS (SELECT *, lag(n) OVER o AS a, lead(n) OVER o AS b FROM h WINDOW o AS (PARTITION BY event_type ORDER BY hour))
+SELECT event_type, strftime(hour, '%Y-%m-%d %H') AS hour, n FROM w WHERE a < n AND n >= b""",
+)
+
+
+@query
+def near_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a customer's orders, the first with few lines and a high price."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rows = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+    return clusters.near_best(rows, ["o_custkey"], "n", "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", "n")
+
+
+_sql(
+    "near_best",
+    """WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT o_custkey, o_orderkey, o_totalprice, n, min(n) OVER (PARTITION BY o_custkey) AS least FROM orders JOIN l ON l_orderkey = o_orderkey),
+s AS (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM r WHERE n <= 1.1::DOUBLE * least)
+SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(n, o_orderkey) AS n FROM s WHERE o_totalprice >= 0.95::DOUBLE * most GROUP BY o_custkey""",
+)
+
+
+@query
+def connected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a label's vectors at similarity 0.3 or more; lone vectors are their own."""
+    members, lower = _matrix(spark, sf_dir, False)
+    ids = members.select("family", F.col("idx"), "gene")
+    a, b = (ids.select("family", F.col("idx").alias(s), F.col("gene").alias(g)) for s, g in (("i", "a"), ("j", "b")))
+    links = lower.where("value >= 0.3").join(a, ["family", "i"]).join(b, ["family", "j"]).select("a", "b")
+    found = components.components(links)
+    return members.join(found, members["gene"] == found["node"], "left").select("gene", F.coalesce("component", "gene").alias("component"))
+
+
+_sql(
+    "connected_clusters",
+    """, links AS (SELECT a.gene AS a, b.gene AS b FROM matrix m JOIN vectors a ON a.family = m.family AND a.idx = m.i JOIN vectors b ON b.family = m.family AND b.idx = m.j WHERE m.i <> m.j AND m.value >= 0.3),
+reach(a, b) AS (SELECT gene, gene FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT a AS gene, min(b) AS component FROM reach GROUP BY a""",
+    True,
+    "vectors_",
+)
+
+
+def _family_matrices(spark, sf_dir):
+    """A row a family: genes in order and the lower triangle as arrays, for steps whose order matters."""
+    python_ready(spark)
+    members, lower = _matrix(spark, sf_dir, False)
+    genes = members.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("idx", "gene"))).alias("genes"))
+    cells = lower.groupBy("family").agg(*[F.collect_list(c).alias(c) for c in ("i", "j", "value")])
+    return genes.join(cells, "family", "left").repartition("family")
+
+
+def _dense(row) -> np.ndarray:
+    n = len(row.genes)
+    out = np.zeros((n, n), np.float32)
+    if row.i is not None:
+        i, j = np.asarray(row.i, int), np.asarray(row.j, int)
+        out[i, j] = out[j, i] = np.asarray(row.value, np.float32)
+    return out
+
+
+@query
+def cluster_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the row scan at 0.3, whose order matters; no SQL form."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                for c in clusters.ordered_clusters(_dense(row), 0.3):
+                    out += [(row.family, int(row.genes[x]["gene"]), int(row.genes[c[0]]["gene"])) for x in c]
+            yield pd.DataFrame(out, columns=["family", "gene", "cluster"])
+
+    return _family_matrices(spark, sf_dir).mapInPandas(run, "family int, gene long, cluster long")
+
+
+def _species(spark, sf_dir) -> list[tuple]:
+    return [(r["node"], r["parent"], f"N{r['node']}") for r in proxies.species_tree(spark, sf_dir).collect()]  # 31 rows
+
+
+@query
+def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen similarity threshold of each label; a vector's species is a nation by its id; no SQL form."""
+    species = _species(spark, sf_dir)
+
+    def run(frames):
+        s = assembly.Species(species)
+        tips = sorted(s.span[s.root])
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                of = [tips[int(g["gene"]) % len(tips)] for g in row.genes]
+                t = clusters.choose_threshold(_dense(row), of, lambda kinds: len(s.span[s.mrca(kinds)]))
+                out.append((row.family, round(t, 5)))
+            yield pd.DataFrame(out, columns=["family", "threshold"])
+
+    return _family_matrices(spark, sf_dir).mapInPandas(run, "family int, threshold double")
+
+
+# --- choices ----------------------------------------------------------------
+
+
+@query
+def conditional_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders over 200,000, or all where none is."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return assignment.guarded_filter(orders, ["o_custkey"], F.col("o_totalprice") > 200_000).select("o_custkey", "o_orderkey")
+
+
+_sql("conditional_filter", "SELECT o_custkey, o_orderkey FROM (SELECT *, bool_or(o_totalprice > 200000) OVER (PARTITION BY o_custkey) AS found FROM orders) WHERE o_totalprice > 200000 OR NOT found")
+
+
+@query
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's first order by priority, price downwards and key."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    return assignment.first_by(orders, ["o_custkey"], [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+_sql("best_candidate", "SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) = 1")
+
+
+@query
+def duplicated_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, closed = _closed(spark, sf_dir)
+    return assignment.repeated(proxies.order_species(spark, sf_dir), ["family"], "species", trees.depths(closed))
+
+
+_sql(
+    "duplicated_species",
+    """, c AS (SELECT family, species, count(*) AS count FROM members GROUP BY family, species HAVING count(*) > 1)
+SELECT family, species, count, row_number() OVER (PARTITION BY family ORDER BY count DESC, depth DESC, species) AS rank FROM c JOIN depth ON node = species""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+@query
+def subset_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, node): the nodes below which all of a family's species are."""
+    _, _, members, covered = _covered(spark, sf_dir)
+    total = members.select("family", "species").distinct().groupBy("family").agg(F.count("*").alias("total"))
+    return covered.join(total, "family").where("cover = total").select("family", F.col("anc").alias("node"))
+
+
+_sql(
+    "subset_species",
+    """, inside AS (SELECT k.family, up.anc AS node, count(*) AS n FROM kinds k JOIN up ON up.node = k.species GROUP BY k.family, up.anc),
+outside AS (SELECT i.family, i.node FROM inside i JOIN kinds k ON k.family = i.family LEFT JOIN up ON up.anc = i.node AND up.node = k.species WHERE up.node IS NULL)
+SELECT family, node FROM inside EXCEPT SELECT family, node FROM outside""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+@query
+def greedy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as links from return flags to suppliers' nations, taken greedily by price; no SQL form."""
+    python_ready(spark)
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", "l_partkey", "l_extendedprice")
+    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    rows = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
+    packed = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "s_nationkey", "l_partkey", "l_extendedprice")).alias("links"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for key, links in zip(frame["l_orderkey"], frame["links"]):
+                taken = assignment.greedy_links([(x["l_returnflag"], x["s_nationkey"], x["l_partkey"], x["l_extendedprice"]) for x in links], lambda x: (-x[3], x[0], x[1], x[2]))
+                out += [(key, *t[:3]) for t in taken]
+            yield pd.DataFrame(out, columns=["l_orderkey", "arm", "kind", "gene"])
+
+    return packed.mapInPandas(run, "l_orderkey long, arm string, kind int, gene long")
+
+
+# --- tree edits as sets -------------------------------------------------------
+
+
+def _family_skeletons(spark, sf_dir):
+    """(family, node, parent): the species tree once for each order, and the orders' species as content."""
+    tree, closed, members, covered = _covered(spark, sf_dir)
+    kept = covered.select("family", F.col("anc").alias("node")).join(tree, "node").select("family", "node", "parent")
+    return tree, closed, members, covered, kept
+
+
+@query
+def reconcile_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, node, parent, genes): the species tree from each order's common ancestor down, where it has species."""
+    tree, closed, members, covered, kept = _family_skeletons(spark, sf_dir)
+    tops = trees.mrcas(covered, closed)
+    below = tops.join(closed, tops["mrca"] == closed["anc"]).select("family", "mrca", F.col("node"))
+    genes = members.groupBy("family", F.col("species").alias("node")).agg(F.count("*").alias("genes"))
+    rows = kept.join(below, ["family", "node"]).join(genes, ["family", "node"], "left")
+    return rows.select("family", "node", F.when(F.col("node") != F.col("mrca"), F.col("parent")).alias("parent"), F.coalesce("genes", F.lit(0)).cast("long").alias("genes"))
+
+
+_SKELETON = """, skeleton AS (
+  SELECT m.family, u.node, CASE WHEN u.node <> m.mrca THEN t.parent END AS parent, coalesce(g.genes, 0) AS genes
+  FROM mrca m JOIN up u ON u.anc = m.mrca JOIN tree t ON t.node = u.node JOIN cover c ON c.family = m.family AND c.anc = u.node
+  LEFT JOIN (SELECT family, species, count(*) AS genes FROM members GROUP BY 1, 2) g ON g.family = m.family AND g.species = u.node)"""
+_sql("reconcile_skeleton", _SKELETON + " SELECT family, node, parent, genes FROM skeleton", True, "tree_", "members_")
+
+
+@query
+def prune_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, node): nodes of a customer's copy of the species tree with a gene at or below them; families are customers."""
+    tree, _, members, _ = _covered(spark, sf_dir)
+    content = members.select(F.col("customer").alias("family"), F.col("species").alias("node")).distinct()
+    copies = content.select("family").distinct().join(F.broadcast(tree))  # the species tree of 31 nodes for each family
+    return trees.reachable(copies, content, ["family"]).select("family", "node")
+
+
+_sql("prune_reachable", " SELECT DISTINCT customer AS family, anc AS node FROM kinds JOIN up ON up.node = species", True, "tree_", "members_")
+
+
+@query
+def splice_single_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, node, parent): the skeletons without empty nodes that have a single child."""
+    rows = reconcile_skeleton(spark, sf_dir)
+    kids = rows.where("parent is not null").groupBy("family", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
+    marked = rows.join(kids, ["family", "node"], "left").withColumn("gone", (F.coalesce("kids", F.lit(0)) == 1) & (F.col("genes") == 0) & F.col("parent").isNotNull())
+    # A kept node's parent is the nearest ancestor that stays.
+    closed = trees.closure(proxies.species_tree(spark, sf_dir)).where("dist > 0")
+    stay = marked.where(~F.col("gone")).select("family", F.col("node").alias("anc"))
+    pairs = marked.where(~F.col("gone") & F.col("parent").isNotNull()).select("family", "node").join(closed, "node").join(stay, ["family", "anc"])
+    near = pairs.groupBy("family", "node").agg(F.min_by("anc", "dist").alias("parent"))
+    return marked.where(~F.col("gone")).select("family", "node").join(near, ["family", "node"], "left")
+
+
+_sql(
+    "splice_single_child",
+    _SKELETON
+    + """, kids AS (SELECT family, parent AS node, count(*) AS kids FROM skeleton WHERE parent IS NOT NULL GROUP BY 1, 2),
+marked AS (SELECT s.*, coalesce(k.kids, 0) = 1 AND s.genes = 0 AND s.parent IS NOT NULL AS gone FROM skeleton s LEFT JOIN kids k ON k.family = s.family AND k.node = s.node),
+near AS (SELECT a.family, a.node, arg_min(b.node, up.dist) AS parent FROM marked a JOIN up ON up.node = a.node AND up.dist > 0 JOIN marked b ON b.family = a.family AND b.node = up.anc AND NOT b.gone WHERE NOT a.gone GROUP BY 1, 2)
+SELECT m.family, m.node, n.parent FROM marked m LEFT JOIN near n ON n.family = m.family AND n.node = m.node WHERE NOT m.gone""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
+@query
+def polytomies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.polytomies(reconcile_skeleton(spark, sf_dir), ["family"])
+
+
+_sql("polytomies", _SKELETON + " SELECT family, parent AS node, count(*) AS children FROM skeleton WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 2", True, "tree_", "members_")
+
+
+@query
+def gene_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without lines, and lines whose number is not unique in their order: missing and doubled genes."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("family"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("family"), F.col("l_linenumber").alias("gene"))
+    missing = orders.join(lines, "family", "left_anti").select("family", F.lit(None).cast("int").alias("gene"), F.lit("missing").alias("what"))
+    doubled = lines.groupBy("family", "gene").agg(F.count("*").alias("n")).where("n > 1").select("family", "gene", F.lit("double").alias("what"))
+    return missing.unionByName(doubled)
+
+
+_sql(
+    "gene_mismatch",
+    """SELECT o_orderkey AS family, NULL::INT AS gene, 'missing' AS what FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT l_orderkey, l_linenumber, 'double' FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+
+
+# --- text -------------------------------------------------------------------
+
+
+@query
+def regex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named group of a pattern, taken from each page's address."""
+    pages = load(spark, sf_dir, "pages")
+    return pages.select("page_id", files.extract(F.col("url"), r"//(?P<host>[^/]+)/(?P<id>[^?#]*)", "host").alias("host"), files.extract(F.col("url"), r"//(?P<host>[^/]+)/(?P<id>[^?#]*)", "id").alias("id"))
+
+
+_sql(
+    "regex_ids",
+    """SELECT page_id, CASE WHEN regexp_matches(url, '//([^/]+)/([^?#]*)') THEN regexp_extract(url, '//([^/]+)/([^?#]*)', 1) END AS host,
+CASE WHEN regexp_matches(url, '//([^/]+)/([^?#]*)') THEN regexp_extract(url, '//([^/]+)/([^?#]*)', 2) END AS id FROM pages""",
+)
+
+
+@query
+def family_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family texts of customers, an order a line, read back as genes."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    texts = orders.groupBy(F.col("o_custkey").alias("family")).agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), "\n").alias("value"))
+    return files.family_lines(texts).select("family", F.col("gene_idx").cast("long").alias("gene_idx"), "gene")
+
+
+_sql("family_text", "SELECT o_custkey AS family, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS gene_idx, o_orderkey::VARCHAR AS gene FROM orders")
+
+
+@query
+def matrix_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrix texts of labels, read back with the genes in reverse order."""
+    members, matrix = _matrix(spark, sf_dir)
+    names = members.select("family", F.col("idx").alias("i"), F.col("gene").cast("string").alias("name"))
+    lines = matrices.to_text(matrix, names, "family")
+    texts = lines.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("value"))
+    last = F.max("idx").over(Window.partitionBy("family"))
+    genes = members.select("family", (last - F.col("idx")).alias("gene_idx"), F.col("gene").cast("string").alias("gene"))
+    back = files.parse_matrices(texts, genes)
+    return back.select("family", "i", "j", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+_sql(
+    "matrix_text_roundtrip",
+    """, l AS (SELECT family, max(idx) AS last FROM vectors GROUP BY family)
+SELECT m.family, (l.last - i)::BIGINT AS i, (l.last - j)::BIGINT AS j, round(value::FLOAT::DOUBLE, 5) AS value FROM matrix m JOIN l ON l.family = m.family""",
+    False,
+    "vectors_",
+)
+
+
+# --- whole trees --------------------------------------------------------------
+
+
+def _tree_inputs(spark, sf_dir):
+    """Labels as families, vectors as genes of nations by their ids; landscapes of 31 symbols, one of ten shorter."""
+    members, lower = _matrix(spark, sf_dir, False)
+    species = _species(spark, sf_dir)
+    nations = sorted(n for n, p, _ in species if n >= 100)
+    tips = F.array(*[F.lit(n) for n in nations])
+    genes = members.select("family", "idx", F.concat(F.lit("v"), "gene").alias("name"), F.get(tips, (F.col("gene") % len(nations)).cast("int")).alias("species_id"), F.when(F.col("gene") % 10 == 9, 12).when(F.col("gene") % 50 == 7, 1).otherwise(31).alias("size"))
+    cells = lower.select("family", "i", "j", F.greatest("value", F.lit(0.0)).alias("synteny"), (1 - F.col("value")).alias("divergence"))
+    return genes, cells, species
+
+
+@query
+def family_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final tree of each label, as Newick with remarks; no SQL form."""
+    genes, cells, species = _tree_inputs(spark, sf_dir)
+    return family_trees.build_trees(genes, cells, species).select("family", "newick")
+
+
+@query
+def newick_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final trees parsed back: each gene's family and depth in its tree; no SQL form."""
+    built = family_tree(spark, sf_dir)
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for family, text in zip(frame["family"], frame["newick"]):
+                out += [(family, name, depth) for _, _, name, depth, leaf in newick.rows(newick.parse(text)[0]) if leaf]
+            yield pd.DataFrame(out, columns=["family", "gene", "depth"])
+
+    return built.mapInPandas(run, "family int, gene string, depth int")
