@@ -257,8 +257,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e,
          embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
          AND list_count(embedding) = len(embedding)
-         AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0
-         AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok
+         AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
   FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE ok),
 links AS (

@@ -25,8 +25,9 @@ block reports only a spanning forest, never all pairs.
 
 **Verification.**  Reported pairs are compared by their whole sets.  Where one
 fails, the groups it came from are compared again without it, from the components
-confirmed so far, until no reported pair fails.  So every component is exactly
-that of all links.
+confirmed so far; such a round reports 16 times as many pairs for two components as the
+one before, so rounds are few.  It ends when no reported pair fails, so every
+component is exactly that of all links.
 
 Null, empty and blank texts have no set, link with nothing and are their own
 component.  Rows of one id are one node; a null id has a null component.  An empty
@@ -259,8 +260,18 @@ def spanning(linked: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np
     return out
 
 
-def _blocks(percent: int, failed_pairs: set[tuple[int, int]] | None):
-    """Groups of one or two packs: the pairs of a spanning forest of what the sketches let pass."""
+def crossing(linked: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Linked pairs (i, j) of different components, at most so many for two components."""
+    i, j = np.nonzero(linked & (left[:, None] != right))
+    size = 1 + max(left.max(), right.max())
+    key = np.minimum(left[i], right[j]) * size + np.maximum(left[i], right[j])
+    order = np.argsort(key, kind="stable")
+    rank = np.arange(len(key)) - np.searchsorted(key[order], key[order])
+    return [(int(i[k]), int(j[k])) for k in order[rank < most]]
+
+
+def _blocks(percent: int, most: int):
+    """Groups of one or two packs: of the pairs that the sketches let pass, a spanning forest, or up to ``most`` for two components."""
 
     def run(batches):
         for b in batches:
@@ -281,8 +292,14 @@ def _blocks(percent: int, failed_pairs: set[tuple[int, int]] | None):
                             ok[i] &= np.array([m["doc"] not in bad for m in q])
                     return ok
 
-                found = [(every[i]["doc"], every[j]["doc"]) for i, j in spanning(np.triu(linked(x, x), 1), forest, at[:nx], at[:nx])]
-                if lo != hi:
+                if most > 1:
+                    got = crossing(np.triu(linked(x, x), 1), at[:nx], at[:nx], most) if lo == hi else crossing(linked(x, y), at[:nx], at[nx:], most)
+                    other = x if lo == hi else y
+                    found = [(x[i]["doc"], other[j]["doc"]) for i, j in got]
+                elif lo == hi:
+                    found = [(x[i]["doc"], x[j]["doc"]) for i, j in spanning(np.triu(linked(x, x), 1), forest, at, at)]
+                else:
+                    spanning(np.triu(linked(x, x), 1), forest, at[:nx], at[:nx])
                     spanning(np.triu(linked(y, y), 1), forest, at[nx:], at[nx:])
                     found = [(x[i]["doc"], y[j]["doc"]) for i, j in spanning(linked(x, y), forest, at[:nx], at[nx:])]
                 left += [f[0] for f in found]
@@ -293,7 +310,7 @@ def _blocks(percent: int, failed_pairs: set[tuple[int, int]] | None):
     return run
 
 
-def _forests(members: DataFrame, percent: int) -> DataFrame:
+def _forests(members: DataFrame, percent: int, most: int) -> DataFrame:
     """members (centre, doc, n, sketch, comp, failed): pairs (a, b) to verify."""
     sizes = members.groupBy("centre").agg(F.count("*").alias("size")).where(F.col("size") > 4 * BLOCK)
     sizes = sizes.select("centre", F.ceil(F.sqrt(F.col("size") / BLOCK)).cast("int").alias("blocks"))
@@ -303,7 +320,7 @@ def _forests(members: DataFrame, percent: int) -> DataFrame:
     packs = packs.where((F.col("blocks") > 1) | (F.size("members") > 1))
     spread = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.groupBy("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "members")).alias("packs"))
-    return spread.select("lo", "hi", "centre", "packs").mapInArrow(_blocks(percent, None), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.select("lo", "hi", "centre", "packs").mapInArrow(_blocks(percent, most), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
@@ -347,7 +364,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars, stars_path = write_shared(rows.mapInArrow(_centres, "doc long, centre long").distinct(), "stars")
     about = filter_by_ids(index.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch"), stars.select("doc"), "doc")
     members, members_path = write_shared(stars.join(about, "doc"), "members")
-    paths, links, failed, comp = [stars_path, members_path, nodes_path, index_path], None, None, None
+    paths, links, failed, comp, most = [stars_path, members_path, nodes_path, index_path], None, None, None, 1
     while True:
         now = members
         if failed is None:
@@ -356,7 +373,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             bad = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("failed"))
             again = now.join(bad.select("doc"), "doc", "left_semi").select("centre").distinct()
             now = now.join(again, "centre", "left_semi").join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").join(bad, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        pairs, pairs_path = write_shared(_forests(now, percent), "pairs")
+        pairs, pairs_path = write_shared(_forests(now, percent, most), "pairs")
         checked, checked_path = write_shared(_verify(docs, pairs, percent, n), "checked")
         paths += [pairs_path, checked_path]
         links = checked.where("linked") if links is None else links.unionByName(checked.where("linked"))
@@ -365,6 +382,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if wrong.isEmpty():
             break
         failed = wrong if failed is None else failed.unionByName(wrong)
+        most *= 16
     named = nodes.join(comp, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id"))
     linked = index.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"])
     rest = index.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
