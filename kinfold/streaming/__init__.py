@@ -1 +1,5 @@
-"""streaming of the engine."""
+"""Streams: none.
+
+The data are finite files, read whole; no operator keeps state between inputs, so
+there is nothing here that a batch plan doesn't express.
+"""
