@@ -10,9 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.shared import write_shared
+
 
 def closure(tree: DataFrame) -> DataFrame:
-    """(anc, node, dist) for every node and each of its ancestors, itself at 0."""
+    """(anc, node, dist) for every node and each of its ancestors, itself at 0.
+
+    A tree may have a hundred levels and its closure a million rows, Spark's limits of a recursive query.
+    """
     spark = tree.sparkSession
     return spark.sql(
         """
@@ -76,22 +81,21 @@ def losses(covered: DataFrame, tops: DataFrame, tree: DataFrame, closed: DataFra
 
 
 def reachable(tree: DataFrame, content: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of tree (by, node, parent) that have content (by, node) at or below them."""
-    spark = tree.sparkSession
-    keys = ", ".join(by)
-    same = " AND ".join(f"up.{k} = t.{k}" for k in by)
-    kept = spark.sql(
-        f"""
-        WITH RECURSIVE up AS (
-          SELECT DISTINCT {keys}, node FROM {{content}}
-          UNION ALL
-          SELECT {", ".join("t." + k for k in by)}, t.parent FROM up JOIN {{tree}} t ON {same} AND up.node = t.node WHERE t.parent IS NOT NULL)
-        SELECT DISTINCT {keys}, node FROM up
-        """,
-        tree=tree,
-        content=content,
-    )
-    return tree.join(kept, [*by, "node"], "left_semi")
+    """Rows of tree (by, node, parent) that have content (by, node) at or below them.
+
+    One join a level, from the content upwards; each level's new nodes are written to
+    the shared folder, so neither the rows nor the height have a limit.
+    """
+    ups = tree.where("parent is not null")
+    seen, _ = write_shared(content.select(*by, "node").distinct(), "reached")
+    level = seen
+    while True:
+        above = level.join(ups, [*by, "node"]).select(*by, F.col("parent").alias("node")).distinct()
+        level, _ = write_shared(above.join(seen, [*by, "node"], "left_anti"), "reached")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return tree.join(seen, [*by, "node"], "left_semi")
 
 
 def polytomies(tree: DataFrame, by: list[str] | None = None) -> DataFrame:

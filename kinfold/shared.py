@@ -8,7 +8,11 @@ of our own is made and set.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,12 +24,19 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_IDS = 1_000_000
 
 
+#: Folders of our own making, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from the session; a local one if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="kinfold-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        found = "file://" + _OWN[app]
     return found.rstrip("/")
 
 
@@ -61,6 +72,29 @@ def python_ready(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy(run):
+    """A function of batches that gives freed memory back before and after.
+
+    Python workers are used again by later stages; what one stage leaves in the
+    allocator would count against the next.
+    """
+
+    def outer(batches):
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return outer
+
+
+def _give_back() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on one id; ``ids`` is broadcast only if counted and small, else both sides shuffle."""
     ids = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
