@@ -2,12 +2,12 @@
 
 Each step is one grouped minimum (combined before the shuffle) and one join on a
 node, whose hot keys Spark can split; every round's edges are written to the
-shared folder.  Nothing but two sums is sent to the driver.
+shared folder.  Nothing but two numbers a round is sent to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinfold.shared import drop_shared, write_shared
@@ -27,19 +27,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Null ends and links from a node to itself are left out; no links give no rows.
     """
     spark = links.sparkSession
-    edges, path = write_shared(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b and a is not null and b is not null").distinct(), "links")
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if now == state or now[0] == 0:
-            break
-        state = now
+
+    def write(df: DataFrame) -> tuple[DataFrame, str, dict]:
+        """The edges as written, with their number and a sum of hashes, taken while they are written."""
+        seen = Observation()
+        out, path = write_shared(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
+        return out, path, seen.get
+
+    edges, path, state = write(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b and a is not null and b is not null").distinct())
+    while state["n"]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, True)
         # After the large step a > b, so each node's smaller neighbours are its rows by a.
         small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
-        edges, later = write_shared(small, "links")
+        edges, later, now = write(small)
         drop_shared(spark, path)
         path = later
+        if now == state:
+            break
+        state = now
     # All edges now go from a node to the smallest one of its component.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

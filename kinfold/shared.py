@@ -60,7 +60,7 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def python_ready(spark: SparkSession, rows: int = 2000) -> None:
+def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python workers import this package, and bound the rows of an Arrow batch, as one text can be very long."""
     env = spark.sparkContext.environment
     here = str(Path(__file__).resolve().parent.parent)
@@ -80,14 +80,15 @@ def tidy(run):
     """
 
     def outer(batches):
-        _give_back()
+        give_back()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return outer
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return freed memory to the system."""
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)
