@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import table
 from kinfold.operators.components import components
 from kinfold.llm.ngram_join import spanning
-from kinfold.shared import drop_shared, python_ready, write_shared
+from kinfold.shared import drop_shared, python_ready, tidy, write_shared
 
 #: Vectors the quantisers are fitted on, and most centroids.
 SAMPLE, CENTROIDS = 16_384, 128
@@ -209,7 +209,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     python_ready(spark)
     label_type = df.schema[label].dataType.simpleString()
-    rows, rows_path = write_shared(df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label")).mapInArrow(_clean, f"vec_id long, label {label_type}, dim int, k1 long, k2 long, vector binary"), "vectors")
+    rows, rows_path = write_shared(df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label")).mapInArrow(tidy(_clean), f"vec_id long, label {label_type}, dim int, k1 long, k2 long, vector binary"), "vectors")
     usable = rows.where("dim > 0 and vec_id is not null")
     nodes, nodes_path = write_shared(usable.groupBy("label", "dim", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "nodes")
     # A fixed number of vectors of each length, by hash; lengths are few.
@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         raw = picked.column("vector").to_pylist() or [own.select("vector").first()[0]]
         quantisers[dim] = Quantiser(_unit(_stack(raw, dim)))
     model = spark.sparkContext.broadcast(quantisers)
-    placed = nodes.select("label", "node", "copies", "dim", "vector").mapInArrow(_place(model, lambda dim: math.sqrt(2 - 2 * cosine) * (1 if sigmas is None else min(1, sigmas / math.sqrt(dim)))), f"label {label_type}, node long, copies long, dim int, vector binary, list int, role int")
+    placed = nodes.select("label", "node", "copies", "dim", "vector").mapInArrow(tidy(_place(model, lambda dim: math.sqrt(2 - 2 * cosine) * (1 if sigmas is None else min(1, sigmas / math.sqrt(dim))))), f"label {label_type}, node long, copies long, dim int, vector binary, list int, role int")
     placed, placed_path = write_shared(placed, "placed")
     group = ["label", "dim", "list"]
     large = placed.groupBy(*group, "role").agg(F.count("*").alias("size")).where(F.col("size") > 4 * BLOCK)
@@ -236,7 +236,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spread = spread.withColumns({"i": F.when(F.col("role") == 0, F.col("block")).otherwise(F.col("other")), "j": F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("block"))})
     pairs = spread.groupBy(*group, "i", "j").agg(F.first(F.when(F.col("role") == 0, F.col("members")), ignorenulls=True).alias("list_block"), F.first(F.when(F.col("role") == 1, F.col("members")), ignorenulls=True).alias("queries"))
     pairs = pairs.where("list_block is not null and queries is not null").select("dim", "list", "list_block", "queries")
-    found, found_path = write_shared(pairs.mapInArrow(_meet(model, cosine), "kind int, a long, b long, n long"), "found")
+    found, found_path = write_shared(pairs.mapInArrow(tidy(_meet(model, cosine)), "kind int, a long, b long, n long"), "found")
     comp, _ = write_shared(components(found.where("kind = 1")), "components")
     links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     # Vectors of one id and label can be different nodes only if ids repeat; then they share what their id has.

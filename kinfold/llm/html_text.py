@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.common import table
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, tidy
 
 # Element names of the HTML standard, by how they behave.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "noembed", "noframes", "xmp"}
@@ -219,7 +219,7 @@ def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), page:
             texts = [main_text(x) for x in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keys, "text", "n_chars"])
 
-    return pages.select(*keys, page).mapInArrow(run, schema)
+    return pages.select(*keys, page).mapInArrow(tidy(run), schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import table
-from kinfold.shared import python_ready
+from kinfold.shared import give_back, python_ready, tidy
 
 UND = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -68,7 +68,7 @@ class Model:
         self.langs, self.words, self.pieces, self.values, self.floors = langs, words, pieces, values, floors
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 3000, max_words: int = 200_000) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 3000, max_words: int = 60_000) -> Model:
     """Fit on a bounded sample of ``docs``, all of whose rows with an id and a language may be learned from."""
     spark = docs.sparkSession
     python_ready(spark)
@@ -101,8 +101,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "gram": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     schema = "lang string, gram string, n long"
-    words = sample.select("lang", "text").mapInArrow(count_words, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    pieces = words.select("lang", "gram", "n").mapInArrow(count_grams, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = sample.select("lang", "text").mapInArrow(tidy(count_words), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    pieces = words.select("lang", "gram", "n").mapInArrow(tidy(count_grams), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     both = words.select("lang", "gram", "n", F.lit(0).alias("o")).unionByName(pieces.select("lang", "gram", "n", F.length("gram").alias("o")))
     w = Window.partitionBy("lang", "o")
     best = both.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "gram")))
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 class Scorer:
     """A worker's model with a bounded memory of tokens seen."""
 
-    def __init__(self, model: Model, cells: int = 3_000_000):
+    def __init__(self, model: Model, cells: int = 800_000):
         self.model = model
         self.width = len(model.langs) + 1
         self.room = max(1000, cells // self.width)
@@ -199,7 +199,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col(text).alias("the text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    give_back()  # what fitting has left on the driver
+    return docs.select(*keep, F.col(text).alias("the text")).mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import as_bytes, table
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, tidy
 
 #: Bytes of words, A-Z lower-cased; all others become blanks.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -191,7 +191,7 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array(rows, pa.list_(_DETECTION))], [key, "n_words", "detections"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_words long, detections array<struct<rule:int,label:string,kind:string,first_word:long,words:long,confidence:double>>")
+    return df.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, n_words long, detections array<struct<rule:int,label:string,kind:string,first_word:long,words:long,confidence:double>>")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.common import as_bytes, table
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, tidy
 
 #: Samples in a row of a text image: 64 pixels of three samples.
 ROW = 192
@@ -163,7 +163,7 @@ def media_tiles(df: DataFrame, key: str, media: str, rows: int = 256) -> DataFra
                 for i, npy in enumerate(to_tiles(decode(data), rows) if data else ()):
                     yield pa.RecordBatch.from_pydict({"key": pa.array([k], b.schema.field(0).type), "tile": pa.array([i], pa.int32()), "npy": pa.array([npy], pa.binary())})
 
-    return df.select(key, media).mapInArrow(run, f"key {kind.simpleString()}, tile int, npy binary")
+    return df.select(key, media).mapInArrow(tidy(run), f"key {kind.simpleString()}, tile int, npy binary")
 
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -186,7 +186,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(map(text_to_image, texts), pa.binary())], ["key", "n_bytes", "media"])
 
     python_ready(df.sparkSession)
-    return df.select(key, text).mapInArrow(run, "key long, n_bytes long, media binary")
+    return df.select(key, text).mapInArrow(tidy(run), "key long, n_bytes long, media binary")
 
 
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,7 +199,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FEATURES)] if rows else [pa.array([], f.type) for f in _FEATURES], schema=_FEATURES)
 
     python_ready(df.sparkSession)
-    return df.select(key, text).mapInArrow(run, FEATURES)
+    return df.select(key, text).mapInArrow(tidy(run), FEATURES)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ symmetric difference, so a rejected pair is no link.  Of the pairs that pass, a
 block reports only a spanning forest, never all pairs.
 
 **Verification.**  Reported pairs are compared by their whole sets.  Where one
-fails, the groups it came from are compared again without it, from the components
+fails, the groups that hold both of its ends are compared again without it, from the components
 confirmed so far; such a round reports 16 times as many pairs for two components as the
 one before, so rounds are few.  It ends when no reported pair fails, so every
 component is exactly that of all links.
@@ -47,11 +47,11 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import ASCII_LOWER, U64, as_bytes, mix64, table
 from kinfold.operators.components import components
-from kinfold.shared import drop_shared, filter_by_ids, python_ready, write_shared
+from kinfold.shared import drop_shared, filter_by_ids, python_ready, tidy, write_shared
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 #: Words a worker remembers the hash of.
-CACHE = 400_000
+CACHE = 100_000
 #: Cost of indexing a segment of under three n-grams, in rows.
 LIGHT = 12.0
 #: Members of a group that one block holds at least.
@@ -164,7 +164,7 @@ def all_signatures(h: np.ndarray, percent: int) -> np.ndarray:
 
 def sketch(h: np.ndarray) -> bytes:
     """Parities of how many hashes fall in each of 64 buckets or more; folding halves gives the shorter sketches."""
-    bits = max(64, 1 << (3 * len(h) - 1).bit_length())
+    bits = max(64, 1 << (6 * len(h) - 1).bit_length())
     at = (mix64(h ^ _B) & U64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -320,7 +320,7 @@ def _forests(members: DataFrame, percent: int, most: int) -> DataFrame:
     packs = packs.where((F.col("blocks") > 1) | (F.size("members") > 1))
     spread = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.groupBy("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "members")).alias("packs"))
-    return spread.select("lo", "hi", "centre", "packs").mapInArrow(_blocks(percent, most), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.select("lo", "hi", "centre", "packs").mapInArrow(tidy(_blocks(percent, most)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
@@ -342,9 +342,18 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tokens = filter_by_ids(docs.select(F.col("doc_id").alias("doc"), "text"), ends, "doc").mapInArrow(sets, "doc long, tokens binary")
+    tokens = filter_by_ids(docs.select(F.col("doc_id").alias("doc"), "text"), ends, "doc").mapInArrow(tidy(sets), "doc long, tokens binary")
     rows = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return rows.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): only the graph of components that these join is solved."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti")
+    base = comp.unionByName(ends.select("node", F.col("node").alias("component")))
+    a, b = (base.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    merged = components(links.join(a, "a").join(b, "b"), "ca", "cb")
+    return base.join(merged.select(F.col("node").alias("component"), F.col("component").alias("smaller")), "component", "left").select("node", F.coalesce("smaller", "component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -354,33 +363,38 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     python_ready(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    index, index_path = write_shared(docs.mapInArrow(_index(percent, n), "doc_id long, n long, f1 long, f2 long, sketch binary, sigs array<long>"), "index")
+    index, index_path = write_shared(docs.mapInArrow(tidy(_index(percent, n)), "doc_id long, n long, f1 long, f2 long, sketch binary, sigs array<long>"), "index")
     # Equal sets are one node: the smallest id.
     nodes, nodes_path = write_shared(index.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "nodes")
     copies = index.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(nodes.where("last > node").select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).where("doc_id > node").select("doc_id")
     first = filter_by_ids(index.where("n > 0 and doc_id is not null"), copies, "doc_id", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = first.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition(parts, "sig").sortWithinPartitions("sig", "doc")
-    stars, stars_path = write_shared(rows.mapInArrow(_centres, "doc long, centre long").distinct(), "stars")
+    stars, stars_path = write_shared(rows.mapInArrow(tidy(_centres), "doc long, centre long").distinct(), "stars")
     about = filter_by_ids(index.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch"), stars.select("doc"), "doc")
     members, members_path = write_shared(stars.join(about, "doc"), "members")
-    paths, links, failed, comp, most = [stars_path, members_path, nodes_path, index_path], None, None, None, 1
+    paths, failed, comp, most = [stars_path, members_path, nodes_path, index_path], None, None, 1
     while True:
         now = members
         if failed is None:
             now = now.withColumn("comp", F.col("doc")).withColumn("failed", F.lit(None).cast("array<long>"))
         else:
             bad = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("failed"))
-            again = now.join(bad.select("doc"), "doc", "left_semi").select("centre").distinct()
+            # A pair that failed can have stood for others only in groups that hold both of its ends.
+            ends = [now.select("centre", F.col("doc").alias(x)) for x in "ab"]
+            again = wrong.select("a", "b").join(ends[0], "a").join(ends[1], ["centre", "b"], "left_semi").select("centre").distinct()
             now = now.join(again, "centre", "left_semi").join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").join(bad, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         pairs, pairs_path = write_shared(_forests(now, percent, most), "pairs")
         checked, checked_path = write_shared(_verify(docs, pairs, percent, n), "checked")
         paths += [pairs_path, checked_path]
-        links = checked.where("linked") if links is None else links.unionByName(checked.where("linked"))
-        wrong = checked.where("not linked")
-        comp, comp_path = write_shared(components(links), "components")
-        if wrong.isEmpty():
+        tally = {r["linked"]: r["count"] for r in checked.groupBy("linked").count().collect()}
+        if comp is None:
+            comp, _ = write_shared(components(checked.where("linked")), "components")
+        elif tally.get(True):
+            comp, _ = write_shared(_joined(comp, checked.where("linked")), "components")
+        if not tally.get(False):
             break
+        wrong = checked.where("not linked")
         failed = wrong if failed is None else failed.unionByName(wrong)
         most *= 16
     named = nodes.join(comp, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id"))

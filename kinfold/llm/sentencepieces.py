@@ -22,18 +22,17 @@ import hashlib
 import re
 import struct
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.common import as_bytes, table
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, tidy
 
 MARK = "▁".encode()
 #: Chunks, and bytes of them, that a worker remembers before it starts anew.
-CACHE, CACHE_BYTES = 400_000, 32_000_000
+CACHE, CACHE_BYTES = 120_000, 8_000_000
 
 
 def default_model() -> str:
@@ -199,11 +198,6 @@ class Encoder:
         return self.library.decode(ids.tolist())
 
 
-@lru_cache(maxsize=2)
-def encoder(model: bytes) -> Encoder:
-    return Encoder(model)
-
-
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """(key, ids, begins, ends, decoded): pieces with their original byte spans."""
     spark = df.sparkSession
@@ -212,13 +206,13 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", model:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        e = encoder(shared.value)
+        e = Encoder(shared.value)
         for b in batches:
             rows = [e.encode(t or b"") for t in as_bytes(b.column(1))]
             lists = lambda i, kind: pa.array([r[i] for r in rows], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), lists(0, pa.int32()), lists(1, pa.int64()), lists(2, pa.int64()), pa.array([e.decode(r[0]) for r in rows], pa.string())], ["key", "ids", "begins", "ends", "decoded"])
 
-    return df.select(key, text).mapInArrow(run, "key long, ids array<int>, begins array<long>, ends array<long>, decoded string")
+    return df.select(key, text).mapInArrow(tidy(run), "key long, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
 def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -235,7 +229,7 @@ def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model:
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        e = encoder(shared.value)
+        e = Encoder(shared.value)
         for b in batches:
             out: list[tuple] = []
             for t in as_bytes(b.column(1)):
@@ -245,7 +239,7 @@ def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model:
             columns = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return df.select(key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return df.select(key, text).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,7 +363,7 @@ def test_compiled_map_takes_the_longest_prefix():
     blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"x\0yz\0"
     m = sentencepieces.CharsMap(blob)
     assert m.longest(b"abc", 0) == (2, b"yz") and m.longest(b"acb", 0) == (1, b"x") and m.longest(b"c", 0) == (0, b"")
-    e = sentencepieces.encoder(open(sentencepieces.default_model(), "rb").read())
+    e = sentencepieces.Encoder(open(sentencepieces.default_model(), "rb").read())
     other = object.__new__(sentencepieces.Encoder)
     other.__dict__.update(e.__dict__, map=m)
     normal, origin = other.normalize("aab é".encode())
