@@ -14,9 +14,10 @@ from a join with the next lower one's.  What is gathered grows with the trusted
 
 **Scoring.**  The model's rows (hash, log probability, log back-off weight) are dealt into
 as many shards as keep each under ``max_rows``; a shard is one broadcast of that
-proven size and one pass over the texts.  Rows of up to two symbols are in every shard; a longer
-one goes by the two symbols before its last, so each position is resolved by one shard. Sums
-over shards give perplexities.
+proven size and one pass over the texts.  A position is resolved by the shard of the two symbols
+before it.  Probabilities of n-grams and back-off weights of contexts are rows of their own: an n-gram goes by the two symbols
+before its last, a context by its own last two, as the positions do that it weighs.  Rows for
+positions with fewer than two known symbols are in every shard. Sums over shards give perplexities.
 
 **Decision.**  Trusted texts are split by crc32 of the id: four fifths train, the rest
 give each language's perplexity quantile.  A text is kept up to that
@@ -136,7 +137,11 @@ def _count_grams(order: int):
 
 
 def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
-    """The model's rows (k, gram, shard_key, logp, backoff) from a column of trusted texts; k = 0: the unknown symbol."""
+    """The model's rows (k, gram, shard_key, logp, backoff) from a column of trusted texts.
+
+    A row has the probability of an n-gram of k symbols or the back-off weight of a
+    context before the last of k symbols; the other is null.  k = 0: the unknown symbol.
+    """
     spark = texts.sparkSession
     python_ready(spark)
     words = texts.select(text).mapInArrow(tidy(_count_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -159,9 +164,9 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     d = {k: discounts(k) for k in range(1, order + 1)}
     pick = lambda i: F.element_at(F.create_map([F.lit(x) for k in d for x in (k, d[k][i])]), F.col("k"))
     discount = F.when(F.col("a") == 1, pick(0)).when(F.col("a") == 2, pick(1)).otherwise(pick(2))
-    contexts = a.groupBy("context").agg(F.sum("a").alias("total"), F.sum(discount).alias("mass")).withColumn("backoff", F.col("mass") / F.col("total"))
-    contexts, contexts_path = write_shared(contexts.select("context", "total", "backoff"), "contexts")
-    direct = a.join(contexts, "context").select("k", "gram", "context", "suffix", "shard_key", ((F.col("a") - discount) / F.col("total")).alias("own"), "backoff")
+    contexts = a.groupBy("context").agg(F.first("k").alias("k"), F.first("shard_key").alias("shard_key"), F.sum("a").alias("total"), F.sum(discount).alias("mass"))
+    contexts, contexts_path = write_shared(contexts.withColumn("backoff", F.col("mass") / F.col("total")).drop("mass"), "contexts")
+    direct = a.join(contexts.select("context", "total", "backoff"), "context").select("k", "gram", "context", "suffix", "shard_key", ((F.col("a") - discount) / F.col("total")).alias("own"), "backoff")
     direct, direct_path = write_shared(direct, "direct")
     uniform = 1.0 / (1 + (tallies[1]["types"] if 1 in tallies else 0))
     level = direct.where("k = 1").select("k", "gram", "shard_key", (F.col("own") + F.col("backoff") * uniform).alias("p"))
@@ -176,10 +181,8 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     rows = levels[0]
     for x in levels[1:]:
         rows = rows.unionByName(x)
-    bow = contexts.select(F.col("context").alias("gram"), F.col("backoff"))
-    # The start symbol alone is a context and never predicted; its row has no probability.
-    rows = rows.join(bow, "gram", "full")
-    rows = rows.select(F.coalesce("k", F.lit(1)).alias("k"), "gram", F.coalesce("shard_key", F.lit(0).cast("long")).alias("shard_key"), F.log("p").alias("logp"), F.coalesce(F.log("backoff"), F.lit(0.0)).alias("backoff"))
+    rows = rows.select("k", "gram", "shard_key", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
+    rows = rows.unionByName(contexts.select("k", F.col("context").alias("gram"), "shard_key", F.lit(None).cast("double").alias("logp"), F.log("backoff").alias("backoff")))
     unknown = spark.createDataFrame([(0, int(_LABEL[32].view(np.int64)), 0, math.log(uniform), 0.0)], rows.schema)
     model, _ = write_shared(rows.unionByName(unknown), "model")
     drop_shared(spark, grams_path, a_path, contexts_path, direct_path, *level_paths)
@@ -308,7 +311,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows
     python_ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "text")
     unknown = model.where("k = 0").first()["logp"]
-    rows, short = model.where("k > 0").count(), model.where("k between 1 and 2").count()
+    rows, short = (model.where(f"k between 1 and {k}").select("gram").distinct().count() for k in (order, 2))
     if short > max_rows // 2:
         raise ValueError("the rows that every shard has exceed half of a shard")
     shards = max(1, math.ceil((rows - short) / (max_rows - short)))
@@ -318,7 +321,9 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows
         if shards > 1:
             # As the scorer: an unsigned remainder.
             own = own.where((F.col("k") <= 2) | (F.pmod(F.col("shard_key").cast("decimal(20,0)") + F.when(F.col("shard_key") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0)), F.lit(shards)) == s))
-        got = own.select("gram", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()
+        # What is both an n-gram and a context has one row in a shard.
+        own = own.groupBy("gram").agg(F.max("logp").cast("float").alias("logp"), F.coalesce(F.max("backoff"), F.lit(0.0)).cast("float").alias("backoff"))
+        got = own.toArrow()
         value = (got.column(0).to_numpy().view(U64), got.column(1).to_numpy(zero_copy_only=False).astype(np.float32), got.column(2).to_numpy(zero_copy_only=False))
         shared = spark.sparkContext.broadcast(value)
         del got, value

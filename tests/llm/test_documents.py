@@ -229,6 +229,27 @@ def test_perplexity_equals_brute_force(spark, max_rows):
         assert got[i].perplexity is None if not n else math.isclose(got[i].perplexity, math.exp(-logp / n), rel_tol=1e-4), t
 
 
+def sharded_texts(seed=5):
+    """Trusted texts and texts to judge whose long contexts often back off."""
+    r = random.Random(seed)
+    trusted = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(3, 7))) for _ in range(12)) for _ in range(25)]
+    return trusted, [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(3, 8))) for _ in range(6)) for _ in range(15)]
+
+
+def test_shards_lose_no_backoff_weight(spark):
+    trusted, judged = sharded_texts()
+    score, _ = brute_kneser_ney(trusted, kneser_ney.ORDER)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(judged)], "doc_id long, lang string, text string")
+    max_rows = model.select("gram").distinct().count() // 4
+    whole = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model).collect()}
+    dealt = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model, max_rows=max_rows).collect()}
+    for i, t in enumerate(judged):
+        n, logp = score(t)
+        assert math.isclose(whole[i], math.exp(-logp / n), rel_tol=1e-4)
+        assert math.isclose(dealt[i], whole[i], rel_tol=1e-6)
+
+
 def test_quality_separates_the_labels(spark, sf_dir):
     got = queries.queries()["op4_quality"](spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"])
