@@ -13,11 +13,13 @@ context totals are grouped counts, and each order's probabilities come
 from a join with the next lower one's.  What is gathered grows with the trusted text.
 
 **Scoring.**  The model's rows (hash, log probability, log back-off weight) are dealt into
-as many shards as keep each under ``max_rows``; a shard is one broadcast of that
-proven size and one pass over the texts.  A position is resolved by the shard of the two symbols
-before it.  Probabilities of n-grams and back-off weights of contexts are rows of their own: an n-gram goes by the two symbols
-before its last, a context by its own last two, as the positions do that it weighs.  Rows for
-positions with fewer than two known symbols are in every shard. Sums over shards give perplexities.
+as many shards as keep each at about ``max_rows`` at most; a shard is one broadcast and one
+pass over the texts.  Probabilities of n-grams and back-off weights of contexts are rows of their own: an n-gram goes by the symbols
+before its last, a context by its own, as the positions do that they serve.  The last of these
+symbols gives the group, the last two the shard in the group.  A position is resolved by its shard: rows that
+need one symbol are in all shards of its group, and only those that need none (single symbols,
+at most as many as Unicode has) in every shard.  Groups are as many as the rows of two symbols
+need, so no number of rows is too many. Sums over shards give perplexities.
 
 **Decision.**  Trusted texts are split by crc32 of the id: four fifths train, the rest
 give each language's perplexity quantile.  A text is kept up to that
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +74,12 @@ def windows(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[
     return of, place, hashes
 
 
+def shard_keys(h: list[np.ndarray], at: np.ndarray, known: np.ndarray | int) -> np.ndarray:
+    """Keys of the positions ``at``: 32 bits of the symbol before, and 32 of the two before, as far as symbols are known."""
+    one = np.where(known >= 1, h[1][at - 1] >> U64(32), U64(0))
+    return one << U64(32) | np.where(known >= 2, h[2][at - 1] >> U64(32), U64(0))
+
+
 def signed_words(text: bytes) -> tuple[Counter, Counter]:
     """Counts of words that do not repeat the one before them, and of those that do."""
     words = text.split()
@@ -120,8 +129,7 @@ def _count_grams(order: int):
             of, place, h = windows(words, order)
             for k in range(1, order + 1):
                 at = np.flatnonzero(place >= max(1, k - 1))
-                key = h[2][at - 1] if k > 2 else np.zeros(len(at), U64)  # the two symbols before the last
-                held.append((np.full(len(at), k), h[k][at], h[k - 1][at - 1] if k > 1 else h[0][at], h[k - 1][at], key, place[at] == k - 1, n[of[at]]))
+                held.append((np.full(len(at), k), h[k][at], h[k - 1][at - 1] if k > 1 else h[0][at], h[k - 1][at], shard_keys(h, at, k - 1), place[at] == k - 1, n[of[at]]))
                 size += len(at)
             if size > 400_000:
                 held[:] = [summed(held)]
@@ -189,6 +197,48 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     return model
 
 
+class Shard(NamedTuple):
+    """One of the ``parts`` of one of the ``groups``."""
+
+    group: int
+    groups: int
+    part: int
+    parts: int
+
+    def rows(self, model: DataFrame) -> DataFrame:
+        """The shard's rows of a model."""
+        group = F.shiftrightunsigned("shard_key", 32) % self.groups == self.group
+        part = F.col("shard_key").bitwiseAND(0xFFFFFFFF) % self.parts == self.part
+        return model.where((F.col("k") == 1) | ((F.col("k") == 2) & group) | ((F.col("k") > 2) & group & part))
+
+
+WHOLE = Shard(0, 1, 0, 1)
+
+
+def deal(model: DataFrame, max_rows: int) -> list[Shard]:
+    """Shards of about ``max_rows`` rows of the model at most."""
+    model = model.where("k > 0")
+    if model.select("gram").distinct().count() <= max_rows:
+        return [WHOLE]
+    symbol = F.shiftrightunsigned("shard_key", 32)
+    single = model.where("k = 1").count()
+    most = model.where("k = 2").groupBy(symbol.alias("s")).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    groups = 1
+    while True:
+        sizes = model.where("k > 1").groupBy((symbol % groups).alias("g")).agg(F.count_if(F.col("k") == 2).alias("pairs"), F.count_if(F.col("k") > 2).alias("longer")).collect()
+        # Rows of one symbol stay together; there are no more of them than of single symbols.
+        if max((r["pairs"] for r in sizes), default=0) <= max((max_rows - single) // 2, 2 * most):
+            break
+        groups *= 2
+    found = {r["g"]: r for r in sizes}
+    shards = []
+    for g in range(groups):  # positions after unknown symbols may need a group without rows
+        pairs, longer = (found[g]["pairs"], found[g]["longer"]) if g in found else (0, 0)
+        parts = max(1, math.ceil(longer / max(max_rows - single - pairs, max_rows // 8, 1)))
+        shards += [Shard(g, groups, p, parts) for p in range(parts)]
+    return shards
+
+
 class Lookup:
     """An open-addressed table of a shard's rows."""
 
@@ -226,9 +276,9 @@ class Lookup:
 class Scorer:
     """Log probabilities of words under one shard, remembered."""
 
-    def __init__(self, keys, logp, backoff, unknown: float, order: int, shard: int, shards: int):
+    def __init__(self, keys, logp, backoff, unknown: float, order: int, shard: Shard):
         self.table = Lookup(keys, logp, backoff)
-        self.unknown, self.order, self.shard, self.shards = unknown, order, shard, shards
+        self.unknown, self.order, self.shard = unknown, order, shard
         self.new: dict[bytes, complex] = {}
         self.again: dict[bytes, complex] = {}
 
@@ -251,10 +301,10 @@ class Scorer:
                 weight += np.where(usable & np.isnan(total), self.table.backoff[before], 0)
         total = np.where(np.isnan(total), self.unknown + weight + self.empty(), total)
         total[place == 0] = 0
-        if self.shards > 1:
-            key = np.concatenate((np.zeros(1, U64), h[2][:-1]))
-            key[place < 2] = 0
-            total[(key % U64(self.shards)).astype(np.int64) != self.shard] = 0
+        if self.shard != WHOLE:
+            key = shard_keys(h, np.arange(len(of)), place)
+            group, groups, part, parts = (U64(x) for x in self.shard)
+            total[((key >> U64(32)) % groups != group) | ((key & U64(0xFFFFFFFF)) % parts != part)] = 0
         return np.bincount(of, weights=total, minlength=len(words))
 
     def empty(self) -> float:
@@ -289,11 +339,11 @@ class Scorer:
         return out
 
 
-def _score(docs: DataFrame, model, unknown: float, order: int, shard: int, shards: int) -> DataFrame:
+def _score(docs: DataFrame, model, unknown: float, order: int, shard: Shard) -> DataFrame:
     held: list[Scorer] = []
 
     def run(batches):
-        scorer = held[0] if held else Scorer(*model.value, unknown, order, shard, shards)
+        scorer = held[0] if held else Scorer(*model.value, unknown, order, shard)
         held[:] = [scorer]
         for b in batches:
             texts = as_bytes(b.column(3))
@@ -311,16 +361,10 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows
     python_ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "text")
     unknown = model.where("k = 0").first()["logp"]
-    rows, short = (model.where(f"k between 1 and {k}").select("gram").distinct().count() for k in (order, 2))
-    if short > max_rows // 2:
-        raise ValueError("the rows that every shard has exceed half of a shard")
-    shards = max(1, math.ceil((rows - short) / (max_rows - short)))
+    shards = deal(model, max_rows)
     parts = []
-    for s in range(shards):
-        own = model.where(F.col("k") > 0)
-        if shards > 1:
-            # As the scorer: an unsigned remainder.
-            own = own.where((F.col("k") <= 2) | (F.pmod(F.col("shard_key").cast("decimal(20,0)") + F.when(F.col("shard_key") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0)), F.lit(shards)) == s))
+    for shard in shards:
+        own = shard.rows(model.where(F.col("k") > 0))
         # What is both an n-gram and a context has one row in a shard.
         own = own.groupBy("gram").agg(F.max("logp").cast("float").alias("logp"), F.coalesce(F.max("backoff"), F.lit(0.0)).cast("float").alias("backoff"))
         got = own.toArrow()
@@ -328,8 +372,8 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows
         shared = spark.sparkContext.broadcast(value)
         del got, value
         give_back()
-        parts.append(_score(docs, shared, unknown, order, s, shards))
-    if shards == 1:
+        parts.append(_score(docs, shared, unknown, order, shard))
+    if len(shards) == 1:
         scored = parts[0]
     else:
         sums = None

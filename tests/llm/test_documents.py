@@ -244,12 +244,31 @@ def test_shards_lose_no_backoff_weight(spark):
     max_rows = model.select("gram").distinct().count() // 4
     whole = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model).collect()}
     dealt = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model, max_rows=max_rows).collect()}
+    assert len(kneser_ney.deal(model, max_rows)) > 1
     for i, t in enumerate(judged):
         n, logp = score(t)
         assert math.isclose(whole[i], math.exp(-logp / n), rel_tol=1e-4)
         assert math.isclose(dealt[i], whole[i], rel_tol=1e-6)
 
 
+def test_more_pairs_of_symbols_than_a_shard_holds(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(chr(0x4E00 + int(40 * r.random() ** 2)) for _ in range(r.randint(2, 6))) for _ in range(20))
+    trusted, judged = [text() for _ in range(25)], [text() + " 日本 \u4e00\u4e01" for _ in range(8)]
+    score, _ = brute_kneser_ney(trusted, 4)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"), order=4)
+    max_rows = model.where("k between 1 and 2").count()
+    shards = kneser_ney.deal(model, max_rows)
+    assert max(s.groups for s in shards) > 1 and max(s.parts for s in shards) > 1
+    sizes = [s.rows(model.where("k > 0")).select("gram").distinct().count() for s in shards]
+    assert max(sizes) <= 1.2 * max_rows and min(sizes) > 0
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(judged)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model, 4, max_rows).collect()}
+    for i, t in enumerate(judged):
+        n, logp = score(t)
+        assert math.isclose(got[i], math.exp(-logp / n), rel_tol=1e-4)
+
+
 def test_quality_separates_the_labels(spark, sf_dir):
     got = queries.queries()["op4_quality"](spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"])
