@@ -8,9 +8,10 @@ blocks are added up, and give a text ratio (length a block) and a punctuation ra
 neighbouring blocks and back to paths.  Containers collect what their paths have,
 and the one that holds most of the page's score, as deep as possible, is the
 content; inside it paths under the threshold go, unless they are headings or
-short paragraphs of kept neighbours.  Elements whose tag, class, role or id says what they are
+short paragraphs of kept neighbours.  Headings and paragraphs right under an element around the container are kept too.  Elements whose tag, class, role or id says what they are
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles) never count.  A page marked up with ``main`` or ``article`` has its content there.
+and styles) never count.  A page marked up with ``main``, or else ``article``, has its content there, all of
+it; beside an ``article`` in ``main``, blocks that are mostly links go.
 
 Character references are decoded once, after markup is gone; white space inside a
 block becomes one space; blocks are joined by an empty line.  Null and empty pages
@@ -47,6 +48,7 @@ NOT_CONTENT = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _MARK = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -61,7 +63,8 @@ def blocks(page: str) -> list[_Block]:
     """The page's blocks that may be content, in page order."""
     out: list[_Block] = []
     stack: list[tuple[str, tuple | None]] = []  # (tag, path part or None where the element is no content)
-    skipped = depth_a = 0
+    skipped = 0
+    link: int | None = None  # the depth of the open link
     parts: list[str] = []
     links = 0
 
@@ -74,11 +77,13 @@ def blocks(page: str) -> list[_Block]:
             parts, links = [], 0
 
     def pop_to(i: int) -> None:
-        nonlocal skipped
+        nonlocal skipped, link
         flush()
         for _, part in stack[i:]:
             skipped -= part is None
         del stack[i:]
+        if link is not None and link > i:  # a link ends with the block that it began in
+            link = None
 
     at, size = 0, len(page)
     while at < size:
@@ -86,7 +91,7 @@ def blocks(page: str) -> list[_Block]:
         end = m.start() if m else size
         if end > at and not skipped:
             parts.append(page[at:end])
-            if depth_a:
+            if link is not None:
                 links += len(page[at:end].strip())
         if not m:
             break
@@ -97,7 +102,7 @@ def blocks(page: str) -> list[_Block]:
         tag, closing, attrs = tag.lower(), m.group(1), m.group(3)
         if closing:
             if tag == "a":
-                depth_a = 0
+                link = None
             elif tag in BLOCK:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -122,7 +127,7 @@ def blocks(page: str) -> list[_Block]:
         if tag in VOID:
             continue
         if tag == "a":
-            depth_a = 1
+            link = len(stack) if _HREF.search(attrs) else None
             continue
         if tag not in BLOCK:
             continue
@@ -172,7 +177,8 @@ def main_blocks(page: str, threshold: float = 0.1) -> list[str]:
     for kind in ("main", "article"):  # marked content: the part of the page that is in it
         inside = [b for b in found if any(p[0] == kind for p in b.path)]
         if inside:
-            found = inside
+            apart = {any(p[0] == "article" for p in b.path) for b in inside} == {True, False}
+            return [b.text for b in inside if not apart or any(p[0] == "article" for p in b.path) or 2 * b.links < len(b.text)]
     if not found:
         return []
     ratio = _ratio(found)
@@ -194,15 +200,20 @@ def main_blocks(page: str, threshold: float = 0.1) -> list[str]:
             break
         container = best
     inside = [b for b in found if b.path[: len(container)] == container]
-    if any(p[0] in ("article", "main") for b in inside for p in b.path):
-        return [b.text for b in inside if 2 * b.links < len(b.text) or len(b.text) - b.links > 40]
     smooth: dict[tuple, list[float]] = {}
     for b in inside:
         smooth.setdefault(b.path, []).append(b.score)
     most = max(sum(s) / len(s) for s in smooth.values())
     kept = {p for p, s in smooth.items() if sum(s) / len(s) >= threshold * most}
     beside = {p[:-1] for p in kept}
-    return [b.text for b in inside if b.path in kept or (b.path[:-1] in beside and b.path[-1][0] in (*HEADINGS, "p", "li", "blockquote", "pre") and 2 * b.links < len(b.text))]
+    around = {container[:i] for i in range(len(container))}  # a title or lead beside the container
+
+    def stays(b: _Block) -> bool:
+        if b.path[: len(container)] == container and b.path in kept:
+            return True
+        return bool(b.path) and (b.path[:-1] in beside or b.path[:-1] in around) and b.path[-1][0] in (*HEADINGS, "p", "li", "blockquote", "pre") and 2 * b.links < len(b.text)
+
+    return [b.text for b in found if stays(b)]
 
 
 def main_text(page: str | None) -> str:

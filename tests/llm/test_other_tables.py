@@ -136,6 +136,32 @@ def test_pages_without_an_article_are_told_by_paths():
     assert got[0] == "Title" and got[-1] == "Short." and len(got) == 8
 
 
+LONG = "A sentence, with words enough to count as text; more follows here. " * 20
+
+
+def test_nested_articles_are_whole():
+    text = lambda inner: html_text.main_text(f"<html><body><div><a href=m>menu</a></div>{inner}<div>Terms</div></body></html>").split("\n\n")
+    long = LONG.strip()
+    assert text(f'<article><h1>Title</h1><p>Lead</p><div class="body"><p>{LONG}</p></div></article>') == ["Title", "Lead", long]
+    assert text(f"<main><h1>Title</h1><article><p>Lead</p><blockquote><p>{LONG}</p></blockquote></article><ul><li><a href=n>next page</a></ul></main>") == ["Title", "Lead", long]
+    for kind, cell in (("ul", "li"), ("table", "td")):
+        assert text(f"<article><p>Before</p><{kind}><{cell}>{LONG}</{cell}></{kind}></article>") == ["Before", long]
+    assert text(f"<article><h2><a href=x>Linked heading</a></h2><p>{LONG}</p><ol><li><a href=r>Reference</a></ol></article>") == ["Linked heading", long, "Reference"]
+    assert text(f"<article class=a><p>Short one.</p></article><article class=b><p>{LONG}</p></article>") == ["Short one.", long]
+    assert text(f'<div class=c><h1>Title</h1><p>Lead.</p><div class=d><p>{LONG}</p></div></div>') == ["Title", "Lead.", long]
+
+
+def test_text_before_the_first_block():
+    assert html_text.main_text(f"x<ul><li><a href=l>link</a></ul><p>{LONG}</p>").endswith(LONG.strip())
+
+
+def test_links_end_with_their_block():
+    for a in ("<a name=top>", "<p><a href=x>link</p>"):
+        found = html_text.blocks(f"<div>{a}<p>One, two.</p><p>Three.</p></div>")
+        assert [b.links for b in found if b.text != "link"] == [0, 0]
+    assert all(b.links for b in html_text.blocks("<div><a href=x><h3>Card</h3><p>Teaser</p></a></div>"))
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain text", "<", "<p", "<script>", "<!-- only", "<p>a", "</p></div>x", "<article></article>", "&amp;lt;", "<p>" + "word, " * 50_000]
     df = spark.createDataFrame([(i, f"u{i}", h, "x", 1) for i, h in enumerate(pages)], "page_id long, url string, html string, text string, n_chars int")
