@@ -10,7 +10,9 @@ and the one that holds most of the page's score, as deep as possible, is the
 content; inside it paths under the threshold go, unless they are headings or
 short paragraphs of kept neighbours.  Headings and paragraphs right under an element around the container are kept too.  Elements whose tag, class, role or id says what they are
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles) never count.  A page marked up with ``main``, or else ``article``, has its content there, all of
+and styles) never count.  Names are compared as whole tokens (``sidebar``, ``site-sidebar``, not ``has-sidebar``), and neither names nor
+the tag ``form`` rule out ``main`` or ``article``, what holds ``main`` or all articles, or
+what holds nine tenths of the page's unlinked text.  A page marked up with ``main``, or else ``article``, has its content there, all of
 it; beside an ``article`` in ``main``, blocks that are mostly links go.
 
 Character references are decoded once, after markup is gone; white space inside a
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +43,56 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag closes an open element of these, up to a barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"}}
 BARRIER = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "main", "body", "html", "menu"}
-#: Parts of class, id and role names that say that an element isn't content.
+#: Class, id and role names that say that an element isn't content.
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|adverts?|advertis\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|signup|sign-up|login|sidebar\d*|side-bar|aside|nav|navbar|navigation|menu|menus|topbar|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topnav|comments?|commentlist|comment-\w+|replies|reply|respond|disqus|discussion|reader-\w+|related|recommend\w*|share|sharing|social|follow|popup|modal|overlay|widget|toolbar|skip-link|search|form|complementary|contentinfo|banner|alertdialog|alert|dialog|toc|hidden|tags|author-bio|rating|votes?|paywall)(?=$|[\s_\-])",
+    r"(?:ads?|adverts?|advertis\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|signup|sign-up|login|sidebar\d*|side-bar|aside|nav|navbar|navigation|menu|menus|topbar|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topnav|comments?|commentlist|comment-\w+|replies|reply|respond|disqus|discussion|reader-\w+|related|recommend\w*|share|sharing|social|follow|popup|modal|overlay|widget|toolbar|skip-link|search|form|complementary|contentinfo|banner|alertdialog|alert|dialog|toc|hidden|tags|author-bio|rating|votes?|paywall)",
     re.I,
 )
+#: First parts of names that speak of the page or of a topic: has-sidebar, tag-social.
+MODIFIERS = {"has", "no", "not", "with", "without", "is", "show", "hide", "tag", "category", "cat", "format", "type", "template", "layout", "theme", "js", "supports"}
+#: Parts that may follow a name that isn't content: share-buttons, widget-area.
+NEUTRAL = re.compile(r"(?:buttons?|links?|lists?|items?|area|box|bar|container|wrapper|wrap|inner|outer|section|block|blocks|slot|unit|group|left|right|top|bottom|main|site|\d+)")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _MARK = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
+def attributes(attrs: str) -> list[tuple[str, str]]:
+    """(lower-case name, value) of a tag's attributes."""
+    return [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)]
+
+
+def hidden(found: list[tuple[str, str]]) -> bool:
+    return any(k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and _DISPLAY.search(v)) for k, v in found)
+
+
+@lru_cache(4096)
+def not_content(names: str) -> bool:
+    """Whether one of the names, as a whole or by its first or last part, says that an element isn't content."""
+    for name in names.lower().split():
+        if NOT_CONTENT.fullmatch(name):
+            return True
+        first, *rest = re.split(r"[-_]+", name.strip("-_"))
+        if rest and first not in MODIFIERS and (NOT_CONTENT.fullmatch(rest[-1]) or (NOT_CONTENT.fullmatch(first) and all(map(NEUTRAL.fullmatch, rest)))):
+            return True
+    return False
+
+
 class _Block:
-    __slots__ = ("path", "text", "links", "score")
+    __slots__ = ("path", "text", "links", "score", "doubts")
 
-    def __init__(self, path: tuple, text: str, links: int):
+    def __init__(self, path: tuple, text: str, links: int, doubts: tuple):
         self.path, self.text, self.links, self.score = path, text, links, 0.0
+        self.doubts = doubts  # (number, depth) of each element around it that is no content by name
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks that may be content, in page order."""
     out: list[_Block] = []
     stack: list[tuple[str, tuple | None]] = []  # (tag, path part or None where the element is no content)
+    doubts: list[tuple[int, int]] = []
+    doubted = 0
     skipped = 0
     link: int | None = None  # the depth of the open link
     parts: list[str] = []
@@ -73,7 +103,7 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(_Block(tuple(p for _, p in stack), text, links))
+                out.append(_Block(tuple(p for _, p in stack), text, links, tuple(doubts)))
             parts, links = [], 0
 
     def pop_to(i: int) -> None:
@@ -82,6 +112,8 @@ def blocks(page: str) -> list[_Block]:
         for _, part in stack[i:]:
             skipped -= part is None
         del stack[i:]
+        while doubts and doubts[-1][1] >= i:
+            doubts.pop()
         if link is not None and link > i:  # a link ends with the block that it began in
             link = None
 
@@ -127,7 +159,7 @@ def blocks(page: str) -> list[_Block]:
         if tag in VOID:
             continue
         if tag == "a":
-            link = len(stack) if _HREF.search(attrs) else None
+            link = len(stack) if any(k == "href" for k, _ in attributes(attrs)) else None
             continue
         if tag not in BLOCK:
             continue
@@ -147,16 +179,37 @@ def blocks(page: str) -> list[_Block]:
             if low is not None:
                 pop_to(low)
         flush()
-        names = " ".join(v for g in _NAMES.findall(attrs) for v in g[1:] if v) if attrs else ""
-        bare = tag in SKIP or (attrs and tag not in ("html", "body") and (bool(names and NOT_CONTENT.search(names)) or bool(_HIDDEN.search(attrs))))
+        given = attributes(attrs) if attrs else []
+        names = " ".join(v for k, v in given if v and k in ("class", "id", "role"))
+        if tag not in ("html", "body", "main", "article") and (tag == "form" or not_content(names)):
+            doubts.append((doubted, len(stack)))
+            doubted += 1
         # A header inside an article or main may hold the heading; its text is decided by the paths.
-        part = None if bare else (tag, names)
+        part = None if (tag in SKIP and tag != "form") or (tag not in ("html", "body") and hidden(given)) else (tag, names)
         stack.append((tag, part))
         skipped += part is None
         if attrs.endswith("/") and tag not in ("p", "div", "li"):
             pass  # HTML ignores the slash
     flush()
-    return out
+    return without_doubted(out)
+
+
+def without_doubted(found: list[_Block]) -> list[_Block]:
+    """Blocks outside elements that are no content by name, unless these hold main, all articles or nine tenths of the unlinked text."""
+    if not any(b.doubts for b in found):
+        return found
+    marked = any(p[0] == "article" for b in found if not b.doubts for p in b.path)
+    whole, held, cleared = 0, {}, set()
+    for b in found:
+        own = max(0, len(b.text) - b.links)
+        whole += own
+        for number, depth in b.doubts:
+            held[number] = held.get(number, 0) + own
+            tags = {p[0] for p in b.path[depth + 1 :]}
+            if "main" in tags or ("article" in tags and not marked):
+                cleared.add(number)
+    cleared |= {number for number, own in held.items() if own and own >= 0.9 * whole}
+    return [b for b in found if all(number in cleared for number, _ in b.doubts)]
 
 
 def _ratio(found: list[_Block]) -> dict[tuple, float]:

@@ -162,6 +162,24 @@ def test_links_end_with_their_block():
     assert all(b.links for b in html_text.blocks("<div><a href=x><h3>Card</h3><p>Teaser</p></a></div>"))
 
 
+def test_names_do_not_rule_out_the_content():
+    long = LONG.strip()
+    for outer, inner in (
+        ('main class="content has-sidebar"', "section"), ('div class="site no-sidebar"', "article"), ("div", 'article class="post has-comments tag-social"'),
+        ('div id="search-results"', "article"), ("div class=widget", "article"), ("div class=overlay", "main"), ("form id=aspnetForm", "div"), ("div class=widget", "div"),
+        ("div", 'article class="comments"'), ("div", "div title='the hidden truth'"), ("div", "div data-x='class=ad'"),
+    ):
+        assert html_text.main_text(f"<body><{outer}><{inner}><p>{LONG}</p></{inner.split()[0]}></{outer.split()[0]}></body>") == long, (outer, inner)
+
+
+def test_names_rule_out_boilerplate():
+    long = LONG.strip()
+    for what in ("class=ad", "class='cookie-banner'", "class='x site-footer'", "id=comments", "class=share-buttons", "role=navigation", "hidden", "aria-hidden=true", "style='display: none'"):
+        assert html_text.main_text(f"<body><article><p>{LONG}</p><div {what}><p>Something else.</p></div></article></body>") == long, what
+    thread = f"<div id=comments><article class=comment><p>{LONG}</p></article></div>"
+    assert html_text.main_text(f"<body><article><p>{LONG}</p></article>{thread}</body>") == long
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain text", "<", "<p", "<script>", "<!-- only", "<p>a", "</p></div>x", "<article></article>", "&amp;lt;", "<p>" + "word, " * 50_000]
     df = spark.createDataFrame([(i, f"u{i}", h, "x", 1) for i, h in enumerate(pages)], "page_id long, url string, html string, text string, n_chars int")
