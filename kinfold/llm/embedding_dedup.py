@@ -7,11 +7,10 @@ subspaces of 16 codewords, with the distance between it and its code kept.
 
 **Probes.**  A neighbour y of x that lies in the list of centroid c is on c's
 side of the bisector between c and x's own centroid o, which is (|x - c|^2 -
-|x - o|^2) / (2 |c - o|) away from x.  A difference of length r, in a direction
+|x - o|^2) / (2 |c - o|) away from x.  x probes all lists whose bisector is within
+r, with which no neighbour can be lost.  ``sigmas=SIGMAS`` probes fewer: a difference of length r, in a direction
 that does not follow the lists, goes further than ``SIGMAS`` r / sqrt(d) towards
-a given bisector about once in 700 times, so x probes all lists whose bisector is
-within that.  The number of probes follows from the vector, not from a cap;
-``sigmas=None`` takes r itself, with which no neighbour can be lost.
+a given bisector about once in 700 times; differences that follow the lists are lost.
 
 **Candidates.**  Table lookups give the distance from a query to a code (the query
 is not coded); y stays a candidate while that distance is at most r plus y's own
@@ -204,7 +203,7 @@ def _meet(model, cosine: float):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, sigmas: float | None = SIGMAS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, sigmas: float | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for each vector; see the module's text."""
     spark = df.sparkSession
     python_ready(spark)

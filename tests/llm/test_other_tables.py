@@ -55,6 +55,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, dim, seed):
     assert sum(most.values()) >= 0.99 * sum(n for n, _, _ in want.values())
 
 
+def test_directed_differences_lose_no_link(spark):
+    """Vectors on a circle: neighbours lie straight towards other lists' centroids."""
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    plane = np.linalg.qr(np.random.default_rng(4).normal(size=(64, 2)))[0]
+    rows = [(i, [float(x) for x in np.float32(plane @ (np.cos(t), np.sin(t)))], 1) for i, t in enumerate(turn)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(df).collect()} == brute_links(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(df).count() == 0
