@@ -2,8 +2,8 @@
 
 Lineage is cut by writing a table and reading it again, so a lost executor never
 loses the only copy.  The folder is what the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder
-of our own is made and set.
+``spark.checkpoint.dir``; only where that is unset and driver and executors are one
+process (tests, one machine) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most ids that a broadcast may hold: 16 MB of longs.
 MAX_BROADCAST_IDS = 1_000_000
+#: Bytes that an Arrow batch may hold, but for its last row.
+BATCH_BYTES = 16 << 20
 
 
 #: Folders of our own making, by application.
@@ -29,9 +31,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from the session; a local one if none is set."""
+    """The shared folder, from the session; a local one if none is set and nothing runs elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.isLocal:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="kinfold-")
@@ -48,6 +52,13 @@ def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, str, int]:
+    """``write_shared`` with the number of rows, counted while they are written."""
+    seen = Observation()
+    out, path = write_shared(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, path, seen.get["n"]
+
+
 def shared(df: DataFrame, name: str) -> DataFrame:
     return write_shared(df, name)[0]
 
@@ -61,7 +72,7 @@ def drop_shared(spark: SparkSession, *paths: str) -> None:
 
 
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers import this package, and bound the rows of an Arrow batch, as one text can be very long."""
+    """Let Python workers import this package, and bound an Arrow batch's rows and bytes, as one text can be very long."""
     env = spark.sparkContext.environment
     here = str(Path(__file__).resolve().parent.parent)
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -70,6 +81,10 @@ def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def tidy(run):
@@ -80,25 +95,28 @@ def tidy(run):
     """
 
     def outer(batches):
-        give_back()
+        give_back(young=True)
         yield from run(batches)
-        give_back()
+        give_back(young=True)
 
     return outer
 
 
-def give_back() -> None:
-    """Return freed memory to the system."""
-    gc.collect()
+def give_back(young: bool = False) -> None:
+    """Return freed memory to the system; ``young``: without a look at all objects, which takes tens of milliseconds."""
+    gc.collect(1 if young else 2)
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
 
+def bounded(ids: DataFrame, rows: int, most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """A table marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(ids) if rows <= most else ids
+
+
 def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join on one id; ``ids`` is broadcast only if counted and small, else both sides shuffle."""
-    ids = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
-    if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, how)
+    """Semi or anti join on one id; ``ids`` is written and counted first and broadcast only if small, else both sides shuffle."""
+    ids, _, rows = write_counted(ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct(), "ids")
+    return df.join(bounded(ids, rows), key, how)
