@@ -4,12 +4,9 @@ Normalisation walks the compiled character map: a flags word, a double-array tri
 and a pool of replacements.  At each place the longest prefix that the trie
 knows is replaced, else one code point is copied; each output byte records the
 input byte it stems from.  The dummy prefix and escaped blanks follow the
-model's settings.  No piece of such a model has a blank mark after another
-character (checked when the model is loaded), so no merge crosses from a
-character to a blank mark: the normalised text falls apart into chunks there,
-each encoded once by the library (with its own normaliser switched off) and
-remembered in a bounded cache.  Where a model does have such pieces, the whole
-text is one chunk.
+model's settings.  The library then encodes the normalised text, its own normaliser
+switched off; the pieces lie end to end in it, so their sizes give their places there and
+the record gives their spans of the original.
 
 Null text counts as empty; an empty text gives the end id alone; repeated rows
 give repeated results; an empty table gives no rows; further columns are
@@ -19,9 +16,7 @@ ignored.  Work is row by row, without a shuffle.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +26,6 @@ from kinfold.llm.common import as_bytes, table
 from kinfold.shared import python_ready, tidy
 
 MARK = "▁".encode()
-#: Chunks, and bytes of them, that a worker remembers before it starts anew.
-CACHE, CACHE_BYTES = 120_000, 8_000_000
 
 
 def default_model() -> str:
@@ -87,17 +80,13 @@ class Encoder:
         self.map = CharsMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
-        self.whole = any("▁" in p.piece.lstrip("▁") for p in proto.pieces) or not self.escape or self.suffix
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         spec.precompiled_charsmap, spec.name, spec.normalization_rule_tsv = b"", "identity", ""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.end, self.unknown = self.library.eos_id(), self.library.unk_id()
-        self.chunk = re.compile(b"(?:" + MARK + b")+[^\xe2]*(?:\xe2(?!" + MARK[1:] + b")[^\xe2]*)*|[^\xe2]+(?:\xe2(?!" + MARK[1:] + b")[^\xe2]*)*|\xe2[^\xe2]*(?:\xe2(?!" + MARK[1:] + b")[^\xe2]*)*", re.S)
         self.sizes = np.array([1 if self.plain.is_byte(i) else len(self.plain.id_to_piece(i).encode()) for i in range(self.plain.get_piece_size())], np.int64)
-        self.said = [b" %d" % i for i in range(len(self.sizes))]
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.said = [str(i) for i in range(len(self.sizes))]
 
     def normalize(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them and for the end the original byte they stem from."""
@@ -149,53 +138,31 @@ class Encoder:
                 origin[:0] = [first] * len(mark)
         return bytes(out), np.array([*origin, end], np.int64)
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode chunks and remember each one's ids, as raw ints and as decimals each after a blank."""
-        size = sum(map(len, chunks))
-        if len(self.cache) + len(chunks) > CACHE or self.held + size > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        self.held += size
-        todo = list(chunks)
-        said = self.said
-        for c, ids in zip(todo, self.plain.encode([c.decode("utf-8", "replace") for c in todo], num_threads=1)):
-            self.cache[c] = array("i", ids).tobytes(), b"".join([said[i] for i in ids])
-
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """Ids with the end id, begin and end of each one's original bytes, and the ids as decimals.
+    def encode(self, text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids with the end id, begin and end of each one's original bytes.
 
         A piece of byte fallback spans the byte that it stands for, the dummy
         prefix an empty span at the start, the end id one at the end.
         """
         normal, origin = self.normalize(text)
-        chunks = [normal] if self.whole else self.chunk.findall(normal)
-        cache = self.cache
-        try:
-            got = [cache[c] for c in chunks]
-        except KeyError:
-            self.learn({c for c in chunks if c not in cache})
-            for c in chunks:  # a cache that was emptied meanwhile
-                if c not in cache:
-                    self.learn({*chunks})
-                    break
-            got = [cache[c] for c in chunks]
-        ids = np.frombuffer(b"".join([g[0] for g in got]), np.int32)
-        said = b"".join([g[1] for g in got]) + self.said[self.end]
-        sizes = self.sizes[ids]
-        if self.unknown in ids:
-            sizes = self._sizes(chunks)
-        at = origin[np.concatenate(([0], np.cumsum(sizes)))]
+        said = normal.decode("utf-8", "replace")
+        ids = self.plain.encode(said)
+        sizes = self.sizes[np.array(ids, np.int32)] if self.unknown not in ids else self._sizes(ids, said)
+        at = origin[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
+        ids.append(self.end)
         end = np.array([len(text)])
-        return np.append(ids, np.int32(self.end)), np.concatenate((at[:-1], end)), np.concatenate((at[1:], end)), said[1:]
+        return ids, np.concatenate((at[:-1], end)), np.concatenate((at[1:], end))
 
-    def _sizes(self, chunks: list[bytes]) -> np.ndarray:
+    def _sizes(self, ids: list[int], said: str) -> np.ndarray:
         """Bytes of each piece where some are unknown: then the surface counts, not the piece's name."""
-        said = [c.decode("utf-8", "replace") for c in chunks]
-        pairs = zip(self.plain.encode(said, num_threads=1), self.plain.encode(said, out_type=str, num_threads=1))
-        return np.array([1 if self.plain.is_byte(i) else len(p.encode()) for ids, pieces in pairs for i, p in zip(ids, pieces)], np.int64)
+        return np.array([1 if self.plain.is_byte(i) else len(p.encode()) for i, p in zip(ids, self.plain.encode(said, out_type=str))], np.int64)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist())
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
+
+    def digest(self, ids: list[int]) -> str:
+        """The digest of the ids as decimals with one blank between."""
+        return hashlib.sha256(" ".join([self.said[i] for i in ids]).encode()).hexdigest()
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -233,9 +200,9 @@ def token_digests(df: DataFrame, key: str = "doc_id", text: str = "text", model:
         for b in batches:
             out: list[tuple] = []
             for t in as_bytes(b.column(1)):
-                ids, begins, ends, said = e.encode(t or b"")
+                ids, begins, ends = e.encode(t or b"")
                 spans = zlib.crc32(ends, zlib.crc32(begins))
-                out.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest(), spans))
+                out.append((len(ids), e.digest(ids), hashlib.sha256(e.decode(ids).encode()).hexdigest(), spans))
             columns = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
