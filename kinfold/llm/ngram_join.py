@@ -24,13 +24,15 @@ symmetric difference, so a rejected pair is no link.  Of the pairs that pass, a
 block reports only a spanning forest, never all pairs.
 
 **Verification.**  Reported pairs are compared by their whole sets.  Where one
-fails, the groups that hold both of its ends are compared again without it, from the components
-confirmed so far; such a round reports 16 times as many pairs for two components as the
-one before, so rounds are few.  It ends when no reported pair fails, so every
-component is exactly that of all links.
+fails and its ends are still in different components, the groups that hold both of them are
+compared again without it, from the components confirmed so far; such a round reports 16 times as
+many pairs for two components as the one before, so rounds are few.  It ends when no failed pair
+spans two components or a round had no more pairs to report, so every component is exactly that
+of all links.
 
 Null, empty and blank texts have no set, link with nothing and are their own
-component.  Rows of one id are one node; a null id has a null component.  An empty
+component.  Rows of one id are one node, whatever texts they have (then each row has its
+own text's n_shingles); a null id has a null component.  An empty
 table gives no rows; further columns are ignored.
 """
 
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import ASCII_LOWER, U64, as_bytes, mix64, table
 from kinfold.operators.components import components
-from kinfold.shared import drop_shared, filter_by_ids, python_ready, tidy, write_shared
+from kinfold.shared import bounded, drop_shared, filter_by_ids, python_ready, tidy, write_counted, write_shared
 
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 #: Words a worker remembers the hash of.
@@ -169,6 +171,11 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def set_key(h: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set of hashes."""
+    return int(np.sum(mix64(h ^ _A), dtype=U64).view(np.int64)), int(np.sum(mix64(h + _B), dtype=U64).view(np.int64))
+
+
 def _index(percent: int, n: int):
     words = WordHash()
     names = ["doc_id", "n", "f1", "f2", "sketch", "sigs"]
@@ -178,9 +185,7 @@ def _index(percent: int, n: int):
             ids, out = b.column(0).to_pylist(), []
             for i, t in zip(ids, as_bytes(b.column(1))):
                 h = shingles(t, n, words)
-                f1 = int(np.sum(mix64(h ^ _A), dtype=U64).view(np.int64))
-                f2 = int(np.sum(mix64(h + _B), dtype=U64).view(np.int64))
-                out.append((i, len(h), f1, f2, sketch(h) if len(h) else None, all_signatures(h, percent).view(np.int64) if len(h) and i is not None else None))
+                out.append((i, len(h), *set_key(h), sketch(h) if len(h) else None, all_signatures(h, percent).view(np.int64) if len(h) and i is not None else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names)
 
@@ -260,29 +265,29 @@ def spanning(linked: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np
     return out
 
 
-def crossing(linked: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Linked pairs (i, j) of different components, at most so many for two components."""
+def crossing(linked: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Linked pairs (i, j) of different components, at most so many for two components, and whether there are more."""
     i, j = np.nonzero(linked & (left[:, None] != right))
     size = 1 + max(left.max(), right.max())
     key = np.minimum(left[i], right[j]) * size + np.maximum(left[i], right[j])
     order = np.argsort(key, kind="stable")
     rank = np.arange(len(key)) - np.searchsorted(key[order], key[order])
-    return [(int(i[k]), int(j[k])) for k in order[rank < most]]
+    return [(int(i[k]), int(j[k])) for k in order[rank < most]], bool((rank >= most).any())
 
 
 def _blocks(percent: int, most: int):
-    """Groups of one or two packs: of the pairs that the sketches let pass, a spanning forest, or up to ``most`` for two components."""
+    """Pairs of blocks of a group: of the pairs that the sketches let pass, a spanning forest, or up to ``most`` for two components."""
 
     def run(batches):
         for b in batches:
-            left, right, centres = [], [], []
-            for lo, hi, centre, packs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                parts = [p["members"] for p in sorted(packs, key=lambda p: p["block"])]
-                x, y = parts[0], parts[-1]
+            left, right, cut = [], [], []
+            for lo, hi, members in zip(*(b.column(i).to_pylist() for i in range(3))):
+                x = [m for m in members if m["block"] == lo]
+                y = x if lo == hi else [m for m in members if m["block"] == hi]
                 every = x if lo == hi else x + y
                 label: dict[int, int] = {}
-                at = np.array([label.setdefault(m["comp"], len(label)) for m in every])
-                forest, nx = np.arange(len(label)), len(x)
+                at = np.array([label.setdefault(m["comp"], len(label)) for m in every], np.int64)
+                forest, nx, more = np.arange(len(label)), len(x), False
 
                 def linked(p, q):
                     ok = _by_length(p, q, percent)
@@ -292,59 +297,72 @@ def _blocks(percent: int, most: int):
                             ok[i] &= np.array([m["doc"] not in bad for m in q])
                     return ok
 
+                if not x or not y:
+                    continue
                 if most > 1:
-                    got = crossing(np.triu(linked(x, x), 1), at[:nx], at[:nx], most) if lo == hi else crossing(linked(x, y), at[:nx], at[nx:], most)
-                    other = x if lo == hi else y
-                    found = [(x[i]["doc"], other[j]["doc"]) for i, j in got]
+                    got, more = crossing(np.triu(linked(x, x), 1), at, at, most) if lo == hi else crossing(linked(x, y), at[:nx], at[nx:], most)
                 elif lo == hi:
-                    found = [(x[i]["doc"], x[j]["doc"]) for i, j in spanning(np.triu(linked(x, x), 1), forest, at, at)]
+                    got = spanning(np.triu(linked(x, x), 1), forest, at, at)
                 else:
                     spanning(np.triu(linked(x, x), 1), forest, at[:nx], at[:nx])
                     spanning(np.triu(linked(y, y), 1), forest, at[nx:], at[nx:])
-                    found = [(x[i]["doc"], y[j]["doc"]) for i, j in spanning(linked(x, y), forest, at[:nx], at[nx:])]
-                left += [f[0] for f in found]
-                right += [f[1] for f in found]
-                centres += [centre] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    got = spanning(linked(x, y), forest, at[:nx], at[nx:])
+                left += [x[i]["doc"] for i, _ in got]
+                right += [y[j]["doc"] for _, j in got]
+                cut += [more] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
 
     return run
 
 
 def _forests(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """members (centre, doc, n, sketch, comp, failed): pairs (a, b) to verify."""
-    sizes = members.groupBy("centre").agg(F.count("*").alias("size")).where(F.col("size") > 4 * BLOCK)
-    sizes = sizes.select("centre", F.ceil(F.sqrt(F.col("size") / BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    packs = dealt.groupBy("centre", "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("doc", "n", "sketch", "comp", "failed")).alias("members"))
-    packs = packs.where((F.col("blocks") > 1) | (F.size("members") > 1))
-    spread = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.groupBy("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "members")).alias("packs"))
-    return spread.select("lo", "hi", "centre", "packs").mapInArrow(tidy(_blocks(percent, most)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
-    """pairs (a, b) with ``linked``: their whole sets compared."""
+    """members (centre, doc, n, sketch, block, blocks, comp, failed): pairs (a, b) to verify, and whether some were cut."""
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.groupBy("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("block", "doc", "n", "sketch", "comp", "failed")).alias("members"))
+    found = met.select("lo", "hi", "members").mapInArrow(tidy(_blocks(percent, most)), "a long, b long, cut boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, odd: DataFrame | None, percent: int, n: int) -> tuple[DataFrame, list[str]]:
+    """pairs (a, b, cut) with ``linked``: their whole sets compared; and the path of the sets.
+
+    ``odd``: ids of several sets, whose nodes go by a hash of the set (see ``jaccard_components``).
+    """
     words = WordHash()
 
     def sets(batches):
         for b in batches:
-            out = [shingles(t, n, words).tobytes() for t in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["doc", "tokens"])
+            out = [shingles(t, n, words) for t in as_bytes(b.column(1))]
+            keys = [set_key(h) for h in out]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2)), pa.array(map(len, out), pa.int64()), pa.array([h.tobytes() for h in out], pa.binary())], ["doc", "f1", "f2", "n", "tokens"])
 
     def compare(batches):
         for b in batches:
             out = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for x, y in zip(b.column(3), b.column(4)):
+                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tokens = filter_by_ids(docs.select(F.col("doc_id").alias("doc"), "text"), ends, "doc").mapInArrow(tidy(sets), "doc long, tokens binary")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.bool_())], ["a", "b", "cut", "linked"])
+
+    schema = "doc long, f1 long, f2 long, n long, tokens binary"
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    plain = docs.select(F.col("doc_id").alias("doc"), "text")
+    if odd is not None:
+        ids = odd.select(F.col("doc_id").alias("doc"))
+        ends, plain, several = ends.distinct(), plain.join(ids, "doc", "left_anti"), plain.join(ids, "doc", "left_semi")
+    tokens = filter_by_ids(plain, ends, "doc").mapInArrow(tidy(sets), schema).select("doc", "tokens")
+    if odd is not None:
+        own = several.mapInArrow(tidy(sets), schema).select(_odd_node().alias("doc"), "tokens")
+        tokens = tokens.unionByName(own.join(ends, "doc", "left_semi"))
+    tokens, path = write_shared(tokens.dropDuplicates(["doc"]), "sets")
     rows = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return rows.select("a", "b", "cut", "x", "y").mapInArrow(tidy(compare), "a long, b long, cut boolean, linked boolean"), [path]
+
+
+def _odd_node():
+    """The node of a set that only ids of several sets have."""
+    return F.xxhash64("f1", "f2", "n")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -364,16 +382,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     python_ready(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     index, index_path = write_shared(docs.mapInArrow(tidy(_index(percent, n)), "doc_id long, n long, f1 long, f2 long, sketch binary, sigs array<long>"), "index")
-    # Equal sets are one node: the smallest id.
-    nodes, nodes_path = write_shared(index.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "nodes")
-    copies = index.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(nodes.where("last > node").select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).where("doc_id > node").select("doc_id")
-    first = filter_by_ids(index.where("n > 0 and doc_id is not null"), copies, "doc_id", "left_anti")
+    usable = index.where("n > 0 and doc_id is not null")
+    one_set = F.struct("f1", "f2", "n")
+    odd, odd_path, several = write_counted(usable.groupBy("doc_id").agg(F.min(one_set).alias("lo"), F.max(one_set).alias("hi")).where("lo != hi").select("doc_id"), "several")
+    odd = bounded(odd, several) if several else None
+    # Equal sets are one node: the smallest id; a hash of the set where all of its ids have several sets.
+    if odd is not None:
+        usable = usable.join(odd.withColumn("odd", F.lit(True)), "doc_id", "left")
+        least = F.min(F.when(F.col("odd").isNull(), F.col("doc_id")))
+        nodes = usable.groupBy("f1", "f2", "n").agg(least.alias("plain"), F.count(F.lit(1)).alias("copies"))
+        nodes = nodes.select("f1", "f2", "n", F.coalesce("plain", _odd_node()).alias("node"), "copies", F.col("plain").isNull().alias("hashed"))
+    else:
+        nodes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.lit(False).alias("hashed"))
+    nodes, nodes_path = write_shared(nodes, "nodes")
+    named, named_path, sets = write_counted(nodes.where("copies > 1 or hashed").select("f1", "f2", "n", "node", "hashed"), "named")
+    first = usable.join(bounded(named, sets), ["f1", "f2", "n"], "left").withColumn("doc", F.coalesce("node", "doc_id"))
+    # One row stands for the copies of a set.
+    first = first.where("doc = doc_id or hashed").select("doc", "n", "sketch", "sigs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = first.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition(parts, "sig").sortWithinPartitions("sig", "doc")
+    rows = first.select(F.explode("sigs").alias("sig"), "doc").repartition(parts, "sig").sortWithinPartitions("sig", "doc")
     stars, stars_path = write_shared(rows.mapInArrow(tidy(_centres), "doc long, centre long").distinct(), "stars")
-    about = filter_by_ids(index.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "sketch"), stars.select("doc"), "doc")
-    members, members_path = write_shared(stars.join(about, "doc"), "members")
-    paths, failed, comp, most = [stars_path, members_path, nodes_path, index_path], None, None, 1
+    about = filter_by_ids(first.select("doc", "n", "sketch"), stars.select("doc"), "doc").dropDuplicates(["doc"])
+    # Large groups are dealt into blocks before their members are gathered.
+    large, large_path, groups = write_counted(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * BLOCK).select("centre", F.ceil(F.sqrt(F.col("size") / BLOCK)).cast("int").alias("blocks")), "large")
+    members = stars.join(about, "doc").join(bounded(large, groups), "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members, members_path = write_shared(members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "members")
+    paths, failed, comp, most = [stars_path, members_path, nodes_path, index_path, odd_path, named_path, large_path], None, None, 1
+    same = None
+    if odd is not None:  # an id's sets are one node
+        own = usable.where("odd").select("doc_id", "f1", "f2", "n").join(nodes, ["f1", "f2", "n"])
+        least = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+        same = own.join(least, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
     while True:
         now = members
         if failed is None:
@@ -382,21 +421,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             bad = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("failed"))
             # A pair that failed can have stood for others only in groups that hold both of its ends.
             ends = [now.select("centre", F.col("doc").alias(x)) for x in "ab"]
-            again = wrong.select("a", "b").join(ends[0], "a").join(ends[1], ["centre", "b"], "left_semi").select("centre").distinct()
-            now = now.join(again, "centre", "left_semi").join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").join(bad, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+            again = apart.join(ends[0], "a").join(ends[1], ["centre", "b"], "left_semi")
+            now = filter_by_ids(now, again.select("centre"), "centre").join(comp.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").join(bad, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         pairs, pairs_path = write_shared(_forests(now, percent, most), "pairs")
-        checked, checked_path = write_shared(_verify(docs, pairs, percent, n), "checked")
-        paths += [pairs_path, checked_path]
-        tally = {r["linked"]: r["count"] for r in checked.groupBy("linked").count().collect()}
+        verified, own = _verify(docs, pairs, odd, percent, n)
+        checked, checked_path = write_shared(verified, "checked")
+        paths += [pairs_path, checked_path, *own]
+        tally = checked.agg(F.count_if("linked").alias("linked"), F.count_if(~F.col("linked")).alias("failed"), F.max("cut").alias("cut")).first()
+        links = checked.where("linked").select("a", "b")
         if comp is None:
-            comp, _ = write_shared(components(checked.where("linked")), "components")
-        elif tally.get(True):
-            comp, _ = write_shared(_joined(comp, checked.where("linked")), "components")
-        if not tally.get(False):
+            comp, _ = write_shared(components(links if same is None else links.unionByName(same)), "components")
+        elif tally["linked"]:
+            comp, _ = write_shared(_joined(comp, links), "components")
+        if not tally["failed"] or (most > 1 and not tally["cut"]):
             break
-        wrong = checked.where("not linked")
+        wrong = checked.where("not linked").select("a", "b")
         failed = wrong if failed is None else failed.unionByName(wrong)
+        # Only pairs whose ends no other links join can have hidden links.
+        a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        apart = wrong.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        apart, apart_path, rest = write_counted(apart, "apart")
+        paths.append(apart_path)
+        if not rest:
+            break
         most *= 16
+    if odd is not None:  # a component's name is its smallest id, which may not be its smallest node
+        ids = usable.select("doc_id", "f1", "f2", "n").join(nodes, ["f1", "f2", "n"]).join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "doc_id")
+        least = ids.groupBy("c").agg(F.min("doc_id").alias("component"))
+        comp, _ = write_shared(ids.select("node", "c").distinct().join(least, "c").select("node", "component"), "components")
     named = nodes.join(comp, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id"))
     linked = index.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(named, ["f1", "f2", "n"])
     rest = index.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

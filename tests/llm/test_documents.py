@@ -115,6 +115,41 @@ def test_jaccard_components_equal_brute_force(spark, n, percent, seed):
     assert got == brute_components(list(enumerate(texts)), n, percent)
 
 
+def brute_repeated(rows, n, percent):
+    """(id, set size, smallest id reachable) of each row, where rows of one id are one node."""
+    found = brute_components(list(enumerate(t for _, t in rows)), n, percent)
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    group = defaultdict(set)
+    for k, (i, _) in enumerate(rows):
+        group[found[k][1]].add(i)
+    for ids in group.values():
+        for i in ids:
+            a, b = root(i), root(min(ids))
+            up[max(a, b)] = min(a, b)
+    return sorted((i, found[k][0], root(i)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("case", ["worked", 5, 6])
+def test_rows_of_one_id_are_one_node(spark, case):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (5, a), (5, b), (9, b + " more")]
+    if case != "worked":
+        r = random.Random(case)
+        texts = variants(case)
+        rows = [(r.choice([i, i, i, i // 2, 3]), t) for i, t in enumerate(texts)] + [(7, texts[0]), (7, texts[0])]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85)
+    want = brute_repeated(rows, 4, 85)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == want
+    if case == "worked":
+        assert {w[2] for w in want} == {3}
+
+
 def test_jaccard_on_the_table(spark, sf_dir):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.queries()["op2_ngram_jaccard"](spark, sf_dir).collect()}
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
