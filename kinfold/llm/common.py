@@ -30,3 +30,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U64(27))
     x = x * _M2
     return x ^ (x >> U64(31))
+
+
+class Keys:
+    """Places of 64-bit hashes in a sorted array of distinct ones, found by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length())
+        self.shift = U64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32)
+        self.starts = np.append(self.starts, np.int32(len(keys)))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is absent."""
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        at, end, wanted = at[todo], end[todo], wanted[todo]
+        while len(todo):
+            hit = self.keys[at] == wanted
+            out[todo[hit]] = at[hit]
+            at = at + 1
+            left = ~hit & (at < end)
+            todo, at, end, wanted = todo[left], at[left], end[left], wanted[left]
+        return out

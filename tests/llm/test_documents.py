@@ -47,13 +47,79 @@ def test_language_of_held_out_texts(spark, sf_dir):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids)
 
 
+def small_model(words, grams):
+    """A model of languages a and b from the probabilities of words and n-grams in each; floors are 0."""
+    keys, orders, above = [], [], []
+    for said, values in (*words.items(), *grams.items()):
+        w = langid.find_words([(0, said)])
+        keys.append(w.key[0] if said in words else langid.find_grams(w.mixed, w.first, w.size)[2][len(said)][1])
+        orders.append(0 if said in words else len(said))
+        above.append(np.log(values))
+    at = np.argsort(np.array(keys, np.uint64))
+    return langid.Model(["a", "b"], np.array(keys, np.uint64)[at], np.array(orders, np.uint8)[at], np.arange(0, 2 * len(at) + 1, 2, dtype=np.int32), np.tile([0, 1], len(at)).astype(np.int16), np.array(above, np.float32)[at].ravel(), np.zeros((6, 2)))
+
+
 def test_known_words_come_first_and_grams_get_shorter():
-    m = langid.Model(["a", "b"], {"xy": 0}, {"xyz": 1, "x": 2, "q": 3}, np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4], [0.5, 0.5]], np.float32)), np.zeros((6, 2)))
-    s = langid.Scorer(m)
-    assert s.score("XY")[0] == "a" and s.score("xyz")[0] == "b" and s.score("xq xq")[0] == "a"
-    assert s.score("1 2 !") == ("und", 0.0) and s.score(None) == ("und", 0.0)
-    assert s.score("ж")[1] == 0.5 and s.score("xy, xy.") == s.score("xy xy")
-    assert langid.letter_runs("ab²c1d_e") == ["ab", "c", "d", "e"]
+    s = langid.Scorer(small_model({"xy": [0.9, 0.1]}, {"xyz": [0.2, 0.8], "x": [0.6, 0.4], "q": [0.5, 0.5]}))
+    lang, score = s.batch(["XY", "xyz", "xq xq", "1 2 !", None, "ж", "xy, xy.", "xy xy"])
+    assert lang == ["a", "b", "a", "und", "und", "a", "a", "a"]
+    assert score[3] == 0 and score[4] == 0 and score[5] == 0.5 and score[6] == score[7]
+    assert math.isclose(score[2], 1 / (1 + (0.4 / 0.6) ** 0.5), rel_tol=1e-6)
+    words = langid.find_words([(0, "ab²c1d_e"), (3, "ab e")])
+    assert words.size.tolist() == [2, 1, 1, 1, 2, 1] and words.of.tolist() == [0, 0, 0, 0, 3, 3]
+    assert words.key[0] == words.key[4] and words.key[3] == words.key[5] and len(set(words.key.tolist())) == 4
+
+
+def brute_language(learn, texts):
+    """Language and score of each text, by dictionaries of strings, from (language, text) pairs to learn from."""
+
+    def words(t):
+        return "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+
+    langs = sorted({c for c, _ in learn})
+    counts = defaultdict(Counter)
+    for c, t in sorted({x for x in learn if x[1] is not None}):
+        for w in words(t):
+            counts[c, 0][w] += 1
+            edged = "<" + w + ">"
+            for n in range(1, 6):
+                counts[c, n].update(edged[i : i + n] for i in range(len(edged) - n + 1))
+    total = {(c, n): max(1, sum(counts[c, n].values())) for c in langs for n in range(6)}
+    known = {n: set().union(*(counts[c, n] for c in langs)) for n in range(6)} if langs else {}
+
+    def log(c, n, g):
+        return math.log((counts[c, n][g] or 0.5) / (total[c, n] + 1))
+
+    out = []
+    for t in texts:
+        w = words(t)
+        if not w or not langs:
+            out.append(("und", 0.0))
+            continue
+        sums = dict.fromkeys(langs, 0.0)
+        for x, times in Counter(w).items():
+            found = [(0, x)] if x in known[0] else []
+            edged = "<" + x + ">"
+            for i in range(0 if found else len(edged)):
+                found += [(n, edged[i : i + n]) for n in range(5, 0, -1) if i + n <= len(edged) and edged[i : i + n] in known[n]][:1]
+            for c in langs if found else ():
+                sums[c] += times * sum(log(c, *f) for f in found) / len(found)
+        best = max(langs, key=lambda c: (sums[c], [-ord(x) for x in c]))
+        out.append((best, 1 / sum(math.exp((sums[c] - sums[best]) / len(w)) for c in langs)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [300_000, 50])
+def test_language_equals_brute_force(spark, sf_dir, monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    d = d.unionByName(odd(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang")).withColumn("doc_id", -F.col("doc_id") - 1))
+    rows = d.collect()
+    learn = [(r.lang, r.text) for r in rows if r.lang is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    want = brute_language(learn, [r.text for r in rows])
+    got = langid.Scorer(langid.fit(d.where(~langid.held_out()))).batch([r.text for r in rows])
+    assert got[0] == [w[0] for w in want]
+    assert np.allclose(got[1], [w[1] for w in want], rtol=1e-4, atol=1e-6)
 
 
 def test_language_edges(spark):
