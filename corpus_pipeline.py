@@ -14,8 +14,8 @@ from kinfold.llm import kneser_ney, langid, mixing, ngram_join, sentencepieces
 from kinfold.llm.common import table
 from kinfold.shared import shared
 
-#: Documents whose words fit no learned language better than this are rejected.
-LEAST_LANGUAGE_SCORE = 0.35
+#: A document is rejected if its words are less than so many times as likely in its language as in the others on average.
+LEAST_LANGUAGE_LEAD = 1.6
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,10 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that no learned language fits."""
+    """Drop documents without a letter and those whose language does not lead the others, however many there are."""
     model = langid.fit(docs.where(~langid.held_out()))
     judged = langid.predict(docs, model, keep=COLUMNS)
-    return judged.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    leads = F.col("score") * (len(model.langs) - 1) >= LEAST_LANGUAGE_LEAD * (1 - F.col("score"))  # with one language both sides are 0
+    return judged.where((F.col("lang_pred") != langid.UND) & leads).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
