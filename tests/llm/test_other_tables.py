@@ -55,6 +55,35 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, dim, seed):
     assert sum(most.values()) >= 0.99 * sum(n for n, _, _ in want.values())
 
 
+def test_recall_on_the_table(spark, sf_dir):
+    """All of sf0.001's or sf0.01's links are found, by both ends."""
+    for d in (sf_dir, "/root/testdata/sf0.01"):
+        rows = [tuple(r) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+        want = brute_links(rows)
+        got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in queries.queries()["op3_embedding_dedup"](spark, d).collect()}
+        assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values())
+        assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_links_found_from_one_end_count_for_both(spark, monkeypatch):
+    """With too few probes some links are found from one end only; counts still agree: their sum is even and no link is half."""
+    monkeypatch.setattr(embedding_dedup, "LEAST_LISTS", 64)
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 4)
+    r = np.random.default_rng(8)
+    rows = []
+    for _ in range(150):
+        c = r.normal(size=8)
+        rows += [(len(rows) + k, [float(x) for x in np.float32(c + r.normal(size=8) * 0.3 * k * np.linalg.norm(c) / 8**0.5)], 1) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute_links(rows)
+    for sigmas in (0.0, 0.5, None):
+        got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(df, sigmas=sigmas).collect()}
+        linked = {i for i in got if got[i][0]}
+        assert linked == {i for i in got if list(c for _, c in got.values()).count(got[i][1]) > 1}
+        assert sum(n for n, _ in got.values()) % 2 == 0
+    assert got == {i: w[:2] for i, w in want.items()}
+
+
 def test_directed_differences_lose_no_link(spark):
     """Vectors on a circle: neighbours lie straight towards other lists' centroids."""
     turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
