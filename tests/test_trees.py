@@ -120,6 +120,117 @@ def test_each_gene_is_in_the_tree_once(seed):
     assert assembly.to_newick(again, *assembly.build_family(again)) == text
 
 
+def worked(shape, genes, synteny=(), sizes=None, tandem=None, divergence=1.0, threshold=0.5):
+    """A family from a species tree's text, (gene, species) pairs and the synteny of pairs of genes."""
+    tree = newick.parse(shape)[0]
+    ids = {n.name: n.id for n in tree}
+    names = [g for g, _ in genes]
+    syn = np.zeros((len(names),) * 2)
+    for a, b, x in synteny:
+        syn[names.index(a), names.index(b)] = syn[names.index(b), names.index(a)] = x
+    div = np.full(syn.shape, float(divergence))
+    np.fill_diagonal(div, 0)
+    numbers = {names.index(k): [names.index(x) for x in v] for k, v in (tandem or {}).items()}
+    return assembly.Family(names, [ids[k] for _, k in genes], [(sizes or {}).get(g, 31) for g in names], syn, div, assembly.Species(newick.rows(tree)), numbers, threshold=threshold), ids
+
+
+def shape_of(f, tree, root):
+    """A tree as nested sorted tuples of gene names."""
+    item = tree.items[root]
+    parts = [f.names[g] for g in item.content] + [shape_of(f, tree, c) for c in item.children]
+    return parts[0] if len(parts) == 1 else tuple(sorted(parts, key=str))
+
+
+def pairs_of(names, x=0.9):
+    return [(a, b, x) for i, a in enumerate(names) for b in names[:i]]
+
+
+FOUR = "((A,B),(C,D));"
+
+
+def test_one_gene_a_species_gives_the_species_tree():
+    f, _ = worked(FOUR, [("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], pairs_of("abcd"))
+    assert shape_of(f, *assembly.build_family(f)) == (("a", "b"), ("c", "d"))
+
+
+def test_lone_genes_go_beside_a_cluster_of_all_species():
+    """The cluster covers the species root and stays beside the skeleton, whose leaf takes the lone gene."""
+    f, _ = worked(FOUR, [("a", "A"), ("b", "B"), ("c", "C"), ("d", "D"), ("x", "A")], pairs_of("abcd"), sizes={"x": 1})
+    assert shape_of(f, *assembly.build_family(f)) == ((("a", "b"), ("c", "d")), "x")
+
+
+def test_filling_counts_all_species_of_the_family():
+    """Arms of A, B and C fill half of six species and lose C again; where the family has no more species they keep it."""
+    shape = "((A,B),(C,D,E,F));"
+    cluster = [("a0", "A"), ("a1", "A"), ("b0", "B"), ("b1", "B"), ("c0", "C"), ("c1", "C")]
+    syn = pairs_of(["a0", "b0", "c0"]) + pairs_of(["a1", "b1", "c1"])
+    for more, want in (([], [[["a0", "b0", "c0"], ["a1", "b1", "c1"]]]), ([("d", "D"), ("e", "E"), ("f", "F")], [[["a0", "b0"], ["a1", "b1"]], [["c0"], ["c1"]]])):
+        f, _ = worked(shape, cluster + more, syn)
+        families, own = assembly.create_duplications(f, list(range(6)))
+        assert [[sorted(f.names[g] for g in arm.genes) for arm in arms] for arms in families] == want and own == []
+
+
+def test_two_copies_in_each_species_are_one_duplication():
+    genes = [(k.lower() + i, k) for i in "01" for k in "ABCD"]
+    f, _ = worked(FOUR, genes, pairs_of([g for g, _ in genes if g[1] == "0"]) + pairs_of([g for g, _ in genes if g[1] == "1"]) + [("a0", "a1", 0.6)])
+    assert shape_of(f, *assembly.build_family(f)) == ((("a0", "b0"), ("c0", "d0")), (("a1", "b1"), ("c1", "d1")))
+
+
+def test_tandem_arrays_of_all_species_are_one_duplication():
+    """Each species has an anchor and a copy: two whole species trees side by side, not one duplication a species."""
+    genes = [(k.lower() + i, k) for i in "01" for k in "ABCD"]
+    f, _ = worked(FOUR, genes, pairs_of([g for g, _ in genes if g[1] == "0"]), sizes={g: 1 for g, _ in genes if g[1] == "1"}, tandem={k + "0": [k + "1"] for k in "abcd"})
+    assert shape_of(f, *assembly.build_family(f)) == ((("a0", "b0"), ("c0", "d0")), (("a1", "b1"), ("c1", "d1")))
+
+
+def test_tandem_arrays_of_a_clade_are_its_duplication():
+    """Copies in A and B only: the duplication is theirs; a third copy of A alone is A's own."""
+    genes = [("a0", "A"), ("b0", "B"), ("c0", "C"), ("d0", "D"), ("a1", "A"), ("b1", "B"), ("a2", "A")]
+    f, _ = worked(FOUR, genes, pairs_of([g for g, _ in genes if g[1] == "0"]), sizes={"a1": 1, "b1": 1, "a2": 1}, tandem={"a0": ["a1", "a2"], "b0": ["b1"]})
+    # First a0 and b0 beside the clade, then a1 and b1, then a2 beside A's own place, which is left empty.
+    assert shape_of(f, *assembly.build_family(f)) == (("c0", "d0"), (("a0", "b0"), (("a1", "b1"), "a2")))
+
+
+def test_grafting_looks_at_the_context():
+    """The species around a place count up to where another place of the same tag begins."""
+    f, ids = worked(FOUR, [("a", "A"), ("b", "B"), ("c", "C"), ("x", "A")])
+    t = assembly.Tree()
+    root = t.add(f.species.root)
+    left, right = t.add(f.species.parent[ids["A"]], (), root), t.add(f.species.parent[ids["C"]], (), root)
+    place, other = t.add(ids["A"], [0], left), t.add(ids["B"], [1], left)
+    t.add(ids["C"], [2], right)
+    assert assembly.context_of(t, place, {place}) == root
+    second = t.add(ids["A"], (), right)
+    assert assembly.context_of(t, place, {place, second}) == left and assembly.context_of(t, second, {place, second}) == right
+    holder = t.add(0)
+    n = t.add(ids["A"], [3], holder)
+    # Around the first place are a and b: no losses. Around the second is c: with x the clade of A and B is lost no more, one loss less.
+    assert assembly.graft(f, t, n, root) and t.items[n].remarks == {"METHOD": "ELC"}
+    assert t.genes(left) == [0, 1] and sorted(t.genes(right)) == [2, 3] and second not in t.items and other in t.items
+
+
+def test_arms_take_the_nearest_target_unrounded():
+    """Two places of the arm's tag with 0.151 and 0.154 synteny round alike; the larger wins."""
+    f, ids = worked("(A,B);", [("a0", "A"), ("a1", "A"), ("a2", "A")], [("a2", "a0", 0.151), ("a2", "a1", 0.154)])
+    t = assembly.Tree()
+    node = t.add(f.species.root)
+    first, second = t.add(ids["A"], [0], node), t.add(ids["A"], [1], node)
+    assert assembly.nearest(f, t, [2], [first, second]) == second
+    assert assembly.nearest(f, t, [2], [second, first]) == second
+
+
+def test_rest_is_stacked_downwards():
+    f, ids = worked(FOUR, [("a", "A"), ("b", "B"), ("c", "C"), ("m", "D")])
+    t = assembly.Tree()
+    root, main = t.add(0), t.add(f.species.root)
+    tops = [t.add(ids[k], [i], root) for i, k in enumerate("ABC")]
+    t.add(ids["D"], [3], main)
+    assembly.stack_rest(f, t, root, main)
+    assert not t.items[root].children and sorted(t.genes(main)) == [0, 1, 2, 3]
+    holder = t.items[main].children[1]
+    assert t.items[holder].children[0] == tops[2] and t.depth(tops[0]) > t.depth(tops[2]) and t.depth(tops[1]) > t.depth(tops[2])
+
+
 def test_pruning_twice_changes_nothing():
     f = family(2)
     tree, root = assembly.build_family(f)
