@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+@lru_cache(8)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, U64), np.full(n - 1, U64(0x9E3779B97F4A7C15)))), dtype=U64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Odd multipliers for at least n places of a word."""
+    return _powers(1 << max(6, (n - 1).bit_length()))
+
+
 class Keys:
     """Places of 64-bit hashes in a sorted array of distinct ones, found by their leading bits."""
 

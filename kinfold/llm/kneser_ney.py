@@ -1,13 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-**Symbols.**  A text is its words, runs of anything but ASCII blanks.  A word is a start
-symbol, a sign that says whether it repeats the word before it, its characters and an
-end symbol; all but the start are predicted, from up to ``order`` - 1 symbols of the same word.  A
-word's probability thus depends on the word and the sign alone, so it is worked
-out once for each distinct word.
-
-**Training.**  Words of all trusted texts are counted, then n-grams of all orders, each
-combined before its shuffle.  Counts live in tables sharded by n-gram hash:
+**Symbols.**  A text is a start symbol, its words and an end symbol.  Words are runs of anything but
+ASCII blanks; each is a sign, which stands for the blanks before it and says whether the word repeats the
+one before, and its characters.  All but the start are predicted from up to ``order`` - 1 symbols before them, across words: the
+order of words counts as far as their ends and beginnings, or short words, tell.
+
+**Training.**  N-grams of all orders of all trusted texts are counted, combined before the shuffle,
+in which they are short strings.  Counts live in tables sharded by n-gram hash:
 continuation counts, discounts (from counts of counts of each order) and
 context totals are grouped counts, and each order's probabilities come
 from a join with the next lower one's.  What is gathered grows with the trusted text.
@@ -34,7 +33,6 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -42,104 +40,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import U64, as_bytes, mix64, table
+from kinfold.llm.common import U64, mix64, powers, table
 from kinfold.shared import drop_shared, filter_by_ids, give_back, python_ready, tidy, write_shared
 
 ORDER = 5
-START, END, NEW, AGAIN = "\x02", "\x03", "\x04", "\x05"
+#: Symbols of no text: code points that Unicode keeps free of characters.  The last stands for the null character.
+START, END, NEW, AGAIN, NULL = (chr(0xFDD0 + i) for i in range(5))
 #: Rows of a broadcast shard: 16 bytes each.
 MAX_ROWS = 4_000_000
-#: Words that a worker remembers.
-CACHE = 100_000
+#: Characters of texts that are worked on at a time (a longer text by itself), and n-grams that a task holds before it gives counts out.
+CHUNK, HELD = 200_000, 800_000
 _POWERS = mix64(np.arange(1, 33, dtype=U64))
 _LABEL = mix64(np.arange(101, 134, dtype=U64))
 
 
-def windows(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(word of each symbol, place of each symbol in its word, hashes of the k symbols that end there for k = 0..order).
-
-    ``words`` start with their sign.  Windows that reach over the word's start are
-    meaningless; places tell.
-    """
-    text = "".join(f"{START}{w}{END}" for w in words)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    c = mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1))
-    of = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    total, hashes = np.zeros(len(c), U64), [np.full(len(c), _LABEL[0])]
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each symbol's text, its place in the text, its code point); texts without a word have none."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = (codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32))
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    said = codes[solid]
+    said = np.where(said == 0, np.uint32(ord(NULL)), said)
+    first = np.cumsum(size) - size
+    key = np.add.reduceat(mix64(said.astype(U64)) * powers(int(size.max()))[np.arange(len(said)) - np.repeat(first, size)], first)
+    again = np.zeros(len(size), bool)
+    again[1:] = (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (of[1:] == of[:-1])
+    text, word, words = np.unique(of, return_index=True, return_counts=True)
+    sign = first + np.arange(len(size)) + 2 * np.repeat(np.arange(len(text)), words) + 1
+    out = np.empty(len(said) + len(size) + 2 * len(text), np.uint32)
+    out[np.repeat(sign + 1 - first, size) + np.arange(len(said))] = said
+    out[sign] = np.where(again, ord(AGAIN), ord(NEW))
+    begin = sign[word] - 1
+    n = np.append(begin[1:], len(out)) - begin
+    out[begin], out[begin + n - 1] = ord(START), ord(END)
+    return np.repeat(text, n), np.arange(len(out)) - np.repeat(begin, n), out
+
+
+def window_sums(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """Sums that tell the k symbols that end at each place, for k = 0..order; windows that reach over a text's start are meaningless."""
+    c = mix64(codes.astype(U64) + U64(1))
+    total, sums = np.zeros(len(c), U64), [np.zeros(len(c), U64)]
     for k in range(1, order + 1):
         total = total.copy()
-        total[k - 1 :] += c[: len(c) - k + 1] * _POWERS[k - 1]
-        hashes.append(mix64(total ^ _LABEL[k]))
-    return of, place, hashes
+        total[k - 1 :] += c[: max(0, len(c) - k + 1)] * _POWERS[k - 1]
+        sums.append(total)
+    return sums
 
 
-def shard_keys(h: list[np.ndarray], at: np.ndarray, known: np.ndarray | int) -> np.ndarray:
-    """Keys of the positions ``at``: 32 bits of the symbol before, and 32 of the two before, as far as symbols are known."""
-    one = np.where(known >= 1, h[1][at - 1] >> U64(32), U64(0))
-    return one << U64(32) | np.where(known >= 2, h[2][at - 1] >> U64(32), U64(0))
+def slices(codes: np.ndarray, order: int):
+    """(place of a slice of about CHUNK symbols, sums of its windows, places of the sums that are its own)."""
+    for s in range(0, len(codes), CHUNK):
+        low = max(0, s - order)
+        yield low, window_sums(codes[low : s + CHUNK], order), slice(s - low, None)
 
 
-def signed_words(text: bytes) -> tuple[Counter, Counter]:
-    """Counts of words that do not repeat the one before them, and of those that do."""
-    words = text.split()
-    again = Counter(b for a, b in zip(words, words[1:]) if a == b)
-    return Counter(words) - again if again else Counter(words), again
+def window_hash(k: int, sums: np.ndarray) -> np.ndarray:
+    """Hashes of windows of k symbols from their sums."""
+    return mix64(sums ^ _LABEL[k]) if k else np.full(len(sums), _LABEL[0])
 
 
-def _count_words(batches):
-    new: Counter = Counter()
-    again: Counter = Counter()
+def chunks(texts: list[str | None]):
+    """(number, text) in runs of about CHUNK characters; a longer text is a run by itself."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t and held and size + len(t) > CHUNK:
+            yield held
+            held, size = [], 0
+        if t:
+            held.append((i, t))
+            size += len(t)
+    if held:
+        yield held
 
-    def rows():
-        words = [NEW + w.decode("utf-8", "replace") for w in new] + [AGAIN + w.decode("utf-8", "replace") for w in again]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*new.values(), *again.values()], pa.int64())], ["word", "n"])
-        new.clear(), again.clear()
 
-    for b in batches:
-        for t in as_bytes(b.column(0)):
-            if t:
-                x, y = signed_words(t)
-                new.update(x), again.update(y)
-                if len(new) > 150_000:
-                    yield from rows()
-    yield from rows()
+def shard_keys(one: np.ndarray, two: np.ndarray, known: np.ndarray | int) -> np.ndarray:
+    """Keys of positions from hashes of the symbol before and the two before: 32 bits of each, as far as symbols are known."""
+    key = np.where(known >= 1, one >> U64(32), U64(0))
+    return key << U64(32) | np.where(known >= 2, two >> U64(32), U64(0))
 
 
-def _count_grams(order: int):
-    names = ["k", "gram", "context", "suffix", "shard_key", "start", "n"]
+def _summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams (rows of code points, 0 for none) and their summed counts."""
+    key = np.zeros(len(rows), U64)
+    for i in range(rows.shape[1]):
+        key = mix64(key + rows[:, i].astype(U64)) + U64(i)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    return rows[order[new]], np.add.reduceat(n[order], np.flatnonzero(new))
 
-    def summed(parts):
-        k, gram, context, suffix, key, start, n = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        _, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        return k[first], gram[first], context[first], suffix[first], key[first], start[first], np.bincount(inverse, weights=n).astype(np.int64)
 
+def _count_grams(order: int):
     def run(batches):
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows():
-            out = held.pop()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x.view(np.int64)) for x in out[1:5]), pa.array(out[5]), pa.array(out[6])], names)
+            grams, n = held.pop()
+            said = np.ascontiguousarray(grams).view(f"<U{order}").ravel()
+            for i in range(0, len(said), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(said[i : i + 100_000].tolist(), pa.string()), pa.array(n[i : i + 100_000])], ["gram", "n"])
 
         for b in batches:
-            words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            if not words:
-                continue
-            of, place, h = windows(words, order)
-            for k in range(1, order + 1):
-                at = np.flatnonzero(place >= max(1, k - 1))
-                held.append((np.full(len(at), k), h[k][at], h[k - 1][at - 1] if k > 1 else h[0][at], h[k - 1][at], shard_keys(h, at, k - 1), place[at] == k - 1, n[of[at]]))
-                size += len(at)
-            if size > 400_000:
-                held[:] = [summed(held)]
-                size = len(held[0][0])
-                if size > 200_000:
-                    yield rows()
-                    size = 0
+            for part in chunks(b.column(0).to_pylist()):
+                _, place, codes = symbols([t for _, t in part])
+                for low, sums, own in slices(codes, order):
+                    far = place[low : low + len(sums[0])].copy()
+                    far[: own.start] = 0
+                    for k in range(1, order + 1):
+                        at = np.flatnonzero(far >= max(1, k - 1))
+                        if not len(at):
+                            continue
+                        key = sums[k][at]
+                        by = np.argsort(key)
+                        key = key[by]
+                        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                        last = at[by[new]] + low
+                        grams = np.zeros((len(last), order), np.uint32)
+                        for i in range(k):
+                            grams[:, i] = codes[last - (k - 1 - i)]
+                        held.append((grams, np.diff(np.append(new, len(key)))))
+                        size += len(last)
+                if size > HELD:
+                    held[:] = [_summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from rows()
+                        size = 0
         if held:
-            held[:] = [summed(held)]
-            yield rows()
+            held[:] = [_summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+            yield from rows()
+
+    return run
+
+
+def _describe(order: int):
+    """Counted n-grams (gram, n) by hashes: of themselves, of all but the last and all but the first of their symbols, and of their positions."""
+
+    def run(batches):
+        for b in batches:
+            said = b.column(0).to_pylist()
+            k = np.array([len(g) for g in said], np.int64)
+            if not len(k):
+                continue
+            codes = np.frombuffer("".join(said).encode("utf-32-le", "surrogatepass"), np.uint32)
+            last = np.cumsum(k) - 1
+            sums = window_sums(codes, order)
+            gram, context, suffix = (np.empty(len(k), U64) for _ in range(3))
+            for j in range(1, order + 1):
+                own = np.flatnonzero(k == j)
+                at = last[own]
+                gram[own], context[own], suffix[own] = window_hash(j, sums[j][at]), window_hash(j - 1, sums[j - 1][at - 1]), window_hash(j - 1, sums[j - 1][at])
+            key = shard_keys(window_hash(1, sums[1][last - 1]), window_hash(2, sums[2][last - 1]), k - 1)
+            start = codes[last - k + 1] == ord(START)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix, key)), pa.array(start), b.column(1)], ["k", "gram", "context", "suffix", "shard_key", "start", "n"])
 
     return run
 
@@ -152,11 +211,10 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     """
     spark = texts.sparkSession
     python_ready(spark)
-    words = texts.select(text).mapInArrow(tidy(_count_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    schema = "k int, gram long, context long, suffix long, shard_key long, start boolean, n long"
-    grams = words.mapInArrow(tidy(_count_grams(order)), schema).groupBy("gram").agg(*[F.first(c).alias(c) for c in ("k", "context", "suffix", "shard_key", "start")], F.sum("n").alias("n"))
+    counted = texts.select(text).mapInArrow(tidy(_count_grams(order)), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = counted.mapInArrow(tidy(_describe(order)), "k int, gram long, context long, suffix long, shard_key long, start boolean, n long")
     grams, grams_path = write_shared(grams, "grams")
-    # Adjusted counts: as counted for the highest order and at a word's start, else the number of distinct extensions to the left.
+    # Adjusted counts: as counted for the highest order and at a text's start, else the number of distinct extensions to the left.
     left = grams.where("k > 1").groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("extensions"))
     a = grams.join(left, "gram", "left").withColumn("a", F.when((F.col("k") == order) | F.col("start"), F.col("n")).otherwise(F.col("extensions")))
     a, a_path = write_shared(a.drop("extensions", "n"), "adjusted")
@@ -234,7 +292,7 @@ def deal(model: DataFrame, max_rows: int) -> list[Shard]:
     shards = []
     for g in range(groups):  # positions after unknown symbols may need a group without rows
         pairs, longer = (found[g]["pairs"], found[g]["longer"]) if g in found else (0, 0)
-        parts = max(1, math.ceil(longer / max(max_rows - single - pairs, max_rows // 8, 1)))
+        parts = max(1, math.ceil(1.25 * longer / max(max_rows - single - pairs, max_rows // 8, 1)))  # parts are uneven
         shards += [Shard(g, groups, p, parts) for p in range(parts)]
     return shards
 
@@ -274,68 +332,50 @@ class Lookup:
 
 
 class Scorer:
-    """Log probabilities of words under one shard, remembered."""
+    """Log probabilities of texts under one shard."""
 
     def __init__(self, keys, logp, backoff, unknown: float, order: int, shard: Shard):
         self.table = Lookup(keys, logp, backoff)
         self.unknown, self.order, self.shard = unknown, order, shard
-        self.new: dict[bytes, complex] = {}
-        self.again: dict[bytes, complex] = {}
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """The log probability of each word, over the positions that this shard resolves."""
-        if not words:
-            return np.zeros(0)
-        of, place, h = windows(words, self.order)
-        total, weight = np.full(len(of), np.nan), np.zeros(len(of))
-        before = None
-        found = [None] + [self.table.find(x) for x in h[1:]]
-        for k in range(self.order, 0, -1):
-            usable = (place >= k - 1) & (place >= 1)
-            row = np.where(usable, found[k], self.table.none)
-            logp = self.table.logp[row]
-            hit = np.isnan(total) & ~np.isnan(logp)
-            total[hit] = logp[hit] + weight[hit]
-            if k > 1:  # the weight of the context of k - 1 symbols that ends one place before
-                before = np.concatenate(([self.table.none], found[k - 1][:-1]))
-                weight += np.where(usable & np.isnan(total), self.table.backoff[before], 0)
-        total = np.where(np.isnan(total), self.unknown + weight + self.empty(), total)
-        total[place == 0] = 0
+        #: The back-off weight of the empty context.
+        self.empty = float(self.table.backoff[self.table.find(np.array([_LABEL[0]]))[0]])
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Predicted symbols, and their log probability over the positions that this shard resolves, of each text."""
+        n, out = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for part in chunks(texts):
+            of, place, codes = symbols([t for _, t in part])
+            if len(of):
+                numbers = np.array([i for i, _ in part])
+                own = np.bincount(of, minlength=len(part))
+                n[numbers] += np.maximum(own - 1, 0)
+                out[numbers] += np.bincount(of, weights=self.positions(place, codes), minlength=len(part))
+        return n, out
+
+    def positions(self, place: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The log probability of each symbol after a start; 0 for starts and what other shards resolve."""
+        return np.concatenate([self.windows(place[low : low + len(sums[0])], sums, own.start)[own] for low, sums, own in slices(codes, self.order)])
+
+    def windows(self, place: np.ndarray, sums: list[np.ndarray], first: int) -> np.ndarray:
+        """``positions`` of one slice from its ``first`` place on."""
+        todo = np.flatnonzero(place >= 1)
+        todo = todo[todo >= first]
         if self.shard != WHOLE:
-            key = shard_keys(h, np.arange(len(of)), place)
+            key = shard_keys(window_hash(1, sums[1][todo - 1]), window_hash(2, sums[2][todo - 1]), place[todo])
             group, groups, part, parts = (U64(x) for x in self.shard)
-            total[((key >> U64(32)) % groups != group) | ((key & U64(0xFFFFFFFF)) % parts != part)] = 0
-        return np.bincount(of, weights=total, minlength=len(words))
-
-    def empty(self) -> float:
-        """The back-off weight of the empty context."""
-        return float(self.table.backoff[self.table.find(np.array([_LABEL[0]]))[0]])
-
-    def learn(self, words: set[bytes], sign: str, memory: dict[bytes, complex]) -> None:
-        if len(memory) + len(words) > CACHE:
-            memory.clear()
-        todo = list(words)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            said = [sign + w.decode("utf-8", "replace") for w in part]
-            # All symbols but the start are predicted: the sign, the characters and the end; their number is the imaginary part.
-            memory.update(zip(part, (self.words(said) + 1j * np.array([len(w) + 1 for w in said])).tolist()))
-
-    def batch(self, texts: list[bytes | None]) -> list[tuple[int, float]]:
-        """(predicted symbols, log probability) of each text."""
-        counted = [signed_words(t) if t else ({}, {}) for t in texts]
-        for i, (sign, memory) in enumerate(((NEW, self.new), (AGAIN, self.again))):
-            missing = {w for c in counted for w in c[i] if w not in memory}
-            if missing:
-                every = {w for c in counted for w in c[i]} if len(memory) + len(missing) > CACHE else missing
-                self.learn(every, sign, memory)
-        out = []
-        for new, again in counted:
-            s = 0j
-            for c, memory in ((new, self.new), (again, self.again)):
-                for w, k in c.items():
-                    s += k * memory[w]
-            out.append((round(s.imag), s.real))
+            todo = todo[((key >> U64(32)) % groups == group) & ((key & U64(0xFFFFFFFF)) % parts == part)]
+        out, weight = np.zeros(len(place)), np.zeros(len(place))
+        for k in range(self.order, 0, -1):
+            usable = place[todo] >= k - 1
+            at = todo[usable]
+            logp = self.table.logp[self.table.find(window_hash(k, sums[k][at]))]
+            hit = ~np.isnan(logp)
+            out[at[hit]] = logp[hit] + weight[at[hit]]
+            at = at[~hit]
+            if k > 1:  # the weight of the context of k - 1 symbols that ends one place before
+                weight[at] += self.table.backoff[self.table.find(window_hash(k - 1, sums[k - 1][at - 1]))]
+            todo = np.concatenate((todo[~usable], at))
+        out[todo] = self.unknown + weight[todo] + self.empty
         return out
 
 
@@ -346,11 +386,8 @@ def _score(docs: DataFrame, model, unknown: float, order: int, shard: Shard) ->
         scorer = held[0] if held else Scorer(*model.value, unknown, order, shard)
         held[:] = [scorer]
         for b in batches:
-            texts = as_bytes(b.column(3))
-            got = []
-            for i in range(0, len(texts), 250):  # words of a few texts at a time
-                got += scorer.batch(texts[i : i + 250])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang", "h", "n_symbols", "log_prob"])
+            n, logp = scorer.batch(b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n), pa.array(logp)], ["doc_id", "lang", "h", "n_symbols", "log_prob"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, lang string, h long, n_symbols long, log_prob double")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import U64, Keys, mix64, table
+from kinfold.llm.common import U64, Keys, mix64, powers, table
 from kinfold.shared import give_back, python_ready, tidy
 
 UND = "und"
@@ -53,16 +53,6 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(8)
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, U64), np.full(n - 1, U64(0x9E3779B97F4A7C15)))), dtype=U64)
-
-
-def powers(n: int) -> np.ndarray:
-    """Odd multipliers for the places of a word."""
-    return _powers(1 << max(6, (n - 1).bit_length()))
-
-
 def chunks(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
     """Lower-cased (number, text) in runs of about CHUNK characters; a longer text is cut where there is no letter."""
     held: list[tuple[int, str]] = []

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,7 +266,7 @@ def test_large_groups_in_blocks(spark, monkeypatch):
 def brute_kneser_ney(texts, order):
     """Dictionaries instead of tables: log probability of a text's words."""
     S, E, N, A = kneser_ney.START, kneser_ney.END, kneser_ney.NEW, kneser_ney.AGAIN
-    sequences = lambda t: [S + (A if i and w == ws[i - 1] else N) + w + E for ws in [t.split()] for i, w in enumerate(ws)]
+    sequences = lambda t: [S + "".join((A if i and w == ws[i - 1] else N) + w for i, w in enumerate(ws)) + E for ws in [t.split()] if ws]
     raw = {k: Counter() for k in range(1, order + 1)}
     for t in texts:
         for s in sequences(t):
@@ -370,6 +371,35 @@ def test_more_pairs_of_symbols_than_a_shard_holds(spark):
         assert math.isclose(got[i], math.exp(-logp / n), rel_tol=1e-4)
 
 
+def test_long_texts_in_slices_and_word_order(spark, monkeypatch):
+    r = random.Random(3)
+    phrases = ["of the old house", "in a new town", "to be or not", "on an old road"]
+    trusted = [" ".join(r.choice(phrases) for _ in range(20)) for _ in range(40)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    said = " ".join(phrases * 3)
+    mixed = said.split()
+    r.shuffle(mixed)
+    docs = spark.createDataFrame([(0, "en", said), (1, "en", " ".join(mixed)), (2, "en", " ".join(said.split()[::-1]))], "doc_id long, lang string, text string")
+    by = {x.doc_id: x.perplexity for x in kneser_ney.perplexities(docs, model).collect()}
+    assert by[1] > 1.3 * by[0] and by[2] > 1.3 * by[0]
+    rows = kneser_ney.WHOLE.rows(model.where("k > 0")).groupBy("gram").agg(F.max("logp").alias("logp"), F.coalesce(F.max("backoff"), F.lit(0.0)).alias("backoff")).collect()
+    arrays = [np.array([x[i] for x in rows]) for i in range(3)]
+    scorer = kneser_ney.Scorer(arrays[0].astype(np.int64).view(np.uint64), arrays[1].astype(float), arrays[2], model.where("k = 0").first().logp, kneser_ney.ORDER, kneser_ney.WHOLE)
+    texts = [said, "\x00 nul", " ".join(mixed), None, " "]
+    whole = scorer.batch(texts)
+    monkeypatch.setattr(kneser_ney, "CHUNK", 7)
+    cut = scorer.batch(texts)
+    assert whole[0].tolist() == cut[0].tolist() and np.allclose(whole[1], cut[1], rtol=1e-12)
+    assert math.isclose(math.exp(-whole[1][0] / whole[0][0]), by[0], rel_tol=1e-5)
+    counted = [Counter(), Counter()]
+    for n, chunk in enumerate((200_000, 7)):
+        monkeypatch.setattr(kneser_ney, "CHUNK", chunk)
+        for b in kneser_ney._count_grams(4)([pa.RecordBatch.from_pydict({"t": texts + [None, "ab ab"]})]):
+            for g, k in zip(*(b.column(i).to_pylist() for i in range(2))):
+                counted[n][g] += k
+    assert counted[0] == counted[1] and counted[0]
+
+
 def test_quality_separates_the_labels(spark, sf_dir):
     got = queries.queries()["op4_quality"](spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"])
