@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -52,12 +53,62 @@ NOT_CONTENT = re.compile(
 MODIFIERS = {"has", "no", "not", "with", "without", "is", "show", "hide", "tag", "category", "cat", "format", "type", "template", "layout", "theme", "js", "supports"}
 #: Parts that may follow a name that isn't content: share-buttons, widget-area.
 NEUTRAL = re.compile(r"(?:buttons?|links?|lists?|items?|area|box|bar|container|wrapper|wrap|inner|outer|section|block|blocks|slot|unit|group|left|right|top|bottom|main|site|\d+)")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where markup can begin: comments, declarations, tags.
+_MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("[>\"']")
+_VALUE = re.compile(r"=\s*\Z")
+#: Elements that may be open at a time; deeper ones count as siblings, as in browsers.
+DEEPEST = 512
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _MARK = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
+class Tags:
+    """A page's tags in order, each found by one walk over the characters."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted, self.last = page, True, page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, outside quotes where these are closed; -1 without one."""
+        page, start = self.page, at
+        while self.quoted:
+            m = _QUOTE_OR_END.search(page, at)
+            if m and m.group() == ">":
+                return m.start()
+            if m and not _VALUE.search(page, max(start, m.start() - 20), m.start()):
+                at = m.end()  # a quote inside a name or value
+                continue
+            close = page.find(m.group(), m.end()) if m else -1
+            if close < 0:  # from here on quotes are odd; they count as other characters
+                self.quoted = False
+                break
+            at = close + 1
+        return page.find(">", start)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(begin, end, lower-case name, whether it closes, attributes) of the next tag; the name is empty for comments and the like."""
+        page = self.page
+        m = _MARKUP.search(page, at)
+        if not m or m.start() > self.last:
+            # Markup that never ends holds no text.
+            return (m.start(), len(page), "", False, "") if m else None
+        begin, what = m.start(), m.group()
+        if what == "<!--":
+            close = page.find("-->", m.end())
+            return begin, close + 3 if close >= 0 else len(page), "", False, ""
+        if what in ("<!", "<?"):
+            close = page.find(">", m.end())
+            return begin, close + 1 if close >= 0 else len(page), "", False, ""
+        name = _NAME.match(page, m.end() - 1)
+        close = self._end(name.end())
+        if close < 0:
+            return begin, len(page), "", False, ""
+        return begin, close + 1, name.group().lower(), what[1] == "/", page[name.end() : close]
+
+
 def attributes(attrs: str) -> list[tuple[str, str]]:
     """(lower-case name, value) of a tag's attributes."""
     return [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)]
@@ -91,6 +142,7 @@ def blocks(page: str) -> list[_Block]:
     """The page's blocks that may be content, in page order."""
     out: list[_Block] = []
     stack: list[tuple[str, tuple | None]] = []  # (tag, path part or None where the element is no content)
+    opened: Counter[str] = Counter()
     doubts: list[tuple[int, int]] = []
     doubted = 0
     skipped = 0
@@ -109,44 +161,40 @@ def blocks(page: str) -> list[_Block]:
     def pop_to(i: int) -> None:
         nonlocal skipped, link
         flush()
-        for _, part in stack[i:]:
+        for name, part in stack[i:]:
             skipped -= part is None
+            opened[name] -= 1
         del stack[i:]
         while doubts and doubts[-1][1] >= i:
             doubts.pop()
         if link is not None and link > i:  # a link ends with the block that it began in
             link = None
 
-    at, size = 0, len(page)
+    at, size, tags = 0, len(page), Tags(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
+        found = tags.next(at)
+        end = found[0] if found else size
         if end > at and not skipped:
             parts.append(page[at:end])
             if link is not None:
                 links += len(page[at:end].strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        _, at, tag, closing, attrs = found
+        if not tag:
             continue
-        tag, closing, attrs = tag.lower(), m.group(1), m.group(3)
         if closing:
             if tag == "a":
                 link = None
             elif tag in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                else:
-                    if not skipped:
-                        flush()
+                if opened[tag]:
+                    pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                elif not skipped:
+                    flush()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if not attrs.endswith("/") or tag in ("script", "style"):
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else size
             continue
         if tag == "br" or tag == "hr" or tag == "wbr":
@@ -178,6 +226,8 @@ def blocks(page: str) -> list[_Block]:
                     break
             if low is not None:
                 pop_to(low)
+        if len(stack) >= DEEPEST:
+            pop_to(DEEPEST - 1)
         flush()
         given = attributes(attrs) if attrs else []
         names = " ".join(v for k, v in given if v and k in ("class", "id", "role"))
@@ -187,6 +237,7 @@ def blocks(page: str) -> list[_Block]:
         # A header inside an article or main may hold the heading; its text is decided by the paths.
         part = None if (tag in SKIP and tag != "form") or (tag not in ("html", "body") and hidden(given)) else (tag, names)
         stack.append((tag, part))
+        opened[tag] += 1
         skipped += part is None
         if attrs.endswith("/") and tag not in ("p", "div", "li"):
             pass  # HTML ignores the slash

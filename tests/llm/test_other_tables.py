@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -218,6 +219,19 @@ def test_names_rule_out_boilerplate():
     assert html_text.main_text(f"<body><article><p>{LONG}</p></article>{thread}</body>") == long
 
 
+def test_markup_that_never_ends_takes_linear_time():
+    n = 300_000
+    for page in ("<p>x</p><p>" + "<a " * n, "<p>x</p>" + "<div>" * n + "y" + "</ul>" * n, "<p>x" + "<a '>" * n + '"', "<svg/>" * n + "<p>x</p>", "<p>x</p>" + "<!--" * n, "<p>x</p>" + "<b title=\"x' " * n, "<p>x</p>" + "<b title= 'x" * n + ">"):
+        began = time.process_time()
+        assert "x" in html_text.main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_quotes_delimit_values_only():
+    page = "<article><p title='a > b'>One.</p><p title=don't>It's two.</p><p a\"b>Three \"3\".</p></article>"
+    assert html_text.main_text(page) == "One.\n\nIt's two.\n\nThree \"3\"."
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain text", "<", "<p", "<script>", "<!-- only", "<p>a", "</p></div>x", "<article></article>", "&amp;lt;", "<p>" + "word, " * 50_000]
     df = spark.createDataFrame([(i, f"u{i}", h, "x", 1) for i, h in enumerate(pages)], "page_id long, url string, html string, text string, n_chars int")
