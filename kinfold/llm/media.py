@@ -5,8 +5,9 @@ uncompressed 8- or 24-bit BMP into numpy arrays; ``area_resize`` averages exact
 pixel areas by an integral image; ``to_tiles`` cuts an array into NPY files;
 ``dhash`` compares neighbours of an area-resized grey image.
 
-``text_media`` stores texts losslessly as P6 images of 64 pixels a row (192
-samples), reads the stored bytes back and derives features from what it read.
+``text_media`` takes texts as P6 images of 64 pixels a row (192 samples), decodes
+them, stores the arrays losslessly as NPY tiles, reads the stored bytes back and
+derives payload and features from what it read.
 Null text counts as empty, an empty text is one row of blanks, repeated rows
 give repeated results, further columns are ignored, and an empty table gives no
 rows.  Nothing is gathered across rows, so a row's memory is a small multiple of
@@ -30,6 +31,8 @@ from kinfold.shared import python_ready, tidy
 
 #: Samples in a row of a text image: 64 pixels of three samples.
 ROW = 192
+#: Rows of a tile of a text image: 192 KiB.
+TILE_ROWS = 1024
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -170,11 +173,13 @@ _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payloa
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def image_features(data: bytes, n_bytes: int) -> tuple:
-    """What ``text_media`` reports, from stored bytes alone."""
-    image = decode(data)
-    payload = image.reshape(-1).data
-    return n_bytes, image.size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), dhash(grey(image))
+def tile_features(tiles: list[bytes], n_bytes: int) -> tuple:
+    """What ``text_media`` reports, from stored tiles alone."""
+    image = from_tiles(tiles)
+    payload, media = image.reshape(-1).data, hashlib.sha256()
+    for t in tiles:
+        media.update(t)
+    return n_bytes, image.size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), sum(map(len, tiles)), media.hexdigest(), dhash(grey(image))
 
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +200,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def run(batches):
         for b in batches:
             texts = [t or b"" for t in as_bytes(b.column(1))]
-            rows = [(k, *image_features(text_to_image(t), len(t))) for k, t in zip(b.column(0).to_pylist(), texts)]
+            rows = [(k, *tile_features(list(to_tiles(decode(text_to_image(t)), TILE_ROWS)), len(t))) for k, t in zip(b.column(0).to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FEATURES)] if rows else [pa.array([], f.type) for f in _FEATURES], schema=_FEATURES)
 
     python_ready(df.sparkSession)
