@@ -20,6 +20,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter, defaultdict
 
@@ -131,6 +132,24 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: r.priority)
 
 
+class Cover:
+    """Intervals of which none holds another, in order: so both their begins and their ends rise."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one of the intervals holds this one."""
+        i = bisect.bisect_right(self.begins, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+    def add(self, a: int, b: int) -> None:
+        """Add an interval that none holds, in place of those that it holds."""
+        i, j = bisect.bisect_left(self.begins, a), bisect.bisect_right(self.ends, b)
+        self.begins[i:j], self.ends[i:j] = [a], [b]
+
+
 class Scanner:
     """Rules looked up by one of the words they need: the one that fewest rules need."""
 
@@ -158,13 +177,13 @@ class Scanner:
         if not found:
             return len(words), []
         kept: list[tuple[int, int, int]] = []
-        cover: list[tuple[int, int]] = []
+        cover = Cover()
         for i, a, b in sorted(found, key=lambda f: (self.rules[f[0]].priority, f[1] - f[2], f[1], f[0])):
             if self.rules[i].kind == "base":
                 kept.append((i, a, b))
-            elif not any(x <= a and b <= y for x, y in cover):
+            elif not cover.holds(a, b):
                 kept.append((i, a, b))
-                cover.append((a, b))
+                cover.add(a, b)
         out, at, seen = [], 0, 0
         for i, a, b in sorted(kept, key=lambda k: (k[1], k[2], k[0])):
             seen += line.count(b" ", at, a)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -447,6 +448,20 @@ def test_license_rules_and_suppression():
     assert {d[2] for d in kept} >= {"base", "notice"}
 
 
+def test_cover_equals_brute_force():
+    r = random.Random(2)
+    for _ in range(50):
+        cover, held = licenses.Cover(), []
+        for _ in range(60):
+            a = r.randrange(40)
+            b = a + r.randrange(1, 12)
+            inside = any(x <= a and b <= y for x, y in held)
+            assert cover.holds(a, b) == inside
+            if not inside:
+                cover.add(a, b)
+                held.append((a, b))
+
+
 def test_license_query_edges(spark):
     d = odd(spark)
     assert licenses.scan_licenses(d).count() == len(ODD) + 2
@@ -544,6 +559,24 @@ def test_compiled_map_takes_the_longest_prefix():
 # --- media
 
 
+def brute_dhash(payload):
+    """Area means of an 8 by 9 grid over rows of 64 sums of three bytes, in exact fractions; bits: darker than the right neighbour."""
+    rows = [[sum(payload[at + 3 * x : at + 3 * x + 3]) for x in range(64)] for at in range(0, len(payload), 192)]
+    h = len(rows)
+
+    def cell(i, j):
+        total = Fraction(0)
+        for y in range(h):
+            down = min(Fraction((i + 1) * h, 8), y + 1) - max(Fraction(i * h, 8), y)
+            for x in range(64) if down > 0 else ():
+                across = min(Fraction((j + 1) * 64, 9), x + 1) - max(Fraction(j * 64, 9), x)
+                total += max(0, across) * down * rows[y][x]
+        return total / (Fraction(h, 8) * Fraction(64, 9))
+
+    bits = "".join("1" if cell(i, j) < cell(i, j + 1) else "0" for i in range(8) for j in range(8))
+    return f"{int(bits, 2):016x}"
+
+
 def test_media_of_texts(spark):
     d = odd(spark)
     got = {r.doc_id: r for r in media.text_media(d).collect()}
@@ -553,7 +586,9 @@ def test_media_of_texts(spark):
         payload = data + b" " * (-len(data) % 192 if data else 192)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(stored[i].media).hexdigest() and r.media_bytes == len(stored[i].media)
+        npy = list(media.to_tiles(media.decode(bytes(stored[i].media)), media.TILE_ROWS))
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(b"".join(npy)).hexdigest() and r.media_bytes == sum(map(len, npy))
+        assert media.from_tiles(npy).tobytes() == payload and (r.feature == brute_dhash(payload) or len(payload) > 6000)
         assert media.image_to_text(bytes(stored[i].media), r.n_bytes) == data
     tiles = defaultdict(dict)
     for r in media.media_tiles(spark.createDataFrame([(i, bytes(s.media)) for i, s in stored.items() if i is not None], "key long, media binary"), "key", "media", 8).collect():
