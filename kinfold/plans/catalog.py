@@ -6,6 +6,8 @@ families and species.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ from kinfold.functions import newick, sequences, trees
 from kinfold.operators import assembly, assignment, clusters, components, landscapes, matrices
 from kinfold.plans import family_trees, proxies
 from kinfold.plans.proxies import load
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, shared_dir
 from kinfold.sources import files
 
 QUERIES: dict = {}
@@ -106,12 +108,42 @@ SELECT family, i_gene, j_gene, round((CASE WHEN lcs >= 1 THEN lcs - 1 ELSE lcs E
 
 @query
 def threaded_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threaded score of all pairs of orders of a customer, in Arrow batches; no SQL form."""
+    """The threaded score of all pairs of orders of a customer, in Arrow batches."""
     paired = landscapes.pairs(proxies.order_landscapes(spark, sf_dir), "family", "gene", "landscape")
     scored = landscapes.score_pairs(paired, "i_landscape", "j_landscape")
     return scored.select("family", "i_gene", "j_gene", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+_sql(
+    "threaded_score",
+    """,
+starts AS (SELECT *, len(s) AS n, list_filter(range(1, len(s) + 1), lambda k: k = 1 OR s[k] <> s[k - 1]) AS st FROM genes),
+runs AS (SELECT family, gene, n, list_transform(st, lambda k: s[k]) AS sym, list_transform(range(1, len(st) + 1), lambda q: coalesce(st[q + 1], n + 1) - st[q]) AS w FROM starts),
+pairs AS (
+  SELECT a.family, a.gene AS i_gene, b.gene AS j_gene, greatest(a.n, b.n) AS size, len(a.sym) AS l, a.w AS wa, b.w AS wb,
+    list_transform(a.sym, lambda x: list_filter(range(0, len(b.sym)), lambda k: b.sym[k + 1] = x)) AS m
+  FROM runs a JOIN runs b ON a.family = b.family AND a.gene > b.gene),
+walk(family, i_gene, j_gene, l, wa, wb, m, i, path, value, towards) AS (
+  SELECT family, i_gene, j_gene, l, wa, wb, m, 0, []::BIGINT[], 0.0::DOUBLE, 0 FROM pairs WHERE len(list_filter(m, lambda x: len(x) > 0)) > 0
+  UNION ALL
+  SELECT family, i_gene, j_gene, l, wa, wb, m, i + 1, list_append(path, o),
+    value + CASE WHEN o IS NULL THEN 0 ELSE least(wa[i + 1], wb[o + 1]) END - CASE WHEN turn THEN 0.5 ELSE 0 END,
+    CASE WHEN turn THEN sign(o - path[i])::INT ELSE t END
+  FROM (
+    SELECT *, l > 2 AND i >= 1 AND path[i] IS NOT NULL AND o IS NOT NULL AND sign(o - path[i]) <> t AS turn FROM (
+      SELECT *, CASE WHEN l > 2 AND i = 1 THEN sign(coalesce(o, 0) - coalesce(path[1], 0))::INT ELSE towards END AS t FROM (
+        SELECT *, unnest(CASE WHEN len(m[i + 1]) = 0 THEN [NULL::BIGINT] ELSE list_concat(
+            [CASE WHEN coalesce(list_contains(path, m[i + 1][1]), false) THEN NULL ELSE m[i + 1][1] END],
+            list_filter(m[i + 1][2:], lambda j: NOT coalesce(list_contains(path, j), false))) END) AS o
+        FROM walk WHERE i < l)))),
+best AS (SELECT family, i_gene, j_gene, max(value) AS b FROM walk WHERE i = l GROUP BY ALL)
+SELECT p.family, p.i_gene, p.j_gene, round(coalesce((trunc(CASE WHEN b >= 1 THEN b - 1 ELSE b END * 2) / 2)::FLOAT / size::FLOAT, 0)::DOUBLE, 5) AS score
+FROM pairs p LEFT JOIN best USING (family, i_gene, j_gene)""",
+    True,
+    "orders_",
+)
+
+
 @query
 def landscape_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = proxies.event_windows(spark, sf_dir)
@@ -476,7 +508,7 @@ def _dense(row) -> np.ndarray:
 
 @query
 def cluster_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the row scan at 0.3, whose order matters; no SQL form."""
+    """Clusters of the row scan at 0.3, whose order matters."""
 
     def run(frames):
         for frame in frames:
@@ -489,6 +521,52 @@ def cluster_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _family_matrices(spark, sf_dir).mapInPandas(run, "family int, gene long, cluster long")
 
 
+_sql(
+    "cluster_ordered",
+    """,
+steps AS (
+  SELECT family, i, j, row_number() OVER (PARTITION BY family ORDER BY i, j) AS k FROM (
+    SELECT family, idx AS i, -1 AS j FROM vectors UNION ALL SELECT family, i, j FROM matrix WHERE i <> j AND value >= 0.3)),
+walk(family, k, labels, now, fresh) AS (
+  SELECT family, 0::BIGINT, list_transform(range(count(*)), lambda x: -1), -1, 0 FROM vectors GROUP BY family
+  UNION ALL
+  SELECT w.family, s.k,
+    CASE WHEN s.j < 0 THEN list_transform(labels, lambda v, p: CASE WHEN p = s.i + 1 AND v < 0 THEN fresh ELSE v END)
+         WHEN labels[s.j + 1] < 0 OR labels[s.j + 1] = now THEN list_transform(labels, lambda v, p: CASE WHEN p = s.j + 1 THEN now ELSE v END)
+         ELSE list_transform(labels, lambda v, p: CASE WHEN p <= s.j AND v = now THEN labels[s.j + 1] ELSE v END) END,
+    CASE WHEN s.j < 0 THEN CASE WHEN labels[s.i + 1] < 0 THEN fresh ELSE labels[s.i + 1] END WHEN labels[s.j + 1] < 0 THEN now ELSE labels[s.j + 1] END,
+    CASE WHEN s.j < 0 AND labels[s.i + 1] < 0 THEN fresh + 1 ELSE fresh END
+  FROM walk w JOIN steps s ON s.family = w.family AND s.k = w.k + 1),
+done AS (SELECT family, arg_max(labels, k) AS labels FROM walk GROUP BY family),
+labelled AS (SELECT v.family, v.gene, d.labels[v.idx + 1] AS label FROM vectors v JOIN done d ON d.family = v.family)
+SELECT family, gene, min(gene) OVER (PARTITION BY family, label) AS cluster FROM labelled""",
+    True,
+    "vectors_",
+)
+
+
+@query
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and smallest gene of each cluster of ``connected_clusters``, with the mean similarity of its label's pairs."""
+    members, lower = _matrix(spark, sf_dir, False)
+    own = connected_clusters(spark, sf_dir).join(members.select("gene", "family"), "gene")
+    sizes = own.groupBy("family", F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    means = lower.groupBy("family").agg(matrices.mean("value").alias("mean"))
+    return sizes.join(means, "family").select("family", "cluster", "size", F.round("mean", 4).alias("mean"))
+
+
+_sql(
+    "cluster_sizes",
+    """, links AS (SELECT a.gene AS a, b.gene AS b FROM matrix m JOIN vectors a ON a.family = m.family AND a.idx = m.i JOIN vectors b ON b.family = m.family AND b.idx = m.j WHERE m.i <> m.j AND m.value >= 0.3),
+reach(a, b) AS (SELECT gene, gene FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+found AS (SELECT a AS gene, min(b) AS cluster FROM reach GROUP BY a),
+means AS (SELECT family, avg(value) AS mean FROM lower_ GROUP BY family)
+SELECT v.family, f.cluster, count(*) AS size, round(any_value(m.mean), 4) AS mean FROM vectors v JOIN found f ON f.gene = v.gene JOIN means m ON m.family = v.family GROUP BY v.family, f.cluster""",
+    True,
+    "vectors_",
+)
+
+
 def _species(spark, sf_dir) -> list[tuple]:
     return [(r["node"], r["parent"], f"N{r['node']}") for r in proxies.species_tree(spark, sf_dir).collect()]  # 31 rows
 
@@ -572,7 +650,7 @@ SELECT family, node FROM inside EXCEPT SELECT family, node FROM outside""",
 
 @query
 def greedy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order as links from return flags to suppliers' nations, taken greedily by price; no SQL form."""
+    """Lines of an order as links from return flags to suppliers' nations, taken greedily by price."""
     python_ready(spark)
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", "l_partkey", "l_extendedprice")
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -590,6 +668,24 @@ def greedy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.mapInPandas(run, "l_orderkey long, arm string, kind int, gene long")
 
 
+_sql(
+    "greedy_links",
+    """WITH RECURSIVE links AS (
+  SELECT l_orderkey, l_returnflag AS arm, s_nationkey AS kind, l_partkey AS gene,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_returnflag, s_nationkey, l_partkey) AS k
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+walk(l_orderkey, k, genes, filled, took) AS (
+  SELECT DISTINCT l_orderkey, 0::BIGINT, []::BIGINT[], []::VARCHAR[], false FROM links
+  UNION ALL
+  SELECT l_orderkey, k, CASE WHEN free THEN list_append(genes, gene) ELSE genes END, CASE WHEN free THEN list_append(filled, place) ELSE filled END, free
+  FROM (
+    SELECT w.l_orderkey, l.k, w.genes, w.filled, l.gene, l.arm || ' ' || l.kind AS place,
+      NOT list_contains(w.genes, l.gene) AND NOT list_contains(w.filled, l.arm || ' ' || l.kind) AS free
+    FROM walk w JOIN links l ON l.l_orderkey = w.l_orderkey AND l.k = w.k + 1))
+SELECT l.l_orderkey, l.arm, l.kind, l.gene FROM links l JOIN walk w ON w.l_orderkey = l.l_orderkey AND w.k = l.k WHERE w.took""",
+)
+
+
 # --- tree edits as sets -------------------------------------------------------
 
 
@@ -613,7 +709,7 @@ def reconcile_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SKELETON = """, skeleton AS (
   SELECT m.family, u.node, CASE WHEN u.node <> m.mrca THEN t.parent END AS parent, coalesce(g.genes, 0) AS genes
-  FROM mrca m JOIN up u ON u.anc = m.mrca JOIN tree t ON t.node = u.node JOIN cover c ON c.family = m.family AND c.anc = u.node
+  FROM cover c JOIN mrca m ON m.family = c.family JOIN up u ON u.node = c.anc AND u.anc = m.mrca JOIN tree t ON t.node = c.anc
   LEFT JOIN (SELECT family, species, count(*) AS genes FROM members GROUP BY 1, 2) g ON g.family = m.family AND g.species = u.node)"""
 _sql("reconcile_skeleton", _SKELETON + " SELECT family, node, parent, genes FROM skeleton", True, "tree_", "members_")
 
@@ -732,9 +828,125 @@ SELECT m.family, (l.last - i)::BIGINT AS i, (l.last - j)::BIGINT AS j, round(val
 )
 
 
+# --- sources ------------------------------------------------------------------
+
+
+def _event_book(spark, sf_dir):
+    """Events as genes of a GFF file, users as its chromosomes; two of three belong to the family of their type. (book, families)"""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    name = F.concat(F.lit("e"), F.col("event_id"))
+    line = lambda kind, ident: F.concat_ws("\t", F.concat(F.lit("user"), F.col("user_id")), F.lit("app"), F.lit(kind), "event_id", F.col("event_id") + 9, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit(f"Note=x;ID={ident}:"), name, F.lit(";Name=y")))
+    lines = events.select(F.explode(F.array(F.concat(F.lit("# event "), "event_id"), line("gene", "gene"), line("mRNA", "gene"), line("gene", "other"))).alias("value"))
+    folder = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex[:12]}-gff"
+    lines.write.text(folder)
+    genes = files.read_gff(spark, [folder], species_pattern=r"(?P<species>part)-.*")
+    families = events.where("event_id % 3 != 0").select(F.col("event_type").alias("family"), name.alias("gene"))
+    return files.build_database(genes, families), families
+
+
+@query
+def gene_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gene book of a written GFF file: each gene's family number, 0 for none, and those of its landscape."""
+    book, _ = _event_book(spark, sf_dir)
+    known = lambda x: F.when(x > 0, x).otherwise(0).cast("long")
+    return book.select("species", "chr", "pos", "gene", known(F.col("family")).alias("family"), F.size("left").cast("long").alias("before"), F.array_join(F.transform("landscape", known).cast("array<string>"), ",").alias("landscape"))
+
+
+_BOOK = """WITH numbers AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS number FROM (SELECT DISTINCT event_type FROM events WHERE event_id % 3 <> 0)),
+named AS (SELECT 'part' AS species, 'user' || user_id AS chr, event_id::BIGINT AS pos, 'e' || event_id AS gene, event_type, CASE WHEN event_id % 3 <> 0 THEN number ELSE 0 END AS family FROM events LEFT JOIN numbers USING (event_type))"""
+_sql(
+    "gene_book",
+    _BOOK
+    + """ SELECT species, chr, pos, gene, family, least(15, row_number() OVER (PARTITION BY chr ORDER BY pos) - 1) AS before,
+array_to_string(list(family) OVER (PARTITION BY chr ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING), ',') AS landscape FROM named""",
+)
+
+
+@query
+def gene_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book's entries of the families' genes, with their species' node in a tree read from text."""
+    book, families = _event_book(spark, sf_dir)
+    found = files.look_up(book, families.withColumn("gene_idx", F.lit(0)))
+    tree = files.tree_frame(spark, files.read_species_tree("((other,part)some,more)all;"))
+    return files.with_species(found, tree).select("name", "gene", "chr", "pos", F.col("species_id").cast("long").alias("species_id"))
+
+
+_sql("gene_lookup", _BOOK + " SELECT event_type AS name, gene, chr, pos, 4::BIGINT AS species_id FROM named WHERE family > 0")
+
+
+@query
+def newick_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as trees of their nations, printed, read, printed again and read: names, parents and depths of all nodes."""
+    nations = load(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.concat(F.lit("it's "), "n_name").alias("name"))
+    regions = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("'"), "r_name", F.lit("'")).alias("region"))
+    quoted = F.concat(F.lit("'"), F.replace(F.col("name"), F.lit("'"), F.lit("''")), F.lit("':"), F.col("n_nationkey") + 0.5, F.lit("[&&NHX:S="), F.col("n_nationkey"), F.lit("]"))
+    texts = nations.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(quoted)), ", ").alias("tips")).join(regions, "n_regionkey")
+    texts = texts.select(F.col("n_regionkey").cast("long").alias("family"), F.concat(F.lit("("), "tips", F.lit(")"), "region", F.lit(";")).alias("text"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for family, text in zip(frame["family"], frame["text"]):
+                first = newick.parse(text)[0]
+                tree = newick.parse(newick.print_tree(first))[0]
+                out += [(family, name, tree[parent - 1].name if parent else None, depth, leaf, tree[n - 1].length, tree[n - 1].remarks.get("S")) for n, parent, name, depth, leaf in newick.rows(tree)]
+            yield pd.DataFrame(out, columns=["family", "name", "parent", "depth", "leaf", "length", "remark"])
+
+    python_ready(spark)
+    return texts.mapInPandas(run, "family long, name string, parent string, depth int, leaf boolean, length double, remark string")
+
+
+_sql(
+    "newick_roundtrip",
+    """SELECT n_regionkey::BIGINT AS family, 'it''s ' || n_name AS name, r_name AS parent, 1 AS depth, true AS leaf, n_nationkey + 0.5::DOUBLE AS length, n_nationkey::VARCHAR AS remark FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT r_regionkey, r_name, NULL, 0, false, NULL, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""",
+)
+
+
 # --- whole trees --------------------------------------------------------------
 
 
+@query
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole trees of orders, as depths of their genes.
+
+    A nation of an order's suppliers has one gene, all in synteny; the first nation that the order has twice has a lone
+    second one, like no other.  The cluster follows the species tree.  Where it covers several regions it stays beside the skeleton in which
+    the lone gene finds its place; else that goes beside the gene of its nation.
+    """
+    members = proxies.order_species(spark, sf_dir).groupBy("family", "species").agg(F.count("*").alias("n"))
+    extra = members.where("n > 1").groupBy("family").agg(F.min("species").alias("species")).select("family", "species", F.lit(1).alias("size"))
+    genes = members.select("family", "species", F.lit(31).alias("size")).unionByName(extra)
+    genes = genes.withColumn("idx", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("size"), "species")) - 1)
+    genes = genes.select("family", "idx", F.concat(F.when(F.col("size") > 1, "g").otherwise("x"), "species").alias("name"), F.col("species").alias("species_id"), "size")
+    paired = landscapes.pairs(genes, "family", "idx", "size").withColumn("core", F.col("i_size") > 1)
+    cells = paired.select("family", F.col("i_idx").alias("i"), F.col("j_idx").alias("j"), F.when(F.col("core"), 0.9).otherwise(0.0).alias("synteny"), F.lit(1.0).alias("divergence"))
+    built = family_trees.build_trees(genes, cells, _species(spark, sf_dir), threshold=0.5)
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for family, text in zip(frame["family"], frame["newick"]):
+                out += [(family, name, depth) for _, _, name, depth, leaf in newick.rows(newick.parse(text)[0]) if leaf]
+            yield pd.DataFrame(out, columns=["family", "gene", "depth"])
+
+    return built.select("family", "newick").mapInPandas(run, "family long, gene string, depth int")
+
+
+_sql(
+    "order_trees",
+    """, counted AS (SELECT family, species, count(*) AS n FROM members GROUP BY 1, 2),
+placed AS (SELECT c.*, t.parent AS region FROM counted c JOIN tree t ON t.node = c.species),
+families AS (SELECT family, count(*) AS k, count(DISTINCT region) AS regions, min(species) FILTER (n > 1) AS twice FROM placed GROUP BY family),
+genes AS (SELECT p.family, p.species, f.k, f.regions, f.twice, count(*) OVER (PARTITION BY p.family, p.region) AS near FROM placed p JOIN families f ON f.family = p.family)
+SELECT family, 'g' || species AS gene, (CASE WHEN k = 1 THEN 1 WHEN regions > 1 THEN least(near, 2) + (twice IS NOT NULL)::INT ELSE 1 + (species = coalesce(twice, 0))::INT END)::INT AS depth FROM genes
+UNION ALL SELECT family, 'x' || twice, (CASE WHEN k = 1 OR regions > 1 THEN 1 ELSE 2 END)::INT FROM families WHERE twice IS NOT NULL""",
+    True,
+    "tree_",
+    "members_",
+)
+
+
 def _tree_inputs(spark, sf_dir):
     """Labels as families, vectors as genes of nations by their ids; landscapes of 31 symbols, one of ten shorter."""
     members, lower = _matrix(spark, sf_dir, False)
