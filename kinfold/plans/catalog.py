@@ -708,9 +708,9 @@ def reconcile_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SKELETON = """, skeleton AS (
-  SELECT m.family, u.node, CASE WHEN u.node <> m.mrca THEN t.parent END AS parent, coalesce(g.genes, 0) AS genes
-  FROM cover c JOIN mrca m ON m.family = c.family JOIN up u ON u.node = c.anc AND u.anc = m.mrca JOIN tree t ON t.node = c.anc
-  LEFT JOIN (SELECT family, species, count(*) AS genes FROM members GROUP BY 1, 2) g ON g.family = m.family AND g.species = u.node)"""
+  SELECT c.family, c.anc AS node, CASE WHEN c.anc <> m.mrca THEN t.parent END AS parent, coalesce(g.genes, 0) AS genes
+  FROM cover c JOIN mrca m ON m.family = c.family JOIN tree t ON t.node = c.anc JOIN depth d ON d.node = c.anc JOIN depth dm ON dm.node = m.mrca AND d.depth >= dm.depth
+  LEFT JOIN (SELECT family, species, count(*) AS genes FROM members GROUP BY 1, 2) g ON g.family = c.family AND g.species = c.anc)"""
 _sql("reconcile_skeleton", _SKELETON + " SELECT family, node, parent, genes FROM skeleton", True, "tree_", "members_")
 
 
