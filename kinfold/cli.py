@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.errors import InputError
 from kinfold.operators import landscapes, matrices
 from kinfold.plans import family_trees
+from kinfold.shared import drop_shared, write_shared
 from kinfold.sources import files
 
 
@@ -49,8 +49,7 @@ def _matrix_folder(spark: SparkSession, folder: str, genes: DataFrame) -> DataFr
 
 
 def trees(spark: SparkSession, families: list[str], book: str, species_tree: str, synteny: str, divergence: str, out: str, half: int = landscapes.HALF_WINDOW, merge_tandems: bool = False, from_sequence: bool = False, threshold: float | None = None, stages: bool = False, overwrite: bool = True) -> None:
-    """A tree for each family, as text in ``out/family=<family>``; and ``out/_timings`` as CSV."""
-    began = time.time()
+    """A tree for each family, as text in ``out/family=<family>``; and the time of each as CSV in ``out/_timings``."""
     paths = files.expand(families)
     if not overwrite:
         paths = [p for p in paths if not Path(out, f"family={Path(p).stem}").exists()]
@@ -67,10 +66,12 @@ def trees(spark: SparkSession, families: list[str], book: str, species_tree: str
         tandems = found.select("family", "first", "rest")
     sized = genes.select("family", F.col("gene_idx").alias("idx"), F.col("gene").alias("name"), "species_id", F.array_size("landscape").alias("size"))
     rows = [(n.id, n.parent, n.name) for n in species]
-    built = family_trees.build_trees(sized, both, rows, tandems, from_sequence, threshold, stages)
-    built.write.partitionBy("family", "stage").mode("overwrite").text(out) if stages else built.select("family", "newick").write.partitionBy("family").mode("overwrite").text(out)
-    timings = sized.groupBy(F.col("family").alias("file")).agg(F.count("*").alias("size")).withColumn("time", F.lit(time.time() - began))
-    files.write_timings(timings, str(Path(out, "_timings")))
+    built, path = write_shared(family_trees.build_trees(sized, both, rows, tandems, from_sequence, threshold, stages), "trees")
+    by = ["family", "stage"] if stages else ["family"]
+    built.select(*by, "newick").write.partitionBy(*by).mode("overwrite").text(out)
+    took = built.where("stage = 'final'").select(F.col("family").alias("file"), F.col("seconds").alias("time"))
+    files.write_timings(sized.groupBy(F.col("family").alias("file")).agg(F.count("*").alias("size")).join(took, "file"), str(Path(out, "_timings")))
+    drop_shared(spark, path)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ def species_rows(tree: DataFrame) -> list[tuple]:
 
 
 def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tandems: DataFrame | None = None, from_sequence: bool = False, threshold: float | None = None, stages: bool = False) -> DataFrame:
-    """(family, stage, newick): the final tree of each family, and its steps if asked.
+    """(family, stage, newick, seconds): the final tree of each family and the time it took, and its steps if asked.
 
     genes: (family, idx, name, species_id, size); matrices: (family, i, j, synteny,
     divergence) with i > j; tandems: (family, first, rest) in idx.  Both matrices of a
@@ -45,7 +47,7 @@ def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tan
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                n = len(r.genes)
+                n, began = len(r.genes), time.perf_counter()
                 synteny, divergence = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
                 if r.i is not None:
                     i, j = np.asarray(r.i, int), np.asarray(r.j, int)
@@ -54,7 +56,9 @@ def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tan
                 tandem = {int(t["first"]): [int(x) for x in t["rest"]] for t in (r.tandems if r.tandems is not None else ())}
                 f = assembly.Family([g["name"] for g in r.genes], [int(g["species_id"]) for g in r.genes], [int(g["size"]) for g in r.genes], synteny, divergence, s, tandem, from_sequence, threshold)
                 tree, root = assembly.build_family(f, stages)
-                out += [(r.family, k, v) for k, v in f.stages.items()] + [(r.family, "final", assembly.to_newick(f, tree, root))]
-            yield pd.DataFrame(out, columns=["family", "stage", "newick"])
+                texts = {**f.stages, "final": assembly.to_newick(f, tree, root)}
+                seconds = time.perf_counter() - began
+                out += [(r.family, k, v, seconds) for k, v in texts.items()]
+            yield pd.DataFrame(out, columns=["family", "stage", "newick", "seconds"])
 
-    return rows.select("family", "genes", "i", "j", "synteny", "divergence", "tandems").repartition("family").mapInPandas(run, f"family {kind}, stage string, newick string")
+    return rows.select("family", "genes", "i", "j", "synteny", "divergence", "tandems").repartition("family").mapInPandas(run, f"family {kind}, stage string, newick string, seconds double")
