@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import table
-from kinfold.shared import drop_shared, python_ready, write_shared
+from kinfold.shared import drop_shared, python_ready, write_counted, write_shared
 
 LEARNED = "assistant"
+#: A key with more than this part of a table's rows is hot. There are fewer hot keys than this, so they can be broadcast.
+HOT = 1000
 _TEXT, _ROLE = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]")
 _TURN = re.compile(r"### ([^\\:]*(?:\\.[^\\:]*)*): ([^\\#<]*(?:\\.[^\\#<]*)*) </turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -118,20 +120,31 @@ def _starts(batches):
 def build(turns: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """turns (conv_id, turn, role, text): the forest's nodes and each conversation's rows.
 
-    nodes: (node, start, n, position, segment, loss_from, loss_to), offsets in code
-    points, ``start`` in the depth-first stream.  rows: (conv_id, depth, node).
+    nodes: (node, start, n, position, segment, loss_from, loss_to, uses), offsets in code
+    points, ``start`` in the depth-first stream, ``uses`` its rows.  rows: (conv_id, depth, node).
     """
     python_ready(spark, 500)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = clean.repartition(parts, "conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "text")
     schema = "conv_id long, depth long, node binary, parent binary, segment string, n long, loss_from long, loss_to long"
-    rows, rows_path = write_shared(ordered.mapInArrow(_chain, schema), "turns")
-    nodes = rows.groupBy("node").agg(F.min("conv_id").alias("owner"), F.first("parent").alias("parent"))
-    nodes, nodes_path = write_shared(nodes, "nodes")
-    forks = nodes.groupBy("parent").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("parent")
-    flags = nodes.join(forks.withColumn("branches", F.lit(True)), "parent", "left").select("node", "owner", F.coalesce("branches", F.lit(False)).alias("branches"))
-    marked = rows.select("conv_id", "depth", "node", "n").join(flags, "node").select("conv_id", "depth", "node", "n", "branches", F.col("conv_id").eqNullSafe(F.col("owner")).alias("owned"))
+    rows, _, n_rows = write_counted(ordered.mapInArrow(_chain, schema), "turns")
+    nodes = rows.groupBy("node").agg(F.min("conv_id").alias("owner"), F.first("parent").alias("parent"), F.count(F.lit(1)).alias("uses"))
+    nodes, nodes_path, n_nodes = write_counted(nodes, "nodes")
+    forks = nodes.groupBy("parent").agg(F.count(F.lit(1)).alias("children")).where("children > 1")
+    forks, forks_path = write_shared(forks, "forks")
+    # A parent with very many children is known to branch: its children need no shuffle.
+    crowded = F.col("children") * HOT > n_nodes
+    hot = F.broadcast(forks.where(crowded).select("parent"))
+    few = forks.where(~crowded).select("parent", F.lit(True).alias("branches"))
+    flags = nodes.join(hot, "parent", "left_semi").select("node", "owner", "uses", F.lit(True).alias("branches")).unionByName(
+        nodes.join(hot, "parent", "left_anti").join(few, "parent", "left").select("node", "owner", "uses", F.coalesce("branches", F.lit(False)).alias("branches")))
+    flags, flags_path = write_shared(flags, "flags")
+    common = F.col("uses") * HOT > n_rows
+    hot = F.broadcast(flags.where(common).drop("uses"))
+    short = rows.select("conv_id", "depth", "node", "n")
+    marked = short.join(hot, "node").unionByName(short.join(hot, "node", "left_anti").join(flags.where(~common).drop("uses"), "node"))
+    marked = marked.select("conv_id", "depth", "node", "n", "branches", F.col("conv_id").eqNullSafe(F.col("owner")).alias("owned"))
     marked = marked.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "depth")
     paths = marked.mapInArrow(_paths, "node binary, path binary, depth long, position long")
     # One row a node: its first owner's row brings its text and length.
@@ -145,9 +158,9 @@ def build(turns: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         before[part] = total
         total += n
     offset = F.create_map([F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0).cast("long")
-    out = placed.select("node", (F.col("local") + offset).alias("start"), "position").join(texts, "node")
-    forest, _ = write_shared(out.select("node", "start", "n", "position", "segment", "loss_from", "loss_to"), "forest")
-    drop_shared(spark, nodes_path, texts_path, placed_path)
+    out = placed.select("node", (F.col("local") + offset).alias("start"), "position").join(texts, "node").join(flags.select("node", "uses"), "node")
+    forest, _ = write_shared(out.select("node", "start", "n", "position", "segment", "loss_from", "loss_to", "uses"), "forest")
+    drop_shared(spark, nodes_path, forks_path, flags_path, texts_path, placed_path)
     return forest, rows.select("conv_id", "depth", "node")
 
 
@@ -199,7 +212,13 @@ def read_back(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     python_ready(spark, 500)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    full = rows.join(nodes.select("node", "start", "segment", "loss_from", "loss_to"), "node")
+    # A node's rows are dealt into pieces of a thousandth of all rows, its text copied to each: fewer than 2 * HOT copies.
+    total = rows.count()
+    pieces = F.ceil(F.col("uses") * HOT / F.lit(max(total, 1)))
+    hot = F.broadcast(nodes.where(F.col("uses") * HOT > total).select("node", pieces.alias("pieces")))
+    dealt = rows.join(hot, "node", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("conv_id"), "pieces"), F.lit(0).cast("long")))
+    copies = nodes.select("node", "start", "segment", "loss_from", "loss_to", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(pieces, F.lit(1)) - 1)).alias("piece"))
+    full = dealt.join(copies, ["node", "piece"])
     full = full.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "depth").select("conv_id", "start", "segment", "loss_from", "loss_to")
     return full.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, intervals array<array<long>>")
 

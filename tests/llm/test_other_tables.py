@@ -120,7 +120,9 @@ def test_escapes_are_reversible():
         chat_tree.parse("### a: b")
 
 
-def test_forest_shares_turns_and_attends_to_ancestors(spark):
+@pytest.mark.parametrize("hot", [1000, 8, 1])  # all keys are hot, some, none
+def test_forest_shares_turns_and_attends_to_ancestors(spark, monkeypatch, hot):
+    monkeypatch.setattr(chat_tree, "HOT", hot)
     r = random.Random(1)
     rows = []
     for c in range(40):
