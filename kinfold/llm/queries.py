@@ -16,6 +16,9 @@ WHERE = {
     "op8_html": "html_text",
     "op9_sentencepiece": "sentencepieces",
     "op10_media": "media",
+    "op11_line_dedup": "line_dedup",
+    "op12_turn_repair": "turn_repair",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 
