@@ -12,6 +12,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,11 +31,20 @@ BATCH_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
 
 
+def one_process(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    return re.fullmatch(r"local(\[[^\[\]]*\])?", master) is not None
+
+
+def configured_dir(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from the session; a local one if none is set and nothing runs elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    found = configured_dir(spark)
     if not found:
-        if not spark.sparkContext.isLocal:
+        if not one_process(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
