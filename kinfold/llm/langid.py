@@ -7,6 +7,10 @@ scored by its log frequency among n-grams of its order.  A text's score in a
 language is the mean over its words; the language with the largest one wins,
 ties by code point, and the reported score is the softmax of these means.
 
+A word or n-gram that a language lacks has the same floor in every language, half a sighting in the largest
+one's sample, so a language of few words gains nothing by its small total; nor by the words it has,
+as ``PRIOR`` unseen ones count with its own.  Languages whose sample has no word are left out.
+
 Words are runs of letters (Unicode L), lower-cased.  The classifier is fitted on
 a bounded sample of labelled rows: about ``sample_rows`` texts a language, and
 ``most_rows`` in all, at most; whole texts, chosen by a hash of the id, equal texts
@@ -43,6 +47,8 @@ MAX_LANGS = 1000
 CHUNK = 300_000
 #: Codes of a word's borders, beyond Unicode.
 START, END = 0x110000, 0x110001
+#: Words or n-grams added to a language's total.
+PRIOR = 100
 _NO_LETTER = re.compile(r"[\W\d_]")
 _SALT = mix64(np.arange(201, 207, dtype=U64))
 
@@ -123,7 +129,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 class Model(NamedTuple):
-    """Sorted hashes of words and n-grams, each one's order (0: word), and its languages from ``starts`` on: their numbers and log frequencies above ``floors`` (order, language)."""
+    """Sorted hashes of words and n-grams, each one's order (0: word), and its languages from ``starts`` on: their numbers and log frequencies above ``floors`` (by order)."""
 
     langs: list[str]
     keys: np.ndarray
@@ -136,13 +142,15 @@ class Model(NamedTuple):
 
 def model_of(langs: list[str], lang: np.ndarray, order: np.ndarray, key: np.ndarray, n: np.ndarray) -> Model:
     """The model from counts of (language, word or n-gram)."""
-    totals = np.ones((6, len(langs)))
-    np.maximum(totals, np.bincount(order * len(langs) + lang, weights=n, minlength=totals.size).reshape(totals.shape), out=totals)
-    floors = np.log(0.5 / (totals + 1))
+    totals = np.bincount(order * len(langs) + lang, weights=n, minlength=6 * len(langs)).reshape(6, len(langs))
+    some = np.flatnonzero(totals[0])
+    langs, totals = [langs[i] for i in some], totals[:, some]
+    floors = np.log(0.5 / (totals.max(axis=1, initial=0) + PRIOR))
+    lang = np.searchsorted(some, lang)
     at = np.lexsort((lang, key))
     lang, order, key, n = lang[at], order[at], key[at], n[at]
     keys, starts = np.unique(key, return_index=True)
-    above = np.log(n / (totals[order, lang] + 1)) - floors[order, lang]
+    above = np.log(n / (totals[order, lang] + PRIOR)) - floors[order]
     return Model(langs, keys, order[starts].astype(np.uint8), np.append(starts, len(key)).astype(np.int32), lang.astype(np.int16), above.astype(np.float32), floors)
 
 
@@ -238,7 +246,7 @@ class Scorer:
             # A character that no language has says nothing; the mean is over the others.
             pieces = np.bincount(word[at], minlength=len(rest))
             add(w.of[rest[word[at]]], found[at], 1 / pieces[word[at]])
-        sums = floors.reshape(size, 6) @ m.floors + above.reshape(size, width)
+        sums = (floors.reshape(size, 6) @ m.floors)[:, None] + above.reshape(size, width)
         mean = sums / np.maximum(words, 1)[:, None]
         best = mean.argmax(axis=1)
         top = mean[np.arange(size), best]
