@@ -103,6 +103,73 @@ _VERSION = r"(?: v[0-9]+| (?:v |version |ver )?[0-9]+)(?: [0-9]+)?(?: or later|
 KINDS = {"notice": (0, 1.0), "tag": (1, 0.99), "address": (2, 0.95), "versioned": (3, 0.9), "name": (4, 0.75), "mention": (5, 0.6), "base": (6, 0.8)}
 
 
+_PIECE = re.compile(r"(\\.|\[[^\]]*\]|.)([?*+]\??|\{[0-9,]*\}\??)?", re.S)
+
+
+def pieces(pattern: str) -> list[tuple[str, bool]]:
+    """(piece, whether it can be absent) of a pattern's top level: a group, a class or a character, without its quantifier."""
+    out, at = [], 0
+    while at < len(pattern):
+        if pattern[at] == "(":
+            depth, end = 1, at + 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                end += 1
+            piece, quantifier = pattern[at:end], re.compile(r"[?*+]\??|\{[0-9,]*\}\??").match(pattern, end)
+            at = quantifier.end() if quantifier else end
+            mark = quantifier[0] if quantifier else ""
+        else:
+            m = _PIECE.match(pattern, at)
+            piece, mark, at = m[1], m[2] or "", m.end()
+        if mark and len(piece) == 1:
+            piece += mark  # a repeated character is no part of a word
+        out.append((piece, mark[:1] in ("?", "*") or mark.startswith(("{0", "{,"))))
+    return out
+
+
+def keywords(pattern: str) -> set[str]:
+    """Words that stand whole in every match: at the top level, without a choice, with a space or the pattern's end on both sides, whatever optional parts beside them do."""
+    parts = pieces(pattern)
+    if any(p == "|" for p, _ in parts):
+        return set()
+
+    def edge(i: int, step: int) -> bool:
+        """Whether a word's side ends at piece i, going on where that can be absent."""
+        if not 0 <= i < len(parts):
+            return True
+        piece, optional = parts[i]
+        if piece == " ":
+            return True
+        if not piece.startswith("("):
+            return False
+        inner = [pieces(x) for x in choices(piece)]
+        bounded = all(x and x[0 if step > 0 else -1][0] == " " for x in inner)
+        return bounded and (not optional or edge(i + step, step))
+
+    found, at = set(), 0
+    while at < len(parts):
+        end = at
+        while end < len(parts) and re.fullmatch("[a-z0-9]", parts[end][0]):
+            end += 1
+        if end > at and edge(at - 1, -1) and edge(end, 1):
+            found.add("".join(p for p, _ in parts[at:end]))
+        at = max(end, at + 1)
+    return found
+
+
+def choices(group: str) -> list[str]:
+    """The alternatives of a group."""
+    inner = group.removeprefix("(?:").removeprefix("(").removesuffix(")")
+    out, depth = [""], 0
+    for c in inner:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 class Rule:
     """One signature: a regular expression, the words that it needs, its label, kind and whether it is a base rule."""
 
@@ -110,13 +177,7 @@ class Rule:
         self.label, self.kind = label, kind
         self.priority, self.confidence = KINDS[kind]
         self.regex = re.compile(rf"(?<= )(?:{pattern})(?= )".encode())
-        # Words outside groups, classes and choices must be in any match.
-        bare = pattern
-        while (less := re.sub(r"\([^()]*\)[?*+]?(?:\{[0-9,]*\}\??)?", " ", bare)) != bare:
-            bare = less
-        bare = re.sub(r"\S* \?\S*", " ", bare)
-        bare = "" if "|" in bare else re.sub(r"\S*[^a-z0-9 ]\S*", " ", bare)
-        self.need = frozenset(w.encode() for w in bare.split())
+        self.need = frozenset(w.encode() for w in keywords(pattern))
 
 
 def rules() -> list[Rule]:
@@ -153,8 +214,8 @@ class Cover:
 class Scanner:
     """Rules looked up by one of the words they need: the one that fewest rules need."""
 
-    def __init__(self):
-        self.rules = rules()
+    def __init__(self, gated: bool = True):
+        self.rules, self.gated = rules(), gated
         uses = Counter(w for r in self.rules for w in r.need)
         self.by_word: dict[bytes, list[int]] = defaultdict(list)
         for i, r in enumerate(self.rules):
@@ -166,12 +227,13 @@ class Scanner:
     def scan(self, text: bytes | None) -> tuple[int, list[tuple]]:
         """(words, kept detections (rule, label, kind, first word, words, confidence) in text order)."""
         words = text.translate(_WORDS).split() if text else []
-        if self.words.isdisjoint(words):
+        if self.gated and self.words.isdisjoint(words):
             return len(words), []
         have = set(words)
         line = b" " + b" ".join(words) + b" "
         found = []
-        for i in sorted(i for w in self.words & have for i in self.by_word[w] if self.rules[i].need <= have):
+        open_rules = sorted(i for w in self.words & have for i in self.by_word[w] if self.rules[i].need <= have) if self.gated else range(len(self.rules))
+        for i in open_rules:
             r = self.rules[i]
             found += [(i, m.start(), m.end()) for m in r.regex.finditer(line)]
         if not found:
