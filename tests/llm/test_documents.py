@@ -58,7 +58,7 @@ def small_model(words, grams):
         orders.append(0 if said in words else len(said))
         above.append(np.log(values))
     at = np.argsort(np.array(keys, np.uint64))
-    return langid.Model(["a", "b"], np.array(keys, np.uint64)[at], np.array(orders, np.uint8)[at], np.arange(0, 2 * len(at) + 1, 2, dtype=np.int32), np.tile([0, 1], len(at)).astype(np.int16), np.array(above, np.float32)[at].ravel(), np.zeros((6, 2)))
+    return langid.Model(["a", "b"], np.array(keys, np.uint64)[at], np.array(orders, np.uint8)[at], np.arange(0, 2 * len(at) + 1, 2, dtype=np.int32), np.tile([0, 1], len(at)).astype(np.int16), np.array(above, np.float32)[at].ravel(), np.zeros(6))
 
 
 def test_known_words_come_first_and_grams_get_shorter():
@@ -86,11 +86,14 @@ def brute_language(learn, texts):
             edged = "<" + w + ">"
             for n in range(1, 6):
                 counts[c, n].update(edged[i : i + n] for i in range(len(edged) - n + 1))
-    total = {(c, n): max(1, sum(counts[c, n].values())) for c in langs for n in range(6)}
+    langs = [c for c in langs if counts[c, 0]]
+    total = {(c, n): sum(counts[c, n].values()) for c in langs for n in range(6)}
     known = {n: set().union(*(counts[c, n] for c in langs)) for n in range(6)} if langs else {}
 
     def log(c, n, g):
-        return math.log((counts[c, n][g] or 0.5) / (total[c, n] + 1))
+        if counts[c, n][g]:
+            return math.log(counts[c, n][g] / (total[c, n] + 100))
+        return math.log(0.5 / (max(total[x, n] for x in langs) + 100))
 
     out = []
     for t in texts:
@@ -124,6 +127,38 @@ def test_language_equals_brute_force(spark, sf_dir, monkeypatch, chunk):
     assert np.allclose(got[1], [w[1] for w in want], rtol=1e-4, atol=1e-6)
 
 
+RARE = {
+    "few words": ["ok", "ja nein", "ok"],
+    "one text": ["mwili wangu una maji mengi sana na moyo wangu unapiga haraka kila siku asubuhi"] * 3,
+    "nothing": ["", "1 2 3", None],
+}
+
+
+@pytest.mark.parametrize("texts", RARE.values(), ids=RARE)
+@pytest.mark.parametrize("rows", [1, 3, 10])
+def test_a_rare_language_takes_no_other_text(spark, texts, rows):
+    """A handful of rows of a fifth language must not change what the others' texts are."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(900_000 + 5 * i, texts[i % len(texts)], "xx") for i in range(rows)], d.schema)
+    model = langid.fit(d.where(~langid.held_out()).unionByName(more))
+    assert ("xx" in model.langs) == (texts is not RARE["nothing"])
+    got = langid.predict(d, model, keep=("doc_id", "lang")).where(langid.held_out())
+    n, ok = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n > 150 and ok / n >= 0.97
+    if texts is RARE["one text"]:  # its own words are still its own
+        assert langid.Scorer(model).batch(["moyo wangu unapiga sana", "maji mengi"])[0] == ["xx", "xx"]
+
+
+def test_the_pipeline_keeps_clean_texts_beside_a_rare_language(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(900_000 + i, t, "xx", "s", 1) for i, t in enumerate(RARE["few words"])], d.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d, "").select("doc_id").collect()}
+    beside = {r.doc_id for r in corpus_pipeline.language(spark, d.unionByName(more), "").where("doc_id < 900000").select("doc_id").collect()}
+    assert len(kept) > 900 and len(kept ^ beside) <= 5
+
+
 def test_language_edges(spark):
     d = odd(spark)
     model = langid.fit(d.where(~langid.held_out()))
@@ -422,6 +457,53 @@ def test_quality_edges(spark):
 # --- licenses
 
 
+def said_by(parsed, r):
+    """A random string that a parsed pattern matches."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "ANY":
+            out.append(r.choice("ab 1"))
+        elif name == "IN":
+            kind, value = r.choice(arg)
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(r.randint(*value)))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            out += [said_by(inner, r) for _ in range(r.choice([least, min(int(most), least + 1), min(int(most), least + 7)]))]
+        elif name == "SUBPATTERN":
+            out.append(said_by(arg[-1], r))
+        elif name == "BRANCH":
+            out.append(said_by(r.choice(arg[1]), r))
+        else:
+            raise AssertionError(name)
+    return "".join(out)
+
+
+def test_gates_lose_no_detection():
+    """With and without keywords every rule finds the same in strings of its own pattern."""
+    r = random.Random(4)
+    gated, open_ = licenses.Scanner(), licenses.Scanner(gated=False)
+    for rule in gated.rules:
+        pattern = rule.regex.pattern.decode()
+        pattern = pattern[len("(?<= )(?:") : -len(")(?= )")]
+        for _ in range(12):
+            said = re._parser.parse(pattern)
+            text = f"x {said_by(said, r)} y".encode()
+            a, b = gated.scan(text), open_.scan(text)
+            assert a == b, (pattern, text)
+            assert b"  " in text or rule.regex.search(b" " + text + b" "), (pattern, text)
+    for text in (b"SPDX-License-Identifier: PHP-3.01", b"see opensource.org/licenses/cddl1 here"):
+        assert gated.scan(text)[1] and gated.scan(text) == open_.scan(text)
+
+
+@pytest.mark.parametrize("pattern,want", [("a b", {"a", "b"}), ("php 3 0(?:1)?", {"php", "3"}), ("cddl(?: ?1)?", set()), ("(?:the )?mit licen[cs]e", {"mit"}), ("abc(?:x )?def ghi", {"ghi"}), ("a(?: b)? c", {"a", "c"}), ("a|b", set()), ("x (?:y|z) w", {"x", "w"}), ("ab? c", {"c"}), ("a .{0,9}? b", {"a", "b"})])
+def test_keywords_of_patterns(pattern, want):
+    assert licenses.keywords(pattern) == want
+
+
+
 def test_base_phrases_equal_brute_force(spark, sf_dir):
     extra = ["MIT license mit License", "cc-by CC BY cc by nc", "The GNU General Public License, v3; gnu general public  license", None, "", "apache license " * 500, "Émit license mit licensé"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
