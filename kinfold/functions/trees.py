@@ -7,12 +7,74 @@ Spark broadcasts them where their size allows it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.shared import write_shared
 
 
+class Clades:
+    """A rooted tree in depth-first order, for questions about common ancestors in constant time each.
+
+    Nodes are numbered in that order, so a subtree is a range of numbers.  The common ancestor of
+    two nodes a < b is the least parent among the nodes after a up to b, which a table of minima over
+    ranges of powers of two gives.  rows: (node, parent), the root's parent null.  Any depth will do.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        kids: dict = {}
+        for node, parent, *_ in rows:
+            kids.setdefault(parent, []).append(node)
+        if len(kids.get(None, [])) != 1:
+            raise ValueError("a tree has one root")
+        self.nodes: list = []
+        self.numbers: dict = {}
+        parents, todo = [], [(kids[None][0], -1)]
+        while todo:
+            node, above = todo.pop()
+            if node in self.numbers:
+                raise ValueError(f"node {node} stands twice in the tree")
+            self.numbers[node] = at = len(self.nodes)
+            self.nodes.append(node)
+            parents.append(above)
+            todo += [(k, at) for k in reversed(kids.get(node, []))]
+        n = len(self.nodes)
+        self.parent = np.array(parents, np.int64)
+        self.end = np.arange(1, n + 1)  # the number after a node's subtree
+        leaf = np.ones(n, bool)
+        leaf[self.parent[1:]] = False
+        self.depth = np.zeros(n, np.int64)
+        for i in range(1, n):
+            self.depth[i] = self.depth[self.parent[i]] + 1
+        for i in range(n - 1, 0, -1):
+            self.end[self.parent[i]] = max(self.end[self.parent[i]], self.end[i])
+        self.leaf = leaf
+        self.leaves_before = np.concatenate(([0], np.cumsum(leaf)))
+        self.span = self.leaves_before[self.end] - self.leaves_before[:n]
+        self.least = [self.parent.copy()]
+        while 2 << (len(self.least) - 1) <= n:
+            half = 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+
+    def number(self, nodes: np.ndarray) -> np.ndarray:
+        return np.array([self.numbers[x] for x in nodes.tolist()], np.int64)
+
+    def mrca(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of the common ancestors of all nodes from ``low`` to ``high`` (numbers, low <= high)."""
+        size = np.maximum(high - low, 1)
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        out = np.empty(len(size), np.int64)
+        for p in np.unique(power):
+            at = power == p
+            table, first = self.least[p], np.minimum(low[at] + 1, len(self.nodes) - (1 << int(p)))
+            out[at] = np.minimum(table[first], table[np.maximum(high[at] - (1 << int(p)) + 1, 0)])
+        return np.where(low == high, low, out)
+
+    def span_of_range(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.span[self.mrca(low, high)]
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """(anc, node, dist) for every node and each of its ancestors, itself at 0.
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.shared import drop_shared, write_counted, write_shared
+
 
 def guarded_filter(rows: DataFrame, by: list[str], passes: Column) -> DataFrame:
     """The rows of a group that pass; all of them where none does."""
@@ -37,3 +39,33 @@ def greedy_links(links: Iterable[tuple], order) -> list[tuple]:
             filled.add((arm, kind))
             out.append(link)
     return out
+
+
+def match_greedily(links: DataFrame, by: list[str], slot: list[str], item: str, order: list[Column]) -> DataFrame:
+    """The links (by, slot, item) that ``greedy_links`` takes of each group, in rounds over all groups at once.
+
+    ``order`` says which link comes first; by, slot and item break its ties, so equal rows are one link.  A link is
+    taken if it is the first open one of its item and of its slot: whatever the sequential order takes before it
+    conflicts with neither.  Then the links of taken items and slots close, and the next round begins,
+    until none is open.  A round is two minima, summed before they move, a join of these and two
+    anti joins; each round's links are written, so nothing of a group is ever gathered.  The
+    number of rounds is the longest chain of links that each wait for another, a few for most orders.
+    """
+    spark = links.sparkSession
+    names = [f"o{k}" for k in range(len(order))]
+    rank = F.struct(*[c.alias(n) for c, n in zip(order, names)], *slot, item).alias("rank")
+    open_, path, n = write_counted(links.select(*by, *slot, item, rank).distinct(), "open")
+    taken = []
+    while n:
+        firsts = [open_.groupBy(*by, *keys).agg(F.min("rank").alias("rank")).select(*by, "rank") for keys in ([item], slot)]
+        found, _ = write_shared(firsts[0].join(firsts[1], [*by, "rank"]).select(*by, *[F.col(f"rank.{c}").alias(c) for c in (*slot, item)]), "taken")
+        taken.append(found)
+        left = open_.join(found.select(*by, item), [*by, item], "left_anti").join(found.select(*by, *slot), [*by, *slot], "left_anti")
+        open_, after, n = write_counted(left, "open")
+        drop_shared(spark, path)
+        path = after
+    drop_shared(spark, path)
+    out = taken[0] if taken else links.select(*by, *slot, item).limit(0)
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out

@@ -3,45 +3,240 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.functions import trees
 from kinfold.functions.sequences import round_half_up
+from kinfold.shared import python_ready, tidy, write_shared
 
 #: Matrix values between these are tried as thresholds; the chosen one is lowered by this much.
 BAND, LOWERED = (0.15, 0.7), 0.1
 NEAR_REDUNDANCY, NEAR_COMPACTNESS = 1.1, 0.95
+#: Tasks that share a family's thresholds at least, and bytes of labels in one of them.
+CHUNKS, LABEL_BYTES = 8, 64 << 20
 
 
-def ordered_clusters(matrix: np.ndarray, threshold: float) -> list[list[int]]:
-    """Clusters by one scan of the rows; the outcome depends on their order, and need not be the connected components.
+class LabelScan:
+    """Labels of a family's items at several thresholds (ascending), by one scan of the rows of its matrix.
 
-    A row without a label opens one.  Along a row, an item at or over the threshold that
-    is free or already has the row's label gets it; where it has another, earlier items
-    with the row's label move to the other, which the row carries on with.
+    The outcome depends on the rows' order, and need not be the connected components.  A row without a label opens
+    one.  Along a row, an item at or over the threshold that is free or already has the
+    row's label gets it; where it has another, earlier items with the row's label move to
+    the other, which the row carries on with.  The labels are all that is kept; thresholds go side by
+    side, and only those that meet another label go on from there.
     """
-    n = len(matrix)
-    label = np.full(n, -1)
-    fresh = 0
-    for i in range(n):
-        if label[i] < 0:
-            label[i] = fresh
-            fresh += 1
-        now = label[i]
-        for j in np.flatnonzero(matrix[i] >= threshold):
-            if label[j] < 0 or label[j] == now:
-                label[j] = now
-            else:
-                before = label[:j]
-                before[before == now] = label[j]
-                now = label[j]
+
+    def __init__(self, thresholds: np.ndarray, n: int = 0):
+        self.thresholds = np.asarray(thresholds)
+        self.labels = np.full((len(self.thresholds), max(1, n)), -1, np.int32)
+        self.fresh = np.zeros(len(self.thresholds), np.int32)
+        self.n = n
+
+    def _room(self, n: int) -> None:
+        self.n = max(self.n, n)
+        if n > self.labels.shape[1]:
+            more = np.full((len(self.thresholds), max(n, 2 * self.labels.shape[1]) - self.labels.shape[1]), -1, np.int32)
+            self.labels = np.concatenate((self.labels, more), axis=1)
+
+    def row(self, i: int, js: np.ndarray, values: np.ndarray) -> None:
+        """Row i: items js in order and their values; those under every threshold may be left out."""
+        self._room(max(i, int(js[-1]) if len(js) else 0) + 1)
+        labels = self.labels
+        free = labels[:, i] < 0
+        labels[free, i] = self.fresh[free]
+        self.fresh += free
+        if not len(js):
+            return
+        now = labels[:, i].copy()
+        todo = np.arange(np.searchsorted(self.thresholds, values.max(), side="right"))
+        over = values >= self.thresholds[todo, None]
+        place, start = np.arange(len(js)), np.zeros(len(todo), int)
+        while len(todo):
+            held = labels[np.ix_(todo, js)]
+            live = over[todo] & (place >= start[todo, None])
+            clash = live & (held >= 0) & (held != now[todo, None])
+            meets = clash.any(axis=1)
+            end = np.where(meets, clash.argmax(axis=1), len(js))
+            t, k = np.nonzero(live & (held < 0) & (place < end[:, None]))
+            labels[todo[t], js[k]] = now[todo[t]]
+            todo, end = todo[meets], end[meets]
+            j = js[end]
+            other = labels[todo, j]
+            block = labels[todo]
+            moved = (block == now[todo, None]) & (np.arange(labels.shape[1]) < j[:, None])
+            labels[todo] = np.where(moved, other[:, None], block)
+            now[todo], start[todo] = other, end + 1
+
+    def figures(self, kinds: np.ndarray, clades: trees.Clades) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each threshold the kinds of all clusters, the sum of their shares of the span of their common ancestor, and the clusters.
+
+        kinds: the species' number of each item, as ``clades`` numbers them.
+        """
+        n, count = self.n, len(self.thresholds)
+        order = np.lexsort((np.tile(kinds, count), self.labels[:, :n].ravel(), np.repeat(np.arange(count), n)))
+        t, label, kind = np.repeat(np.arange(count), n)[order], self.labels[:, :n].ravel()[order], np.tile(kinds, count)[order]
+        begins = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(label, prepend=-2) != 0))
+        new = np.ones(len(t), bool)
+        new[1:] = (kind[1:] != kind[:-1])
+        new[begins] = True
+        size = np.add.reduceat(new.astype(np.int64), begins)
+        last = np.append(begins[1:], len(t)) - 1
+        share = size / clades.span_of_range(kind[begins], kind[last])
+        of = t[begins]
+        return np.bincount(of, size, count).astype(np.int64), np.bincount(of, share, count), np.bincount(of, minlength=count)
+
+
+def _scan_dense(matrix: np.ndarray, thresholds: np.ndarray) -> LabelScan:
+    scan = LabelScan(thresholds, len(matrix))
+    for i, row in enumerate(matrix):
+        js = np.flatnonzero(row >= thresholds[0])
+        scan.row(i, js, row[js])
+    return scan
+
+
+def ordered_clusters(matrix: np.ndarray, threshold: float) -> list[list[int]]:
+    """Clusters of a matrix in memory by ``LabelScan``."""
     found: dict[int, list[int]] = {}
-    for i, x in enumerate(label.tolist()):
+    for i, x in enumerate(_scan_dense(matrix, np.array([threshold])).labels[0, : len(matrix)].tolist()):
         found.setdefault(x, []).append(i)
     return sorted(found.values())
 
 
+def _both_ways(lower: DataFrame, *more: str) -> DataFrame:
+    turned = lower.select("family", *more, F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    return lower.select("family", *more, "i", "j", "value").unionByName(turned)
+
+
+def _rows(batches, keys: int):
+    """Runs of equal keys and row number of a sorted stream: (keys, i, record batches); only one run is held."""
+    held, name = [], None
+    for b in batches:
+        columns = [b.column(k) for k in range(keys + 1)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            x = np.asarray(c.to_pylist(), object)
+            change[1:] |= x[1:] != x[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for at, end in zip(edges, edges[1:]):
+            if at == end:
+                continue
+            own = tuple(c[at].as_py() for c in columns)
+            if held and own != name:
+                yield name[:-1], name[-1], pa.Table.from_batches(held)
+                held = []
+            name = own
+            held.append(b.slice(at, end - at))
+    if held:
+        yield name[:-1], name[-1], pa.Table.from_batches(held)
+
+
+def clusters_of(members: DataFrame, lower: DataFrame, threshold: float, name: str = "gene") -> DataFrame:
+    """(family, name, cluster): the first member of each member's ordered cluster.
+
+    members: (family, idx, name), idx from 0 in the family; lower: (family, i, j, value), i > j.  Edges under the threshold go before
+    anything moves.  The others are sorted by row within a family's partition and streamed into
+    the label array, which is all that a task holds of a family, with its names.
+    """
+    python_ready(members.sparkSession, 10_000)
+    kind = members.schema[name].dataType
+    family = members.schema["family"].dataType
+    edges = _both_ways(lower.where(F.col("value") >= threshold)).withColumn("name", F.lit(None).cast(kind))
+    marks = members.select("family", F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"), F.col(name).alias("name"))
+    rows = edges.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"), "name").unionByName(marks)
+    sent = rows.repartition("family").sortWithinPartitions("family", "i", "j")
+
+    def run(batches):
+        now, scan, names = None, None, []
+
+        def out():
+            labels = scan.labels[0, : scan.n]
+            _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+            own = pa.concat_arrays(names)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(own), to_arrow_type(family)), own, own.take(pa.array(first[which]))], ["family", name, "cluster"])
+
+        for key, i, block in _rows(batches, 1):
+            if scan is not None and key != now:
+                yield out()
+                scan = None
+            if scan is None:
+                now, scan, names = key, LabelScan(np.array([threshold])), []
+            block = block.combine_chunks().to_batches()[0]
+            names.append(block.column("name").slice(0, 1))
+            scan.row(i, block.column("j").to_numpy()[1:], block.column("value").to_numpy()[1:])
+        if scan is not None:
+            yield out()
+
+    return sent.mapInArrow(tidy(run), f"family {family.simpleString()}, {name} {kind.simpleString()}, cluster {kind.simpleString()}")
+
+
+def threshold_table(members: DataFrame, lower: DataFrame, tree: list[tuple], species: str = "species") -> DataFrame:
+    """(family, threshold, redundancy, compactness): the ordered clusters at each value of the band.
+
+    members: (family, idx, species); lower as in ``clusters_of``; tree: the species tree's (node, parent) rows, of a checked
+    number.  A family's thresholds are dealt into at least ``CHUNKS`` chunks, each a task of its
+    own with ``LABEL_BYTES`` of labels at most; each streams the family's edges over the band's
+    lower end once, in order.
+    """
+    spark = members.sparkSession
+    python_ready(spark, 10_000)
+    family = members.schema["family"].dataType
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"))
+    tried = band_values(lower, "family")
+    counted = tried.groupBy("family").agg(F.count("*").alias("tried")).join(sizes, "family")
+    chunks = counted.select("family", F.greatest(F.lit(CHUNKS), F.ceil(F.col("tried") * F.col("n") * 4 / LABEL_BYTES)).cast("int").alias("chunks"))
+    chunks, _ = write_shared(chunks, "chunks")
+    each = chunks.select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    marks = each.join(members.select("family", F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"), F.col(species).cast("long").alias("kind")), "family")
+    edges = each.join(_both_ways(lower.where(F.col("value") > BAND[0])), "family").select("family", "chunk", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
+    heads = tried.join(chunks, "family").select("family", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("int").alias("chunk"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
+    sent = heads.unionByName(marks.select(heads.columns)).unionByName(edges).repartition("family", "chunk").sortWithinPartitions("family", "chunk", "i", "j", "value")
+
+    def run(batches):
+        clades = trees.Clades(tree)
+        now, scan, kinds = None, None, []
+
+        def out():
+            numbers = clades.number(np.array(kinds))
+            total, share, count = scan.figures(numbers, clades)
+            columns = [pa.array([now[0]] * len(total), to_arrow_type(family)), pa.array(scan.thresholds), pa.array(np.full(len(total), len(kinds))), pa.array(total), pa.array(share), pa.array(count.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["family", "threshold", "size", "kinds", "share", "clusters"])
+
+        for key, i, block in _rows(batches, 2):
+            if key != now:
+                if scan is not None:
+                    yield out()
+                now, scan, kinds = key, None, []
+            block = block.combine_chunks().to_batches()[0]
+            if i < 0:
+                scan = LabelScan(block.column("value").to_numpy())
+            elif scan is not None:  # a chunk can be without thresholds
+                kinds.append(block.column("kind")[0].as_py())
+                scan.row(i, block.column("j").to_numpy()[1:], block.column("value").to_numpy()[1:])
+        if scan is not None:
+            yield out()
+
+    found = sent.mapInArrow(tidy(run), f"family {family.simpleString()}, threshold double, size long, kinds long, share double, clusters long")
+    return found.select("family", "threshold", round_half_up(F.col("size") / F.col("kinds"), 2).alias("redundancy"), round_half_up(F.col("share") / F.col("clusters"), 2).alias("compactness"))
+
+
+def choose_thresholds(members: DataFrame, lower: DataFrame, tree: list[tuple], species: str = "species") -> DataFrame:
+    """(family, threshold) of each family by ``threshold_table``.
+
+    Of the peaks of compactness the first that is near the least redundant and the most compact; the mean of all values tried
+    where there is no peak, the mean of the whole matrix where no value lies in the band.
+    """
+    table, _ = write_shared(threshold_table(members, lower, tree, species), "thresholds")
+    best = near_best(peaks(table, ["family"], ["threshold"], "compactness"), ["family"], "redundancy", "compactness", ["threshold"])
+    tried = table.groupBy("family").agg(F.avg("threshold").alias("tried"))
+    n = members.groupBy("family").agg(F.count("*").alias("n"))
+    whole = lower.groupBy("family").agg(F.sum("value").alias("sum"))
+    out = n.join(best.select("family", "threshold"), "family", "left").join(tried, "family", "left").join(whole, "family", "left")
+    return out.select("family", F.coalesce("threshold", "tried", 2 * F.coalesce("sum", F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("threshold"))
+
+
 def band_values(matrix: DataFrame, family: str) -> DataFrame:
     """(family, value): the distinct values of a matrix inside the band."""
     return matrix.where((F.col("value") > BAND[0]) & (F.col("value") < BAND[1])).select(family, "value").distinct()
@@ -84,22 +279,16 @@ def half_up(x: float, digits: int) -> float:
     return float(np.float32(np.sign(y) * np.floor(np.abs(y) + np.float32(0.5))) / np.float32(10**digits))
 
 
-def choose_threshold(matrix: np.ndarray, species: list[int], span_of) -> float:
-    """The threshold whose clusters are among the least redundant and the most compact at a peak.
-
-    ``span_of(set of species)`` gives the number of leaves below their common ancestor.
-    """
+def choose_threshold(matrix: np.ndarray, species: list[int], clades: trees.Clades) -> float:
+    """``choose_thresholds`` of one family's matrix in memory, where a task has it anyway."""
     values = matrix[~np.eye(len(matrix), dtype=bool)] if len(matrix) > 1 else matrix.ravel()
     tried = np.unique(values[(values > BAND[0]) & (values < BAND[1])])
     if not len(tried):
         return float(matrix.mean()) if matrix.size else float("nan")
-    table = []
-    for t in tried:
-        groups = ordered_clusters(matrix, t)
-        kinds = [{species[i] for i in g} for g in groups]
-        red = half_up(len(species) / sum(map(len, kinds)), 2)
-        comp = half_up(float(np.mean([len(k) / span_of(k) for k in kinds])), 2)
-        table.append((float(t), red, comp))
+    table, numbers = [], clades.number(np.array(species))
+    for some in np.array_split(tried, max(1, -(-len(tried) * len(matrix) * 4 // LABEL_BYTES))):
+        total, share, count = _scan_dense(matrix, some).figures(numbers, clades)
+        table += [(float(t), half_up(len(species) / k, 2), half_up(x / c, 2)) for t, k, x, c in zip(some, total.tolist(), share.tolist(), count.tolist())]
     at = [i for i in range(1, len(table) - 1) if table[i - 1][2] < table[i][2] >= table[i + 1][2]]
     if not at:
         return float(tried.mean())

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from kinfold.functions import newick, sequences, trees
 from kinfold.operators import assembly, assignment, clusters, components, landscapes, matrices
 from kinfold.plans import family_trees, proxies
 from kinfold.plans.proxies import load
-from kinfold.shared import python_ready, shared_dir
+from kinfold.shared import python_ready, shared_dir, write_shared
 from kinfold.sources import files
 
 QUERIES: dict = {}
@@ -488,37 +488,11 @@ SELECT a AS gene, min(b) AS component FROM reach GROUP BY a""",
 )
 
 
-def _family_matrices(spark, sf_dir):
-    """A row a family: genes in order and the lower triangle as arrays, for steps whose order matters."""
-    python_ready(spark)
-    members, lower = _matrix(spark, sf_dir, False)
-    genes = members.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("idx", "gene"))).alias("genes"))
-    cells = lower.groupBy("family").agg(*[F.collect_list(c).alias(c) for c in ("i", "j", "value")])
-    return genes.join(cells, "family", "left").repartition("family")
-
-
-def _dense(row) -> np.ndarray:
-    n = len(row.genes)
-    out = np.zeros((n, n), np.float32)
-    if row.i is not None:
-        i, j = np.asarray(row.i, int), np.asarray(row.j, int)
-        out[i, j] = out[j, i] = np.asarray(row.value, np.float32)
-    return out
-
-
 @query
 def cluster_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the row scan at 0.3, whose order matters."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                for c in clusters.ordered_clusters(_dense(row), 0.3):
-                    out += [(row.family, int(row.genes[x]["gene"]), int(row.genes[c[0]]["gene"])) for x in c]
-            yield pd.DataFrame(out, columns=["family", "gene", "cluster"])
-
-    return _family_matrices(spark, sf_dir).mapInPandas(run, "family int, gene long, cluster long")
+    members, lower = _matrix(spark, sf_dir, False)
+    return clusters.clusters_of(members.select("family", "idx", "gene"), lower, 0.3)
 
 
 _sql(
@@ -568,26 +542,62 @@ SELECT v.family, f.cluster, count(*) AS size, round(any_value(m.mean), 4) AS mea
 
 
 def _species(spark, sf_dir) -> list[tuple]:
-    return [(r["node"], r["parent"], f"N{r['node']}") for r in proxies.species_tree(spark, sf_dir).collect()]  # 31 rows
+    """The species tree's rows on the driver, of a checked number."""
+    return family_trees.species_rows(proxies.species_tree(spark, sf_dir).select("node", "parent", F.concat(F.lit("N"), "node").alias("name")))
 
 
 @query
 def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen similarity threshold of each label; a vector's species is a nation by its id; no SQL form."""
-    species = _species(spark, sf_dir)
+    """The chosen similarity threshold of each label; a vector's species is a nation by its id."""
+    members, lower = _matrix(spark, sf_dir, False)
+    lower, _ = write_shared(lower, "lower")
+    members, _ = write_shared(members.select("family", "idx", (100 + F.col("gene") % 25).alias("species")), "members")
+    found = clusters.choose_thresholds(members, lower, _species(spark, sf_dir))
+    return found.select("family", F.round("threshold", 5).alias("threshold"))
 
-    def run(frames):
-        s = assembly.Species(species)
-        tips = sorted(s.span[s.root])
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                of = [tips[int(g["gene"]) % len(tips)] for g in row.genes]
-                t = clusters.choose_threshold(_dense(row), of, lambda kinds: len(s.span[s.mrca(kinds)]))
-                out.append((row.family, round(t, 5)))
-            yield pd.DataFrame(out, columns=["family", "threshold"])
 
-    return _family_matrices(spark, sf_dir).mapInPandas(run, "family int, threshold double")
+_sql(
+    "threshold_choice",
+    """,
+band AS (SELECT DISTINCT family, value AS t FROM lower_ WHERE value > 0.15 AND value < 0.7),
+steps AS (
+  SELECT family, t, i, j, row_number() OVER (PARTITION BY family, t ORDER BY i, j) AS k FROM (
+    SELECT b.family, t, idx AS i, -1 AS j FROM vectors v JOIN band b ON b.family = v.family
+    UNION ALL SELECT b.family, t, i, j FROM matrix m JOIN band b ON b.family = m.family AND m.value >= b.t WHERE i <> j)),
+walk(family, t, k, labels, now, fresh) AS (
+  SELECT b.family, t, 0::BIGINT, list_transform(range(n), lambda x: -1), -1, 0 FROM band b JOIN (SELECT family, count(*) AS n FROM vectors GROUP BY family) c ON c.family = b.family
+  UNION ALL
+  SELECT w.family, w.t, s.k,
+    CASE WHEN s.j < 0 THEN list_transform(labels, lambda v, p: CASE WHEN p = s.i + 1 AND v < 0 THEN fresh ELSE v END)
+         WHEN labels[s.j + 1] < 0 OR labels[s.j + 1] = now THEN list_transform(labels, lambda v, p: CASE WHEN p = s.j + 1 THEN now ELSE v END)
+         ELSE list_transform(labels, lambda v, p: CASE WHEN p <= s.j AND v = now THEN labels[s.j + 1] ELSE v END) END,
+    CASE WHEN s.j < 0 THEN CASE WHEN labels[s.i + 1] < 0 THEN fresh ELSE labels[s.i + 1] END WHEN labels[s.j + 1] < 0 THEN now ELSE labels[s.j + 1] END,
+    CASE WHEN s.j < 0 AND labels[s.i + 1] < 0 THEN fresh + 1 ELSE fresh END
+  FROM walk w JOIN steps s ON s.family = w.family AND s.t = w.t AND s.k = w.k + 1),
+done AS (SELECT family, t, arg_max(labels, k) AS labels FROM walk GROUP BY family, t),
+labelled AS (SELECT DISTINCT v.family, d.t, d.labels[v.idx + 1] AS label, 100 + v.gene % 25 AS species FROM vectors v JOIN done d ON d.family = v.family),
+grouped AS (SELECT family, t, label, count(*) AS kinds FROM labelled GROUP BY ALL),
+covering AS (
+  SELECT l.family, l.t, l.label, up.anc, count(*) AS cover FROM labelled l JOIN up ON up.node = l.species GROUP BY ALL),
+shares AS (
+  SELECT g.family, g.t, g.kinds, g.kinds / min(s.span)::DOUBLE AS share
+  FROM grouped g JOIN covering c ON c.family = g.family AND c.t = g.t AND c.label = g.label AND c.cover = g.kinds JOIN spans s ON s.node = c.anc GROUP BY g.family, g.t, g.label, g.kinds),
+sizes AS (SELECT family, count(*) AS n FROM vectors GROUP BY family),
+table_ AS (
+  SELECT s.family, s.t, floor(any_value(n)::DOUBLE / sum(kinds) * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS red, floor(avg(share) * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS comp
+  FROM shares s JOIN sizes z ON z.family = s.family GROUP BY s.family, s.t),
+near AS (SELECT *, lag(comp) OVER w AS a, lead(comp) OVER w AS b FROM table_ WINDOW w AS (PARTITION BY family ORDER BY t)),
+peak AS (SELECT *, min(red) OVER (PARTITION BY family) AS least FROM near WHERE a < comp AND comp >= b),
+low AS (SELECT *, max(comp) OVER (PARTITION BY family) AS most FROM peak WHERE red <= 1.1::DOUBLE * least),
+best AS (SELECT family, min(t) AS t FROM low WHERE comp >= 0.95::DOUBLE * most GROUP BY family),
+tried AS (SELECT family, avg(t) AS t FROM band GROUP BY family),
+whole AS (SELECT family, sum(value) AS s FROM matrix GROUP BY family)
+SELECT z.family, round(coalesce(best.t, tried.t, s / (n * n)), 5) AS threshold
+FROM sizes z LEFT JOIN best ON best.family = z.family LEFT JOIN tried ON tried.family = z.family LEFT JOIN whole ON whole.family = z.family""",
+    True,
+    "vectors_",
+    "tree_",
+)
 
 
 # --- choices ----------------------------------------------------------------
@@ -651,21 +661,10 @@ SELECT family, node FROM inside EXCEPT SELECT family, node FROM outside""",
 @query
 def greedy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as links from return flags to suppliers' nations, taken greedily by price."""
-    python_ready(spark)
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_suppkey", "l_partkey", "l_extendedprice")
-    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
-    packed = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "s_nationkey", "l_partkey", "l_extendedprice")).alias("links"))
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for key, links in zip(frame["l_orderkey"], frame["links"]):
-                taken = assignment.greedy_links([(x["l_returnflag"], x["s_nationkey"], x["l_partkey"], x["l_extendedprice"]) for x in links], lambda x: (-x[3], x[0], x[1], x[2]))
-                out += [(key, *t[:3]) for t in taken]
-            yield pd.DataFrame(out, columns=["l_orderkey", "arm", "kind", "gene"])
-
-    return packed.mapInPandas(run, "l_orderkey long, arm string, kind int, gene long")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("arm"), "l_suppkey", F.col("l_partkey").alias("gene"), "l_extendedprice")
+    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("kind"))
+    links = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
+    return assignment.match_greedily(links, ["l_orderkey"], ["arm", "kind"], "gene", [-F.col("l_extendedprice")])
 
 
 _sql(
