@@ -6,9 +6,9 @@ other labels whose score is from ``low`` to ``high`` hundredths of the positive'
 
 **Rotation.**  The principal axes of a sample (``SAMPLE_ROWS`` rows a length of vector at most, by a hash of the
 id) are an orthogonal rotation, which leaves inner products as they are.  Most of the mass lies
-in the leading components: after ``STEPS`` of them a score is at most the partial product plus the product of the
+in the leading components: after each of ``STEPS`` a score is at most the partial product plus the product of the
 two residual norms.  A pair whose bound, with a slack for the rounding of the rotated doubles, is under what its
-anchor still needs is discarded; those left after the last step are verified by integer products,
+anchor still needs is discarded at once; those left after the last step are verified by integer products,
 in doubles while these are exact (under 2**53), in 64-bit integers beyond.
 
 **Plan.**  Anchors and rows meet in a grid of blocks: anchors in blocks of ``ANCHOR_BYTES`` at most, rows in blocks
@@ -40,7 +40,9 @@ SCALE = 256
 SAMPLE_ROWS, MOST_LENGTHS = 20_000, 256
 ANCHOR_BYTES, ROW_BLOCK, LEAST_ROWS = 64 << 20, 200_000, 2000
 #: Parts of the components after which pairs are discarded.
-STEPS = (0.25, 0.5)
+STEPS = (0.25, 0.5, 1.0)
+#: Part of a block's pairs under which the rest are worked on one by one.
+SPARSE = 0.02
 #: Scores at a time.
 CELLS = 2_000_000
 #: Rounding of rotated products, as a part of the product of the norms.
@@ -103,22 +105,29 @@ class Side:
 
 
 def survivors(a: Side, b: Side, needed: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) among the ``allowed`` whose score can reach what the row of a needs."""
-    slack = SLACK * a.norm[:, None] * b.norm + 1e-6
-    i = j = None
-    before = 0
-    part = np.zeros(0)
+    """Pairs (row of a, row of b) among the ``allowed`` whose score can reach what the row of a needs.
+
+    Products are added up for whole blocks while many pairs are left, and pair by pair once few are.
+    """
+    slack = SLACK * a.norm.max(initial=0) * b.norm.max(initial=0) + 1e-6
+    floor = (needed - slack)[:, None]
+    product = np.zeros(allowed.shape)
+    left, i, j, part, before = allowed, None, None, None, 0
     for cut, ra, rb in zip(a.cuts, a.rest, b.rest):
         if i is None:
-            product = a.rotated[:, :cut] @ b.rotated[:, :cut].T
-            i, j = np.nonzero(allowed & (product + ra[:, None] * rb + slack >= needed[:, None]))
-            part = product[i, j]
+            product += a.rotated[:, before:cut] @ b.rotated[:, before:cut].T
+            left = left & (product >= floor - ra[:, None] * rb)
+            if np.count_nonzero(left) < SPARSE * left.size:
+                i, j = np.nonzero(left)
+                part = product[i, j]
         else:
             part = part + np.einsum("ij,ij->i", a.rotated[i, before:cut], b.rotated[j, before:cut])
-            left = part + ra[i] * rb[j] + slack[i, j] >= needed[i]
-            i, j, part = i[left], j[left], part[left]
+            stays = part >= floor[i, 0] - ra[i] * rb[j]
+            i, j, part = i[stays], j[stays], part[stays]
         before = cut
-    return (i, j) if i is not None else np.nonzero(allowed & (0 >= needed[:, None]))
+    if a.cuts:
+        return (i, j) if i is not None else np.nonzero(left)
+    return np.nonzero(allowed & (0 >= floor))
 
 
 class Best:
