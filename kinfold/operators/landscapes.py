@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import sequences
+from kinfold.operators import tiles
 from kinfold.shared import python_ready
 
 #: Neighbours on either side; landscapes of more symbols than this are core; most paths to enumerate.
@@ -59,10 +60,9 @@ def tandems(genes: DataFrame, family: str, place: list[str], gene: str, left_fam
 
 
 def pairs(genes: DataFrame, family: str, idx: str, *columns: str) -> DataFrame:
-    """All pairs of a family, the later gene first: columns with i_ and j_ before their names."""
-    a = genes.select(F.col(family), *[F.col(c).alias(f"i_{c}") for c in (idx, *columns)])
-    b = genes.select(F.col(family), *[F.col(c).alias(f"j_{c}") for c in (idx, *columns)])
-    return a.join(b, family).where(F.col(f"i_{idx}") > F.col(f"j_{idx}"))
+    """All pairs of a family, the later gene first: columns with i_ and j_ before their names; in tiles."""
+    names = (idx, *columns)
+    return tiles.pair_up(genes, family, idx, {c: f"i_{c}" for c in names}, {c: f"j_{c}" for c in names})
 
 
 def compress(seq) -> tuple[list, list[int]]:

@@ -343,7 +343,7 @@ SELECT own.family, round(own.own / seen.cover::DOUBLE, 5) AS filling FROM own JO
 
 def _matrix(spark, sf_dir, whole=True):
     members = proxies.label_members(spark, sf_dir)
-    lower = matrices.triangle(members, "family", "idx", lambda a, b: F.round(matrices.cosine(F.col(f"{a}.embedding"), F.col(f"{b}.embedding")), 5))
+    lower = matrices.cosines(members, "family", "idx", "embedding").withColumn("value", F.round("value", 5))
     return members, matrices.symmetric(lower, members, "family", "idx") if whole else lower
 
 
