@@ -221,6 +221,87 @@ def test_names_rule_out_boilerplate():
     assert html_text.main_text(f"<body><article><p>{LONG}</p></article>{thread}</body>") == long
 
 
+def test_ids_that_headings_and_sections_have_by_chance():
+    long = LONG.strip()
+    text = lambda inner: html_text.main_text(f"<body><nav><a href=m>menu</a></nav><article><p>{LONG}</p>{inner}</article></body>").split("\n\n")
+    for name in ("discussion", "search", "related"):
+        assert text(f'<h2 id="{name}">Discussion</h2><p>More.</p>') == [long, "Discussion", "More."]
+        assert text(f'<section id="{name}"><h2>Discussion</h2><p>{LONG}</p></section>') == [long, "Discussion", long]
+    for name in ("follow", "tags", "rating"):
+        assert text(f'<div class="{name}"><p>{LONG}</p></div>') == [long, long]
+        assert text(f'<div class="{name}"><a href=x>one</a> <a href=y>two</a></div>') == [long]
+    assert text('<section id="comments"><p>A reader. Says this, and that. ' + LONG + "</p></section>") == [long]
+
+
+def test_headers_of_articles_are_told_by_their_paths():
+    page = f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>By J. Doe</p></header><p>{LONG}</p><footer>(c)</footer></article></body>"
+    assert html_text.main_text(page) == f"Title\n\n{LONG.strip()}"
+
+
+def test_text_of_formulas_objects_and_fallbacks_stays():
+    page = f"<body><article><p>Let <math><mi>x</mi></math> be. <object>Plan B.</object></p><noscript><p>{LONG}</p></noscript></article><noscript>Turn scripts on.</noscript></body>"
+    assert html_text.main_text(page) == f"Let x be. Plan B.\n\n{LONG.strip()}"
+
+
+def test_an_article_beside_a_main_of_one_line():
+    assert html_text.main_text(f"<body><main><p>Welcome, reader.</p></main><article><h1>T</h1><p>{LONG}</p></article></body>") == f"Welcome, reader.\n\nT\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("attrs", ["", " class=ad", " class=x"])
+def test_deep_pages_take_linear_time(attrs):
+    deep = f"<div{attrs}>" * 600 + "<p>x y.</p>" * 90_000  # 1 MB
+    began = time.process_time()
+    assert html_text.main_text(deep).count("x y.") == 90_000
+    nested = "".join(f"<div class=c{i}><p>Text, number {i}.</p>" for i in range(20_000))
+    assert html_text.main_text(nested)
+    assert time.process_time() - began < 10
+
+
+def test_articles_named_otherwise_are_found_by_their_paths(spark):
+    """The table's articles as plain divs: path scores alone find all of their text, and no menu, advert or footer."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = short = 0
+    for page in pages:
+        want, got = html_text.main_blocks(page), html_text.main_blocks(page.replace("article>", "div>"))
+        assert not set(got) - set(want)
+        same += got == want
+        short += sum(map(len, want)) - sum(map(len, got))
+    assert same >= 0.97 * len(pages) and short <= 0.01 * sum(len(p) for p in pages)
+
+
+def brute_scores(page):
+    """Smoothed ratios by root-to-leaf paths as strings, from the blocks' own texts."""
+    whole = html_text.read(page)
+
+    def path(e):
+        return (path(whole.holder[e]) if e else "") + "/" + " ".join(whole.part[whole.path[e]])
+
+    rows = [(path(b.element), b.text, b.links) for b in whole.blocks]
+    ratio = {}
+    for p in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == p]
+        chars, marks, links = sum(len(t) for _, t, _ in own), sum(t.count(c) for _, t, _ in own for c in ".,;:!?…。、，；：！？"), sum(x for _, _, x in own)
+        ratio[p] = chars / len(own) * (0.25 + marks / len(own)) ** 0.5 * (1 - links / chars)
+    raw = [ratio[r[0]] for r in rows]
+    score = {}
+    for i, (p, _, _) in enumerate(rows):
+        near = raw[max(0, i - 1) : i + 2]
+        score.setdefault(p, []).append((raw[i] + sum(near)) / (1 + len(near)))
+    return rows, {p: sum(s) / len(s) for p, s in score.items()}
+
+
+def test_paths_over_the_threshold_are_content(spark):
+    """On the table's pages without marks, a block whose path scores a tenth of the best is kept, if it stands where nine tenths of the weight are."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()[:60]:
+        page = r.html.replace("article>", "div>").replace('<div class="ad">', "<div>")
+        rows, score = brute_scores(page)
+        body = next(p for p, t, _ in rows if t == max((t for _, t, _ in rows), key=len)).rsplit("/", 1)[0]
+        most = max(score[p] for p, _, _ in rows if p.startswith(body))
+        must = [t for p, t, _ in rows if p.startswith(body + "/") and score[p] >= 0.1 * most]
+        got = html_text.main_blocks(page)
+        assert must and [t for t in got if t in set(must)] == must
+
+
 def test_markup_that_never_ends_takes_linear_time():
     n = 300_000
     for page in ("<p>x</p><p>" + "<a " * n, "<p>x</p>" + "<div>" * n + "y" + "</ul>" * n, "<p>x" + "<a '>" * n + '"', "<svg/>" * n + "<p>x</p>", "<p>x</p>" + "<!--" * n, "<p>x</p>" + "<b title=\"x' " * n, "<p>x</p>" + "<b title= 'x" * n + ">"):
