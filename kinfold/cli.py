@@ -34,8 +34,7 @@ def _landscapes(spark: SparkSession, families: list[str], book: str, half: int)
 def align(spark: SparkSession, families: list[str], book: str, out: str, half: int = landscapes.HALF_WINDOW) -> None:
     """A synteny matrix text for each family, in folders by family."""
     genes = _landscapes(spark, files.expand(families), book, half)
-    paired = landscapes.pairs(genes, "family", "gene_idx", "landscape")
-    lower = landscapes.score_pairs(paired, "i_landscape", "j_landscape").select("family", F.col("i_gene_idx").alias("i"), F.col("j_gene_idx").alias("j"), F.col("score").cast("double").alias("value"))
+    lower = landscapes.threaded_pairs(genes, "family", "gene_idx", "landscape").select("family", F.col("i_gene_idx").alias("i"), F.col("j_gene_idx").alias("j"), F.col("score").cast("double").alias("value"))
     whole = matrices.symmetric(lower, genes, "family", "gene_idx")
     names = genes.select("family", F.col("gene_idx").alias("i"), F.col("gene").alias("name"))
     files.write_texts(matrices.to_text(whole, names, "family"), out)

@@ -57,8 +57,8 @@ def lcs_score(a: Column, b: Column) -> Column:
 
 
 def run_lengths(seq: Column) -> Column:
-    """Runs of equal neighbours as array<struct<sym, w>>; an empty array has none."""
-    breaks = F.filter(F.sequence(F.lit(1), F.size(seq)), lambda i: (i == 1) | (F.element_at(seq, i) != F.get(seq, i - 2)))
+    """Runs of equal neighbours as array<struct<sym, w>>; an empty array has none; nulls are equal."""
+    breaks = F.filter(F.sequence(F.lit(1), F.size(seq)), lambda i: (i == 1) | ~F.element_at(seq, i).eqNullSafe(F.get(seq, i - 2)))
     ends = F.concat(F.slice(breaks, 2, F.size(breaks)), F.array(F.size(seq) + 1))
     return F.when(F.size(seq) == 0, F.expr("array()")).otherwise(F.zip_with(breaks, ends, lambda s, e: F.struct(F.element_at(seq, s).alias("sym"), (e - s).alias("w"))))
 

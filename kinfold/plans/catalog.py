@@ -108,9 +108,8 @@ SELECT family, i_gene, j_gene, round((CASE WHEN lcs >= 1 THEN lcs - 1 ELSE lcs E
 
 @query
 def threaded_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threaded score of all pairs of orders of a customer, in Arrow batches."""
-    paired = landscapes.pairs(proxies.order_landscapes(spark, sf_dir), "family", "gene", "landscape")
-    scored = landscapes.score_pairs(paired, "i_landscape", "j_landscape")
+    """The threaded score of all pairs of orders of a customer."""
+    scored = landscapes.threaded_pairs(proxies.order_landscapes(spark, sf_dir), "family", "gene", "landscape")
     return scored.select("family", "i_gene", "j_gene", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
