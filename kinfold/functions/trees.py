@@ -1,17 +1,19 @@
 """Relations of rooted trees held as (node, parent) rows.
 
-Closures come from a recursive query; leaf sets, spans, common ancestors and losses
-are joins and counts on the closure.  Species trees are small beside gene tables;
-Spark broadcasts them where their size allows it.
+Closures come from doubling; leaf sets and covers are joins and counts on the closure.  Common ancestors and losses
+need none: nodes are numbered depth first, and a family's first, last and neighbouring
+numbers say all.  Species trees are small beside gene tables; their number of nodes is checked.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.shared import write_shared
+from kinfold.shared import bounded, python_ready, write_counted, write_shared
 
 
 class Clades:
@@ -75,22 +77,42 @@ class Clades:
         return self.span[self.mrca(low, high)]
 
 
+#: Rows that a species tree may have to be numbered on the driver and sent along with tasks.
+MOST_NODES = 1_000_000
+
+
+def clades_of(tree: DataFrame) -> Clades:
+    """The numbered tree, after a check of its number of rows."""
+    rows = tree.select("node", "parent").limit(MOST_NODES + 1).collect()
+    if len(rows) > MOST_NODES:
+        raise ValueError("the species tree has too many nodes")
+    return Clades([(r["node"], r["parent"]) for r in rows])
+
+
+def numbers(spark: SparkSession, clades: Clades) -> DataFrame:
+    """(node, number, end, depth, span): a subtree is the numbers from its node's up to ``end``, span its leaves."""
+    columns = [pa.array(clades.nodes), *(pa.array(x.astype(np.int64)) for x in (np.arange(len(clades.nodes)), clades.end, clades.depth, clades.span))]
+    return spark.createDataFrame(pa.table(columns, names=["node", "number", "end", "depth", "span"]))
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """(anc, node, dist) for every node and each of its ancestors, itself at 0.
 
-    A tree may have a hundred levels and its closure a million rows, Spark's limits of a recursive query.
+    By doubling: the ancestors at distances under 2**(k+1) are those under 2**k and what lies 2**k above them.
+    A round for each power of two up to the height; no limit of levels or rows.
     """
-    spark = tree.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(anc, node, dist) AS (
-          SELECT node, node, 0 FROM {tree}
-          UNION ALL
-          SELECT t.parent, up.node, up.dist + 1 FROM up JOIN {tree} t ON up.anc = t.node WHERE t.parent IS NOT NULL)
-        SELECT anc, node, dist FROM up
-        """,
-        tree=tree,
-    )
+    found = tree.select(F.col("node").alias("anc"), "node", F.lit(0).alias("dist"))
+    up, _, n = write_counted(tree.where("parent is not null").select("node", F.col("parent").alias("up")), "up")
+    step = 1
+    while n:
+        above = found.join(up.select(F.col("node").alias("anc"), "up"), "anc").select(F.col("up").alias("anc"), "node", (F.col("dist") + step).alias("dist"))
+        found = found.unionByName(above)
+        if step > 4:
+            found, _ = write_shared(found, "closure")
+        further = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
+        up, _, n = write_counted(further, "up")
+        step *= 2
+    return found
 
 
 def leaves(tree: DataFrame) -> DataFrame:
@@ -118,28 +140,85 @@ def covers(members: DataFrame, closed: DataFrame, family: str = "family", specie
     return distinct.join(closed, "node").groupBy(family, "anc").agg(F.count("*").alias("cover"))
 
 
-def mrcas(covered: DataFrame, closed: DataFrame, family: str = "family") -> DataFrame:
-    """(family, mrca): the deepest node that covers all of a family's species."""
-    ranked = covered.join(depths(closed).withColumnRenamed("node", "anc"), "anc")
-    whole = Window.partitionBy(family)
-    # The root covers every species, so the largest cover of a family is its size.
-    full = ranked.withColumn("most", F.max("cover").over(whole)).where("cover = most")
-    return full.groupBy(family).agg(F.max_by("anc", "depth").alias("mrca"))
+def _numbered(members: DataFrame, clades: Clades, family: str, species: str) -> DataFrame:
+    """(family, number): the distinct numbers of each family's species."""
+    labels = bounded(numbers(members.sparkSession, clades).select(F.col("node").alias(species), "number"), len(clades.nodes))
+    return members.select(family, species).distinct().join(labels, species).select(family, "number")
 
 
-def losses(covered: DataFrame, tops: DataFrame, tree: DataFrame, closed: DataFrame, family: str = "family", large_only: bool = False) -> DataFrame:
-    """(family, losses): maximal internal nodes below each family's MRCA that hold none of its species.
+def mrcas(members: DataFrame, clades: Clades, family: str = "family", species: str = "species") -> DataFrame:
+    """(family, mrca, span): the deepest node above all of a family's species, and its leaves.
+
+    The first and the last number of a family say which: one minimum over the range between them.
+    """
+    python_ready(members.sparkSession, 10_000)
+    kind = "long" if members.schema[species].dataType.simpleString() == "bigint" else members.schema[species].dataType.simpleString()
+    sent = members.sparkSession.sparkContext.broadcast(clades)
+
+    @F.pandas_udf(f"mrca {kind}, span long")
+    def top(low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        c = sent.value
+        at = c.mrca(low.to_numpy(), high.to_numpy())
+        return pd.DataFrame({"mrca": [c.nodes[i] for i in at.tolist()], "span": c.span[at]})
+
+    ends = _numbered(members, clades, family, species).groupBy(family).agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    return ends.select(family, top("low", "high").alias("top")).select(family, "top.mrca", "top.span")
+
+
+def losses(members: DataFrame, clades: Clades, family: str = "family", species: str = "species", large_only: bool = False) -> DataFrame:
+    """(family, losses): maximal inner nodes below each family's common ancestor that hold none of its species.
 
     A lone missing leaf costs nothing.  ``large_only`` leaves out nodes whose span is a single leaf.
+    The nodes between the species and their ancestor lose their inner children that are not among them.  Such sums
+    over the union of paths follow from sums along the paths from the root: in the order of their numbers
+    each species adds what lies between it and the ancestor that it shares with the one before.
+    """
+    python_ready(members.sparkSession, 10_000)
+    inner = ~clades.leaf & ((clades.span > 1) if large_only else True)
+    weight = np.bincount(clades.parent[1:][inner[1:]], minlength=len(inner)) - inner
+    along = weight.copy()
+    for i in range(1, len(along)):
+        along[i] += along[clades.parent[i]]
+    sent = members.sparkSession.sparkContext.broadcast((clades, along, inner.astype(np.int64)))
+
+    @F.pandas_udf("long")
+    def between(before: pd.Series, number: pd.Series) -> pd.Series:
+        c, total, _ = sent.value
+        number, known = number.to_numpy(), before.notna().to_numpy()
+        out = total[number]
+        out[known] -= total[c.mrca(before[known].to_numpy().astype(np.int64), number[known])]
+        return pd.Series(out)
+
+    @F.pandas_udf("long")
+    def lost(sums: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        c, total, own = sent.value
+        top = c.mrca(low.to_numpy(), high.to_numpy())
+        # What lies above the ancestor does not count, and itself it is no inner child of what does.
+        return pd.Series(sums.to_numpy() - np.where(top > 0, total[c.parent[top]], 0) + own[top])
+
+    rows = _numbered(members, clades, family, species)
+    rows = rows.withColumn("before", F.lag("number").over(Window.partitionBy(family).orderBy("number")))
+    rows = rows.select(family, "number", between("before", "number").alias("part"))
+    sums = rows.groupBy(family).agg(F.sum("part").alias("sums"), F.min("number").alias("low"), F.max("number").alias("high"))
+    return sums.select(family, lost("sums", "low", "high").alias("losses"))
+
+
+def nearest_kept(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, parent) of the rows (by, node, parent, gone) that are not gone; parents are the nearest ancestors that stay.
+
+    By pointer jumping among the gone nodes: each looks past the gone node that it points to, twice as far a
+    round, so rounds grow with the logarithm of the longest run of gone nodes.
     """
-    inner = tree.join(tree.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_semi").where("parent is not null")
-    if large_only:
-        inner = inner.join(span_sizes(tree, closed).where("span > 1"), "node", "left_semi")
-    below = tops.join(closed, tops["mrca"] == closed["anc"]).select(family, F.col("node").alias("anc"))
-    present = covered.select(family, "anc").join(below, [family, "anc"], "left_semi")
-    lost = present.join(inner.select(F.col("parent").alias("anc"), F.col("node").alias("child")), "anc")
-    lost = lost.join(covered.select(family, F.col("anc").alias("child")), [family, "child"], "left_anti")
-    return tops.select(family).join(lost.groupBy(family).agg(F.count("*").alias("losses")), family, "left").select(family, F.coalesce("losses", F.lit(0)).cast("long").alias("losses"))
+    jump, _, n = write_counted(rows.where("gone").select(*by, "node", F.col("parent").alias("to")), "jump")
+    while n:
+        ahead = jump.select(*by, F.col("node").alias("to"), F.col("to").alias("next"), F.lit(True).alias("again"))
+        moved = jump.join(ahead, [*by, "to"], "left").select(*by, "node", F.when(F.col("again"), F.col("next")).otherwise(F.col("to")).alias("to"), F.coalesce("again", F.lit(False)).alias("again"))
+        seen = Observation()
+        moved, _ = write_shared(moved.observe(seen, F.count_if("again").alias("n")), "jump")
+        jump, n = moved.drop("again"), seen.get["n"]
+    past = jump.select(*by, F.col("node").alias("parent"), F.col("to"), F.lit(True).alias("past"))
+    kept = rows.where(~F.col("gone")).select(*by, "node", "parent").join(past, [*by, "parent"], "left")
+    return kept.select(*by, "node", F.when(F.col("past"), F.col("to")).otherwise(F.col("parent")).alias("parent"))
 
 
 def reachable(tree: DataFrame, content: DataFrame, by: list[str]) -> DataFrame:

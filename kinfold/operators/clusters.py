@@ -248,13 +248,11 @@ def redundancy(members: DataFrame, family: str, cluster: str, species: str) -> D
     return each.groupBy(family).agg(round_half_up(F.sum("size") / F.sum("kinds"), 2).alias("redundancy"))
 
 
-def compactness(members: DataFrame, tree: DataFrame, closed: DataFrame, family: str, cluster: str, species: str) -> DataFrame:
+def compactness(members: DataFrame, clades: trees.Clades, family: str, cluster: str, species: str) -> DataFrame:
     """(family, compactness): mean over clusters of species over the span of their common ancestor, to two decimals."""
     keyed = members.select(F.struct(family, cluster).alias("family"), F.col(species).alias("species"))
-    covered = trees.covers(keyed, closed)
-    top = trees.mrcas(covered, closed)
     kinds = keyed.groupBy("family").agg(F.count_distinct("species").alias("kinds"))
-    sized = top.join(trees.span_sizes(tree, closed).withColumnRenamed("node", "mrca"), "mrca").join(kinds, "family")
+    sized = trees.mrcas(keyed, clades).join(kinds, "family")
     return sized.select(F.col(f"family.{family}").alias(family), (F.col("kinds") / F.col("span")).alias("share")).groupBy(family).agg(round_half_up(F.avg("share"), 2).alias("compactness"))
 
 

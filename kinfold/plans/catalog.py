@@ -17,7 +17,7 @@ from kinfold.functions import newick, sequences, trees
 from kinfold.operators import assembly, assignment, clusters, components, landscapes, matrices
 from kinfold.plans import family_trees, proxies
 from kinfold.plans.proxies import load
-from kinfold.shared import python_ready, shared_dir, write_shared
+from kinfold.shared import bounded, python_ready, shared_dir, write_counted, write_shared
 from kinfold.sources import files
 
 QUERIES: dict = {}
@@ -249,18 +249,21 @@ def _covered(spark, sf_dir):
     return tree, closed, members, trees.covers(members, closed)
 
 
+def _tops(spark, sf_dir, members):
+    """(family, mrca) of the members' species."""
+    return trees.mrcas(members, trees.clades_of(proxies.species_tree(spark, sf_dir))).select("family", "mrca")
+
+
 @query
 def family_mrca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, closed, _, covered = _covered(spark, sf_dir)
-    return trees.mrcas(covered, closed)
+    return _tops(spark, sf_dir, proxies.order_species(spark, sf_dir))
 
 
 _sql("family_mrca", " SELECT family, mrca FROM mrca", True, "tree_", "members_")
 
 
 def _lost(spark, sf_dir, large):
-    tree, closed, _, covered = _covered(spark, sf_dir)
-    return trees.losses(covered, trees.mrcas(covered, closed), tree, closed, large_only=large)
+    return trees.losses(proxies.order_species(spark, sf_dir), trees.clades_of(proxies.species_tree(spark, sf_dir)), large_only=large)
 
 
 @query
@@ -301,8 +304,7 @@ SELECT customer, floor(sum(size)::DOUBLE / sum(kinds) * 100 + 0.5::DOUBLE + 1e-9
 
 @query
 def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, closed = _closed(spark, sf_dir)
-    return clusters.compactness(proxies.order_species(spark, sf_dir), tree, closed, "customer", "family", "species")
+    return clusters.compactness(proxies.order_species(spark, sf_dir), trees.clades_of(proxies.species_tree(spark, sf_dir)), "customer", "family", "species")
 
 
 _sql(
@@ -318,9 +320,9 @@ SELECT customer, floor(avg(share) * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS c
 @query
 def filling_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Species of an order over those of its customer below the order's common ancestor."""
-    tree, closed, members, covered = _covered(spark, sf_dir)
-    kinds = members.select("customer", "family", "species").distinct()
-    own = kinds.groupBy("customer", "family").agg(F.count("*").alias("own")).join(trees.mrcas(covered, closed), "family")
+    _, closed = _closed(spark, sf_dir)
+    kinds = proxies.order_species(spark, sf_dir).distinct()
+    own = kinds.groupBy("customer", "family").agg(F.count("*").alias("own")).join(_tops(spark, sf_dir, kinds), "family")
     by_customer = trees.covers(kinds.select(F.col("customer").alias("family"), "species"), closed).withColumnRenamed("family", "customer")
     joined = own.join(by_customer.withColumnRenamed("anc", "mrca"), ["customer", "mrca"])
     return joined.select("family", F.round(F.col("own") / F.col("cover"), 5).alias("filling"))
@@ -698,7 +700,7 @@ def _family_skeletons(spark, sf_dir):
 def reconcile_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, node, parent, genes): the species tree from each order's common ancestor down, where it has species."""
     tree, closed, members, covered, kept = _family_skeletons(spark, sf_dir)
-    tops = trees.mrcas(covered, closed)
+    tops = _tops(spark, sf_dir, members)
     below = tops.join(closed, tops["mrca"] == closed["anc"]).select("family", "mrca", F.col("node"))
     genes = members.groupBy("family", F.col("species").alias("node")).agg(F.count("*").alias("genes"))
     rows = kept.join(below, ["family", "node"]).join(genes, ["family", "node"], "left")
@@ -717,7 +719,8 @@ def prune_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, node): nodes of a customer's copy of the species tree with a gene at or below them; families are customers."""
     tree, _, members, _ = _covered(spark, sf_dir)
     content = members.select(F.col("customer").alias("family"), F.col("species").alias("node")).distinct()
-    copies = content.select("family").distinct().join(F.broadcast(tree))  # the species tree of 31 nodes for each family
+    tree, _, n = write_counted(tree, "tree")
+    copies = content.select("family").distinct().crossJoin(bounded(tree, n))  # a copy of the species tree for each family, by definition
     return trees.reachable(copies, content, ["family"]).select("family", "node")
 
 
@@ -727,15 +730,10 @@ _sql("prune_reachable", " SELECT DISTINCT customer AS family, anc AS node FROM k
 @query
 def splice_single_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, node, parent): the skeletons without empty nodes that have a single child."""
-    rows = reconcile_skeleton(spark, sf_dir)
+    rows, _ = write_shared(reconcile_skeleton(spark, sf_dir), "skeletons")
     kids = rows.where("parent is not null").groupBy("family", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
     marked = rows.join(kids, ["family", "node"], "left").withColumn("gone", (F.coalesce("kids", F.lit(0)) == 1) & (F.col("genes") == 0) & F.col("parent").isNotNull())
-    # A kept node's parent is the nearest ancestor that stays.
-    closed = trees.closure(proxies.species_tree(spark, sf_dir)).where("dist > 0")
-    stay = marked.where(~F.col("gone")).select("family", F.col("node").alias("anc"))
-    pairs = marked.where(~F.col("gone") & F.col("parent").isNotNull()).select("family", "node").join(closed, "node").join(stay, ["family", "anc"])
-    near = pairs.groupBy("family", "node").agg(F.min_by("anc", "dist").alias("parent"))
-    return marked.where(~F.col("gone")).select("family", "node").join(near, ["family", "node"], "left")
+    return trees.nearest_kept(marked.select("family", "node", "parent", "gone"), ["family"])
 
 
 _sql(

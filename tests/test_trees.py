@@ -37,11 +37,80 @@ def test_losses_as_sets_equal_the_walk(spark):
     families = {f: {r.choice(tips) for _ in range(r.randint(1, 5))} for f in range(40)}
     tree = spark.createDataFrame([(n, p) for n, p in s.parent.items()], "node int, parent int")
     members = spark.createDataFrame([(f, k) for f, ks in families.items() for k in ks], "family int, species int")
-    closed = trees.closure(tree)
-    covered = trees.covers(members, closed)
-    tops = trees.mrcas(covered, closed)
-    assert {r.family: r.mrca for r in tops.collect()} == {f: s.mrca(k) for f, k in families.items()}
-    assert {r.family: r.losses for r in trees.losses(covered, tops, tree, closed).collect()} == {f: s.losses(k) for f, k in families.items()}
+    clades = trees.clades_of(tree)
+    tops = trees.mrcas(members, clades).collect()
+    assert {t.family: t.mrca for t in tops} == {f: s.mrca(k) for f, k in families.items()}
+    assert {t.family: t.span for t in tops} == {f: len(s.span[s.mrca(k)]) for f, k in families.items()}
+    assert {t.family: t.losses for t in trees.losses(members, clades).collect()} == {f: s.losses(k) for f, k in families.items()}
+    assert trees.losses(members.limit(0), clades).count() == 0
+
+
+def brute_losses(parent, present, large_only):
+    """Inner nodes without a species whose parent has one, below the common ancestor."""
+    line = lambda x: [x] + (line(parent[x]) if parent[x] is not None else [])
+    inner = {p for p in parent.values() if p is not None}
+    cover = {x for p in present for x in line(p)}
+    top = next(x for x in line(next(iter(present))) if all(x in line(p) for p in present))
+    span = {x: sum(x in line(t) for t in parent if t not in inner) for x in parent}
+    return sum(1 for x in inner if parent[x] in cover and x not in cover and top in line(x) and (not large_only or span[x] > 1))
+
+
+@pytest.mark.parametrize("large_only", [False, True])
+def test_losses_of_trees_with_chains_and_many_children(spark, large_only):
+    r = random.Random(9)
+    for _ in range(4):
+        n = r.randint(2, 30)
+        rows = [(i, None if not i else r.randrange(max(0, i - r.choice([2, 30])), i)) for i in range(n)]
+        families = {f: {r.randrange(n) for _ in range(r.randint(1, 5))} for f in range(30)}
+        members = spark.createDataFrame([(f, k) for f, ks in families.items() for k in ks], "family int, species int")
+        clades = trees.clades_of(spark.createDataFrame(rows, "node int, parent int"))
+        got = {x.family: x.losses for x in trees.losses(members, clades, large_only=large_only).collect()}
+        assert got == {f: brute_losses(dict(rows), k, large_only) for f, k in families.items()}
+
+
+def test_a_caterpillar_of_ten_thousand_leaves(spark):
+    """Inner nodes 0, 2, 4, ... down to 19,996, each with a leaf beside the next; one of its depth 9,998 a million rows of closure couldn't hold."""
+    n = 10_000
+    rows = [(0, None)] + [x for k in range(1, n - 1) for x in ((2 * k - 1, 2 * k - 2), (2 * k, 2 * k - 2))] + [(2 * n - 3, 2 * n - 4), (2 * n - 2, 2 * n - 4)]
+    clades = trees.clades_of(spark.createDataFrame(rows, "node int, parent int"))
+    assert clades.span[0] == n
+    members = spark.createDataFrame([("ends", 1), ("ends", 2 * n - 2), ("near", 19_001), ("near", 19_003), ("one", 7), ("top", 1), ("top", 3)], "family string, species int")
+    assert {x.family: (x.mrca, x.span) for x in trees.mrcas(members, clades).collect()} == {"ends": (0, n), "near": (19_000, 500), "one": (7, 1), "top": (0, n)}
+    assert {x.family: x.losses for x in trees.losses(members, clades).collect()} == {"ends": 0, "near": 1, "one": 0, "top": 1}
+
+
+def test_closure_by_doubling(spark):
+    """A chain of 300 nodes beside a bush."""
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, i) for i in range(0, 300, 50)]
+    parent = dict(rows)
+    want = set()
+    for x in parent:
+        at, dist = x, 0
+        while at is not None:
+            want.add((at, x, dist))
+            at, dist = parent[at], dist + 1
+    got = [(r.anc, r.node, r.dist) for r in trees.closure(spark.createDataFrame(rows, "node int, parent int")).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_splices_of_a_thousand_levels(spark):
+    """A chain in which only every 400th node stays, and a bush: parents are the nearest that stay, after ten rounds or so."""
+    r = random.Random(8)
+    rows = [("chain", i, i - 1 if i else None, i % 400 != 0) for i in range(1001)] + [("bush", i, r.randrange(i) if i else None, bool(i) and r.random() < 0.6) for i in range(200)]
+    parent = {(f, n): p for f, n, p, _ in rows}
+    gone = {(f, n) for f, n, _, g in rows if g}
+
+    def up(f, n):
+        p = parent[f, n]
+        return up(f, p) if (f, p) in gone else p
+
+    import sys
+
+    sys.setrecursionlimit(5000)
+    df = spark.createDataFrame(rows, "family string, node int, parent int, gone boolean")
+    got = {(x.family, x.node): x.parent for x in trees.nearest_kept(df, ["family"]).collect()}
+    assert got == {(f, n): up(f, n) if parent[f, n] is not None else None for f, n, _, g in rows if not g}
+    assert {(x.node, x.parent) for x in trees.nearest_kept(df.where("family = 'chain'"), ["family"]).collect()} == {(0, None), (400, 0), (800, 400)}
 
 
 def test_newick_round_trip_and_errors():
