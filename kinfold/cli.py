@@ -17,7 +17,7 @@ from kinfold.sources import files
 
 def build_database(spark: SparkSession, families: list[str], annotations: list[str], out: str, id_type: str = "gene", id_pattern: str = files.ID_PATTERN, species_pattern: str = files.SPECIES_PATTERN, half: int = landscapes.HALF_WINDOW) -> None:
     """The gene book as Parquet, partitioned by species."""
-    genes = files.read_gff(spark, files.expand(annotations), id_type, id_pattern, species_pattern)
+    genes = files.read_annotations(spark, files.expand(annotations), id_type, id_pattern, species_pattern)
     fams = files.read_families(spark, files.expand(families))
     files.build_database(genes, fams, half).write.partitionBy("species").mode("overwrite").parquet(out)
 
@@ -31,29 +31,37 @@ def _landscapes(spark: SparkSession, families: list[str], book: str, half: int)
     return entries.select(F.col("name").alias("family"), "gene_idx", "gene", "species", "chr", "pos", F.col("family").alias("number"), "left", cut.alias("landscape"))
 
 
-def align(spark: SparkSession, families: list[str], book: str, out: str, half: int = landscapes.HALF_WINDOW) -> None:
-    """A synteny matrix text for each family, in folders by family."""
-    genes = _landscapes(spark, files.expand(families), book, half)
+def _open_paths(spark: SparkSession, paths: list[str], out: str, suffix: str, overwrite: bool) -> list[str]:
+    """The family files to work on: all, or those without an output yet."""
+    if overwrite:
+        return paths
+    sources = spark.createDataFrame([(p, Path(files.output_name(p, "", "")).name) for p in paths], "path string, family string")
+    return sorted(r["path"] for r in files.pending(sources, files.written(spark, out, suffix), "family").collect())
+
+
+def align(spark: SparkSession, families: list[str], book: str, out: str, half: int = landscapes.HALF_WINDOW, overwrite: bool = True) -> None:
+    """A synteny matrix ``out/<family>.dist`` for each family."""
+    paths = _open_paths(spark, files.expand(families), out, ".dist", overwrite)
+    if not paths:
+        return
+    genes, path = write_shared(_landscapes(spark, paths, book, half), "genes")
     lower = landscapes.threaded_pairs(genes, "family", "gene_idx", "landscape").select("family", F.col("i_gene_idx").alias("i"), F.col("j_gene_idx").alias("j"), F.col("score").cast("double").alias("value"))
     whole = matrices.symmetric(lower, genes, "family", "gene_idx")
     names = genes.select("family", F.col("gene_idx").alias("i"), F.col("gene").alias("name"))
-    files.write_texts(matrices.to_text(whole, names, "family"), out)
+    files.write_named(matrices.to_text(whole, names, "family"), out, ".dist")
+    drop_shared(spark, path)
 
 
 def _matrix_folder(spark: SparkSession, folder: str, genes: DataFrame) -> DataFrame:
-    """Matrices of ``folder/<family>.dist`` files or ``folder/family=<family>`` folders."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    family = F.when(F.col("path").contains("/family="), F.regexp_extract("path", r"/family=([^/]*)/", 1)).otherwise(files.stem(F.col("path")))
-    return files.parse_matrices(raw.select(family.alias("family"), "value"), genes.select("family", "gene_idx", "gene"))
+    """Matrices of ``folder/<family>.dist`` files."""
+    return files.matrix_cells(files.matrix_lines(spark, [folder]), genes.select("family", "gene_idx", "gene"))
 
 
 def trees(spark: SparkSession, families: list[str], book: str, species_tree: str, synteny: str, divergence: str, out: str, half: int = landscapes.HALF_WINDOW, merge_tandems: bool = False, from_sequence: bool = False, threshold: float | None = None, stages: bool = False, overwrite: bool = True) -> None:
-    """A tree for each family, as text in ``out/family=<family>``; and the time of each as CSV in ``out/_timings``."""
-    paths = files.expand(families)
-    if not overwrite:
-        paths = [p for p in paths if not Path(out, f"family={Path(p).stem}").exists()]
-        if not paths:
-            return
+    """A tree ``out/<family>.nhx`` for each family; its steps, if asked, as ``out/logs/<family>_<step>.nwk``; the time of each family as CSV in ``out/_timings``."""
+    paths = _open_paths(spark, files.expand(families), out, ".nhx", overwrite)
+    if not paths:
+        return
     species = files.read_species_tree(Path(species_tree).read_text())
     genes = files.with_species(_landscapes(spark, paths, book, half), files.tree_frame(spark, species))
     cells = [_matrix_folder(spark, folder, genes).where("i > j").withColumnRenamed("value", name) for folder, name in ((synteny, "synteny"), (divergence, "divergence"))]
@@ -66,8 +74,10 @@ def trees(spark: SparkSession, families: list[str], book: str, species_tree: str
     sized = genes.select("family", F.col("gene_idx").alias("idx"), F.col("gene").alias("name"), "species_id", F.array_size("landscape").alias("size"))
     rows = [(n.id, n.parent, n.name) for n in species]
     built, path = write_shared(family_trees.build_trees(sized, both, rows, tandems, from_sequence, threshold, stages), "trees")
-    by = ["family", "stage"] if stages else ["family"]
-    built.select(*by, "newick").write.partitionBy(*by).mode("overwrite").text(out)
+    texts = built.select("family", "stage", F.lit(0).alias("line"), F.col("newick").alias("text"))
+    files.write_named(texts.where("stage = 'final'"), out, ".nhx")
+    if stages:
+        files.write_named(texts.where("stage <> 'final'").withColumn("family", F.concat_ws("_", "family", "stage")), f"{out}/logs", ".nwk")
     took = built.where("stage = 'final'").select(F.col("family").alias("file"), F.col("seconds").alias("time"))
     files.write_timings(sized.groupBy(F.col("family").alias("file")).agg(F.count("*").alias("size")).join(took, "file"), str(Path(out, "_timings")))
     drop_shared(spark, path)
@@ -88,6 +98,7 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument("--species-pattern", default=files.SPECIES_PATTERN)
             continue
         p.add_argument("--database", required=True)
+        p.add_argument("--no-overwrite", action="store_true")
         if name == "trees":
             p.add_argument("--species-tree", required=True)
             p.add_argument("--syntenies", required=True)
@@ -96,14 +107,13 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument("--dups-from-sequence", action="store_true")
             p.add_argument("--synteny-threshold", type=float)
             p.add_argument("--stages", action="store_true")
-            p.add_argument("--no-overwrite", action="store_true")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("kinfold").getOrCreate()
     try:
         if a.command == "build-database":
             build_database(spark, a.families, a.gffs, a.out, a.id_type, a.id_pattern, a.species_pattern, a.window)
         elif a.command == "align":
-            align(spark, a.families, a.database, a.out, a.window)
+            align(spark, a.families, a.database, a.out, a.window, not a.no_overwrite)
         else:
             trees(spark, a.families, a.database, a.species_tree, a.syntenies, a.divergences, a.out, a.window, a.merge_tandems, a.dups_from_sequence, a.synteny_threshold, a.stages, not a.no_overwrite)
     except InputError as e:

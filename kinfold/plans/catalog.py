@@ -17,7 +17,7 @@ from kinfold.functions import newick, sequences, trees
 from kinfold.operators import assembly, assignment, clusters, components, landscapes, matrices
 from kinfold.plans import family_trees, proxies
 from kinfold.plans.proxies import load
-from kinfold.shared import bounded, python_ready, shared_dir, write_counted, write_shared
+from kinfold.shared import bounded, drop_shared, python_ready, shared_dir, write_counted, write_shared
 from kinfold.sources import files
 
 QUERIES: dict = {}
@@ -828,21 +828,28 @@ SELECT m.family, (l.last - i)::BIGINT AS i, (l.last - j)::BIGINT AS j, round(val
 
 
 def _event_book(spark, sf_dir):
-    """Events as genes of a GFF file, users as its chromosomes; two of three belong to the family of their type. (book, families)"""
+    """Events as genes of annotation files in three formats, users as chromosomes; two of three belong to the family of their type. (book, families)"""
     events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    name = F.concat(F.lit("e"), F.col("event_id"))
-    line = lambda kind, ident: F.concat_ws("\t", F.concat(F.lit("user"), F.col("user_id")), F.lit("app"), F.lit(kind), "event_id", F.col("event_id") + 9, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit(f"Note=x;ID={ident}:"), name, F.lit(";Name=y")))
-    lines = events.select(F.explode(F.array(F.concat(F.lit("# event "), "event_id"), line("gene", "gene"), line("mRNA", "gene"), line("gene", "other"))).alias("value"))
-    folder = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex[:12]}-gff"
-    lines.write.text(folder)
-    genes = files.read_gff(spark, [folder], species_pattern=r"(?P<species>part)-.*")
+    name, user, end = F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("user"), F.col("user_id")), F.col("event_id") + 9
+    gff = lambda kind, ident: F.concat_ws("\t", user, F.lit("app"), F.lit(kind), "event_id", end, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit(f"Note=x;ID={ident}:"), name, F.lit(";Name=y")))
+    bed = F.concat_ws("\t", user, F.col("event_id") - 1, end, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("gene:"), name)).otherwise(name), F.lit("0"), F.lit("+"))
+    formats = {
+        "gff3": [F.concat(F.lit("# event "), "event_id"), gff("gene", "gene"), gff("mRNA", "gene"), gff("gene", "other")],
+        "bed": [F.lit("track name=events"), bed],
+        "chrom": [F.concat_ws("\t", name, user, F.lit("+"), "event_id", end)],
+    }
+    folder = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex[:12]}-events"
+    for k, (kind, lines) in enumerate(formats.items()):
+        events.where(F.pmod("user_id", F.lit(3)) == k).select(F.explode(F.array(*lines)).alias("value")).write.text(f"{folder}.{kind}")
+    genes, _ = write_shared(files.read_annotations(spark, [f"{folder}.{kind}" for kind in formats], species_pattern=r"(?P<species>part)-.*"), "genes")
+    drop_shared(spark, *(f"{folder}.{kind}" for kind in formats))
     families = events.where("event_id % 3 != 0").select(F.col("event_type").alias("family"), name.alias("gene"))
     return files.build_database(genes, families), families
 
 
 @query
 def gene_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gene book of a written GFF file: each gene's family number, 0 for none, and those of its landscape."""
+    """The gene book of written GFF3, BED and chrom files: each gene's family number, 0 for none, and those of its landscape."""
     book, _ = _event_book(spark, sf_dir)
     known = lambda x: F.when(x > 0, x).otherwise(0).cast("long")
     return book.select("species", "chr", "pos", "gene", known(F.col("family")).alias("family"), F.size("left").cast("long").alias("before"), F.array_join(F.transform("landscape", known).cast("array<string>"), ",").alias("landscape"))

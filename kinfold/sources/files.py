@@ -8,14 +8,16 @@ kilobytes.
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.errors import FileMissing, InputError, MatrixError, UnknownGene, UnknownSpecies
+from kinfold.errors import FileMissing, InputError, UnknownGene, UnknownSpecies
 from kinfold.functions import newick
-from kinfold.operators import landscapes
+from kinfold.operators import landscapes, tiles
+from kinfold.shared import bounded, write_counted, write_shared
 
 SPECIES_PATTERN = r"(?P<species>.*)\.(gff3|bed|chrom)"
 ID_PATTERN = r"gene:(?P<id>.*)"
@@ -34,13 +36,11 @@ def expand(paths: list[str]) -> list[str]:
     return out
 
 
-def output_name(source: str, out_dir: str | None, suffix: str, make_parents: bool = True) -> str:
+def output_name(source: str, out_dir: str | None, suffix: str) -> str:
     """Beside the source or in ``out_dir``, with the suffix in place of the last one."""
-    p = Path(source)
-    if out_dir is None:
-        return str(p.with_suffix(suffix))
-    Path(out_dir).mkdir(parents=make_parents, exist_ok=True)
-    return str(Path(out_dir) / (p.stem + suffix))
+    folder, _, name = source.rpartition("/")
+    stem_ = name.rpartition(".")[0] or name
+    return f"{folder if out_dir is None else out_dir.rstrip('/')}/{stem_}{suffix}"
 
 
 def pending(sources: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -48,6 +48,19 @@ def pending(sources: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return sources.join(done.select(key).distinct(), key, "left_anti")
 
 
+def written(spark: SparkSession, out_dir: str, suffix: str) -> DataFrame:
+    """(family): families with an output of that suffix in the folder, on any store that Spark reaches."""
+    fs, folder = _store(spark, out_dir)
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    return spark.createDataFrame([(n.removesuffix(suffix),) for n in names if n.endswith(suffix)], "family string")
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def java_groups(pattern: str) -> str:
     """Named groups as Java writes them."""
     return pattern.replace("(?P<", "(?<")
@@ -106,30 +119,39 @@ def read_families(spark: SparkSession, paths: list[str]) -> DataFrame:
     return family_lines(texts)
 
 
-def single_family(genes: DataFrame) -> DataFrame:
-    """The same, after a check that there is one family."""
-    n = genes.select("family").distinct().limit(2).count()
-    if n != 1:
-        raise InputError("input", "no family" if n == 0 else "more than one family")
-    return genes
+#: Columns, from 0, of each annotation format: chromosome, start, name, and what has to be added for a start from 1.
+FORMATS = {"gff3": (0, 3, 8, 0), "bed": (0, 1, 3, 1), "chrom": (1, 3, 0, 0)}
 
 
-def read_gff(spark: SparkSession, paths: list[str], id_type: str = "gene", id_pattern: str = ID_PATTERN, species_pattern: str = SPECIES_PATTERN) -> DataFrame:
-    """(species, chr, pos, gene) from GFF3, plain or gzipped."""
-    columns = "chr string, source string, type string, start bigint, end bigint, score string, strand string, phase string, attributes string"
-    raw = spark.read.csv(paths, sep="\t", comment="#", schema=columns, quote="")
-    name = F.regexp_replace(F.regexp_replace(F.input_file_name(), r".*/", ""), r"\.gz$", "")
-    ident = F.regexp_extract("attributes", r"(?:^|;)ID=([^;]*)", 1)
-    return raw.where(F.col("type") == id_type).select(extract(name, species_pattern, "species").alias("species"), "chr", F.col("start").alias("pos"), extract(ident, id_pattern, "id").alias("gene")).where("gene is not null")
+def read_annotations(spark: SparkSession, paths: list[str], id_type: str = "gene", id_pattern: str = ID_PATTERN, species_pattern: str = SPECIES_PATTERN) -> DataFrame:
+    """(species, chr, pos, gene) from GFF3, BED and chrom files, plain or gzipped, in one scan.
+
+    A file's format is the last of ``.gff3`` (``.gff``), ``.bed`` and ``.chrom`` in its path; others are
+    taken as GFF3.  GFF3 rows count if their type is ``id_type``, and name a gene by the ID attribute; BED rows have
+    chromosome, start from 0, end and name; chrom rows have name, chromosome, strand, start from 1 and end.  A GFF3 ID counts
+    if the pattern matches; names of the other two are what it matches, or else the whole name.
+    Comments, and the ``track`` and ``browser`` lines of BED, are left out, as are rows without a start or a name.
+    """
+    raw = spark.read.text(paths, lineSep="\n").select(F.input_file_name().alias("path"), F.split(F.rtrim("value", F.lit("\r")), "\t").alias("c"))
+    kind = F.regexp_extract("path", r"(?s).*\.(gff3?|bed|chrom)(?=[./]|$)", 1)
+    raw = raw.withColumn("kind", F.when(kind.isin("bed", "chrom"), kind).otherwise("gff3")).where(~F.startswith(F.col("c")[0], F.lit("#")) & ~((F.col("kind") == "bed") & F.col("c")[0].rlike(r"^(?:track|browser)(?:\s|$)")))
+    cell = lambda part: F.coalesce(*[F.when(F.col("kind") == k, F.get("c", F.lit(columns[part]))) for k, columns in FORMATS.items()])
+    more = F.coalesce(*[F.when(F.col("kind") == k, F.lit(columns[3])) for k, columns in FORMATS.items()])
+    ident = F.regexp_extract(cell(2), r"(?:^|;)ID=([^;]*)", 1)
+    gene = F.when(F.col("kind") == "gff3", extract(ident, id_pattern, "id")).otherwise(F.coalesce(extract(cell(2), id_pattern, "id"), cell(2)))
+    name = F.regexp_replace(F.regexp_replace("path", r".*/", ""), r"\.gz$", "")
+    rows = raw.where((F.col("kind") != "gff3") | (F.get("c", F.lit(2)) == id_type))
+    rows = rows.select(extract(name, species_pattern, "species").alias("species"), cell(0).alias("chr"), (cell(1).try_cast("bigint") + more).alias("pos"), gene.alias("gene"))
+    return rows.where("pos is not null and gene is not null and gene <> ''")
 
 
 def build_database(genes: DataFrame, families: DataFrame, half: int = landscapes.HALF_WINDOW) -> DataFrame:
     """The gene book: (gene, species, chr, pos, family, left, landscape).
 
-    Families number by their first appearance in name order; genes of no family get
+    Families number by their first appearance in name order, by ranges; genes of no family get
     numbers of their own below zero, so that they match nothing else.
     """
-    numbers = families.select("family").distinct().withColumn("number", F.dense_rank().over(Window.orderBy("family")).cast("long"))
+    numbers = tiles.numbered(families.select("family").where("family is not null").distinct(), [], ["family"]).select("family", (F.col("idx") + 1).cast("long").alias("number"))
     named = families.join(numbers, "family").select("gene", "number").dropDuplicates(["gene"])
     full = genes.join(named, "gene", "left").withColumn("family", F.coalesce("number", -1 - F.abs(F.xxhash64("species", "chr", "gene") % F.lit(2**62))))
     book = landscapes.windows(full.drop("number"), ["species", "chr"], ["pos", "gene"], "family", half)
@@ -166,39 +188,87 @@ def with_species(entries: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def parse_matrices(texts: DataFrame, genes: DataFrame, family: str = "family", text: str = "value") -> DataFrame:
-    """(family, i, j, value) from matrix texts, both axes in the order of ``genes`` (family, gene_idx, gene).
+    """``matrix_cells`` of whole texts."""
+    lines = texts.select(F.col(family), F.posexplode(F.split(F.regexp_replace(text, r"\s+$", ""), "\n")).alias("at", "line"))
+    return matrix_cells(lines, genes, family)
+
 
-    A missing or wrong count line and a gene without a row raise when the rows are
-    computed.  Of rows with one name the last counts; short rows read as 0.
+def matrix_cells(lines: DataFrame, genes: DataFrame, family: str = "family") -> DataFrame:
+    """(family, i, j, value) from the lines (family, at, line) of matrix texts, ``at`` from 0, both axes in the order of ``genes`` (family, gene_idx, gene).
+
+    A missing or wrong count line and a gene without a row raise.  Of rows with one name the last counts; short rows read as 0.  Lines stay apart: none is joined to
+    another, and a row meets only the numbers of its family's columns.
     """
-    lines = texts.select(F.col(family), F.split(F.regexp_replace(text, r"\s+$", ""), "\n").alias("l"))
-    body = lines.select(family, F.col("l")[0].alias("n"), F.slice("l", 2, F.size("l")).alias("rows"))
-    bad = F.col("n").try_cast("int").isNull() | (F.col("n").try_cast("int") != F.size("rows"))
-    checked = body.withColumn("rows", F.when(bad, F.raise_error(F.concat(F.lit("matrix without its count line or of another size: "), F.col(family).cast("string")))).otherwise(F.col("rows")))
-    each = checked.select(family, F.posexplode("rows").alias("at", "row")).select(family, "at", F.split("row", "\t").alias("cells"))
-    named = each.select(family, "at", F.col("cells")[0].alias("gene"), F.slice("cells", 2, F.size("cells")).alias("cells"))
-    last = named.groupBy(family, "gene").agg(F.max("at").alias("last"), F.max_by("cells", "at").alias("cells"))
-    order = named.groupBy(family, F.col("gene").alias("column")).agg(F.max("at").alias("column_at"))
+    heads = lines.where("at = 0").select(family, F.col("line").alias("n"))
+    counts = lines.groupBy(family).agg((F.count("*") - 1).alias("rows")).join(heads, family, "left")
+    bad = F.col("n").try_cast("int").isNull() | (F.col("n").try_cast("int") != F.col("rows"))
+    checked = counts.select(family, F.when(bad, F.raise_error(F.concat(F.lit("matrix without its count line or of another size: "), F.col(family).cast("string")))).otherwise(F.lit(True)).alias("sound"))
+    cells = lines.where("at > 0").select(family, (F.col("at") - 1).alias("at"), F.split("line", "\t").alias("cells"))
+    named = cells.select(family, "at", F.col("cells")[0].alias("gene"), F.slice("cells", 2, F.size("cells")).alias("cells"))
+    order = named.groupBy(family, "gene").agg(F.max("at").alias("last"))
     ids = genes.select(family, F.col("gene_idx"), "gene")
-    rows = ids.join(last, [family, "gene"], "left").withColumn("cells", F.when(F.col("last").isNull(), F.raise_error(F.concat(F.lit("matrix without gene "), F.col("gene")))).otherwise(F.col("cells")))
-    columns = ids.select(family, F.col("gene_idx").alias("j"), F.col("gene").alias("column")).join(order, [family, "column"])
-    cell = F.coalesce(F.get("cells", F.col("column_at")).try_cast("float"), F.lit(0.0).cast("float"))
-    return rows.select(family, F.col("gene_idx").alias("i"), "cells").join(columns, family).select(family, "i", "j", cell.alias("value"))
+    placed = ids.join(order, [family, "gene"], "left").join(checked, family, "left").where(F.coalesce("sound", F.lit(True)))
+    placed = placed.select(family, "gene_idx", "gene", F.when(F.col("last").isNull(), F.raise_error(F.concat(F.lit("matrix without gene "), F.col("gene")))).otherwise(F.col("last")).alias("last"))
+    placed, _, n = write_counted(placed, "columns")
+    rows = named.join(placed.select(family, F.col("last").alias("at"), F.col("gene_idx").alias("i")), [family, "at"])
+    columns = placed.select(family, F.col("gene_idx").alias("j"), F.col("last").alias("column_at"))
+    cell = F.coalesce(F.get("cells", F.col("column_at").cast("int")).try_cast("float"), F.lit(0.0).cast("float"))
+    return rows.select(family, "i", "cells").join(bounded(columns, n), family).select(family, "i", "j", cell.alias("value"))
+
+
+def matrix_lines(spark: SparkSession, paths: list[str], family: Column | None = None, recursive: bool = False) -> DataFrame:
+    """(family, at, line) of matrix files, a family a file named by its stem (or ``family`` of the column ``path``); lines in their order.
+
+    A file is split wherever Spark likes; lines are numbered by their block's place in the file and their order in the
+    block, range by range.  White space at a file's end is left out.
+    """
+    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths, lineSep="\n")
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    at = tiles.numbered(raw, ["path"], ["block", "n"], "at")
+    at, _ = write_shared(at, "lines")
+    ends = at.where(F.length(F.regexp_replace("line", r"\s+", "")) > 0).groupBy("path").agg(F.max("at").alias("end"))
+    line = F.when(F.col("at") == F.col("end"), F.regexp_replace("line", r"\s+$", "")).otherwise(F.col("line"))
+    return at.join(ends, "path").where("at <= end").select((stem(F.col("path")) if family is None else family).alias("family"), "at", line.alias("line"))
 
 
 def read_matrices(spark: SparkSession, paths: list[str], genes: DataFrame) -> DataFrame:
-    texts = spark.read.text(paths, wholetext=True).select(stem(F.input_file_name()).alias("family"), "value")
-    return parse_matrices(texts, genes)
+    """``matrix_cells`` of files; no file is held as one text."""
+    return matrix_cells(matrix_lines(spark, paths), genes)
 
 
-def write_texts(lines: DataFrame, path: str, family: str = "family") -> None:
-    """(family, line, text) as text files in a folder for each family, lines in order."""
-    lines.repartition(F.col(family)).sortWithinPartitions(family, "line").select(family, "text").write.partitionBy(family).mode("overwrite").text(path)
+def write_named(lines: DataFrame, out_dir: str, suffix: str, family: str = "family") -> int:
+    """(family, line, text) as ``<out_dir>/<family><suffix>``, lines in order; gives the number of files.
+
+    Tasks write into a folder beside them, where a task that is lost or run twice leaves nothing else; once all are done each
+    file takes its name in one step.  So a name stands for a whole output, and a run that breaks off leaves the
+    former outputs and nothing half.
+    """
+    spark = lines.sparkSession
+    fs, folder = _store(spark, out_dir)
+    stage = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_dir.rstrip('/')}/.kinfold-{uuid.uuid4().hex[:12]}")
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    fs.mkdirs(folder)
+    n = 0
+    try:
+        lines.select(F.col(family).cast("string").alias("family"), "line", "text").repartition("family").sortWithinPartitions("family", "line").select("family", "text").write.partitionBy("family").text(stage.toString())
+        for held in fs.listStatus(stage):
+            name = held.getPath().getName()
+            if not name.startswith("family="):
+                continue
+            parts = [x.getPath() for x in fs.listStatus(held.getPath()) if x.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise InputError(name, "written in several parts")
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, unescape(name.removeprefix("family=")) + suffix)
+            if fs.exists(target):
+                fs.delete(target, False)
+            if not fs.rename(parts[0], target):
+                raise InputError(target.toString(), "cannot take its name")
+            n += 1
+    finally:
+        fs.delete(stage, True)
+    return n
 
 
 def write_timings(timings: DataFrame, path: str) -> None:
     """(file, size, time) as CSV."""
     timings.select("file", "size", "time").write.mode("overwrite").csv(path, header=True)
-
-
-__all__ = ["MatrixError", "build_database", "expand", "extract", "family_lines", "look_up", "output_name", "parse_matrices", "pending", "read_families", "read_gff", "read_matrices", "read_species_tree", "single_family", "stem", "tree_frame", "with_species", "write_texts", "write_timings"]

@@ -28,11 +28,24 @@ def test_from_annotations_to_trees(spark, tmp_path):
     book, dist, out = (str(tmp_path / n) for n in ("book", "dist", "out"))
     cli.build_database(spark, [str(tmp_path / "fam")], [str(tmp_path / "gff")], book, half=5)
     cli.align(spark, [str(tmp_path / "fam")], book, dist, half=5)
-    text = next((tmp_path / "dist" / "family=F1").glob("*.txt")).read_text().splitlines()
+    assert sorted(p.name for p in (tmp_path / "dist").iterdir() if not p.name.startswith(".")) == [f"F{i}.dist" for i in range(6)]
+    text = (tmp_path / "dist" / "F1.dist").read_text().splitlines()
     assert text[0] == str(len(families["F1"])) and len(text) == len(families["F1"]) + 1
-    cli.trees(spark, [str(tmp_path / "fam")], book, str(tmp_path / "species.nwk"), dist, dist, out, half=5, merge_tandems=True)
+    run = lambda **k: cli.trees(spark, [str(tmp_path / "fam")], book, str(tmp_path / "species.nwk"), dist, dist, out, half=5, merge_tandems=True, **k)
+    run(stages=True)
     for f, genes in families.items():
-        tree = newick.parse(next((tmp_path / "out" / f"family={f}").glob("*.txt")).read_text())[0]
+        tree = newick.parse((tmp_path / "out" / f"{f}.nhx").read_text())[0]
         assert sorted(n for n in newick.leaf_names(tree) if n) == sorted(genes)
+        assert (tmp_path / "out" / "logs" / f"{f}_vanilla.nwk").read_text()
     assert next((tmp_path / "out" / "_timings").glob("*.csv"))
-    cli.trees(spark, [str(tmp_path / "fam")], book, str(tmp_path / "species.nwk"), dist, dist, out, half=5, overwrite=False)
+    # What is there already stays, what is missing is made, and nothing else is left behind.
+    (tmp_path / "out" / "F2.nhx").write_text("mine")
+    (tmp_path / "out" / "F3.nhx").unlink()
+    before = (tmp_path / "out" / "F1.nhx").stat().st_mtime_ns
+    run(overwrite=False)
+    assert (tmp_path / "out" / "F2.nhx").read_text() == "mine" and (tmp_path / "out" / "F3.nhx").read_text() and (tmp_path / "out" / "F1.nhx").stat().st_mtime_ns == before
+    assert not list((tmp_path / "out").glob(".kinfold-*"))
+    run(overwrite=False)
+    (tmp_path / "dist" / "F0.dist").unlink()
+    cli.align(spark, [str(tmp_path / "fam")], book, dist, half=5, overwrite=False)
+    assert (tmp_path / "dist" / "F0.dist").read_text()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from kinfold.errors import FileMissing, InputError, UnknownGene, UnknownSpecies
+from kinfold.errors import FileMissing, UnknownGene, UnknownSpecies
 from kinfold.operators import matrices
 from kinfold.sources import files
 
@@ -18,7 +18,7 @@ def test_paths(tmp_path):
     with pytest.raises(FileMissing):
         files.expand([str(tmp_path / "none")])
     assert files.output_name("/x/fam.txt", None, ".dist") == "/x/fam.dist"
-    assert files.output_name("/x/fam.txt", str(tmp_path / "o" / "p"), ".nhx").endswith("o/p/fam.nhx")
+    assert files.output_name("/x/fam.txt", str(tmp_path / "o" / "p"), ".nhx").endswith("o/p/fam.nhx") and files.output_name("/x/a.b.txt", "s3://b/o/", ".nhx") == "s3://b/o/a.b.nhx"
 
 
 def test_families_from_lines_trees_and_empty_files(spark, tmp_path):
@@ -35,8 +35,6 @@ def test_families_from_lines_trees_and_empty_files(spark, tmp_path):
     two = spark.createDataFrame([("e", "(a,b);(c,d);")], "family string, value string")
     with pytest.raises(PySparkException, match="more than one family"):
         files.family_lines(two).collect()
-    with pytest.raises(InputError):
-        files.single_family(spark.createDataFrame([("a",), ("b",)], "family string"))
 
 
 def test_database_from_annotations(spark, tmp_path):
@@ -44,7 +42,7 @@ def test_database_from_annotations(spark, tmp_path):
     text = "#gff\n" + line("1", "gene", 30, "c") + line("1", "gene", 10, "a") + line("1", "mRNA", 12, "no") + line("1", "gene", 20, "b")
     with gzip.open(tmp_path / "Homo.gff3.gz", "wt") as f:
         f.write(text)
-    genes = files.read_gff(spark, [str(tmp_path / "Homo.gff3.gz")])
+    genes = files.read_annotations(spark, [str(tmp_path / "Homo.gff3.gz")])
     assert sorted((r.species, r.chr, r.pos, r.gene) for r in genes.collect()) == [("Homo", "1", 10, "a"), ("Homo", "1", 20, "b"), ("Homo", "1", 30, "c")]
     fams = spark.createDataFrame([("F", 0, "a"), ("F", 1, "c")], "family string, gene_idx int, gene string")
     book = {r.gene: r for r in files.build_database(genes, fams).collect()}
@@ -85,10 +83,59 @@ def test_matrix_writing_and_back(spark, tmp_path):
     lines = matrices.to_text(whole, names, "family")
     text = "\n".join(r.text for r in lines.orderBy("line").collect()) + "\n"
     assert text == "3\ng1\t0.00000\t0.50000\t0.25000\ng2\t0.50000\t0.00000\t0.75000\ng3\t0.25000\t0.75000\t0.00000\n"
-    files.write_texts(lines, str(tmp_path / "out"))
-    written = next((tmp_path / "out" / "family=f").glob("*.txt")).read_text()
-    assert written == text
-    assert files.read_matrices(spark, [str(tmp_path / "out" / "family=f")], spark.createDataFrame([], KEYS)).count() == 0
+    assert files.write_named(lines, str(tmp_path / "out"), ".dist") == 1
+    assert (tmp_path / "out" / "f.dist").read_text() == text
+    assert files.read_matrices(spark, [str(tmp_path / "out")], spark.createDataFrame([], KEYS)).count() == 0
+    genes = spark.createDataFrame([("f", 0, "g3"), ("f", 1, "g1"), ("f", 2, "g2")], KEYS)
+    assert {(r.i, r.j): round(r.value, 5) for r in files.read_matrices(spark, [str(tmp_path / "out")], genes).collect()}[0, 2] == 0.75
+
+
+def test_three_formats_of_the_same_genes(spark, tmp_path):
+    genes = [(f"c{k % 2}", 10 * k + 1, f"G{k}") for k in range(9)]
+    (tmp_path / "A.gff3").write_text("##gff\n" + "".join(f"{c}\tx\tgene\t{p}\t{p + 5}\t.\t+\t.\tID=gene:{g};N=1\n" for c, p, g in genes) + "c0\tx\tgene\t?\t9\t.\t+\t.\tID=gene:bad\n")
+    (tmp_path / "B.bed").write_text("browser position c0\ntrack name=x\n# note\n" + "".join(f"{c}\t{p - 1}\t{p + 5}\t{g}\r\n" for c, p, g in genes) + "c0\t7\t9\n")
+    with gzip.open(tmp_path / "C.chrom.gz", "wt") as f:
+        f.write("".join(f"gene:{g}\t{c}\t+\t{p}\t{p + 5}\n" for c, p, g in genes))
+    got = {}
+    for r in files.read_annotations(spark, files.expand([str(tmp_path)])).collect():
+        got.setdefault(r.species, []).append((r.chr, r.pos, r.gene))
+    assert {k: sorted(v) for k, v in got.items()} == {s: sorted(genes) for s in "ABC"}
+
+
+def test_a_matrix_file_in_many_splits(spark, tmp_path):
+    """Lines keep their order and numbers wherever Spark cuts the file; two files, blank lines at an end."""
+    n = 300
+    text = lambda f: f"{n}\n" + "".join(f"g{i}\t" + "\t".join(f"{(i * f + j) % 97 / 100:.5f}" for j in range(n)) + "\n" for i in range(n))
+    (tmp_path / "a.dist").write_text(text(1) + "\n  \n")
+    (tmp_path / "b.dist").write_text(text(5))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        genes = spark.createDataFrame([(f, n - 1 - i, f"g{i}") for f in "ab" for i in range(n)], KEYS)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        got = {(r.family, n - 1 - r.i, n - 1 - r.j): r.value for r in files.read_matrices(spark, [str(tmp_path)], genes).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 2 * n * n
+    assert all(abs(v - ((i * (1 if f == "a" else 5) + j) % 97) / 100) < 1e-6 for (f, i, j), v in got.items())
+    (tmp_path / "b.dist").write_text(text(5).replace("g7\t", "h7\t"))
+    with pytest.raises(PySparkException, match="matrix without gene g7"):
+        files.read_matrices(spark, [str(tmp_path)], genes).count()
+
+
+def test_named_outputs(spark, tmp_path):
+    """Names with odd characters; a run that fails leaves what was there and nothing half."""
+    lines = spark.createDataFrame([(f, k, f"{f} {k}") for f in ("a b", "x=y", "100%", "ü.z") for k in (2, 0, 1)], "family string, line int, text string")
+    out = str(tmp_path / "o" / "p")
+    assert files.write_named(lines, out, ".dist") == 4
+    assert sorted(p.name for p in (tmp_path / "o" / "p").iterdir() if not p.name.startswith(".")) == sorted(f"{f}.dist" for f in ("a b", "x=y", "100%", "ü.z"))
+    assert (tmp_path / "o" / "p" / "x=y.dist").read_text() == "x=y 0\nx=y 1\nx=y 2\n"
+    assert sorted(r.family for r in files.written(spark, out, ".dist").collect()) == sorted(["a b", "x=y", "100%", "ü.z"])
+    bad = lines.withColumn("text", F.when(F.col("family") == "ü.z", F.raise_error(F.lit("lost"))).otherwise(F.lit("new")))
+    with pytest.raises(PySparkException, match="lost"):
+        files.write_named(bad, out, ".dist")
+    assert (tmp_path / "o" / "p" / "a b.dist").read_text() == "a b 0\na b 1\na b 2\n" and not list((tmp_path / "o" / "p").glob(".kinfold*"))
+    assert files.written(spark, str(tmp_path / "none"), ".dist").count() == 0
 
 
 def test_aggregates_of_nothing(spark):
