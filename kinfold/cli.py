@@ -57,8 +57,11 @@ def _matrix_folder(spark: SparkSession, folder: str, genes: DataFrame) -> DataFr
     return files.matrix_cells(files.matrix_lines(spark, [folder]), genes.select("family", "gene_idx", "gene"))
 
 
-def trees(spark: SparkSession, families: list[str], book: str, species_tree: str, synteny: str, divergence: str, out: str, half: int = landscapes.HALF_WINDOW, merge_tandems: bool = False, from_sequence: bool = False, threshold: float | None = None, stages: bool = False, overwrite: bool = True) -> None:
-    """A tree ``out/<family>.nhx`` for each family; its steps, if asked, as ``out/logs/<family>_<step>.nwk``; the time of each family as CSV in ``out/_timings``."""
+def trees(spark: SparkSession, families: list[str], book: str, species_tree: str, synteny: str, divergence: str, out: str, half: int = landscapes.HALF_WINDOW, merge_tandems: bool = False, from_sequence: bool = False, threshold: float | None = None, stages: bool = False, overwrite: bool = True, tracked: tuple[str, ...] = ()) -> None:
+    """A tree ``out/<family>.nhx`` for each family; its steps, if asked, as ``out/logs/<family>_<step>.nwk``; the time of each family as CSV in ``out/_timings``.
+
+    What the steps weighed for ``tracked`` genes goes to ``out/_tracked`` as CSV.
+    """
     paths = _open_paths(spark, files.expand(families), out, ".nhx", overwrite)
     if not paths:
         return
@@ -73,7 +76,9 @@ def trees(spark: SparkSession, families: list[str], book: str, species_tree: str
         tandems = found.select("family", "first", "rest")
     sized = genes.select("family", F.col("gene_idx").alias("idx"), F.col("gene").alias("name"), "species_id", F.array_size("landscape").alias("size"))
     rows = [(n.id, n.parent, n.name) for n in species]
-    built, path = write_shared(family_trees.build_trees(sized, both, rows, tandems, from_sequence, threshold, stages), "trees")
+    built, path = write_shared(family_trees.build_trees(sized, both, rows, tandems, from_sequence, threshold, stages, tracked), "trees")
+    if tracked:
+        family_trees.notes_of(built).write.mode("overwrite").csv(str(Path(out, "_tracked")), header=True)
     texts = built.select("family", "stage", F.lit(0).alias("line"), F.col("newick").alias("text"))
     files.write_named(texts.where("stage = 'final'"), out, ".nhx")
     if stages:
@@ -107,6 +112,7 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument("--dups-from-sequence", action="store_true")
             p.add_argument("--synteny-threshold", type=float)
             p.add_argument("--stages", action="store_true")
+            p.add_argument("--tracked", nargs="*", default=())
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("kinfold").getOrCreate()
     try:
@@ -115,7 +121,7 @@ def main(args: list[str] | None = None) -> None:
         elif a.command == "align":
             align(spark, a.families, a.database, a.out, a.window, not a.no_overwrite)
         else:
-            trees(spark, a.families, a.database, a.species_tree, a.syntenies, a.divergences, a.out, a.window, a.merge_tandems, a.dups_from_sequence, a.synteny_threshold, a.stages, not a.no_overwrite)
+            trees(spark, a.families, a.database, a.species_tree, a.syntenies, a.divergences, a.out, a.window, a.merge_tandems, a.dups_from_sequence, a.synteny_threshold, a.stages, not a.no_overwrite, tuple(a.tracked))
     except InputError as e:
         raise SystemExit(str(e)) from e
 

@@ -59,6 +59,22 @@ class Clades:
             half = 1 << (len(self.least) - 1)
             self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
 
+    def loss_weights(self, large_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(sums from the root to each node of its inner children less itself if inner, whether each is inner); see ``losses``."""
+        inner = ~self.leaf & ((self.span > 1) if large_only else True)
+        along = np.bincount(self.parent[1:][inner[1:]], minlength=len(inner)) - inner
+        for i in range(1, len(along)):
+            along[i] += along[self.parent[i]]
+        return along, inner.astype(np.int64)
+
+    def lineage(self, number: int) -> np.ndarray:
+        """Numbers of the node and its ancestors, upwards."""
+        out = []
+        while number >= 0:
+            out.append(number)
+            number = self.parent[number]
+        return np.array(out, np.int64)
+
     def number(self, nodes: np.ndarray) -> np.ndarray:
         return np.array([self.numbers[x] for x in nodes.tolist()], np.int64)
 
@@ -95,6 +111,48 @@ def numbers(spark: SparkSession, clades: Clades) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, names=["node", "number", "end", "depth", "span"]))
 
 
+class SpeciesSets:
+    """Growing sets of species with their losses: what one more species would add, for all sets at once in the tree's height."""
+
+    def __init__(self, clades: Clades, sets: list[list[int]]):
+        """sets: numbers of species."""
+        self.clades, (self.along, self.inner) = clades, clades.loss_weights()
+        self.covered = np.zeros((len(sets), len(clades.nodes)), bool)
+        self.top = np.full(len(sets), -1, np.int64)
+        self.sum = np.zeros(len(sets), np.int64)  # of the weights between the top and the species
+        for k, numbers_ in enumerate(sets):
+            for x in numbers_:
+                self.add(k, x)
+
+    def losses(self) -> np.ndarray:
+        return np.where(self.top >= 0, self.sum + self.inner[self.top], 0)
+
+    def _over(self, node: np.ndarray) -> np.ndarray:
+        """Sums along the path to a node's parent."""
+        return np.where(node > 0, self.along[self.clades.parent[node]], 0)
+
+    def _after(self, species: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(top, sum) of sets with one more species."""
+        way = self.clades.lineage(species)
+        meets = self.covered[np.ix_(rows, way)]
+        at = way[meets.argmax(axis=1)]  # the lowest node of the way that a set has below or at it
+        top, total = self.top[rows], self.sum[rows]
+        higher = at < top  # numbers of ancestors are smaller
+        grown = np.where(higher, total + self._over(top) - self._over(at), total) + self.along[species] - self.along[at]
+        empty = top < 0
+        return np.where(empty, species, np.minimum(at, top)), np.where(empty, self.along[species] - self._over(np.full(len(rows), species)), grown)
+
+    def more(self, species: int) -> np.ndarray:
+        """The losses that each set would have more with the species."""
+        top, total = self._after(species, np.arange(len(self.top)))
+        return total + self.inner[top] - self.losses()
+
+    def add(self, k: int, species: int) -> None:
+        top, total = self._after(species, np.array([k]))
+        self.top[k], self.sum[k] = top[0], total[0]
+        self.covered[k, self.clades.lineage(species)] = True
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """(anc, node, dist) for every node and each of its ancestors, itself at 0.
 
@@ -174,12 +232,7 @@ def losses(members: DataFrame, clades: Clades, family: str = "family", species:
     each species adds what lies between it and the ancestor that it shares with the one before.
     """
     python_ready(members.sparkSession, 10_000)
-    inner = ~clades.leaf & ((clades.span > 1) if large_only else True)
-    weight = np.bincount(clades.parent[1:][inner[1:]], minlength=len(inner)) - inner
-    along = weight.copy()
-    for i in range(1, len(along)):
-        along[i] += along[clades.parent[i]]
-    sent = members.sparkSession.sparkContext.broadcast((clades, along, inner.astype(np.int64)))
+    sent = members.sparkSession.sparkContext.broadcast((clades, *clades.loss_weights(large_only)))
 
     @F.pandas_udf("long")
     def between(before: pd.Series, number: pd.Series) -> pd.Series:

@@ -271,10 +271,14 @@ def near_best(rows: DataFrame, by: list[str], low: str, high: str, order: list[s
     return near.withColumn("rank", F.row_number().over(w.orderBy(*order))).where("rank = 1").drop("least", "most", "rank")
 
 
+def half_up_all(x: np.ndarray, digits: int = 2) -> np.ndarray:
+    """Half away from zero, on float32 values; infinite ones stay."""
+    y = np.asarray(x, np.float32) * np.float32(10**digits)
+    return (np.sign(y) * np.floor(np.abs(y) + np.float32(0.5)) / np.float32(10**digits)).astype(np.float64)
+
+
 def half_up(x: float, digits: int) -> float:
-    """Half away from zero, on the float32 value."""
-    y = np.float32(x) * np.float32(10**digits)
-    return float(np.float32(np.sign(y) * np.floor(np.abs(y) + np.float32(0.5))) / np.float32(10**digits))
+    return float(half_up_all(np.array([x]), digits)[0])
 
 
 def choose_threshold(matrix: np.ndarray, species: list[int], clades: trees.Clades) -> float:

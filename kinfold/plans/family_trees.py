@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kinfold.operators import assembly
 from kinfold.shared import python_ready
 
+#: What a step weighed for tracked genes.
+NOTE = {"step": "string", "genes": "string", "candidate": "string", "losses": "double", "synteny": "double", "divergence": "double", "chosen": "boolean"}
 #: Rows that a species tree may have to be sent along with the task.
 MOST_SPECIES_NODES = 100_000
 
@@ -24,8 +26,10 @@ def species_rows(tree: DataFrame) -> list[tuple]:
     return [(r["node"], r["parent"], r["name"]) for r in rows]
 
 
-def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tandems: DataFrame | None = None, from_sequence: bool = False, threshold: float | None = None, stages: bool = False) -> DataFrame:
-    """(family, stage, newick, seconds): the final tree of each family and the time it took, and its steps if asked.
+def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tandems: DataFrame | None = None, from_sequence: bool = False, threshold: float | None = None, stages: bool = False, tracked: tuple[str, ...] = ()) -> DataFrame:
+    """(family, stage, newick, seconds, notes): the final tree of each family and the time it took, and its steps if asked.
+
+    notes, beside the final tree: what the steps weighed for the ``tracked`` genes; ``notes_of`` has them as rows.
 
     genes: (family, idx, name, species_id, size); matrices: (family, i, j, synteny,
     divergence) with i > j; tandems: (family, first, rest) in idx.  Both matrices of a
@@ -42,6 +46,8 @@ def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tan
         rows = rows.withColumn("tandems", F.lit(None).cast("array<struct<first:int,rest:array<int>>>"))
     kind = genes.schema["family"].dataType.simpleString()
 
+    wanted = frozenset(tracked)
+
     def run(frames):
         s = assembly.Species(species)
         for frame in frames:
@@ -55,10 +61,18 @@ def build_trees(genes: DataFrame, matrices: DataFrame, species: list[tuple], tan
                     divergence[i, j] = divergence[j, i] = np.asarray(r.divergence, np.float32)
                 tandem = {int(t["first"]): [int(x) for x in t["rest"]] for t in (r.tandems if r.tandems is not None else ())}
                 f = assembly.Family([g["name"] for g in r.genes], [int(g["species_id"]) for g in r.genes], [int(g["size"]) for g in r.genes], synteny, divergence, s, tandem, from_sequence, threshold)
+                f.tracked = frozenset(i for i, name in enumerate(f.names) if name in wanted)
                 tree, root = assembly.build_family(f, stages)
                 texts = {**f.stages, "final": assembly.to_newick(f, tree, root)}
                 seconds = time.perf_counter() - began
-                out += [(r.family, k, v, seconds) for k, v in texts.items()]
-            yield pd.DataFrame(out, columns=["family", "stage", "newick", "seconds"])
+                notes = [dict(zip(NOTE, n)) for n in f.notes]
+                out += [(r.family, k, v, seconds, notes if k == "final" else []) for k, v in texts.items()]
+            yield pd.DataFrame(out, columns=["family", "stage", "newick", "seconds", "notes"])
+
+    return rows.select("family", "genes", "i", "j", "synteny", "divergence", "tandems").repartition("family").mapInPandas(run, f"family {kind}, stage string, newick string, seconds double, notes array<struct<{', '.join(f'{n}: {t}' for n, t in NOTE.items())}>>")
+
 
-    return rows.select("family", "genes", "i", "j", "synteny", "divergence", "tandems").repartition("family").mapInPandas(run, f"family {kind}, stage string, newick string, seconds double")
+def notes_of(built: DataFrame) -> DataFrame:
+    """(family, step, genes, candidate, losses, synteny, divergence, chosen): a row for each candidate that a step weighed for tracked genes, in order."""
+    each = built.where("stage = 'final'").select("family", F.posexplode("notes").alias("number", "note"))
+    return each.select("family", "number", *[F.col(f"note.{n}").alias(n) for n in NOTE])

@@ -32,7 +32,9 @@ def test_from_annotations_to_trees(spark, tmp_path):
     text = (tmp_path / "dist" / "F1.dist").read_text().splitlines()
     assert text[0] == str(len(families["F1"])) and len(text) == len(families["F1"]) + 1
     run = lambda **k: cli.trees(spark, [str(tmp_path / "fam")], book, str(tmp_path / "species.nwk"), dist, dist, out, half=5, merge_tandems=True, **k)
-    run(stages=True)
+    run(stages=True, tracked=("Aa0", "Bb7"))
+    notes = "".join(p.read_text() for p in (tmp_path / "out" / "_tracked").glob("*.csv"))
+    assert notes.startswith("family,number,step,genes,candidate,losses,synteny,divergence,chosen")
     for f, genes in families.items():
         tree = newick.parse((tmp_path / "out" / f"{f}.nhx").read_text())[0]
         assert sorted(n for n in newick.leaf_names(tree) if n) == sorted(genes)

@@ -324,3 +324,84 @@ def test_splice_and_reach(spark):
     assert {r.node for r in trees.reachable(tree, content, ["family"]).collect()} == {1, 2, 4}
     wide = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 1)], "node int, parent int")
     assert [(r.node, r.children) for r in trees.polytomies(wide).collect()] == [(1, 3)]
+
+
+def test_growing_sets_have_the_losses_of_the_walk():
+    r = random.Random(12)
+    for _ in range(60):
+        species = random_species(r, r.choice([2, 5, 14]))
+        tips = sorted(species.span[species.root])
+        number = species.clades.numbers
+        sets = [{r.choice(tips) for _ in range(r.choice([0, 1, 3]))} for _ in range(4)]
+        grown = trees.SpeciesSets(species.clades, [[number[x] for x in k] for k in sets])
+        for _ in range(12):
+            assert grown.losses().tolist() == [species.losses(k) for k in sets]
+            x, i = r.choice(tips), r.randrange(4)
+            assert grown.more(number[x]).tolist() == [species.losses(k | {x}) - species.losses(k) for k in sets]
+            grown.add(i, number[x])
+            sets[i].add(x)
+
+
+def plain_injection(f, clusters):
+    """Each gene against each cluster, everything counted anew."""
+    s, core, now = f.species, [list(c) for c in clusters], [list(c) for c in clusters]
+    scaled = {g: f.synteny[g] * np.array([max(f.sizes[g], x) / f.sizes[g] for x in f.sizes], np.float32) for g in f.extended}
+    for g in sorted(f.extended, key=lambda g: (-float(scaled[g][f.core].max(initial=0.0)), f.least_divergence([g], f.core), g)):
+        rows = []
+        for i, c in enumerate(now):
+            rows.append((s.losses(f.kinds(c) | {f.of[g]}) - s.losses(f.kinds(c)), -clusters_half_up(scaled[g][core[i]].max(initial=0.0)), clusters_half_up(f.least_divergence([g], c)), i))
+        if any(-x[1] >= 0.15 for x in rows):
+            rows = [x for x in rows if x[0] < 6] or rows
+            key = (lambda x: (x[1], x[0], x[2], x[3])) if f.sizes[g] > 3 else (lambda x: (x[0], x[1], x[2], x[3]))
+        else:
+            key = lambda x: (x[0], x[2], x[1], x[3])
+        now[min(rows, key=key)[3]].append(g)
+    return now
+
+
+def clusters_half_up(x):
+    return float(np.float32(np.floor(np.float32(x) * np.float32(100) + np.float32(0.5)) / np.float32(100)))
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_injection_equals_counting_anew(seed):
+    r = random.Random(seed)
+    f = family(seed, n=r.choice([8, 25, 40]))
+    f.sizes = [r.choice([2, 3, 9, 30, 31]) for _ in f.sizes]
+    f.core = [g for g, x in enumerate(f.sizes) if x > 20]
+    f.extended = [g for g, x in enumerate(f.sizes) if 1 < x <= 20]
+    parts = [[g for g in f.core if g % 3 == k] for k in range(3)]
+    parts = [p for p in parts if p]
+    if parts:
+        assert assembly.inject_extended(f, parts) == plain_injection(f, parts)
+
+
+def test_injection_takes_time_in_proportion_to_genes():
+    import time
+
+    took = []
+    for n in (1500, 6000):
+        f = family(1, n=10)
+        r = np.random.default_rng(1)
+        f.of, f.sizes = [f.of[i] for i in r.integers(0, 10, n)], [30] * 40 + [9] * (n - 40)
+        f.core, f.extended = list(range(40)), list(range(40, n))
+        f.synteny = f.divergence = np.broadcast_to(np.float32(0.1), (n, n))
+        began = time.process_time()
+        assembly.inject_extended(f, [[g for g in f.core if g % 8 == k] for k in range(8)])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]  # 4 times the genes; rows of the matrices are read once each
+
+
+def test_tracked_genes_leave_what_was_weighed():
+    f = family(7, n=30)
+    f.tracked = frozenset([4, 14, 21])
+    tree, root = assembly.build_family(f)
+    assert f.notes and {n for _, names, *_ in f.notes for n in names.split(",")} <= {"g4", "g14", "g21"}
+    steps = {}
+    for step, names, candidate, losses, synteny, divergence, chosen in f.notes:
+        steps.setdefault((step, names), []).append(chosen)
+    injected = [v for (step, _), v in steps.items() if step == "inject_extended"]
+    assert all(sum(v) == 1 for v in injected)
+    plain = family(7, n=30)
+    assert assembly.to_newick(plain, *assembly.build_family(plain)) == assembly.to_newick(f, tree, root)
+    assert not plain.notes
