@@ -58,6 +58,8 @@ CACHE = 100_000
 LIGHT = 12.0
 #: Members of a group that one block holds at least.
 BLOCK = 64
+#: Words of sketches that are compared at a time.
+CELLS = 1_000_000
 
 
 class WordHash(dict):
@@ -211,39 +213,50 @@ def _centres(batches):
         last, first = sig[-1], centre[-1]
 
 
-def _folded(members: list[dict], bits: int) -> np.ndarray:
-    out = np.empty((len(members), bits // 64), U64)
-    for i, m in enumerate(members):
-        row = np.frombuffer(m["sketch"], U64)
-        while len(row) > bits // 64:
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out[i] = row
-    return out
-
-
-def _close(a: list[dict], b: list[dict], percent: int) -> np.ndarray:
-    """Which pairs' sketches differ in no more bits than the threshold allows."""
-    bits = min(len(m["sketch"]) for m in (*a, *b)) * 8
-    x, y = _folded(a, bits), _folded(b, bits)
-    na, nb = np.array([m["n"] for m in a]), np.array([m["n"] for m in b])
-    most = (na[:, None] + nb) * (100 - percent) // (100 + percent)
-    out = np.zeros(most.shape, bool)
-    step = max(1, 2_000_000 // max(1, len(b) * x.shape[1]))
-    for i in range(0, len(a), step):
-        differ = np.bitwise_count(x[i : i + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
-        out[i : i + step] = differ <= most[i : i + step]
-    return out & (np.abs(na[:, None] - nb) <= most)
-
-
-def _by_length(a: list[dict], b: list[dict], percent: int) -> np.ndarray:
-    """``_close`` with sketches of like lengths compared together, so that long ones aren't folded for a short one."""
-    out = np.zeros((len(a), len(b)), bool)
-    by = lambda ms: {s: [i for i, m in enumerate(ms) if len(m["sketch"]) == s] for s in {len(m["sketch"]) for m in ms}}
-    for s, i in by(a).items():
-        for t, j in by(b).items():
-            if s <= 4 * t and t <= 4 * s:
-                out[np.ix_(i, j)] = _close([a[x] for x in i], [b[x] for x in j], percent)
-    return out
+class Members:
+    """Members of a group as arrays: ids, set sizes, components, sketches and the ids that each failed to link with."""
+
+    def __init__(self, rows: pa.StructArray):
+        column = lambda c: rows.field(c).to_numpy(zero_copy_only=False)
+        self.block, self.doc, self.n, self.comp = column("block"), column("doc"), column("n"), column("comp")
+        self.sketches, failed = rows.field("sketch"), rows.field("failed")
+        self.length = np.diff(np.frombuffer(self.sketches.buffers()[1], np.int32, len(rows) + 1, 4 * self.sketches.offset))
+        self.failed = failed if failed.null_count < len(failed) else None
+
+    def folded(self, at: np.ndarray, bits: int) -> np.ndarray:
+        """The sketches, all of one length, of the members at these places, folded to so many bits."""
+        taken = self.sketches.take(pa.array(at))
+        first = np.frombuffer(taken.buffers()[1], np.int32, 1, 4 * taken.offset)[0]
+        out = np.frombuffer(taken.buffers()[2], np.uint8, len(at) * self.length[at[0]], first).view(U64).reshape(len(at), -1)
+        while out.shape[1] > bits // 64:
+            out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+        return out
+
+    def close(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs' sketches differ in no more bits than the threshold allows; sketches of like lengths go together, so that long ones aren't folded for a short one."""
+        out = np.zeros((len(a), len(b)), bool)
+        for s in np.unique(self.length[a]):
+            for t in np.unique(self.length[b]):
+                if s > 4 * t or t > 4 * s:
+                    continue
+                i, j = np.flatnonzero(self.length[a] == s), np.flatnonzero(self.length[b] == t)
+                out[np.ix_(i, j)] = self._close(a[i], b[j], int(min(s, t)) * 8, percent)
+        if self.failed is not None:
+            for k, x in enumerate(a.tolist()):
+                if (bad := self.failed[x]).is_valid and len(bad):
+                    out[k] &= ~np.isin(self.doc[b], bad.values.to_numpy())
+        return out
+
+    def _close(self, a: np.ndarray, b: np.ndarray, bits: int, percent: int) -> np.ndarray:
+        x, y = self.folded(a, bits), self.folded(b, bits)
+        na, nb = self.n[a], self.n[b]
+        most = (na[:, None] + nb) * (100 - percent) // (100 + percent)
+        out = np.zeros(most.shape, bool)
+        step = max(1, CELLS // max(1, len(b) * x.shape[1]))
+        for i in range(0, len(a), step):
+            differ = np.bitwise_count(x[i : i + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
+            out[i : i + step] = differ <= most[i : i + step]
+        return out & (np.abs(na[:, None] - nb) <= most)
 
 
 def spanning(linked: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -281,34 +294,28 @@ def _blocks(percent: int, most: int):
     def run(batches):
         for b in batches:
             left, right, cut = [], [], []
-            for lo, hi, members in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = [m for m in members if m["block"] == lo]
-                y = x if lo == hi else [m for m in members if m["block"] == hi]
-                every = x if lo == hi else x + y
-                label: dict[int, int] = {}
-                at = np.array([label.setdefault(m["comp"], len(label)) for m in every], np.int64)
-                forest, nx, more = np.arange(len(label)), len(x), False
-
-                def linked(p, q):
-                    ok = _by_length(p, q, percent)
-                    for i in range(len(p)) if any(m["failed"] for m in p) else ():
-                        bad = set(p[i]["failed"] or ())
-                        if bad:
-                            ok[i] &= np.array([m["doc"] not in bad for m in q])
-                    return ok
-
-                if not x or not y:
+            groups = b.column(2)
+            ends = np.cumsum(groups.value_lengths().to_numpy())
+            rows = groups.flatten()
+            # One group's members at a time; a batch's are never all Python objects.
+            for lo, hi, end, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist(), groups.value_lengths().to_pylist()):
+                m = Members(rows.slice(end - size, size))
+                x = np.flatnonzero(m.block == lo)
+                y = x if lo == hi else np.flatnonzero(m.block == hi)
+                if not len(x) or not len(y):
                     continue
+                comps, at = np.unique(m.comp, return_inverse=True)
+                forest, more = np.arange(len(comps)), False
                 if most > 1:
-                    got, more = crossing(np.triu(linked(x, x), 1), at, at, most) if lo == hi else crossing(linked(x, y), at[:nx], at[nx:], most)
+                    got, more = crossing(np.triu(m.close(x, x, percent), 1), at[x], at[x], most) if lo == hi else crossing(m.close(x, y, percent), at[x], at[y], most)
                 elif lo == hi:
-                    got = spanning(np.triu(linked(x, x), 1), forest, at, at)
+                    got = spanning(np.triu(m.close(x, x, percent), 1), forest, at[x], at[x])
                 else:
-                    spanning(np.triu(linked(x, x), 1), forest, at[:nx], at[:nx])
-                    spanning(np.triu(linked(y, y), 1), forest, at[nx:], at[nx:])
-                    got = spanning(linked(x, y), forest, at[:nx], at[nx:])
-                left += [x[i]["doc"] for i, _ in got]
-                right += [y[j]["doc"] for _, j in got]
+                    spanning(np.triu(m.close(x, x, percent), 1), forest, at[x], at[x])
+                    spanning(np.triu(m.close(y, y, percent), 1), forest, at[y], at[y])
+                    got = spanning(m.close(x, y, percent), forest, at[x], at[y])
+                left += [int(m.doc[x[i]]) for i, _ in got]
+                right += [int(m.doc[y[j]]) for _, j in got]
                 cut += [more] * len(got)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
 

@@ -275,9 +275,12 @@ def test_sketches_never_exceed_the_difference():
     for n in (5, 50, 500):
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[n // 10 :], r.integers(0, 2**63, n // 9).astype(np.uint64))))
-        x, y = ({"sketch": ngram_join.sketch(s), "n": len(s)} for s in (a, b))
-        bits = min(len(x["sketch"]), len(y["sketch"])) * 8
-        p, q = ngram_join._folded([x], bits), ngram_join._folded([y], bits)
+        rows = [{"block": 0, "doc": i, "n": len(s), "comp": i, "sketch": ngram_join.sketch(s), "failed": None} for i, s in enumerate((np.arange(3, dtype=np.uint64), a, b))]
+        kind = pa.struct([("block", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("sketch", pa.binary()), ("failed", pa.list_(pa.int64()))])
+        m = ngram_join.Members(pa.array(rows, kind).slice(1))  # as it comes, in the middle of a batch
+        bits = int(m.length.min()) * 8
+        p, q = m.folded(np.array([0]), bits), m.folded(np.array([1]), bits)
+        assert m.length.tolist() == [len(ngram_join.sketch(s)) for s in (a, b)] and p.shape == q.shape == (1, bits // 64)
         assert int(np.bitwise_count(p ^ q).sum()) <= len(np.setxor1d(a, b))
 
 
