@@ -27,8 +27,9 @@ MAX_BROADCAST_IDS = 1_000_000
 BATCH_BYTES = 16 << 20
 
 
-#: Folders of our own making, by application.
+#: Folders of our own making, and tables written and not yet removed, by application.
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def one_process(master: str) -> bool:
@@ -54,10 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    """Results are read from tables after a query has returned, so what no query removes goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = set()
+        atexit.register(drop_rest, spark)
+    _WRITTEN[app].add(path)
+
+
+def drop_rest(spark: SparkSession) -> None:
+    """Remove all tables of this application that are still in the shared folder, if its context is alive."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        drop_shared(spark, *_WRITTEN.get(sc.applicationId, ()))
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once; return it as read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex[:12]}-{name}"
+    _remember(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -75,8 +93,11 @@ def shared(df: DataFrame, name: str) -> DataFrame:
 
 def drop_shared(spark: SparkSession, *paths: str) -> None:
     """Remove tables that nothing reads any more."""
+    paths = tuple(paths)
     jvm = spark.sparkContext._jvm
+    written = _WRITTEN.get(spark.sparkContext.applicationId, set())
     for path in paths:
+        written.discard(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
