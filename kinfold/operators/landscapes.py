@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import sequences
 from kinfold.operators import tiles
-from kinfold.shared import python_ready
+from kinfold.shared import python_ready, write_shared
 
 #: Neighbours on either side; landscapes of more symbols than this are core; most paths to enumerate.
 HALF_WINDOW, CORE_SIZE, MOST_PATHS = 15, 20, 10_000
@@ -209,6 +209,7 @@ def threaded_pairs(genes: DataFrame, family: str, idx: str, landscape: str) -> D
     runs = runs.select(family, idx, "seq", F.transform("runs", lambda r: r["sym"]).alias("sym"), F.transform("runs", lambda r: r["w"]).alias("w"))
     twice = F.filter("sym", lambda x, i: F.array_position("sym", x) != i + 1)
     runs = runs.withColumns({"twice": twice, "odd": F.exists("sym", lambda x: x.isNull()) | (F.size(twice) > 0)})
+    runs, _ = write_shared(runs, "runs")  # both kinds of pairs read them on both sides
     paired = pairs(runs, family, idx, "seq", "sym", "w", "twice", "odd")
     branches = F.coalesce(F.arrays_overlap("i_sym", "j_twice"), F.lit(True)) | F.exists("j_sym", lambda x: x.isNull())
     keys = [family, f"i_{idx}", f"j_{idx}"]

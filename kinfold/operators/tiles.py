@@ -30,11 +30,7 @@ def block_bounds(rows: DataFrame, family: str, idx: str) -> tuple[DataFrame, int
 
 
 def pair_up(rows: DataFrame, family: str, idx: str, left: dict[str, str], right: dict[str, str], keep: Column | None = None) -> DataFrame:
-    """Pairs with the later number on the left; ``left`` and ``right`` map columns of rows to their names in the pairs.
-
-    The rows are written once, as both sides read them.
-    """
-    rows, _ = write_shared(rows, "genes")
+    """Pairs with the later number on the left; ``left`` and ``right`` map columns of rows to their names in the pairs."""
     bounds, n = block_bounds(rows, family, idx)
     a, b = (rows.select(F.col(family).alias("pair family"), F.col(idx).alias(f"{side} idx"), *[F.col(c).alias(x) for c, x in names.items()]) for side, names in (("i", left), ("j", right)))
     key = ["pair family"]
