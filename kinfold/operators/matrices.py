@@ -5,25 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators import tiles
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays of numbers, in DOUBLE."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def triangle(members: DataFrame, family: str, idx: str, columns: list[str], value: Column) -> DataFrame:
-    """(family, i, j, value) with i > j, in tiles; ``value`` reads the two rows' columns as i_ and j_ and their names."""
-    left, right = ({idx: s, **{c: f"{s}_{c}" for c in columns}} for s in ("i", "j"))
-    return tiles.pair_up(members, family, idx, left, right).select(family, "i", "j", value.alias("value"))
-
-
-def cosines(members: DataFrame, family: str, idx: str, vector: str) -> DataFrame:
-    """(family, i, j, value): the cosine of each pair of a family's vectors; each vector's norm is taken once."""
-    rows = members.select(family, idx, F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))
-    return triangle(rows, family, idx, ["v", "norm"], dot(F.col("i_v"), F.col("j_v")) / (F.col("i_norm") * F.col("j_norm")))
-
 
 def symmetric(lower: DataFrame, members: DataFrame, family: str, idx: str) -> DataFrame:
     """The whole matrix of a lower triangle: mirrored, with a zero diagonal."""
