@@ -146,7 +146,8 @@ def clusters_of(members: DataFrame, lower: DataFrame, threshold: float, name: st
     edges = _both_ways(lower.where(F.col("value") >= threshold)).withColumn("name", F.lit(None).cast(kind))
     marks = members.select("family", F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"), F.col(name).alias("name"))
     rows = edges.select("family", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"), "name").unionByName(marks)
-    sent = rows.repartition("family").sortWithinPartitions("family", "i", "j")
+    # By a hash of its own: Spark would leave out the shuffle by a column by which the union's sides are dealt already, and then merge their parts apart.
+    sent = rows.repartition(F.xxhash64("family")).sortWithinPartitions("family", "i", "j")
 
     def run(batches):
         now, scan, names = None, None, []
@@ -192,7 +193,7 @@ def threshold_table(members: DataFrame, lower: DataFrame, tree: list[tuple], spe
     marks = each.join(members.select("family", F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"), F.col(species).cast("long").alias("kind")), "family")
     edges = each.join(_both_ways(lower.where(F.col("value") > BAND[0])), "family").select("family", "chunk", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
     heads = tried.join(chunks, "family").select("family", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("int").alias("chunk"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
-    sent = heads.unionByName(marks.select(heads.columns)).unionByName(edges).repartition("family", "chunk").sortWithinPartitions("family", "chunk", "i", "j", "value")
+    sent = heads.unionByName(marks.select(heads.columns)).unionByName(edges).repartition(F.xxhash64("family", "chunk")).sortWithinPartitions("family", "chunk", "i", "j", "value")
 
     def run(batches):
         clades = trees.Clades(tree)
