@@ -292,6 +292,11 @@ def reachable(tree: DataFrame, content: DataFrame, by: list[str]) -> DataFrame:
     return tree.join(seen, [*by, "node"], "left_semi")
 
 
+def reachable_in_one(closed: DataFrame, content: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node): what ``reachable`` keeps where all groups have the same tree, of which ``closed`` is the closure; no copy of it is made for a group."""
+    return content.select(*by, "node").distinct().join(closed, "node").select(*by, F.col("anc").alias("node")).distinct()
+
+
 def polytomies(tree: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, node, children) of nodes with more than two children."""
     keys = by or []

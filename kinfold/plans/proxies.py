@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task where a table is dealt by a key, so that what a task sorts and counts does not grow with the table.
+ROWS_A_TASK = 250_000
 #: Lines of an order have no unique number; this order has no repeats.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -13,6 +15,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, source: DataFrame) -> DataFrame:
+    """rows dealt by a key into as many parts as the rows of ``source`` ask for, which a file's footers tell."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // ROWS_A_TASK))
+    return rows.repartition(parts, key)
+
+
 def order_landscapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, gene, landscape): orders as genes of their customer's family, part types of their lines as landscapes."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
@@ -32,8 +40,12 @@ def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(customer, family, species): a row a line; the order is the family, its supplier's nation the species."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    """(customer, family, species): a row a line; the order is the family, its supplier's nation the species.
+
+    Rows lie by order, so what is counted by order moves no more.
+    """
+    table = load(spark, sf_dir, "lineitem")
+    lines = dealt(table.select("l_orderkey", "l_suppkey").where("l_orderkey is not null"), "l_orderkey", table)
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + 100).alias("species"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"]).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
