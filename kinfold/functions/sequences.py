@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 MOST_BITS = 60
 
 
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """Longest common subsequence by bit vectors: a bit for each place of ``b``, a step for each symbol of ``a``."""
-    one = F.lit(1).cast("long")
-    full = F.call_function("shiftleft", one, F.size(b)) - 1
+def match_masks(b: Column) -> Column:
+    """(symbols, masks): the distinct symbols of ``b`` with a bit for each of their places; null for more than ``MOST_BITS`` symbols."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    places = lambda s: F.transform(b, lambda y, i: F.when(y == s, F.call_function("shiftleft", one, i)).otherwise(none))
+    symbols = F.array_distinct(b)
+    masks = F.transform(symbols, lambda s: F.aggregate(places(s), none, lambda x, m: x.bitwiseOR(m)))
+    return F.when(F.size(b) <= MOST_BITS, F.struct(symbols.alias("symbols"), masks.alias("masks")))
+
 
-    def step(v: Column, x: Column) -> Column:
-        here = F.aggregate(F.transform(b, lambda y, i: F.when(y == x, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, m: s.bitwiseOR(m))
-        hit = v.bitwiseAND(here)
-        return (v + hit).bitwiseOR(v.bitwiseAND(F.bitwise_not(here))).bitwiseAND(full)
+def matches(a: Column, masks: Column) -> Column:
+    """For each symbol of ``a`` the places where another sequence has it, by the other's ``match_masks``."""
+    return F.transform(a, lambda x: F.coalesce(F.get(masks["masks"], (F.array_position(masks["symbols"], x) - 1).cast("int")), F.lit(0).cast("long")))
 
-    return F.size(b) - F.bit_count(F.aggregate(a, full, step)).cast("int")
+
+def _lcs_steps(found: Column, b: Column) -> Column:
+    """Longest common subsequence by bit vectors: a bit for each place of ``b``, a step for each of ``matches``."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(b)) - 1
+    step = lambda v, here: (v + v.bitwiseAND(here)).bitwiseOR(v.bitwiseAND(F.bitwise_not(here))).bitwiseAND(full)
+    return F.size(b) - F.bit_count(F.aggregate(found, full, step)).cast("int")
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    return _lcs_steps(matches(a, match_masks(b)), b)
 
 
 def _lcs_rows(a: Column, b: Column) -> Column:
@@ -50,9 +62,15 @@ def without_self(score: Column) -> Column:
     return F.when(score >= 1, score - 1).otherwise(score)
 
 
-def lcs_score(a: Column, b: Column) -> Column:
-    """The better of forward and reversed common subsequence, less the self match, over the longer length, as FLOAT."""
-    best = without_self(F.greatest(lcs_length(a, b), lcs_length(a, F.reverse(b)))).cast("float")
+def lcs_score(a: Column, b: Column, found: Column | None = None) -> Column:
+    """The better of forward and reversed common subsequence, less the self match, over the longer length, as FLOAT.
+
+    found: ``matches`` of ``a`` in ``b``, where they are at hand; a reversed ``b`` has as much in common with ``a`` as ``b`` with a reversed ``a``.
+    """
+    any_length = F.greatest(lcs_length(a, b), lcs_length(a, F.reverse(b)))
+    if found is not None:
+        any_length = F.when(F.size(a) * F.size(b) == 0, F.lit(0)).when(F.size(b) <= MOST_BITS, F.greatest(_lcs_steps(found, b), _lcs_steps(F.reverse(found), b))).otherwise(F.greatest(_lcs_rows(a, b), _lcs_rows(a, F.reverse(b))))
+    best = without_self(any_length).cast("float")
     return F.when(F.size(a) == 0, F.lit(0.0).cast("float")).otherwise((best / normaliser(a, b).cast("float")).cast("float"))
 
 

@@ -226,5 +226,13 @@ def threaded_pairs(genes: DataFrame, family: str, idx: str, landscape: str) -> D
     return one.unionByName(many)
 
 
+def lcs_of_pairs(genes: DataFrame, family: str, idx: str, landscape: str) -> DataFrame:
+    """(family, i_idx, j_idx, score): the subsequence score of all pairs of a family, the later gene first; where symbols stand is found once a gene."""
+    marked = genes.select(family, idx, landscape, sequences.match_masks(F.col(landscape)).alias("masks"))
+    paired = tiles.pair_up(marked, family, idx, {idx: f"i_{idx}", landscape: "a"}, {idx: f"j_{idx}", landscape: "b", "masks": "masks"})
+    found = paired.withColumn("found", sequences.matches(F.col("a"), F.col("masks"))).drop("masks")
+    return found.select(family, f"i_{idx}", f"j_{idx}", sequences.lcs_score(F.col("a"), F.col("b"), F.col("found")).alias("score"))
+
+
 def lcs_pairs(paired: DataFrame, a: str, b: str) -> DataFrame:
     return paired.withColumn("score", sequences.lcs_score(F.col(a), F.col(b)))

@@ -141,3 +141,12 @@ def test_most_pairs_of_the_table_stay_out_of_python(spark, sf_dir):
     runs = runs.withColumn("twice", F.filter("r", lambda x, i: F.array_position("r", x) != i + 1)).select("family", "gene", "r", "twice")
     n, python = landscapes.pairs(runs, "family", "gene", "r", "twice").agg(F.count("*"), F.count_if(F.arrays_overlap("i_r", "j_twice"))).first()
     assert n > 5000 and python / n < 0.25
+
+
+def test_places_of_symbols_are_found_once_a_gene(spark):
+    r = random.Random(3)
+    rows = [(g % 3, g, [r.choice(["a", "b", "c", None]) for _ in range(r.choice([0, 1, 4, 7, 65]))]) for g in range(24)]
+    genes = spark.createDataFrame(rows, "family int, gene int, s array<string>")
+    got = {(x.family, x.i_gene, x.j_gene): x.score for x in landscapes.lcs_of_pairs(genes, "family", "gene", "s").collect()}
+    paired = landscapes.lcs_pairs(landscapes.pairs(genes, "family", "gene", "s"), "i_s", "j_s")
+    assert got == {(x.family, x.i_gene, x.j_gene): x.score for x in paired.collect()} and len(got) == 3 * 28
