@@ -80,6 +80,11 @@ def extract(column: Column, pattern: str, name: str) -> Column:
     return F.when(column.rlike(java_groups(pattern)), got)
 
 
+def first_match(column: Column, pattern: str, name: str) -> Column:
+    """As ``extract``, but the pattern runs once."""
+    return F.get(F.regexp_extract_all(column, F.lit(java_groups(pattern)), F.lit(group_number(pattern, name))), F.lit(0))
+
+
 def stem(column: Column) -> Column:
     """A path's file name up to its last suffix."""
     return F.regexp_replace(F.regexp_replace(column, r".*/", ""), r"\.[^.]*$", "")
@@ -132,17 +137,26 @@ def read_annotations(spark: SparkSession, paths: list[str], id_type: str = "gene
     if the pattern matches; names of the other two are what it matches, or else the whole name.
     Comments, and the ``track`` and ``browser`` lines of BED, are left out, as are rows without a start or a name.
     """
-    raw = spark.read.text(paths, lineSep="\n").select(F.input_file_name().alias("path"), F.split(F.rtrim("value", F.lit("\r")), "\t").alias("c"))
+    path = F.col("_metadata.file_path").alias("path")
+    found, _, n = write_counted(_annotation_files(spark.read.format("binaryFile").load(paths).select(path), species_pattern), "files")
+    lines = spark.read.text(paths, lineSep="\n").select(path, F.rtrim("value", F.lit("\r")).alias("value")).join(bounded(found, n), "path")
+    bed, gff = F.col("kind") == "bed", F.col("kind") == "gff3"
+    lines = lines.where(~F.startswith("value", F.lit("#")) & ~(bed & F.rlike("value", F.lit(r"^(?:track|browser)(?:\s|$)"))))
+    rows = lines.select("species", "kind", "at", F.split("value", "\t").alias("c")).where(~gff | (F.get("c", F.lit(2)) == id_type))
+    cell = lambda part: F.get("c", F.col(f"at.{part}"))
+    gene = F.when(gff, first_match(F.regexp_extract(cell("name"), r"(?:^|;)ID=([^;]*)", 1), id_pattern, "id")).otherwise(F.coalesce(first_match(cell("name"), id_pattern, "id"), cell("name")))
+    # A line gives one gene or none; a filter of its own would take the name apart again.
+    one = F.struct("species", cell("chr").alias("chr"), (cell("pos").try_cast("bigint") + F.col("at.more")).alias("pos"), gene.alias("gene"))
+    return rows.select(F.inline(F.filter(F.array(one), lambda g: g["pos"].isNotNull() & g["gene"].isNotNull() & (g["gene"] != ""))))
+
+
+def _annotation_files(paths: DataFrame, species_pattern: str) -> DataFrame:
+    """(path, kind, species, at): what a file's path says, once a file instead of once a line; ``at`` as in ``FORMATS``."""
     kind = F.regexp_extract("path", r"(?s).*\.(gff3?|bed|chrom)(?=[./]|$)", 1)
-    raw = raw.withColumn("kind", F.when(kind.isin("bed", "chrom"), kind).otherwise("gff3")).where(~F.startswith(F.col("c")[0], F.lit("#")) & ~((F.col("kind") == "bed") & F.col("c")[0].rlike(r"^(?:track|browser)(?:\s|$)")))
-    cell = lambda part: F.coalesce(*[F.when(F.col("kind") == k, F.get("c", F.lit(columns[part]))) for k, columns in FORMATS.items()])
-    more = F.coalesce(*[F.when(F.col("kind") == k, F.lit(columns[3])) for k, columns in FORMATS.items()])
-    ident = F.regexp_extract(cell(2), r"(?:^|;)ID=([^;]*)", 1)
-    gene = F.when(F.col("kind") == "gff3", extract(ident, id_pattern, "id")).otherwise(F.coalesce(extract(cell(2), id_pattern, "id"), cell(2)))
     name = F.regexp_replace(F.regexp_replace("path", r".*/", ""), r"\.gz$", "")
-    rows = raw.where((F.col("kind") != "gff3") | (F.get("c", F.lit(2)) == id_type))
-    rows = rows.select(extract(name, species_pattern, "species").alias("species"), cell(0).alias("chr"), (cell(1).try_cast("bigint") + more).alias("pos"), gene.alias("gene"))
-    return rows.where("pos is not null and gene is not null and gene <> ''")
+    files = paths.select("path", F.when(kind.isin("bed", "chrom"), kind).otherwise("gff3").alias("kind"), extract(name, species_pattern, "species").alias("species"))
+    at = F.coalesce(*[F.when(F.col("kind") == k, F.struct(*[F.lit(x).alias(a) for a, x in zip(("chr", "pos", "name", "more"), columns)])) for k, columns in FORMATS.items()])
+    return files.withColumn("at", at)
 
 
 def build_database(genes: DataFrame, families: DataFrame, half: int = landscapes.HALF_WINDOW) -> DataFrame:

@@ -148,3 +148,9 @@ def test_pending_and_timings(spark, tmp_path):
     assert [r.file for r in todo.collect()] == ["b"]
     files.write_timings(spark.createDataFrame([("a", 3, 0.5)], "file string, size int, time double"), str(tmp_path / "t"))
     assert "file,size,time" in next((tmp_path / "t").glob("*.csv")).read_text()
+
+
+def test_paths_are_looked_at_once_a_file(spark, tmp_path):
+    (tmp_path / "A.bed").write_text("c\t0\t5\tG\n")
+    plan = files.read_annotations(spark, [str(tmp_path / "A.bed")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "gff3?|bed|chrom" not in plan and plan.count("gene:(?<id>.*)") == 2  # one for IDs of GFF3, one for names
