@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.shared import drop_shared, write_counted, write_shared
+from kinfold.shared import bounded, drop_shared, write_counted, write_shared
+
+#: Links of a group that are held as an array.
+SMALL_GROUP = 200
 
 
 def guarded_filter(rows: DataFrame, by: list[str], passes: Column) -> DataFrame:
@@ -42,10 +47,35 @@ def greedy_links(links: Iterable[tuple], order) -> list[tuple]:
 
 
 def match_greedily(links: DataFrame, by: list[str], slot: list[str], item: str, order: list[Column]) -> DataFrame:
-    """The links (by, slot, item) that ``greedy_links`` takes of each group, in rounds over all groups at once.
+    """The links (by, slot, item) that ``greedy_links`` takes of each group.
+
+    ``order`` says which link comes first; by, slot and item break its ties, so equal rows are one link.  Groups of up to
+    ``SMALL_GROUP`` links are arrays, after one shuffle of the links; the others go by ``match_in_rounds``.
+    """
+    names = [f"o{k}" for k in range(len(order))]
+    ranked = links.select(*by, F.struct(*[c.alias(n) for c, n in zip(order, names)], *slot, item).alias("rank"))
+    large, _, n = write_counted(links.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > SMALL_GROUP).select(*by), "large")
+    if not n:
+        return _match_small(ranked, by, slot, item)
+    same = lambda rows: [rows[c].eqNullSafe(large[c]) for c in by]
+    rest = match_in_rounds(links.join(bounded(large, n), same(links), "left_semi"), by, slot, item, order)
+    return _match_small(ranked.join(bounded(large, n), same(ranked), "left_anti"), by, slot, item).unionByName(rest)
+
+
+def _match_small(ranked: DataFrame, by: list[str], slot: list[str], item: str) -> DataFrame:
+    """The links taken of groups (by, rank) that fit in an array: in order of rank, each that meets none taken before."""
+    groups = ranked.repartition(*by).groupBy(*by).agg(F.array_sort(F.collect_set("rank")).alias("links"))
+    of = lambda x: F.struct(*[x[c].alias(c) for c in (*slot, item)])
+    meets = lambda x, y: x[item].eqNullSafe(y[item]) | reduce(and_, [x[c].eqNullSafe(y[c]) for c in slot])
+    none = F.array().cast(ranked.select(F.array(F.struct(*[F.col(f"rank.{c}") for c in (*slot, item)])).alias("x")).schema["x"].dataType)
+    taken = F.aggregate("links", none, lambda held, x: F.when(F.exists(held, lambda y: meets(x, y)), held).otherwise(F.array_append(held, of(x))))
+    return groups.select(*by, F.inline(taken))
+
+
+def match_in_rounds(links: DataFrame, by: list[str], slot: list[str], item: str, order: list[Column]) -> DataFrame:
+    """``match_greedily`` of groups of any size, in rounds over all groups at once.
 
-    ``order`` says which link comes first; by, slot and item break its ties, so equal rows are one link.  A link is
-    taken if it is the first open one of its item and of its slot: whatever the sequential order takes before it
+    A link is taken if it is the first open one of its item and of its slot: whatever the sequential order takes before it
     conflicts with neither.  Then the links of taken items and slots close, and the next round begins,
     until none is open.  A round is two minima, summed before they move, a join of these and two
     anti joins; each round's links are written, so nothing of a group is ever gathered.  The

@@ -190,3 +190,29 @@ def test_one_group_of_a_million_links(spark):
     rows = [tuple(x) for x in df.distinct().collect()]
     want = assignment.greedy_links([(arm, kind, gene, w) for _, arm, kind, gene, w in rows], lambda x: (x[3], x[0], x[1], x[2]))
     assert {(x.arm, x.kind, x.gene) for x in got} == {w[:3] for w in want}
+
+
+def test_small_groups_are_matched_without_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(g if g else None, r.choice("ab"), r.randrange(3), r.randrange(4), r.randrange(5)) for g in range(30) for _ in range(r.randint(1, 12))]
+    links = spark.createDataFrame(rows, "g int, arm string, kind int, gene int, cost int")
+    want = []
+    for g in {x[0] for x in rows}:
+        own = {(arm, kind, gene, cost) for h, arm, kind, gene, cost in rows if h == g}
+        want += [(g, *x[:3]) for x in assignment.greedy_links(own, lambda x: (x[3], x[0], x[1], x[2]))]
+    monkeypatch.setattr(assignment, "match_in_rounds", None)  # not called where all groups are small
+    got = assignment.match_greedily(links, ["g"], ["arm", "kind"], "gene", [F.col("cost")])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_large_groups_go_by_rounds_beside_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(assignment, "SMALL_GROUP", 6)
+    r = random.Random(9)
+    rows = [(g, r.choice("ab"), r.randrange(3), r.randrange(4), r.randrange(5)) for g in range(30) for _ in range(r.randint(1, 12))]
+    links = spark.createDataFrame(rows, "g int, arm string, kind int, gene int, cost int")
+    want = []
+    for g in range(30):
+        own = {(arm, kind, gene, cost) for h, arm, kind, gene, cost in rows if h == g}
+        want += [(g, *x[:3]) for x in assignment.greedy_links(own, lambda x: (x[3], x[0], x[1], x[2]))]
+    got = assignment.match_greedily(links, ["g"], ["arm", "kind"], "gene", [F.col("cost")])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
