@@ -10,13 +10,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.functions import trees
 from kinfold.functions.sequences import round_half_up
-from kinfold.shared import python_ready, tidy, write_shared
+from kinfold.shared import bounded, python_ready, tidy, write_counted, write_shared
 
 #: Matrix values between these are tried as thresholds; the chosen one is lowered by this much.
 BAND, LOWERED = (0.15, 0.7), 0.1
 NEAR_REDUNDANCY, NEAR_COMPACTNESS = 1.1, 0.95
 #: Tasks that share a family's thresholds at least, and bytes of labels in one of them.
 CHUNKS, LABEL_BYTES = 8, 64 << 20
+#: Rows of a scan between looks for thresholds that are settled.
+SETTLED_EVERY = 32
 
 
 class LabelScan:
@@ -25,50 +27,122 @@ class LabelScan:
     The outcome depends on the rows' order, and need not be the connected components.  A row without a label opens
     one.  Along a row, an item at or over the threshold that is free or already has the
     row's label gets it; where it has another, earlier items with the row's label move to
-    the other, which the row carries on with.  The labels are all that is kept; thresholds go side by
-    side, and only those that meet another label go on from there.
+    the other, which the row carries on with.
+
+    So at a row's end everything that it took or moved has the last label met, ``end``; of another label that it met or
+    began with, the items before the next label's place have it too.  That is done for all thresholds side by side.  Labels whose
+    items the row meets without exception are moved by these; only others are looked for among all items.  With ``n`` items known, thresholds at which
+    all have one label need no further rows and are dropped.
     """
 
     def __init__(self, thresholds: np.ndarray, n: int = 0):
         self.thresholds = np.asarray(thresholds)
-        self.labels = np.full((len(self.thresholds), max(1, n)), -1, np.int32)
-        self.fresh = np.zeros(len(self.thresholds), np.int32)
-        self.n = n
+        self.known = n
+        count, kind = len(self.thresholds), np.int16 if 0 < n < 1 << 15 else np.int32
+        #: Thresholds that still change; a row such a threshold, a column an item: labels, and the items of each label.
+        self.open = np.arange(count)
+        self.held = np.full((count, max(1, n)), -1, kind)
+        self.size = np.zeros((count, max(1, n)), kind)
+        self.fresh = np.zeros(count, np.int32)
+        self.n, self.rows = n, 0
+
+    @property
+    def labels(self) -> np.ndarray:
+        """(thresholds, items)."""
+        out = np.zeros((len(self.thresholds), self.n), np.int32)
+        out[self.open] = self.held[:, : self.n]
+        return out
 
     def _room(self, n: int) -> None:
         self.n = max(self.n, n)
-        if n > self.labels.shape[1]:
-            more = np.full((len(self.thresholds), max(n, 2 * self.labels.shape[1]) - self.labels.shape[1]), -1, np.int32)
-            self.labels = np.concatenate((self.labels, more), axis=1)
+        if n > (had := self.held.shape[1]):
+            more = max(n, 2 * had) - had
+            self.held = np.pad(self.held, ((0, 0), (0, more)), constant_values=-1)
+            self.size = np.pad(self.size, ((0, 0), (0, more)))
+
+    def _drop_settled(self) -> None:
+        first = self.held[:, :1]
+        on = ((self.held[:, : self.n] != first) | (first < 0)).any(axis=1)
+        if not on.all():
+            self.open, self.fresh = self.open[on], self.fresh[on]
+            self.held, self.size = self.held[on], self.size[on]
 
     def row(self, i: int, js: np.ndarray, values: np.ndarray) -> None:
         """Row i: items js in order and their values; those under every threshold may be left out."""
         self._room(max(i, int(js[-1]) if len(js) else 0) + 1)
-        labels = self.labels
-        free = labels[:, i] < 0
-        labels[free, i] = self.fresh[free]
-        self.fresh += free
+        self.rows += 1
+        if self.known and self.rows % SETTLED_EVERY == 0:
+            self._drop_settled()
+        if not len(self.open):
+            return
+        new = np.flatnonzero(self.held[:, i] < 0)
+        self.held[new, i] = self.fresh[new]
+        self.size[new, self.fresh[new]] = 1
+        self.fresh[new] += 1
         if not len(js):
             return
-        now = labels[:, i].copy()
-        todo = np.arange(np.searchsorted(self.thresholds, values.max(), side="right"))
-        over = values >= self.thresholds[todo, None]
-        place, start = np.arange(len(js)), np.zeros(len(todo), int)
-        while len(todo):
-            held = labels[np.ix_(todo, js)]
-            live = over[todo] & (place >= start[todo, None])
-            clash = live & (held >= 0) & (held != now[todo, None])
-            meets = clash.any(axis=1)
-            end = np.where(meets, clash.argmax(axis=1), len(js))
-            t, k = np.nonzero(live & (held < 0) & (place < end[:, None]))
-            labels[todo[t], js[k]] = now[todo[t]]
-            todo, end = todo[meets], end[meets]
-            j = js[end]
-            other = labels[todo, j]
-            block = labels[todo]
-            moved = (block == now[todo, None]) & (np.arange(labels.shape[1]) < j[:, None])
-            labels[todo] = np.where(moved, other[:, None], block)
-            now[todo], start[todo] = other, end + 1
+        low = self.thresholds[self.open]
+        m = int(np.searchsorted(low, values.max(), side="right"))
+        js = js[at] if len(at := np.flatnonzero(values >= low[0])) < len(js) else js
+        values = values[at]
+        if not m:
+            return
+        live, seen = (values >= low[:m, None]).T, np.take(self.held[:m], js, axis=1).T
+        named = live & (seen >= 0)
+        now = self.held[:m, i].copy()
+        end = now.copy()
+        clash = np.flatnonzero((named & (seen != now)).any(axis=0))
+        if len(clash):
+            met, label = named[:, clash], seen[:, clash]
+            last = len(js) - 1 - met[::-1].argmax(axis=0)
+            end[clash] = label[last, np.arange(len(clash))]
+            self._move(i, js, clash, met, label, now[clash], end[clash])
+        k, t = np.nonzero(live & ~named)
+        self.held[t, js[k]] = end[t]
+        self.size[np.arange(m), end] += np.bincount(t, minlength=m).astype(self.size.dtype)
+
+    def _move(self, i: int, js: np.ndarray, columns: np.ndarray, met: np.ndarray, label: np.ndarray, now: np.ndarray, end: np.ndarray) -> None:
+        """Items of the labels that a row leaves, up to the place of the next one, get its last label."""
+        after = np.minimum.accumulate(np.where(met, js[:, None], np.iinfo(np.int64).max)[::-1])[::-1]
+        k, c = np.nonzero(met & (label != end))
+        own = np.flatnonzero(now != end)
+        item = np.concatenate((js[k], np.full(len(own), i)))
+        which = np.concatenate((c, own))
+        left = np.concatenate((label[k, c], now[own])).astype(np.int64)
+        until = np.concatenate((after[np.minimum(k + 1, len(js) - 1), c], after[0, own]))
+        key = which * self.held.shape[1] + left
+        order = np.lexsort((until, key))
+        item, which, left, until, key = (x[order] for x in (item, which, left, until, key))
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(starts[1:], len(key))
+        until = until[ends - 1]  # the last place at which the label is left
+        # A row never meets itself, so what it meets and itself are different items.
+        whole = self.size[columns[which[starts]], left[starts]] == ends - starts
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        near = whole[group] & (item < until[group])
+        self._rename(item[near], columns[which[near]], left[near], end[which[near]])
+        far = np.flatnonzero(~whole)
+        # One label of each threshold at a time.
+        turn = np.arange(len(far)) - np.searchsorted(which[starts[far]], which[starts[far]])
+        for r in range(int(turn.max(initial=-1)) + 1):
+            some = far[turn == r]
+            w, lab, stop = which[starts[some]], left[starts[some]], until[some]
+            t, to, top = columns[w], end[w], int(stop.max())
+            block = self.held[t, :top]
+            lab = lab.astype(block.dtype)
+            gone = block == lab[:, None]
+            for x, y in zip(gone, stop.tolist()):
+                x[y:] = False
+            block += np.multiply(gone, (to - lab)[:, None], dtype=block.dtype)
+            self.held[t, :top] = block
+            count = np.array([np.count_nonzero(x) for x in gone], block.dtype)
+            self.size[t, lab] -= count
+            self.size[t, to] += count
+
+    def _rename(self, items: np.ndarray, rows: np.ndarray, left: np.ndarray, to: np.ndarray) -> None:
+        self.held[rows, items] = to
+        np.subtract.at(self.size, (rows, left), 1)
+        np.add.at(self.size, (rows, to), 1)
 
     def figures(self, kinds: np.ndarray, clades: trees.Clades) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each threshold the kinds of all clusters, the sum of their shares of the span of their common ancestor, and the clusters.
@@ -76,8 +150,9 @@ class LabelScan:
         kinds: the species' number of each item, as ``clades`` numbers them.
         """
         n, count = self.n, len(self.thresholds)
-        order = np.lexsort((np.tile(kinds, count), self.labels[:, :n].ravel(), np.repeat(np.arange(count), n)))
-        t, label, kind = np.repeat(np.arange(count), n)[order], self.labels[:, :n].ravel()[order], np.tile(kinds, count)[order]
+        labels = self.labels.ravel()
+        order = np.lexsort((np.tile(kinds, count), labels, np.repeat(np.arange(count), n)))
+        t, label, kind = np.repeat(np.arange(count), n)[order], labels[order], np.tile(kinds, count)[order]
         begins = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(label, prepend=-2) != 0))
         new = np.ones(len(t), bool)
         new[1:] = (kind[1:] != kind[:-1])
@@ -177,9 +252,9 @@ def threshold_table(members: DataFrame, lower: DataFrame, tree: list[tuple], spe
     """(family, threshold, redundancy, compactness): the ordered clusters at each value of the band.
 
     members: (family, idx, species); lower as in ``clusters_of``; tree: the species tree's (node, parent) rows, of a checked
-    number.  A family's thresholds are dealt into at least ``CHUNKS`` chunks, each a task of its
-    own with ``LABEL_BYTES`` of labels at most; each streams the family's edges over the band's
-    lower end once, in order.
+    number.  A family's thresholds are cut in order into at least ``CHUNKS`` chunks, each a task of its
+    own with ``LABEL_BYTES`` of labels at most; each streams the family's edges from its lowest threshold on
+    once, in order.
     """
     spark = members.sparkSession
     python_ready(spark, 10_000)
@@ -189,11 +264,16 @@ def threshold_table(members: DataFrame, lower: DataFrame, tree: list[tuple], spe
     counted = tried.groupBy("family").agg(F.count("*").alias("tried")).join(sizes, "family")
     chunks = counted.select("family", F.greatest(F.lit(CHUNKS), F.ceil(F.col("tried") * F.col("n") * 4 / LABEL_BYTES)).cast("int").alias("chunks"))
     chunks, _ = write_shared(chunks, "chunks")
-    each = chunks.select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    place = F.row_number().over(Window.partitionBy("family").orderBy("value")) - 1
+    placed = tried.join(counted, "family").join(chunks, "family").withColumn("chunk", F.floor(place * F.col("chunks") / F.col("tried")).cast("int"))
+    heads, _ = write_shared(placed.select("family", "chunk", "value", "n"), "heads")
+    each, _, n = write_counted(heads.groupBy("family", "chunk").agg(F.min("value").alias("least")), "each")
+    lows = bounded(each.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("least", "chunk"))).alias("lows")), n)
     marks = each.join(members.select("family", F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"), F.col(species).cast("long").alias("kind")), "family")
-    edges = each.join(_both_ways(lower.where(F.col("value") > BAND[0])), "family").select("family", "chunk", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
-    heads = tried.join(chunks, "family").select("family", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("int").alias("chunk"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
-    sent = heads.unionByName(marks.select(heads.columns)).unionByName(edges).repartition(F.xxhash64("family", "chunk")).sortWithinPartitions("family", "chunk", "i", "j", "value")
+    over = _both_ways(lower.where(F.col("value") > BAND[0])).join(lows, "family").select("*", F.explode(F.filter("lows", lambda x: x["least"] <= F.col("value"))["chunk"]).alias("chunk"))
+    edges = over.select("family", "chunk", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value", F.lit(None).cast("long").alias("kind"))
+    heads = heads.select("family", "chunk", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), "value", F.col("n").alias("kind"))
+    sent = heads.unionByName(marks.select(heads.columns)).unionByName(edges).repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("family", "chunk")).sortWithinPartitions("family", "chunk", "i", "j", "value")
 
     def run(batches):
         clades = trees.Clades(tree)
@@ -212,8 +292,8 @@ def threshold_table(members: DataFrame, lower: DataFrame, tree: list[tuple], spe
                 now, scan, kinds = key, None, []
             block = block.combine_chunks().to_batches()[0]
             if i < 0:
-                scan = LabelScan(block.column("value").to_numpy())
-            elif scan is not None:  # a chunk can be without thresholds
+                scan = LabelScan(block.column("value").to_numpy(), block.column("kind")[0].as_py())
+            else:
                 kinds.append(block.column("kind")[0].as_py())
                 scan.row(i, block.column("j").to_numpy()[1:], block.column("value").to_numpy()[1:])
         if scan is not None:
@@ -284,8 +364,12 @@ def half_up(x: float, digits: int) -> float:
 
 def choose_threshold(matrix: np.ndarray, species: list[int], clades: trees.Clades) -> float:
     """``choose_thresholds`` of one family's matrix in memory, where a task has it anyway."""
-    values = matrix[~np.eye(len(matrix), dtype=bool)] if len(matrix) > 1 else matrix.ravel()
-    tried = np.unique(values[(values > BAND[0]) & (values < BAND[1])])
+    tried, held = np.zeros(0, matrix.dtype), []
+    for i, row in enumerate(matrix):
+        own = row[(row > BAND[0]) & (row < BAND[1]) & ((np.arange(len(row)) != i) | (len(matrix) == 1))]
+        held.append(own)
+        if i % 256 == 255 or i == len(matrix) - 1:
+            tried, held = np.unique(np.concatenate((tried, *held))), []
     if not len(tried):
         return float(matrix.mean()) if matrix.size else float("nan")
     table, numbers = [], clades.number(np.array(species))

@@ -216,3 +216,13 @@ def test_large_groups_go_by_rounds_beside_small_ones(spark, monkeypatch):
         want += [(g, *x[:3]) for x in assignment.greedy_links(own, lambda x: (x[3], x[0], x[1], x[2]))]
     got = assignment.match_greedily(links, ["g"], ["arm", "kind"], "gene", [F.col("cost")])
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_settled_thresholds_leave_the_scan():
+    r = np.random.default_rng(2)
+    m = np.round(np.abs(r.normal(size=(120, 120))), 3)
+    m = np.maximum(m, m.T)
+    np.fill_diagonal(m, 0)
+    scan = clusters._scan_dense(m, np.array([0.15, 0.3, 0.45, 4.0]))
+    assert scan.open.tolist() == [3]  # the others have one label for all items
+    assert [len(np.unique(x)) for x in scan.labels] == [1, 1, 1, 120]
