@@ -325,8 +325,8 @@ def band_values(matrix: DataFrame, family: str) -> DataFrame:
 
 def redundancy(members: DataFrame, family: str, cluster: str, species: str) -> DataFrame:
     """(family, redundancy): members over species, both added up over clusters, to two decimals."""
-    each = members.groupBy(family, cluster).agg(F.count("*").alias("size"), F.count_distinct(species).alias("kinds"))
-    return each.groupBy(family).agg(round_half_up(F.sum("size") / F.sum("kinds"), 2).alias("redundancy"))
+    each = members.groupBy(family, cluster, species).agg(F.count("*").alias("size"))
+    return each.groupBy(family).agg(round_half_up(F.sum("size") / F.count(species), 2).alias("redundancy"))
 
 
 def compactness(members: DataFrame, clades: trees.Clades, family: str, cluster: str, species: str) -> DataFrame:

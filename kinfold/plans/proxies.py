@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.shared import bounded
+
 #: Rows of a task where a table is dealt by a key, so that what a task sorts and counts does not grow with the table.
 ROWS_A_TASK = 250_000
 #: Lines of an order have no unique number; this order has no repeats.
@@ -42,13 +44,14 @@ def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customer, family, species): a row a line; the order is the family, its supplier's nation the species.
 
-    Rows lie by order, so what is counted by order moves no more.
+    Rows lie by order, so what is counted by order moves no more.  They are dealt after they have met the suppliers: a
+    shuffle by supplier, where these are too many to be sent along, would undo the dealing.
     """
     table = load(spark, sf_dir, "lineitem")
-    lines = dealt(table.select("l_orderkey", "l_suppkey").where("l_orderkey is not null"), "l_orderkey", table)
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + 100).alias("species"))
+    lines = table.where("l_orderkey is not null").join(bounded(suppliers, suppliers.count()), table["l_suppkey"] == suppliers["s_suppkey"]).select("l_orderkey", "species")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"]).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    joined = dealt(lines, "l_orderkey", table).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return joined.select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("family"), "species")
 
 

@@ -1,8 +1,13 @@
 """Steps that several queries share: rows dealt by their number, one tree for orders of one content, reach in one tree."""
 
 import random
+import re
 
+import pytest
+
+from kinfold import shared
 from kinfold.functions import trees
+from kinfold.operators import clusters
 from kinfold.plans import catalog, family_trees, proxies
 
 
@@ -56,3 +61,31 @@ def test_orders_of_the_same_species_share_a_splice(spark, sf_dir, monkeypatch):
 
 
 skeletons = getattr(catalog, "_skeletons", None)
+
+
+def test_order_species_keeps_its_parts_beside_many_suppliers(spark, sf_dir, monkeypatch):
+    """A shuffle by supplier undid the dealing where suppliers are over what Spark sends along."""
+    monkeypatch.setattr(proxies, "ROWS_A_TASK", 100)
+    want = -(-proxies.load(spark, sf_dir, "lineitem").count() // 100)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert proxies.order_species(spark, sf_dir).rdd.getNumPartitions() == want
+        monkeypatch.setattr(shared, "MAX_BROADCAST_IDS", 1)
+        monkeypatch.setattr(proxies, "bounded", lambda df, rows: shared.bounded(df, rows, 1), raising=False)
+        members = proxies.order_species(spark, sf_dir)
+        assert members.rdd.getNumPartitions() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_ends_and_sums_need_no_distinct_rows_first(spark, sf_dir):
+    plan = lambda name: catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    count = lambda text: len(re.findall(r"HashAggregate ?\(", text))
+    assert count(plan("redundancy")) == 4
+
+
+def test_redundancy_of_repeats_and_unknown_species(spark):
+    rows = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 11, None), (2, 12, 7), (None, 13, 7), (None, 13, 7)]
+    found = clusters.redundancy(spark.createDataFrame(rows, "family int, cluster int, species int"), "family", "cluster", "species").collect()
+    assert {x.family: x.redundancy for x in found} == {1: 1.67, 2: 1.0, None: 2.0}
