@@ -79,6 +79,17 @@ def test_order_species_keeps_its_parts_beside_many_suppliers(spark, sf_dir, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("name", ["loss_count_large"])
+def test_what_is_found_by_order_stays_where_its_rows_lie(spark, sf_dir, monkeypatch, name):
+    """A second shuffle had as many parts as the session asks for, whatever the rows, or as many as there are species."""
+    monkeypatch.setattr(proxies, "ROWS_A_TASK", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == -(-proxies.load(spark, sf_dir, "lineitem").count() // 100)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ends_and_sums_need_no_distinct_rows_first(spark, sf_dir):
     plan = lambda name: catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     count = lambda text: len(re.findall(r"HashAggregate ?\(", text))
