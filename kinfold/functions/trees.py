@@ -199,9 +199,9 @@ def covers(members: DataFrame, closed: DataFrame, family: str = "family", specie
 
 
 def _numbered(members: DataFrame, clades: Clades, family: str, species: str) -> DataFrame:
-    """(family, number): the distinct numbers of each family's species."""
+    """(family, number): the number of each member's species, repeats left in."""
     labels = bounded(numbers(members.sparkSession, clades).select(F.col("node").alias(species), "number"), len(clades.nodes))
-    return members.select(family, species).distinct().join(labels, species).select(family, "number")
+    return members.select(family, species).join(labels, species).select(family, "number")
 
 
 def mrcas(members: DataFrame, clades: Clades, family: str = "family", species: str = "species") -> DataFrame:

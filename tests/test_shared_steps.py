@@ -93,6 +93,7 @@ def test_what_is_found_by_order_stays_where_its_rows_lie(spark, sf_dir, monkeypa
 def test_ends_and_sums_need_no_distinct_rows_first(spark, sf_dir):
     plan = lambda name: catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     count = lambda text: len(re.findall(r"HashAggregate ?\(", text))
+    assert count(plan("family_mrca")) == 2
     assert count(plan("redundancy")) == 4
 
 
