@@ -27,9 +27,13 @@ def first_by(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def repeated(rows: DataFrame, by: list[str], kind: str, depth: DataFrame) -> DataFrame:
-    """(by, kind, count, rank): kinds with more than one row, by count, then depth of (node, depth), both downwards."""
+    """(by, kind, count, rank): kinds with more than one row, by count, then depth of (node, depth), both downwards.
+
+    Depths are few and go along: a shuffle by kind, of which there are few as well, would make a few large tasks.
+    """
     counted = rows.groupBy(*by, kind).agg(F.count("*").alias("count")).where("count > 1")
-    placed = counted.join(depth.select(F.col("node").alias(kind), "depth"), kind)
+    depth, _, nodes = write_counted(depth.select(F.col("node").alias(kind), "depth"), "depths")
+    placed = counted.join(bounded(depth, nodes), kind)
     w = Window.partitionBy(*by).orderBy(F.desc("count"), F.desc("depth"), kind)
     return placed.withColumn("rank", F.row_number().over(w)).select(*by, kind, "count", "rank")
 

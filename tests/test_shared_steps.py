@@ -79,7 +79,7 @@ def test_order_species_keeps_its_parts_beside_many_suppliers(spark, sf_dir, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", ["loss_count_large"])
+@pytest.mark.parametrize("name", ["loss_count_large", "duplicated_species"])
 def test_what_is_found_by_order_stays_where_its_rows_lie(spark, sf_dir, monkeypatch, name):
     """A second shuffle had as many parts as the session asks for, whatever the rows, or as many as there are species."""
     monkeypatch.setattr(proxies, "ROWS_A_TASK", 100)
