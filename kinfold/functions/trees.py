@@ -198,16 +198,17 @@ def covers(members: DataFrame, closed: DataFrame, family: str = "family", specie
     return distinct.join(closed, "node").groupBy(family, "anc").agg(F.count("*").alias("cover"))
 
 
-def _numbered(members: DataFrame, clades: Clades, family: str, species: str) -> DataFrame:
+def _numbered(members: DataFrame, clades: Clades, family: str, species: str, how: str = "inner") -> DataFrame:
     """(family, number): the number of each member's species, repeats left in."""
     labels = bounded(numbers(members.sparkSession, clades).select(F.col("node").alias(species), "number"), len(clades.nodes))
-    return members.select(family, species).join(labels, species).select(family, "number")
+    return members.select(family, species).join(labels, species, how).select(family, "number")
 
 
-def mrcas(members: DataFrame, clades: Clades, family: str = "family", species: str = "species") -> DataFrame:
+def mrcas(members: DataFrame, clades: Clades, family: str = "family", species: str = "species", whole: bool = False) -> DataFrame:
     """(family, mrca, span): the deepest node above all of a family's species, and its leaves.
 
     The first and the last number of a family say which: one minimum over the range between them.
+    Species that the tree lacks are passed over; ``whole`` leaves out the families that have any.
     """
     python_ready(members.sparkSession, 10_000)
     kind = "long" if members.schema[species].dataType.simpleString() == "bigint" else members.schema[species].dataType.simpleString()
@@ -219,10 +220,18 @@ def mrcas(members: DataFrame, clades: Clades, family: str = "family", species: s
         at = c.mrca(low.to_numpy(), high.to_numpy())
         return pd.DataFrame({"mrca": [c.nodes[i] for i in at.tolist()], "span": c.span[at]})
 
-    ends = _numbered(members, clades, family, species).groupBy(family).agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    rows = _numbered(members, clades, family, species, "left" if whole else "inner").groupBy(family)
+    ends = rows.agg(F.min("number").alias("low"), F.max("number").alias("high"), *[F.count_if(F.col("number").isNull()).alias("strange")] * whole)
+    ends = ends.where("strange = 0") if whole else ends
     return ends.select(family, top("low", "high").alias("top")).select(family, "top.mrca", "top.span")
 
 
+def holders(members: DataFrame, clades: Clades, closed: DataFrame, family: str = "family", species: str = "species") -> DataFrame:
+    """(family, node): the nodes that have all of a family's species at or below them, which are the common ancestor and what is above it."""
+    tops = mrcas(members, clades, family, species, whole=True)
+    return tops.join(closed, tops["mrca"] == closed["node"]).select(family, F.col("anc").alias("node"))
+
+
 def losses(members: DataFrame, clades: Clades, family: str = "family", species: str = "species", large_only: bool = False) -> DataFrame:
     """(family, losses): maximal inner nodes below each family's common ancestor that hold none of its species.
 

@@ -79,7 +79,7 @@ def test_order_species_keeps_its_parts_beside_many_suppliers(spark, sf_dir, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", ["loss_count_large", "duplicated_species"])
+@pytest.mark.parametrize("name", ["loss_count_large", "duplicated_species", "subset_species"])
 def test_what_is_found_by_order_stays_where_its_rows_lie(spark, sf_dir, monkeypatch, name):
     """A second shuffle had as many parts as the session asks for, whatever the rows, or as many as there are species."""
     monkeypatch.setattr(proxies, "ROWS_A_TASK", 100)
@@ -97,6 +97,21 @@ def test_ends_and_sums_need_no_distinct_rows_first(spark, sf_dir):
     assert count(plan("redundancy")) == 4
 
 
+def test_nodes_over_all_species(spark):
+    r = random.Random(5)
+    tree = [(0, None)] + [(n, r.randrange(n)) for n in range(1, 30)]
+    up = dict(tree)
+    members = [(f, r.randrange(30)) for f in range(40) for _ in range(r.randint(1, 4))] + [(50, 3), (50, 99), (51, 4), (51, None), (52, 99), (None, 5), (None, 5)]
+    lineage = lambda n: {n} | (lineage(up[n]) if up[n] is not None else set())
+    held = {}
+    for f, n in members:
+        held.setdefault(f, []).append(lineage(n) if n in up else set())
+    want = sorted((-1 if f is None else f, n) for f, sets in held.items() for n in set.intersection(*sets))
+    tree = spark.createDataFrame(tree, "node int, parent int")
+    rows = trees.holders(spark.createDataFrame(members, "family int, species int"), trees.clades_of(tree), trees.closure(tree)).collect()
+    assert sorted((-1 if x.family is None else x.family, x.node) for x in rows) == want
+
+
 def test_redundancy_of_repeats_and_unknown_species(spark):
     rows = [(1, 10, 5), (1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 11, None), (2, 12, 7), (None, 13, 7), (None, 13, 7)]
     found = clusters.redundancy(spark.createDataFrame(rows, "family int, cluster int, species int"), "family", "cluster", "species").collect()
