@@ -226,3 +226,37 @@ def test_settled_thresholds_leave_the_scan():
     scan = clusters._scan_dense(m, np.array([0.15, 0.3, 0.45, 4.0]))
     assert scan.open.tolist() == [3]  # the others have one label for all items
     assert [len(np.unique(x)) for x in scan.labels] == [1, 1, 1, 120]
+
+
+def grown_cells(r, n, family):
+    """Rounded cosines of vectors, as in the band most pairs lie low and few high."""
+    x = r.normal(size=(n, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    m = np.tril(np.round(x @ x.T, 2), -1)
+    m = m + m.T
+    return m, [(family, i, j, float(m[i, j])) for i in range(n) for j in range(i)]
+
+
+@pytest.mark.parametrize("first", [4, 15])
+def test_thresholds_that_cannot_be_chosen_are_left_out(spark, monkeypatch, first):
+    """Most of a family's thresholds are proven out; the choice is that of all of them."""
+    monkeypatch.setattr(clusters, "FIRST", first, raising=False)
+    monkeypatch.setattr(clusters, "SETTLED_EVERY", 4)
+    r = np.random.default_rng(11)
+    members, cells, want, left = [], [], {}, 0
+    kept = []
+    figures = clusters.LabelScan.figures
+    monkeypatch.setattr(clusters.LabelScan, "figures", lambda self, *a: kept.append(int(getattr(self, "kept", np.ones(len(self.thresholds))).sum())) or figures(self, *a))
+    for f, n in enumerate([20, 250, 300, 60]):
+        m, lower = grown_cells(r, n, f) if f != 3 else family_cells(r, n, f)
+        species = [int(x) for x in r.choice([3, 4, 5, 6, 8, 9], n)]
+        members += [(f, i, s) for i, s in enumerate(species)]
+        cells += lower
+        want[f] = chosen(m.tolist(), species, TREE)
+        left += len({v for row in m.tolist() for v in row if 0.15 < v < 0.7})
+        assert clusters.choose_threshold(m.astype(np.float32), species, Clades(TREE)) == pytest.approx(want[f], abs=1e-6)
+    assert sum(kept) < 0.8 * left
+    cells = spark.createDataFrame(cells, "family int, i int, j int, value double")
+    members = spark.createDataFrame(members, "family int, idx int, species int")
+    got = {x.family: x.threshold for x in clusters.choose_thresholds(members, cells, TREE).collect()}
+    assert got == pytest.approx(want)
