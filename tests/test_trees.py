@@ -421,3 +421,64 @@ def test_trees_of_vectors_equal_those_of_their_cosines(spark):
     want = family_trees.build_trees(genes.drop("vector"), cells, species).select("family", "newick").collect()
     got = family_trees.build_trees(genes, None, species).select("family", "newick").collect()
     assert sorted(got) == sorted(want) and len(got) == 3
+
+
+def random_family(seed, n):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    synteny = np.maximum(np.round(x @ x.T, 5), 0).astype(np.float32)
+    np.fill_diagonal(synteny, 0)
+    species = assembly.Species([(1, None, "R")] + [(2 + k, 1, f"r{k}") for k in range(3)] + [(10 + k, 2 + k % 3, f"n{k}") for k in range(9)])
+    return assembly.Family([f"g{i}" for i in range(n)], [10 + int(k) for k in r.integers(0, 9, n)], [int(k) for k in r.choice([1, 12, 31], n, p=[0.1, 0.1, 0.8])], synteny, (1 - synteny).astype(np.float32), species, threshold=0.8)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_kept_surroundings_equal_those_looked_up_anew(monkeypatch, seed):
+    seen, graft = [], assembly.graft
+
+    def checked(f, tree, n, main, places=None):
+        done = graft(f, tree, n, main, *([places] if places else []))
+        anew = {}
+        for x in tree.subtree(main)[1:]:
+            anew.setdefault(tree.items[x].tag, set()).add(x)
+        assert {k: v for k, v in places.of_tag.items() if v} == anew
+        for known in [x for v in anew.values() for x in v if seen or x in places.around]:
+            context = assembly.context_of(tree, known, anew[tree.items[known].tag])
+            now = places.look(known)
+            genes = tree.genes(context)
+            assert (now.context, sorted(now.near), now.here) == (context, sorted(set(genes) & set(f.core)), f.kinds(genes))
+            assert places.genes(known) == len(tree.genes(known))
+        seen.append(n)
+        return done
+
+    monkeypatch.setattr(assembly, "graft", checked)
+    f = random_family(seed, 120)
+    tree, root = assembly.build_family(f)
+    assert len(seen) > 20
+    assembly.check_complete(f, tree, root)
+
+
+def test_grafts_do_not_walk_the_tree_for_each_place(monkeypatch):
+    visited, subtree = [0], assembly.Tree.subtree
+
+    def counted(self, n):
+        out = subtree(self, n)
+        visited[0] += len(out)
+        return out
+
+    monkeypatch.setattr(assembly.Tree, "subtree", counted)
+    assembly.build_family(random_family(7, 600))
+    assert visited[0] < 600 * 600
+
+
+def test_trees_of_thousands_of_levels_have_a_text():
+    f = random_family(1, 2)
+    tree = assembly.Tree()
+    root = at = tree.add(1)
+    for _ in range(5000):
+        at = tree.add(1, [0], at)
+    tree.add(1, [1], root)
+    text = assembly.to_newick(f, tree, root)
+    assert text.startswith("((g0[") and text.count("(") == text.count(")") == 5002
+    assert len(newick.parse(text)[0]) == 5001 + 1 + 5001
