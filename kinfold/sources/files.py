@@ -11,13 +11,16 @@ import re
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.errors import FileMissing, InputError, UnknownGene, UnknownSpecies
 from kinfold.functions import newick
 from kinfold.operators import landscapes, tiles
-from kinfold.shared import bounded, write_counted, write_shared
+from kinfold.shared import bounded, python_ready, tidy, write_counted, write_shared
 
 SPECIES_PATTERN = r"(?P<species>.*)\.(gff3|bed|chrom)"
 ID_PATTERN = r"gene:(?P<id>.*)"
@@ -211,23 +214,80 @@ def matrix_cells(lines: DataFrame, genes: DataFrame, family: str = "family") ->
     """(family, i, j, value) from the lines (family, at, line) of matrix texts, ``at`` from 0, both axes in the order of ``genes`` (family, gene_idx, gene).
 
     A missing or wrong count line and a gene without a row raise.  Of rows with one name the last counts; short rows read as 0.  Lines stay apart: none is joined to
-    another, and a row meets only the numbers of its family's columns.
+    another.  A row's cells are read side by side, and each then meets the number of its column.
     """
+    python_ready(lines.sparkSession)
     heads = lines.where("at = 0").select(family, F.col("line").alias("n"))
     counts = lines.groupBy(family).agg((F.count("*") - 1).alias("rows")).join(heads, family, "left")
     bad = F.col("n").try_cast("int").isNull() | (F.col("n").try_cast("int") != F.col("rows"))
-    checked = counts.select(family, F.when(bad, F.raise_error(F.concat(F.lit("matrix without its count line or of another size: "), F.col(family).cast("string")))).otherwise(F.lit(True)).alias("sound"))
-    cells = lines.where("at > 0").select(family, (F.col("at") - 1).alias("at"), F.split("line", "\t").alias("cells"))
-    named = cells.select(family, "at", F.col("cells")[0].alias("gene"), F.slice("cells", 2, F.size("cells")).alias("cells"))
+    checked = counts.select(family, "rows", F.when(bad, F.raise_error(F.concat(F.lit("matrix without its count line or of another size: "), F.col(family).cast("string")))).otherwise(F.lit(True)).alias("sound"))
+    named = lines.where("at > 0").select(family, (F.col("at") - 1).alias("at"), F.substring_index("line", "\t", 1).alias("gene"), "line")
     order = named.groupBy(family, "gene").agg(F.max("at").alias("last"))
     ids = genes.select(family, F.col("gene_idx"), "gene")
     placed = ids.join(order, [family, "gene"], "left").join(checked, family, "left").where(F.coalesce("sound", F.lit(True)))
-    placed = placed.select(family, "gene_idx", "gene", F.when(F.col("last").isNull(), F.raise_error(F.concat(F.lit("matrix without gene "), F.col("gene")))).otherwise(F.col("last")).alias("last"))
+    placed = placed.select(family, "gene_idx", "gene", F.when(F.col("last").isNull(), F.raise_error(F.concat(F.lit("matrix without gene "), F.col("gene")))).otherwise(F.col("last")).alias("last"), "rows")
     placed, _, n = write_counted(placed, "columns")
-    rows = named.join(placed.select(family, F.col("last").alias("at"), F.col("gene_idx").alias("i")), [family, "at"])
-    columns = placed.select(family, F.col("gene_idx").alias("j"), F.col("last").alias("column_at"))
-    cell = F.coalesce(F.get("cells", F.col("column_at").cast("int")).try_cast("float"), F.lit(0.0).cast("float"))
-    return rows.select(family, "i", "cells").join(bounded(columns, n), family).select(family, "i", "j", cell.alias("value"))
+    own = placed.select(family, F.col("last").alias("at"), F.col("gene_idx").alias("i"), F.col("rows").alias("width"))
+    rows = named.join(bounded(own, n), [family, "at"]).select(F.col(family).alias("family"), "i", "width", "line")
+    columns = placed.select(family, F.col("last").cast("int").alias("column_at"), F.col("gene_idx").alias("j"))
+    # Cells that are not plain decimals are for Spark to read.
+    cell = lambda x: F.coalesce(x.try_cast("float"), F.lit(0.0).cast("float"))
+    texts = F.split("odd", "\t")
+    read = F.transform(F.slice(texts, 2, F.size(texts)), cell)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    cells = rows.mapInArrow(tidy(_cells), f"family {kinds['family']}, i {kinds['i']}, `values` array<float>, odd string, width long")
+    padded = F.concat(read, F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), F.col("width") - F.size(read)).cast("int")))
+    each = cells.select(F.col("family").alias(family), "i", F.posexplode(F.coalesce("values", padded)).alias("column_at", "value"))
+    return each.join(bounded(columns, n), [family, "column_at"]).select(family, "i", "j", "value")
+
+
+#: Bytes of plain decimals, and of what parts them.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"0123456789.-\t")] = True
+
+
+def _cells(batches):
+    """(family, i, values, odd, width) of rows (family, i, width, line): a line's cells, filled up to the width, or itself where a cell is no plain decimal."""
+    for batch in batches:
+        family, i, width, line = batch.columns
+        for start in range(0, batch.num_rows, 64):
+            yield _cells_of(family.slice(start, 64), i.slice(start, 64), width.slice(start, 64).cast(pa.int64()), line.slice(start, 64))
+
+
+def _cells_of(family: pa.Array, i: pa.Array, width: pa.Array, line: pa.Array) -> pa.RecordBatch:
+    def batch(values: pa.Array, odd: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([family, i, values, odd, width], ["family", "i", "values", "odd", "width"])
+
+    wide = width.to_numpy()
+    cells = pc.list_slice(pc.split_pattern(line, "\t"), 1)
+    count = pc.list_value_length(cells).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(cells)
+    try:
+        values = flat.cast(pa.float32()).to_numpy(zero_copy_only=False) if _plain(flat) else None
+    except pa.ArrowInvalid:
+        values = None
+    if values is not None and not line.null_count:
+        if (count >= wide).all():
+            starts = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        else:
+            full, ends = np.zeros(int(np.maximum(count, wide).sum()), np.float32), np.cumsum(np.maximum(count, wide))
+            starts = np.concatenate(([0], ends)).astype(np.int32)
+            at = np.repeat(starts[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(len(values))
+            full[at] = values
+            values = full
+        return batch(pa.ListArray.from_arrays(pa.array(starts), pa.array(values)), pa.nulls(len(line), pa.string()))
+    if len(line) == 1:
+        return batch(pa.nulls(1, pa.list_(pa.float32())), line)
+    parts = [_cells_of(*(c.slice(k, 1) for c in (family, i, width, line))) for k in range(len(line))]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _plain(flat: pa.Array) -> bool:
+    """Whether the bytes of all texts are those of plain decimals."""
+    if not len(flat):
+        return True
+    offsets = np.frombuffer(flat.buffers()[1], np.int32 if pa.types.is_string(flat.type) else np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    return bool(_PLAIN[np.frombuffer(flat.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]].all())
 
 
 def matrix_lines(spark: SparkSession, paths: list[str], family: Column | None = None, recursive: bool = False) -> DataFrame:

@@ -154,3 +154,18 @@ def test_paths_are_looked_at_once_a_file(spark, tmp_path):
     (tmp_path / "A.bed").write_text("c\t0\t5\tG\n")
     plan = files.read_annotations(spark, [str(tmp_path / "A.bed")])._jdf.queryExecution().optimizedPlan().toString()
     assert "gff3?|bed|chrom" not in plan and plan.count("gene:(?<id>.*)") == 2  # one for IDs of GFF3, one for names
+
+
+def test_odd_cells_are_read_as_spark_reads_them(spark):
+    """Lines of plain decimals go side by side, others by Spark's cast; a row of either kind may be short or long."""
+    cells = [["0.5", "-1.25", "3", "0.00001"], ["NaN", " 1.5 ", "1e3", "1.0f"], ["x", "", "-", "--1"], ["1.2.3", "0.1", "Infinity"], ["7.5"], ["1", "2", "3", "4", "5.0", "x"]]
+    n = len(cells)
+    text = f"{n}\n" + "".join("\t".join([f"g{k}", *row]) + "\n" for k, row in enumerate(cells))
+    flat = [(i, j, x) for i, row in enumerate(cells) for j, x in enumerate(row) if j < n]
+    cast = {(r.i, r.j): r.v for r in spark.createDataFrame(flat, "i int, j int, x string").select("i", "j", F.coalesce(F.col("x").try_cast("float"), F.lit(0.0).cast("float")).alias("v")).collect()}
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(text.rstrip("\n").split("\n"))], "family string, at int, line string")
+    genes = spark.createDataFrame([("f", k, f"g{k}") for k in range(n)], KEYS)
+    found = files.matrix_cells(lines, genes)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): repr(r.value) for r in found.collect()}
+    assert got == {(i, j): repr(cast.get((i, j), 0.0)) for i in range(n) for j in range(n)}
